@@ -2,11 +2,11 @@
 
 A document is the set of hashes of its distinct word shingles. A sketch has k blocks; each element
 is dealt to one block by a hash and XORed into it, so two sketches differ in at most as many blocks
-as their sets have elements in which they differ: that Hamming distance over blocks is a lower bound
+as their sets have elements in which they differ; that Hamming distance over blocks is a lower bound
 of the symmetric difference. Sets of at most M elements with a similarity of t or more differ in at
 most D = 2 M (1 - t) / (1 + t) elements, so with k = D + 1 blocks at least one block is equal in
-both (pigeonhole). Sketches are made per size band, and once more across each border between bands
-for the sizes near it, so any two sets of similar sizes share a sketch shape.
+both (pigeonhole). Sketches are made per size band; a band takes the sizes between its borders and those
+that can be similar to them, so any two similar sets share a band.
 
 Documents with equal sets are one node from the start. Equal blocks bring nodes together in buckets;
 candidates are verified on the exact sets. In each bucket nodes are first compared with its smallest
@@ -30,7 +30,7 @@ from .common import settle, small
 from .graph import components
 
 #: Ratio between the borders of size bands.
-BAND = 1.6
+BAND = 1.25
 #: How often a sketch is refined under an empty block, which by itself would bring strangers together.
 LEVELS = 4
 #: Members of a bucket that are compared with all others in one round.
@@ -85,28 +85,37 @@ class Bands:
         """Most elements in which two sets of at most so many can differ."""
         return (2 * most * (100 - self.percent)) // (100 + self.percent)
 
-    def shapes(self, n: int) -> list[tuple[int, int]]:
-        """(sketch shape, blocks) that a set of n elements takes part in."""
+    def blocks(self, most: int) -> tuple[int, int]:
+        """Blocks of the sketches of sets of at most so many elements, and how many may be empty.
+
+        With D + 1 + s blocks at least 1 + s are equal, so a set that leaves no more than s of them
+        empty has an equal block with elements and needs no signature for the empty ones.
+        """
+        least = self.differing(most) + 1
+        empty = least * math.exp(-most * self.similarity / BAND / least)
+        spare = math.ceil(1.2 * empty + 4 * math.sqrt(empty)) if least >= 16 else 0
+        return least + spare, spare
+
+    def shapes(self, n: int) -> list[tuple[int, tuple[int, int]]]:
+        """(band, its blocks) of the bands that a set of n elements takes part in.
+
+        A band is for pairs whose smaller set lies between its borders, so it also takes larger sets
+        that can be similar to those.
+        """
         if n < self.least:
             return []
-        band = int(math.log(n / self.least) / math.log(BAND)) if n > self.least else 0
+        band = 0
         while self.border(band + 1) <= n:
             band += 1
-        while band and self.border(band) > n:
-            band -= 1
-        out = [(2 * band, self.differing(self.border(band + 1) - 1) + 1)]
-        for b in (band, band + 1):  # the border below and that above
-            edge = self.border(b)
-            if b and n * 100 >= edge * self.percent - 100 and n * self.percent <= edge * 100 + 100:
-                out.append((2 * b - 1, self.differing(math.ceil(edge * 100 / self.percent) + 1) + 1))
-        return out
+        most = lambda b: (self.border(b + 1) - 1) * 100 // self.percent
+        return [(b, self.blocks(most(b))) for b in range(band, -1, -1) if n <= most(b)]
 
 
 def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
     """A 64-bit signature for each block of the sketches of a set."""
     out: list[np.ndarray] = []
 
-    def sketch(shape: int, blocks: int, tag: int, level: int) -> None:
+    def sketch(shape: int, blocks: int, spare: int, tag: int, level: int) -> None:
         block = (_mixed(elements, 11 + 7 * level + 131 * shape) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         dealt = block[order]
@@ -116,15 +125,15 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
         key = np.uint64(tag) + filled.astype(np.uint64) + np.uint64(shape << 40)
         with np.errstate(over="ignore"):
             out.append(_mixed(_mixed(key, 3 + level) ^ sums, 5))
-        for empty in set(range(blocks)).difference(filled.tolist()) if len(filled) < blocks else ():
+        for empty in set(range(blocks)).difference(filled.tolist()) if len(filled) < blocks - spare else ():
             under = int(_mixed(np.array([tag + empty + (shape << 40)], np.uint64), 77 + level)[0]) >> 8
             if level + 1 < LEVELS:
-                sketch(shape, blocks, under, level + 1)
+                sketch(shape, blocks, spare, under, level + 1)
             else:
                 out.append(_mixed(np.array([under], np.uint64), 6))
 
-    for shape, blocks in bands.shapes(len(elements)):
-        sketch(shape, blocks, 0, 0)
+    for shape, (blocks, spare) in bands.shapes(len(elements)):
+        sketch(shape, blocks, spare, 0, 0)
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -162,8 +171,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
     two = sets.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
     both = F.size(F.array_intersect("ia", "ib")).cast("long")
+    alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     joined = pairs.join(one, "a").join(two, "b")
-    return joined.select("a", "b", (100 * both >= percent * (F.col("na") + F.col("nb") - both)).alias("linked"))
+    return joined.select("a", "b", F.when(alike, 100 * both >= percent * (F.col("na") + F.col("nb") - both)).otherwise(False).alias("linked"))
 
 
 def similar_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,9 +195,9 @@ def similar_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_
 
     # buckets of more than one node
     same = Window.partitionBy("signature")
-    dealt = named.filter("node = row").select("row", "n", F.explode("items").alias("signature"))
+    dealt = named.filter("node = row").select("row", F.explode("items").alias("signature"))
     met = dealt.withColumn("hub", F.min("row").over(same)).withColumn("last", F.max("row").over(same)).filter("hub < last")
-    buckets = settle(met.select("signature", "row", "n", "hub"), "buckets")
+    buckets = settle(met.select("signature", "row", "hub"), "buckets")
 
     members = settle(buckets.select("row").distinct(), "members")
     rows = nodes.join(small(members, MOST_BROADCAST), "row", "left_semi").select("row", "doc_id", "fa", "fb", "n")
@@ -215,8 +225,6 @@ def _resolve(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[bool, D
     First each node with its smallest hub, then with the hub of each of its buckets, then with several
     more of a bucket's nodes a round; at last every two that are still in different components.
     """
-    sizes = F.expr(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
-    hub_sizes = sets.select(F.col("row").alias("hub"), F.col("n").alias("hub_n"))
     edges, checked, labels = None, None, None
 
     def compare(pairs: DataFrame) -> None:
@@ -244,14 +252,13 @@ def _resolve(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[bool, D
         held = open_rows.withColumn("low", F.min("component").over(same)).withColumn("high", F.max("component").over(same))
         return settle(held.filter("low < high").drop("low", "high"), "open")
 
-    nearest = buckets.filter("row <> hub").groupBy("row", "n").agg(F.min("hub").alias("hub"))
-    compare(nearest.join(hub_sizes, "hub").filter(sizes))
+    compare(buckets.filter("row <> hub").groupBy("row").agg(F.min("hub").alias("hub")))
     rest = unsettled(buckets)
     if rest.isEmpty():
         return edges is not None, labels
-    component_of = lambda rows: rows.select("signature", F.col("row").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
+    component_of = lambda rows: rows.select("signature", F.col("row").alias("hub"), F.col("component").alias("hub_component"))
     star = rest.filter("row <> hub").join(component_of(rest), ["signature", "hub"]).filter("component <> hub_component")
-    compare(star.filter(sizes))
+    compare(star)
     rest = unsettled(rest, rest.select("signature", F.col("hub").alias("row")).distinct())
     for last in (False, False, True):
         if rest.isEmpty():
@@ -259,7 +266,7 @@ def _resolve(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[bool, D
         place = F.row_number().over(Window.partitionBy("signature").orderBy("row"))
         hubs = rest if last else settle(rest.withColumn("place", place).filter(F.col("place") <= HUBS).drop("place"), "hubs")
         pairs = rest.drop("hub").join(component_of(hubs), "signature").filter("hub < row AND component <> hub_component")
-        compare(pairs.filter(sizes))
+        compare(pairs)
         if last:
             break
         rest = unsettled(rest, hubs.select("signature", "row"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, quality_rules, sentencepiece_codec, source_mixing, token_counts, toxicity, url_filter
+from . import exact_dedup, jaccard_join, license_rules, pii_surrogates, quality_rules, sentencepiece_codec, source_mixing, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -56,6 +56,17 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with surrogates for their entities; the originals aren't returned."""
+    replaced = pii_surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return replaced.select("doc_id", "text", F.size("entities").alias("n_entities"), F.transform("entities", lambda e: e["kind"]).alias("kinds"), F.transform("entities", lambda e: e["surrogate"]).alias("surrogates"))
+
+
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document."""
+    return license_rules.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_counts": op2_token_counts,
@@ -65,5 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_source_mixing": op8_source_mixing,
+    "op9_pii_surrogates": op9_pii_surrogates,
+    "op10_license_rules": op10_license_rules,
 }
 ORACLES: dict[str, str] = {}
