@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup, jaccard_join, license_rules, pii_surrogates, quality_rules, sentencepiece_codec, source_mixing, token_counts, toxicity, url_filter
 from .common import table
+from .oracles import ORACLES as ORACLES
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +80,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_license_rules": op10_license_rules,
 }
-ORACLES: dict[str, str] = {}
