@@ -9,10 +9,10 @@ both (pigeonhole). Sketches are made per size band; a band takes the sizes betwe
 that can be similar to them, so any two similar sets share a band.
 
 Documents with equal sets are one node from the start. Equal blocks bring nodes together in buckets;
-candidates are verified on the exact sets. In each bucket nodes are first compared with its smallest
-node, and what isn't linked to it already is compared further, until every two nodes of a bucket are
-in one component or have been verified as not similar. No link is lost, and a group of thousands of
-near copies takes about as many comparisons as it has members, not its square.
+candidates are verified on the exact sets. In each bucket nodes are compared with its smallest node;
+those that aren't in its component are compared with one another only if they share rare differences
+from it, which two similar sets must. No link is lost, and a group of thousands of near copies takes
+about as many comparisons as it has members, not its square.
 """
 
 from __future__ import annotations
@@ -33,8 +33,6 @@ from .graph import components
 BAND = 1.25
 #: How often a sketch is refined under an empty block, which by itself would bring strangers together.
 LEVELS = 4
-#: Members of a bucket that are compared with all others in one round.
-HUBS = 8
 #: Ids are broadcast up to this number; beyond it they are joined by a shuffle.
 MOST_BROADCAST = 500_000
 
@@ -220,10 +218,11 @@ def similar_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_
 
 
 def _resolve(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[bool, DataFrame | None]:
-    """Compare nodes of buckets until every two are in one component or verified as not similar.
+    """Compare nodes of buckets until every two are in one component or known not to be similar.
 
-    First each node with its smallest hub, then with the hub of each of its buckets, then with several
-    more of a bucket's nodes a round; at last every two that are still in different components.
+    First each node is compared with its smallest hub, then with the hub of each of its buckets. Any
+    two nodes of a bucket have its hub in common; where they are still in different components, their
+    differences from that hub tell which of them to compare (``_by_differences``).
     """
     edges, checked, labels = None, None, None
 
@@ -239,35 +238,43 @@ def _resolve(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[bool, D
             edges = found if edges is None else edges.unionByName(found)
             labels = components(edges)
 
-    def unsettled(rows: DataFrame, done: DataFrame | None = None) -> DataFrame:
-        """Rows of buckets that hold several components, without hubs that all were compared with."""
-        open_rows = rows.drop("component")
-        if labels is not None:
-            open_rows = open_rows.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-        else:
-            open_rows = open_rows.withColumn("component", F.col("row"))
-        if done is not None:
-            open_rows = open_rows.join(done, ["signature", "row"], "left_anti")
-        same = Window.partitionBy("signature")
-        held = open_rows.withColumn("low", F.min("component").over(same)).withColumn("high", F.max("component").over(same))
-        return settle(held.filter("low < high").drop("low", "high"), "open")
-
-    compare(buckets.filter("row <> hub").groupBy("row").agg(F.min("hub").alias("hub")))
-    rest = unsettled(buckets)
-    if rest.isEmpty():
-        return edges is not None, labels
-    component_of = lambda rows: rows.select("signature", F.col("row").alias("hub"), F.col("component").alias("hub_component"))
-    star = rest.filter("row <> hub").join(component_of(rest), ["signature", "hub"]).filter("component <> hub_component")
-    compare(star)
-    rest = unsettled(rest, rest.select("signature", F.col("hub").alias("row")).distinct())
-    for last in (False, False, True):
-        if rest.isEmpty():
-            break
-        place = F.row_number().over(Window.partitionBy("signature").orderBy("row"))
-        hubs = rest if last else settle(rest.withColumn("place", place).filter(F.col("place") <= HUBS).drop("place"), "hubs")
-        pairs = rest.drop("hub").join(component_of(hubs), "signature").filter("hub < row AND component <> hub_component")
-        compare(pairs)
-        if last:
-            break
-        rest = unsettled(rest, hubs.select("signature", "row"))
+    def labelled(rows: DataFrame, node: str, name: str) -> DataFrame:
+        if labels is None:
+            return rows.withColumn(name, F.col(node))
+        return rows.join(labels.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+    star = settle(buckets.filter("row <> hub").select("hub", "row").distinct(), "star")
+    compare(star.groupBy("row").agg(F.min("hub").alias("hub")))
+    compare(labelled(labelled(star, "row", "of_row"), "hub", "of_hub").filter("of_row <> of_hub"))
+    members = labelled(star, "row", "component")
+    mixed = members.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("hub")
+    rest = settle(members.join(mixed, "hub", "left_semi"), "unsettled")
+    if not rest.isEmpty():
+        compare(_by_differences(rest, sets, percent))
     return edges is not None, labels
+
+
+def _by_differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(hub, row) pairs of members (hub, row, component) that may be similar: a superset of all that
+    are, of those in different components that have a hub in common.
+
+    Let d(x) be the elements in which x and the hub differ. Of x and y the differing elements are those
+    in just one of d(x) and d(y), so if at most D differ, the two have at least (|d(x)| + |d(y)| - D) / 2
+    of them in common. That is at least one unless both are similar to the hub and so in one component,
+    and with the elements ordered from the hub's rarest on, the first D + 1 of each have one in common.
+    Members of one hub differ from it mostly in their own ways, so few of them share a rare difference.
+    """
+    mine = sets.select("row", F.col("n").alias("n"), F.col("items").alias("mine"))
+    its = sets.select(F.col("row").alias("hub"), F.col("items").alias("its"))
+    both = members.join(mine, "row").join(its, "hub")
+    # D for the largest partner that could be similar
+    most = F.floor(F.col("n") * (100 + percent) * (100 - percent) / (percent * (100 + percent))).cast("int") + 1
+    apart = both.select("hub", "row", "component", most.alias("most"), F.explode(F.concat(F.array_except("mine", "its"), F.array_except("its", "mine"))).alias("element"))
+    apart = settle(apart, "differences")
+    counts = apart.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
+    rare_first = F.row_number().over(Window.partitionBy("hub", "row").orderBy("often", "element"))
+    first = apart.join(counts, ["hub", "element"]).withColumn("place", rare_first).filter("place <= most + 1 AND low < high")
+    first = settle(first.select("hub", "element", "row", "component"), "prefixes")
+    other = first.select("hub", "element", F.col("row").alias("other"), F.col("component").alias("of_other"))
+    pairs = first.join(other, ["hub", "element"]).filter("row < other AND component <> of_other")
+    return pairs.select(F.col("row").alias("hub"), F.col("other").alias("row")).distinct()
