@@ -28,10 +28,10 @@ MOST_CLASSES, MOST_COMMON = 0.25, 0.32
 MOST_BROADCAST = 10_000
 # Frequent function words of English, French, German and Spanish.
 COMMON_WORDS = (
-    "the", "of", "and", "to", "a", "in", "is", "that", "for", "it", "was", "on", "be", "with", "as", "this", "are", "by",
-    "de", "la", "le", "et", "les", "des", "en", "un", "une", "du", "que", "est", "dans", "qui", "par", "pour", "au", "sur",
-    "der", "die", "und", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht", "ein", "eine",
-    "el", "y", "los", "se", "del", "las", "por", "con", "no", "una", "su", "para", "es", "al", "lo",
+    "the", "of", "and", "to", "a", "in", "is", "that", "for", "it",
+    "de", "la", "le", "et", "les", "des", "en", "un", "du", "que",
+    "der", "die", "und", "den", "von", "zu",
+    "el", "y", "los", "se", "del", "por",
 )
 CLASSES = ("upper", "digit", "blank", "stop", "symbol", "wide", "other")
 
@@ -99,13 +99,16 @@ def profile(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang
         F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("upper"),
         F.regexp_count("text", F.lit("[0-9]")).cast("long").alias("digit"),
         F.regexp_count("text", F.lit("[.,;:!?]")).cast("long").alias("stop"),
-        F.filter("words", lambda w: w.isin(*dict.fromkeys(COMMON_WORDS))).alias("found"),
+        F.concat(F.lit(" "), F.array_join(F.filter("words", lambda w: w.isin(*COMMON_WORDS)), "  "), F.lit(" ")).alias("found"),
     )
     blank = F.col("chars") - F.col("word_chars")
     other = F.greatest(F.lit(0), F.col("chars") - blank - F.col("upper") - F.col("digit") - F.col("stop") - F.col("n_symbols") - F.col("wide"))
     classes = F.array(F.col("upper"), F.col("digit"), blank, F.col("stop"), F.col("n_symbols"), F.col("wide"), other)
-    common = [(F.size("found") - F.size(F.array_remove("found", F.lit(w)))).cast("long") for w in dict.fromkeys(COMMON_WORDS)]
-    return counted.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", classes.alias("classes"), F.array(*common, F.col("n_words") - F.size("found")).alias("common"))
+    # found holds the common words, each between blanks of its own: a count is what its removal saves
+    length = F.char_length("found")
+    common = [((length - F.char_length(F.replace("found", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in COMMON_WORDS]
+    rest = F.greatest(F.lit(0).cast("long"), F.col("n_words") - sum(common, F.lit(0).cast("long")))
+    return counted.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", classes.alias("classes"), F.array(*common, rest).alias("common"))
 
 
 def base_failed() -> Column:
@@ -115,7 +118,7 @@ def base_failed() -> Column:
 def references(profiles: DataFrame) -> DataFrame:
     """(of, ref_classes, ref_common): summed histograms of each language's documents that pass the
     base rules; null is a language of its own."""
-    bins = len(CLASSES), len(dict.fromkeys(COMMON_WORDS)) + 1
+    bins = len(CLASSES), len(COMMON_WORDS) + 1
     sums = profiles.filter(~base_failed()).groupBy(F.col("lang").alias("of")).agg(*[F.sum(F.col(name)[i]).alias(f"{name}{i}") for name, n in zip(("classes", "common"), bins, strict=True) for i in range(n)])
     return sums.select("of", *[F.array(*[F.col(f"{name}{i}") for i in range(n)]).alias(f"ref_{name}") for name, n in zip(("classes", "common"), bins, strict=True)])
 
