@@ -38,7 +38,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 NEVER = float("-inf")
 #: Words and pairs of pieces whose results a worker remembers, and the longest such word.
-REMEMBERED, LONGEST_REMEMBERED = 1 << 18, 48
+REMEMBERED, LONGEST_REMEMBERED = 1 << 17, 48
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -363,15 +363,13 @@ BATCH_CHARS = 4_000_000
 
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
     """The batch in parts of bounded text, so that outputs stay small whatever the texts' lengths."""
-    texts = batch.column(column).to_pylist()
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= BATCH_CHARS:
-            yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield batch.slice(start), texts[start:]
+    values, texts, start, size = batch.column(column), [], 0, 0
+    for i in range(batch.num_rows):
+        texts.append(values[i].as_py())
+        size += len(texts[-1] or "")
+        if size >= BATCH_CHARS or i + 1 == batch.num_rows:
+            yield batch.slice(start, i + 1 - start), texts
+            texts, start, size = [], i + 1, 0
 
 
 def encode(docs: DataFrame, path: str = MODEL_PATH, text: str = "text", ids: str = "ids", keep: list[str] | None = None, check: str | None = None) -> DataFrame:
@@ -433,7 +431,7 @@ def encoded_lengths(docs: DataFrame, path: str = MODEL_PATH, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared)
         for batch in batches:
-            sizes = [codec.count(x) for x in batch.column("__text").to_pylist()]
+            sizes = [codec.count(x.as_py()) for x in batch.column("__text")]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(sizes, pa.int64())], names=kept + [length])
 
     return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
