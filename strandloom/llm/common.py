@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,10 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
     return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/settled"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+#: Settled tables of this driver that weren't discarded yet.
+_settled: dict[str, object] = {}
+
+
+def settle(df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts its lineage.
 
-    Lost executors then cost the running stage only. The files go when the driver's JVM ends.
+    Lost executors then cost the running stage only. ``heavy`` says that df shuffled much: the driver's
+    JVM is then asked to look for plans that nobody holds, whose shuffle files Spark removes. The
+    table goes when it is discarded or released, at the latest when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -57,7 +64,31 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    _settled[path] = at
+    if heavy:
+        gc.collect()
+        jvm.System.gc()
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a settled table that no later step reads."""
+    _remove(df.sparkSession, [df.settled_at])
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all settled tables. For the start of a step whose input is a table of its own, when
+    the results of earlier operators have been written."""
+    _remove(spark, list(_settled))
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = _settled.pop(path, None)
+        if at is not None:
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

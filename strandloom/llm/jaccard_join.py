@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, small
+from .common import discard, settle, small
 from .graph import components
 
 #: Ratio between the borders of size bands.
@@ -191,19 +191,21 @@ def similar_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_
     groups = settle(groups.filter("copies > 1").select("fa", "fb", "n", "first"), "equal_sets")
     named = nodes.join(small(groups, MOST_BROADCAST), ["fa", "fb", "n"], "left").withColumn("node", F.coalesce("first", "row"))
 
-    # buckets of more than one node
+    # buckets of more than one node; the sketches aren't needed after them
     same = Window.partitionBy("signature")
     dealt = named.filter("node = row").select("row", F.explode("items").alias("signature"))
     met = dealt.withColumn("hub", F.min("row").over(same)).withColumn("last", F.max("row").over(same)).filter("hub < last")
-    buckets = settle(met.select("signature", "row", "hub"), "buckets")
+    buckets = settle(met.select("signature", "row", "hub"), "buckets", heavy=True)
+    named = settle(named.select("doc_id", "n", "fa", "fb", "node", "row"), "nodes")
+    discard(nodes)
 
     members = settle(buckets.select("row").distinct(), "members")
-    rows = nodes.join(small(members, MOST_BROADCAST), "row", "left_semi").select("row", "doc_id", "fa", "fb", "n")
+    rows = named.join(small(members, MOST_BROADCAST), "row", "left_semi").select("row", "doc_id", "fa", "fb", "n")
     rows = settle(rows, "rows")
     ids = small(rows.select("doc_id").distinct(), MOST_BROADCAST)
     wanted = plain.join(ids.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     sets = _documents(wanted, shingle, None).drop("doc_id").join(rows.drop("doc_id"), ["fa", "fb", "n"])
-    sets = settle(sets.groupBy("row").agg(F.first("n").alias("n"), F.first("items").alias("items")), "sets")
+    sets = settle(sets.groupBy("row").agg(F.first("n").alias("n"), F.first("items").alias("items")), "sets", heavy=True)
 
     linked, labels = _resolve(buckets, sets, percent)
     answer = named.select("doc_id", "n", "node", "row")
@@ -231,7 +233,7 @@ def _resolve(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[bool, D
         fresh = pairs.select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct()
         if checked is not None:
             fresh = fresh.join(checked, ["a", "b"], "left_anti")
-        answer = settle(_verified(fresh, sets, percent), "verified")
+        answer = settle(_verified(fresh, sets, percent), "verified", heavy=True)
         found = answer.filter("linked").select("a", "b")
         checked = answer.select("a", "b") if checked is None else checked.unionByName(answer.select("a", "b"))
         if not found.isEmpty():
@@ -243,7 +245,8 @@ def _resolve(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[bool, D
             return rows.withColumn(name, F.col(node))
         return rows.join(labels.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
-    star = settle(buckets.filter("row <> hub").select("hub", "row").distinct(), "star")
+    star = settle(buckets.filter("row <> hub").select("hub", "row").distinct(), "star", heavy=True)
+    discard(buckets)
     compare(star.groupBy("row").agg(F.min("hub").alias("hub")))
     compare(labelled(labelled(star, "row", "of_row"), "hub", "of_hub").filter("of_row <> of_hub"))
     members = labelled(star, "row", "component")
@@ -270,11 +273,12 @@ def _by_differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     # D for the largest partner that could be similar
     most = F.floor(F.col("n") * (100 + percent) * (100 - percent) / (percent * (100 + percent))).cast("int") + 1
     apart = both.select("hub", "row", "component", most.alias("most"), F.explode(F.concat(F.array_except("mine", "its"), F.array_except("its", "mine"))).alias("element"))
-    apart = settle(apart, "differences")
+    apart = settle(apart, "differences", heavy=True)
     counts = apart.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
     rare_first = F.row_number().over(Window.partitionBy("hub", "row").orderBy("often", "element"))
     first = apart.join(counts, ["hub", "element"]).withColumn("place", rare_first).filter("place <= most + 1 AND low < high")
-    first = settle(first.select("hub", "element", "row", "component"), "prefixes")
+    first = settle(first.select("hub", "element", "row", "component"), "prefixes", heavy=True)
+    discard(apart)
     other = first.select("hub", "element", F.col("row").alias("other"), F.col("component").alias("of_other"))
     pairs = first.join(other, ["hub", "element"]).filter("row < other AND component <> of_other")
     return pairs.select(F.col("row").alias("hub"), F.col("other").alias("row")).distinct()
