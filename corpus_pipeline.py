@@ -1,7 +1,8 @@
 """A corpus run: toxicity, exact dedup, near duplicates, mixing, encoding.
 
 Every stage works on all that its predecessor kept. Stages but the last return the columns of
-documents; each one's result is written as Parquet and read again as the next one's documents.
+documents; each one's result is written as Parquet and read again as the next one's documents. A
+stage starts by releasing what earlier operators have settled: their results are written by then.
 """
 
 from __future__ import annotations
@@ -13,17 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import exact_dedup, jaccard_join, sentencepiece_codec, source_mixing, toxicity
-from strandloom.llm.common import settle, shared_dir, small, table
+from strandloom.llm.common import release, settle, shared_dir, small, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays below the threshold."""
+    release(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).filter(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text: the one with the largest id."""
+    release(spark)
     return exact_dedup.deduplicate(docs).select(*docs.columns)
 
 
@@ -32,18 +35,25 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Shingles have five words and similarity is 0.8 or more, as in all stages on near duplicates.
     """
-    found = settle(jaccard_join.similar_components(docs, shingle=5, percent=80), "near_copies")
+    release(spark)
+    columns, key = docs.columns, "doc_id"
+    ids = docs.groupBy("doc_id").count()
+    if not ids.filter("count > 1 OR doc_id IS NULL").isEmpty():  # ids don't tell rows apart: number the rows
+        docs, key = settle(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered"), "__row"
+    found = settle(jaccard_join.similar_components(docs, shingle=5, percent=80, id_column=key), "near_copies")
     gone = small(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), jaccard_join.MOST_BROADCAST)
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti").select(*docs.columns)
+    return docs.join(gone, docs[key] == F.col("__gone"), "left_anti").select(*columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    release(spark)
     return source_mixing.mix(docs).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids."""
+    release(spark)
     encoded = sentencepiece_codec.encode(docs, keep=[c for c in docs.columns if c != "text"])
     return encoded.withColumn("n_tokens", F.coalesce(F.size("ids"), F.lit(0)))
 
