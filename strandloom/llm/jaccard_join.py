@@ -272,13 +272,17 @@ def _by_differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     both = members.join(mine, "row").join(its, "hub")
     # D for the largest partner that could be similar
     most = F.floor(F.col("n") * (100 + percent) * (100 - percent) / (percent * (100 + percent))).cast("int") + 1
-    apart = both.select("hub", "row", "component", most.alias("most"), F.explode(F.concat(F.array_except("mine", "its"), F.array_except("its", "mine"))).alias("element"))
+    apart = both.select("hub", "row", "component", "n", most.alias("most"), F.explode(F.concat(F.array_except("mine", "its"), F.array_except("its", "mine"))).alias("element"))
     apart = settle(apart, "differences", heavy=True)
     counts = apart.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
-    rare_first = F.row_number().over(Window.partitionBy("hub", "row").orderBy("often", "element"))
-    first = apart.join(counts, ["hub", "element"]).withColumn("place", rare_first).filter("place <= most + 1 AND low < high")
-    first = settle(first.select("hub", "element", "row", "component"), "prefixes", heavy=True)
+    own = Window.partitionBy("hub", "row")
+    ranked = apart.join(counts, ["hub", "element"]).withColumn("place", F.row_number().over(own.orderBy("often", "element"))).withColumn("size", F.count(F.lit(1)).over(own))
+    first = settle(ranked.filter("place <= most + 1 AND low < high").select("hub", "element", "row", "component", "n", "place", "size"), "prefixes", heavy=True)
     discard(apart)
-    other = first.select("hub", "element", F.col("row").alias("other"), F.col("component").alias("of_other"))
-    pairs = first.join(other, ["hub", "element"]).filter("row < other AND component <> of_other")
+    other = first.select("hub", "element", *[F.col(c).alias(f"{c}2") for c in ("row", "component", "n", "place", "size")])
+    # with sizes known, what two have in common at least leaves each only so long a beginning
+    differ = F.floor((F.col("n") + F.col("n2")) * (100 - percent) / (100 + percent))
+    common = F.ceil((F.col("size") + F.col("size2") - differ) / 2)
+    near = (F.col("place") <= F.col("size") - common + 1) & (F.col("place2") <= F.col("size2") - common + 1)
+    pairs = first.join(other, ["hub", "element"]).filter((F.col("row") < F.col("row2")) & (F.col("component") != F.col("component2")) & near).withColumnRenamed("row2", "other")
     return pairs.select(F.col("row").alias("hub"), F.col("other").alias("row")).distinct()
