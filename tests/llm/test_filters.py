@@ -157,6 +157,18 @@ def test_quality_divergence(spark):
     assert all(got[i] for i in range(60)) and not got[100] and not got[101]
 
 
+def test_quality_drops_texts_without_common_words(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    line = lambda words: ". ".join(" ".join(rng.choice(words)() for _ in range(12)).capitalize() for _ in range(10))
+    # one in six words is common, as in the given documents; the junk has the classes of clean text
+    common = [lambda w=w: w for w in ("the", "of", "and", "to", "in")]
+    rows = [(i, line(common + [word] * 26), "en") for i in range(60)] + [(100 + i, line([word]), "en") for i in range(3)]
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i in range(60))
+    assert all(got[i].class_distance < Q.MOST_CLASSES and got[i].common_distance < 0.31 and not got[i].kept for i in range(100, 103))
+
+
 # -- mixing
 
 
