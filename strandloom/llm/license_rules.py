@@ -12,6 +12,8 @@ licence has to use one of a few) skip the search.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,7 @@ SENTENCES = {
     "cc-by-long": "this work is licensed under a creative commons attribution 4 0 international license",
     "cc0": "licensed under cc0 1 0",
     "all-rights": "copyright all rights reserved",
+    "all-rights-line": "all rights reserved",
 }
 # Licences by ordered sentences; the first rule that matches gives the main licence.
 RULES = (
@@ -70,9 +73,10 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-long",)),
     ("CC0-1.0", ("cc0",)),
     ("all-rights-reserved", ("all-rights",)),
+    ("all-rights-reserved", ("all-rights-line",)),
 )
 #: Words of which every known sentence has one, and known sentences that may stand between two of a rule.
-ANCHORS = ("licens", "copyright", "warrant", "permission", "redistribut")
+ANCHORS = ("licens", "copyright", "warrant", "permission", "redistribut", "reserved")
 MOST_BETWEEN = 2
 
 
@@ -99,11 +103,12 @@ def identifiers(text: Column, sentences: dict[str, str], wrapped: bool) -> Colum
     return F.filter(F.transform(bare, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
 
 
-def matched(sequence: Column, rules) -> Column:
-    """Licences whose rule the sequence of identifiers holds, each once, in the rules' order."""
-    line = F.concat(F.lit(" "), F.array_join(sequence, " "), F.lit(" "))
+def matched(sequences: list[Column], rules) -> Column:
+    """Licences whose rule one of the sequences of identifiers holds, each once, in the rules' order."""
+    lines = [F.concat(F.lit(" "), F.array_join(s, " "), F.lit(" ")) for s in sequences]
     between = rf"(?:\S+ ){{0,{MOST_BETWEEN}}}"
-    found = [F.when(F.rlike(line, F.lit(" " + f" {between}".join(re.escape(i) for i in ids) + " ")), F.lit(licence)) for licence, ids in rules]
+    holds = lambda ids: reduce(or_, [F.rlike(line, F.lit(" " + f" {between}".join(re.escape(i) for i in ids) + " ")) for line in lines])
+    found = [F.when(holds(ids), F.lit(licence)) for licence, ids in rules]
     return F.array_distinct(F.array_compact(F.array(*found)))
 
 
@@ -122,5 +127,5 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", sentenc
     read = docs.select(F.col(id_column).alias("doc_id"), F.when(hinted, value).alias("__text"))
     read = read.withColumn("by_line", F.coalesce(identifiers(F.col("__text"), sentences, False), none)).withColumn("wrapped", F.coalesce(identifiers(F.col("__text"), sentences, True), none))
     kept = read.select("doc_id", F.when(F.size("wrapped") > F.size("by_line"), F.col("wrapped")).otherwise(F.col("by_line")).alias("sentence_ids"), "by_line", "wrapped")
-    both = kept.withColumn("licenses", F.when((F.size("by_line") == 0) & (F.size("wrapped") == 0), none).otherwise(F.array_union(matched(F.col("by_line"), rules), matched(F.col("wrapped"), rules))))
+    both = kept.withColumn("licenses", F.when((F.size("by_line") == 0) & (F.size("wrapped") == 0), none).otherwise(matched([F.col("by_line"), F.col("wrapped")], rules)))
     return both.select("doc_id", "sentence_ids", "licenses", F.get("licenses", F.lit(0)).alias("license"))

@@ -251,3 +251,11 @@ def test_sentences_out_of_order_are_no_licence(spark):
     texts = ["license one. license two.", "license two. license one.", "license one. license three. license three. license two.", "license one. license three. license three. license three. license two."]
     got = [r.license for r in L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sentences=known, rules=rules).orderBy("doc_id").collect()]
     assert got == ["AB", None, "AB", None]
+
+
+def test_all_rights_reserved(spark):
+    bsd = "Copyright (c) 2020, A. Name\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+    texts = ["word\nAll rights reserved.\nword", "Copyright (c) 2020 A Name. All Rights\nReserved.", "All rights reserved to the owner.", "All rights reserved.\nReleased under the MIT License.", bsd]
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].license for i in range(5)] == ["all-rights-reserved", "all-rights-reserved", None, "MIT", "BSD-2-Clause"]
+    assert got[3].licenses == ["MIT", "all-rights-reserved"] and got[4].licenses == ["BSD-2-Clause", "all-rights-reserved"]
