@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-# Known sentences of public licences, normalised, by identifier.
+# Known sentences of public licences, normalised, by identifier. Where a notice has a ":" or
+# ";" before white space, its sentence stands here in the parts that sentences_of cuts it into.
 SENTENCES = {
     "apache-notice": "licensed under the apache license version 2 0",
     "apache-grant": "licensed under the apache license version 2 0 the license",
@@ -29,6 +30,9 @@ SENTENCES = {
     "apache-asis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache-see": "see the license for the specific language governing permissions and limitations under the license",
     "apache-spdx": "spdx license identifier apache 2 0",
+    "spdx": "spdx license identifier",
+    "spdx-apache": "apache 2 0",
+    "spdx-mit": "mit",
     "mit-notice": "released under the mit license",
     "mit-notice2": "licensed under the mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
@@ -42,7 +46,15 @@ SENTENCES = {
     "gpl3-notice": "this work is licensed under the gnu general public license version 3",
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-free2": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl-program": "this program is free software",
+    "gpl-modify": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl-later3": "either version 3 of the license or at your option any later version",
+    "gpl-later2": "either version 2 of the license or at your option any later version",
+    "gpl-modify3": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl-modify2": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-see": "see the gnu general public license for more details",
     "cc-by-nc-4": "licensed under cc by nc 4 0",
     "cc-by-4": "licensed under cc by 4 0",
@@ -52,21 +64,28 @@ SENTENCES = {
     "all-rights": "copyright all rights reserved",
     "all-rights-line": "all rights reserved",
 }
+# The parts into which the GPL's grant and disclaimer are cut, with ":", ";" or "," between them.
+_GRANTS = {
+    "GPL-3.0-or-later": (("gpl-free",), ("gpl-program", "gpl-modify3"), ("gpl-program", "gpl-modify", "gpl-later3")),
+    "GPL-2.0-or-later": (("gpl-free2",), ("gpl-program", "gpl-modify2"), ("gpl-program", "gpl-modify", "gpl-later2")),
+}
+_DISCLAIMERS = (("gpl-hope",), ("gpl-warranty", "gpl-implied"))
 # Licences by ordered sentences; the first rule that matches gives the main licence.
 RULES = (
     ("Apache-2.0", ("apache-grant", "apache-use", "apache-copy", "apache-asis")),
     ("MIT", ("mit-grant", "mit-keep", "mit-asis")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
-    ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-see")),
-    ("GPL-2.0-or-later", ("gpl-free2", "gpl-hope", "gpl-see")),
+    *((licence, (*grant, *disclaimer, "gpl-see")) for licence, grants in _GRANTS.items() for grant in grants for disclaimer in _DISCLAIMERS),
     ("GPL-3.0", ("gpl3-notice",)),
     ("Apache-2.0", ("apache-notice",)),
     ("Apache-2.0", ("apache-grant",)),
     ("Apache-2.0", ("apache-spdx",)),
+    ("Apache-2.0", ("spdx", "spdx-apache")),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-notice2",)),
     ("MIT", ("mit-spdx",)),
+    ("MIT", ("spdx", "spdx-mit")),
     ("CC-BY-NC-4.0", ("cc-by-nc-4",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4",)),
     ("CC-BY-4.0", ("cc-by-4",)),
@@ -76,7 +95,7 @@ RULES = (
     ("all-rights-reserved", ("all-rights-line",)),
 )
 #: Words of which every known sentence has one, and known sentences that may stand between two of a rule.
-ANCHORS = ("licens", "copyright", "warrant", "permission", "redistribut", "reserved")
+ANCHORS = ("licens", "copyright", "warrant", "permission", "redistribut", "reserved", "software", "version", "apache", "mit")
 MOST_BETWEEN = 2
 
 

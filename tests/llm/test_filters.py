@@ -259,3 +259,14 @@ def test_all_rights_reserved(spark):
     got = {r.doc_id: r for r in L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i].license for i in range(5)] == ["all-rights-reserved", "all-rights-reserved", None, "MIT", "BSD-2-Clause"]
     assert got[3].licenses == ["MIT", "all-rights-reserved"] and got[4].licenses == ["BSD-2-Clause", "all-rights-reserved"]
+
+
+def test_notices_with_colons_and_semicolons(spark):
+    gpl3 = "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.\n\n    This program is distributed in the hope that it will be useful,\n    but WITHOUT ANY WARRANTY; without even the implied warranty of\n    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n    GNU General Public License for more details.\n"
+    gpl2 = gpl3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+    hashed = "\n".join("# " + x.strip() for x in gpl3.split("\n"))
+    texts = [gpl3, gpl2, hashed, " ".join(gpl2.split()), gpl2.replace("Foundation;", "Foundation,"), "# SPDX-License-Identifier: MIT\nimport x", "// SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier:MIT", "kommt mit.\nmit\nApache 2.0", "SPDX-License-Identifier: Zlib"]
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].license for i in range(10)] == ["GPL-3.0-or-later", "GPL-2.0-or-later", "GPL-3.0-or-later", "GPL-2.0-or-later", "GPL-2.0-or-later", "MIT", "Apache-2.0", "MIT", None, None]
+    assert got[0].licenses == ["GPL-3.0-or-later"] and got[1].licenses == ["GPL-2.0-or-later"]
+    assert got[1].sentence_ids == ["gpl-program", "gpl-modify", "gpl-later2", "gpl-warranty", "gpl-implied", "gpl-see"]
