@@ -10,7 +10,8 @@ Given names aren't free-form: one of a listed name's gender and script takes its
 rotation of that list. ``collisions`` counts, over a whole table, surrogates that stand for more than
 one value; it is empty by construction and is there to be checked.
 
-All of it is built-in expressions. Documents without a digit, an "@" or a title skip the search.
+All of it is built-in expressions. Documents without a digit, an "@", a title or a word
+that announces a secret skip the search.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ KINDS = (
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 #: What a text must have for the search to find anything.
-HINT = r"[0-9@]|\b(?:" + "|".join(_ALL_TITLES) + r")\b"
+HINT = r"[0-9@]|(?i:token|secret|passw|api_?key|access_key)|\b(?:" + "|".join(_ALL_TITLES) + r")\b"
 
 
 def _chars(text: Column) -> Column:

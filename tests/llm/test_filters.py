@@ -232,6 +232,15 @@ def test_surrogates_are_distinct_and_never_the_original(spark):
     assert replaced.select(F.explode("entities").alias("e")).filter("e.original = e.surrogate").count() == 0
 
 
+def test_each_kind_alone_in_a_text(spark):
+    secrets = [f"{w}{mark}correcthorsebatterystaple" for w in ("token", "Secret", "password", "PASSWD", "api_key", "apikey", "access_key") for mark in (" = ", "=", ': "')]
+    rest = [("email", "foo@corp.org"), ("ip", "10.0.0.255"), ("iban", "DE89 3704 0044 0532 0130 00"), ("card", "4556 7375 8689 9855"), ("ssn", "123-45-6789"), ("phone", "+1 743-555-3824")]
+    rows = [("secret", t) for t in secrets] + rest + [("name", f"{t} Anna Schmidt") for own in P.TITLES.values() for t in own]
+    got = P.replace(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[e.kind for e in r.entities] for r in got] == [[k] for k, _ in rows]
+    assert all(r.entities[0].original not in r.text for r in got)
+
+
 # -- licences
 
 
