@@ -21,7 +21,7 @@ WINDOW = 8
 #: Base rules: fewest words, and the largest share (percent) of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 20, 30
 #: Documents of fewer words aren't judged by their histograms.
-LEAST_JUDGED = 80
+LEAST_JUDGED = 40
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) of character classes and of common words. The
 #: second lies below the distance of a text without common words, 0.27 to 0.29 in the four languages.
 MOST_CLASSES, MOST_COMMON = 0.25, 0.24

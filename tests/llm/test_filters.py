@@ -169,6 +169,17 @@ def test_quality_drops_texts_without_common_words(spark):
     assert all(got[i].class_distance < Q.MOST_CLASSES and got[i].common_distance < 0.31 and not got[i].kept for i in range(100, 103))
 
 
+def test_quality_judges_texts_of_fifty_words(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    common = [lambda w=w: w for w in ("the", "of", "and", "to", "in")]
+    line = lambda words, n: " ".join(rng.choice(words)() for _ in range(n))
+    rows = [(i, line(common + [word] * 26, 400), "en") for i in range(40)]
+    rows += [(100, line([word], 50), "en"), (101, line([lambda: word() + "#$%"], 50), "en"), (102, line([word], 39), "en"), (103, " ".join(["the of and to in", *[line([word], 9) for _ in range(5)]]), "en")]
+    got = {r.doc_id: r.kept for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] for i in range(40)) and not got[100] and not got[101] and got[102] and got[103]
+
+
 # -- mixing
 
 
