@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
-
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,56 +45,115 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
+    """The folder that driver and executors share: the one named in spark.checkpoint.dir, else the
+    one given to ``setCheckpointDir``.
+
+    Where neither is set, a local master (one machine, as in tests) takes the warehouse; a cluster
+    gets an error, since no folder is then known to be shared.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir")
+    return named.rstrip("/") + "/settled"
+
 
-    Where that is unset (tests) the warehouse is used, which is shared as well.
+#: Removes a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@dataclass
+class Scratch:
+    """Owner of the tables that are settled in a ``with scratch()`` block, removed at its end.
+
+    A table that outlives the block is made by ``keep``: it belongs to the enclosing block, if any.
+    Tables settled outside of all blocks stay until the driver ends.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/settled"
 
+    outer: Scratch | None
+    tables: list[DataFrame] = field(default_factory=list)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table of the enclosing block."""
+        token = _scratch.set(self.outer)
+        try:
+            return settle(df, name)
+        finally:
+            _scratch.reset(token)
 
-#: Settled tables of this driver that weren't discarded yet.
-_settled: dict[str, object] = {}
 
+_scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
-def settle(df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """A block that owns what is settled in it."""
+    own = Scratch(_scratch.get())
+    token = _scratch.set(own)
+    try:
+        yield own
+    finally:
+        _scratch.reset(token)
+        for df in own.tables:
+            discard(df)
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts its lineage.
 
-    Lost executors then cost the running stage only. ``heavy`` says that df shuffled much: the driver's
-    JVM is then asked to look for plans that nobody holds, whose shuffle files Spark removes. The
-    table goes when it is discarded or released, at the latest when the driver's JVM ends.
+    Lost executors then cost the running stage only, and the shuffle files behind df go at once. The
+    table goes when it is discarded, with the ``scratch`` block that owns it, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    at, files = _file_system(spark, path)
+    files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
-    _settled[path] = at
-    if heavy:
-        gc.collect()
-        jvm.System.gc()
+    if (own := _scratch.get()) is not None:
+        own.tables.append(out)
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Remove a settled table that no later step reads."""
-    _remove(df.sparkSession, [df.settled_at])
+    remove(df.sparkSession, df.settled_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder, if it is there."""
+    at, files = _file_system(spark, path)
+    files.delete(at, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def release(spark: SparkSession) -> None:
-    """Remove all settled tables. For the start of a step whose input is a table of its own, when
-    the results of earlier operators have been written."""
-    _remove(spark, list(_settled))
+#: Rows and bytes of text that a Python worker unpacks at once; a longer text comes alone.
+PIECE_ROWS, PIECE_BYTES = 512, 1 << 22
 
 
-def _remove(spark: SparkSession, paths: list[str]) -> None:
-    for path in paths:
-        at = _settled.pop(path, None)
-        if at is not None:
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def pieces(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of batches of bounded size, each with the texts of its rows."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            most = (ends[at - 1] if at else 0) + PIECE_BYTES
+            stop = max(at + 1, min(at + PIECE_ROWS, int(np.searchsorted(ends, most, side="right"))))
+            part = batch.slice(at, stop - at)
+            yield part, part.column(text).to_pylist()
+            at = stop
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, settle, small, text_of
+from .common import ascii_lower, scratch, settle, small, text_of
 
 #: Digests above this share of the rows are certain to be split off; at most 1/SUPPORT are.
 SUPPORT = 0.001
@@ -27,10 +27,11 @@ def digest_of(text: str = "text") -> Column:
     return F.unhex(F.sha2(ascii_lower(text_of(text)), 256))
 
 
-def digests(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, row, digest), settled, so that row tells repeated rows apart for good."""
-    rows = docs.select(F.col(id_column), F.monotonically_increasing_id().alias("row"), digest_of(text).alias("digest"))
-    return settle(rows, "digests")
+def digests(docs: DataFrame, id_column: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """(id, row, digest), settled, so that row (the column of that name, else a number) tells repeated
+    rows apart for good."""
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    return settle(docs.select(F.col(id_column), number.alias("row"), digest_of(text).alias("digest")), "digests")
 
 
 def frequent_winners(rows: DataFrame, id_column: str = "doc_id", support: float = SUPPORT) -> DataFrame:
@@ -43,14 +44,14 @@ def frequent_winners(rows: DataFrame, id_column: str = "doc_id", support: float
     )
 
 
-def resolve(docs: DataFrame, id_column: str = "doc_id", text: str = "text", support: float = SUPPORT) -> DataFrame:
-    """(id, keep_id, group_size, kept, digest) for each row of docs.
+def resolve(docs: DataFrame, id_column: str = "doc_id", text: str = "text", support: float = SUPPORT, row: str | None = None) -> DataFrame:
+    """(id, row, keep_id, group_size, kept, digest) for each row of docs.
 
-    Of rows with equal texts the one with the largest id stays, and just one of rows that repeat
-    both; null ids lose against any other. An empty table gives an empty one. Columns other than id
+    Of rows with equal texts the one with the largest id stays, and of rows that repeat both the one
+    with the largest row number (the column named by ``row``, if given); null ids lose against any other. An empty table gives an empty one. Columns other than id
     and text, whatever their names, play no part.
     """
-    rows = digests(docs, id_column, text)
+    rows = digests(docs, id_column, text, row)
     winners = F.broadcast(settle(frequent_winners(rows, id_column, support), "winners"))
     settled = rows.join(winners, "digest")
     same = Window.partitionBy("digest")
@@ -62,6 +63,7 @@ def resolve(docs: DataFrame, id_column: str = "doc_id", text: str = "text", supp
     columns = ["digest", id_column, "row", "winner", "group_size"]
     return settled.select(*columns).unionByName(others.select(*columns)).select(
         id_column,
+        "row",
         F.col("winner")[id_column].alias("keep_id"),
         "group_size",
         (F.col("winner.row") == F.col("row")).alias("kept"),
@@ -71,12 +73,13 @@ def resolve(docs: DataFrame, id_column: str = "doc_id", text: str = "text", supp
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of docs that stay, with all their columns: exactly one for each distinct text."""
-    answer = settle(resolve(docs, id_column, text, support), "resolved")
+    with scratch() as own:
+        answer = own.keep(resolve(docs, id_column, text, support), "resolved")
     if answer.groupBy(id_column).count().filter("count > 1").isEmpty():
         gone = small(answer.filter("NOT kept").select(F.col(id_column).alias("__gone")), MOST_BROADCAST)
         return docs.join(gone, F.col(id_column).eqNullSafe(F.col("__gone")), "left_anti")
-    # ids repeat: what goes is told by id and digest, and one of the rows that repeat both stays
-    own = docs.withColumn("__digest", digest_of(text))
-    stay = answer.filter("kept").select(F.col(id_column).alias("__id"), F.col("digest").alias("__kept"))
-    kept = own.join(stay, own[id_column].eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")), "left_semi")
-    return kept.dropDuplicates([id_column, "__digest"]).drop("__digest")
+    # ids repeat: rows are told apart by a number that is written with them
+    numbered = settle(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    with scratch() as own:
+        answer = own.keep(resolve(numbered, id_column, text, support, "__row").filter("NOT kept").select(F.col("row").alias("__gone")), "resolved")
+    return numbered.join(small(answer, MOST_BROADCAST), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")

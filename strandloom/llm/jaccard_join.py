@@ -1,18 +1,23 @@
 """N-gram Jaccard join by parity sketches.
 
-A document is the set of hashes of its distinct word shingles. A sketch has k blocks; each element
-is dealt to one block by a hash and XORed into it, so two sketches differ in at most as many blocks
-as their sets have elements in which they differ; that Hamming distance over blocks is a lower bound
-of the symmetric difference. Sets of at most M elements with a similarity of t or more differ in at
-most D = 2 M (1 - t) / (1 + t) elements, so with k = D + 1 blocks at least one block is equal in
-both (pigeonhole). Sketches are made per size band; a band takes the sizes between its borders and those
-that can be similar to them, so any two similar sets share a band.
-
-Documents with equal sets are one node from the start. Equal blocks bring nodes together in buckets;
-candidates are verified on the exact sets. In each bucket nodes are compared with its smallest node;
-those that aren't in its component are compared with one another only if they share rare differences
-from it, which two similar sets must. No link is lost, and a group of thousands of near copies takes
-about as many comparisons as it has members, not its square.
+A document is the set of hashes of its distinct word shingles. Sketches are made of it by XOR, so what
+two sets have in common cancels out and only the elements in which they differ count:
+
+* a block sketch per size band deals each element to one of k blocks and XORs it into that block. Two sets
+  that differ in at most D elements differ in at most D blocks, so with k = D + 1 + s blocks at
+  least s + 1 are equal in both (pigeonhole). Nodes meet in buckets of equal blocks. Each node may
+  leave out its s most frequent blocks: with all blocks in one order, the rarest of the s + 1 that two
+  similar sets share is left out by neither. What strangers share (a passage, a common line) are few
+  and frequent blocks, so most strangers meet nowhere;
+* a bit sketch flips one bit for each element. The Hamming distance of two bit sketches is at most the
+  number of elements in which the sets differ, so pairs above the bound are no links, and only the
+  others are verified on the exact sets.
+
+A band takes the sizes between its borders and those that can be similar to them, so any two similar
+sets share a band. Documents with equal sets are one node from the start. In each bucket nodes are
+compared with its smallest node; those that aren't in its component are compared with one another only
+if they share rare differences from it, which two similar sets must. No link is lost, and a group of
+thousands of near copies takes about as many comparisons as it has members, not its square.
 """
 
 from __future__ import annotations
@@ -23,14 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, settle, small
+from .common import Scratch, discard, pieces, scratch, settle, small
 from .graph import components
 
 #: Ratio between the borders of size bands.
 BAND = 1.25
+#: Share of a sketch's blocks, above those that may be empty, that a set leaves out.
+SPARE = 0.1
 #: How often a sketch is refined under an empty block, which by itself would bring strangers together.
 LEVELS = 4
 #: Ids are broadcast up to this number; beyond it they are joined by a shuffle.
@@ -79,20 +86,22 @@ class Bands:
     def border(self, band: int) -> int:
         return round(self.least * BAND**band)
 
-    def differing(self, most: int) -> int:
-        """Most elements in which two sets of at most so many can differ."""
-        return (2 * most * (100 - self.percent)) // (100 + self.percent)
+    def most(self, band: int) -> int:
+        """Largest set of a band: one that can be similar to the largest below the border."""
+        return (self.border(band + 1) - 1) * 100 // self.percent
 
-    def blocks(self, most: int) -> tuple[int, int]:
-        """Blocks of the sketches of sets of at most so many elements, and how many may be empty.
+    def blocks(self, band: int) -> tuple[int, int]:
+        """Blocks of the sketches of a band, and how many of them each set leaves out.
 
-        With D + 1 + s blocks at least 1 + s are equal, so a set that leaves no more than s of them
-        empty has an equal block with elements and needs no signature for the empty ones.
+        The latter are enough for the blocks that stay empty (which are the most frequent of all and go
+        first), and for a tenth of the blocks besides.
         """
-        least = self.differing(most) + 1
-        empty = least * math.exp(-most * self.similarity / BAND / least)
-        spare = math.ceil(1.2 * empty + 4 * math.sqrt(empty)) if least >= 16 else 0
-        return least + spare, spare
+        smaller = self.border(band + 1) - 1
+        least = (smaller + self.most(band)) * (100 - self.percent) // (100 + self.percent) + 1
+        if least == 1:
+            return 1, 0
+        empty = least * math.exp(-self.border(band) / (1.2 * least))
+        return least + (spare := math.ceil(1.2 * empty + 2 * math.sqrt(empty) + SPARE * least)), spare
 
     def shapes(self, n: int) -> list[tuple[int, tuple[int, int]]]:
         """(band, its blocks) of the bands that a set of n elements takes part in.
@@ -105,13 +114,14 @@ class Bands:
         band = 0
         while self.border(band + 1) <= n:
             band += 1
-        most = lambda b: (self.border(b + 1) - 1) * 100 // self.percent
-        return [(b, self.blocks(most(b))) for b in range(band, -1, -1) if n <= most(b)]
+        return [(b, self.blocks(b)) for b in range(band, -1, -1) if n <= self.most(b)]
 
 
-def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
-    """A 64-bit signature for each block of the sketches of a set."""
-    out: list[np.ndarray] = []
+def signatures(elements: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray]]:
+    """For each sketch of a set, how many of its most frequent signatures may be left out, and a 64-bit
+    signature for each block. Empty blocks have none; where more of them are empty than may be left
+    out, each is told apart by a sketch of the whole set under its name."""
+    out: list[tuple[int, np.ndarray]] = []
 
     def sketch(shape: int, blocks: int, spare: int, tag: int, level: int) -> None:
         block = (_mixed(elements, 11 + 7 * level + 131 * shape) % np.uint64(blocks)).astype(np.int64)
@@ -122,17 +132,35 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
         filled = dealt[starts]
         key = np.uint64(tag) + filled.astype(np.uint64) + np.uint64(shape << 40)
         with np.errstate(over="ignore"):
-            out.append(_mixed(_mixed(key, 3 + level) ^ sums, 5))
+            out.append((max(0, spare - blocks + len(filled)), _mixed(_mixed(key, 3 + level) ^ sums, 5)))
         for empty in set(range(blocks)).difference(filled.tolist()) if len(filled) < blocks - spare else ():
             under = int(_mixed(np.array([tag + empty + (shape << 40)], np.uint64), 77 + level)[0]) >> 8
             if level + 1 < LEVELS:
                 sketch(shape, blocks, spare, under, level + 1)
             else:
-                out.append(_mixed(np.array([under], np.uint64), 6))
+                out.append((0, _mixed(np.array([under], np.uint64), 6)))
 
     for shape, (blocks, spare) in bands.shapes(len(elements)):
         sketch(shape, blocks, spare, 0, 0)
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+    return out
+
+
+def parity_bits(elements: np.ndarray) -> np.ndarray:
+    """The bit sketch of a set as 64-bit words: as many bits as a power of two not below its size.
+
+    Halves of a sketch XORed are the sketch of half as many bits, so any two can be compared.
+    """
+    bits = max(64, 1 << (max(1, len(elements)) - 1).bit_length())
+    place = (_mixed(elements, 31) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def hamming(one: Column, two: Column) -> Column:
+    """Hamming distance of two bit sketches of which one has at most twice the words of the other."""
+    words = F.least(F.size(one), F.size(two))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    folded = lambda x: F.when(F.size(x) > words, F.zip_with(F.slice(x, 1, words), F.slice(x, words + 1, words), xor)).otherwise(x)
+    return F.aggregate(F.zip_with(folded(one), folded(two), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda total, n: total + n)
 
 
 def _set_hash(elements: np.ndarray) -> tuple[int, int]:
@@ -147,31 +175,54 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64), pa.int64()))
 
 
-def _documents(docs: DataFrame, size: int, bands: Bands | None) -> DataFrame:
-    """(doc_id, n, fa, fb, items): items are the signatures, or the set itself without bands."""
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """(row, n, items): the shingle sets of (row, fa, fb, text) whose hashes are fa and fb."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in pieces(batches, "text"):
+            own = zip(rows.column("row").to_pylist(), rows.column("fa").to_pylist(), rows.column("fb").to_pylist(), (shingle_set(x, size) for x in texts))
+            found = [(row, items) for row, fa, fb, items in own if _set_hash(items) == (fa, fb)]
+            yield pa.RecordBatch.from_arrays([pa.array([row for row, _ in found], pa.int64()), pa.array([len(x) for _, x in found], pa.int64()), _lists([x for _, x in found])], names=["row", "n", "items"])
+
+    return docs.select("row", "fa", "fb", "text").mapInArrow(run, "row long, n long, items array<long>")
+
+
+def _sketches(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """(doc_id, n, fa, fb, bits, spares, sketches): two hashes of the set, its bit sketch, and its block
+    sketches with what each may leave out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                sets = [shingle_set(x, size) for x in batch.column("text").to_pylist()]
-                hashes = np.array([_set_hash(s) for s in sets], np.int64).reshape(-1, 2)
-                items = [signatures(s, bands) for s in sets] if bands else sets
-                columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), _lists(items)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "fa", "fb", "items"])
+        for rows, texts in pieces(batches, "text"):
+            sets = [shingle_set(x, size) for x in texts]
+            hashes = np.array([_set_hash(s) for s in sets], np.int64).reshape(-1, 2)
+            made = [signatures(s, bands) for s in sets]
+            offsets = np.cumsum([0] + [len(m) for m in made], dtype=np.int32)
+            columns = [
+                rows.column("doc_id"),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(hashes[:, 0]),
+                pa.array(hashes[:, 1]),
+                _lists([parity_bits(s) for s in sets]),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array([spare for m in made for spare, _ in m], pa.int32())),
+                pa.ListArray.from_arrays(pa.array(offsets), _lists([x for m in made for _, x in m])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "fa", "fb", "bits", "spares", "sketches"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, fa long, fb long, items array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, fa long, fb long, bits array<long>, spares array<int>, sketches array<array<long>>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with linked: whether their sets are similar."""
-    one = sets.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
-    two = sets.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    both = F.size(F.array_intersect("ia", "ib")).cast("long")
-    alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    joined = pairs.join(one, "a").join(two, "b")
-    return joined.select("a", "b", F.when(alike, 100 * both >= percent * (F.col("na") + F.col("nb") - both)).otherwise(False).alias("linked"))
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose sets are similar. Sizes and the Hamming distance of the bit sketches
+    bound what two sets can have in common; the sets of the pairs within both bounds are compared."""
+    side = lambda df, row, *columns: df.select(F.col("row").alias(row), *[F.col(c).alias(c + row) for c in columns])
+    near = pairs.join(side(nodes, "a", "n", "bits"), "a").join(side(nodes, "b", "n", "bits"), "b")
+    near = near.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    near = near.filter((100 + percent) * hamming(F.col("bitsa"), F.col("bitsb")) <= (100 - percent) * (F.col("na") + F.col("nb")))
+    near = settle(near.select("a", "b"), "near")
+    both = F.size(F.array_intersect("itemsa", "itemsb")).cast("long")
+    compared = near.join(side(sets, "a", "n", "items"), "a").join(side(sets, "b", "n", "items"), "b")
+    return compared.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
 def similar_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,44 +233,58 @@ def similar_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_
     nothing. Rows that repeat an id stay rows of their own; a null id isn't smaller than any other, and
     component_id is null only if all ids it could be are null. An empty table gives an empty one.
     """
-    bands = Bands(percent)
-    plain = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
-    nodes = settle(_documents(plain, shingle, bands).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    with scratch() as own:
+        return _components(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")), shingle, percent, own)
+
+
+def _components(plain: DataFrame, shingle: int, percent: int, own: Scratch) -> DataFrame:
+    nodes = settle(_sketches(plain, shingle, Bands(percent)).withColumn("row", F.monotonically_increasing_id()), "sketches")
 
     # rows with equal sets are one node, named by its smallest row
     groups = nodes.filter("n > 0").groupBy("fa", "fb", "n").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"))
     groups = settle(groups.filter("copies > 1").select("fa", "fb", "n", "first"), "equal_sets")
     named = nodes.join(small(groups, MOST_BROADCAST), ["fa", "fb", "n"], "left").withColumn("node", F.coalesce("first", "row"))
-
-    # buckets of more than one node; the sketches aren't needed after them
-    same = Window.partitionBy("signature")
-    dealt = named.filter("node = row").select("row", F.explode("items").alias("signature"))
-    met = dealt.withColumn("hub", F.min("row").over(same)).withColumn("last", F.max("row").over(same)).filter("hub < last")
-    buckets = settle(met.select("signature", "row", "hub"), "buckets", heavy=True)
-    named = settle(named.select("doc_id", "n", "fa", "fb", "node", "row"), "nodes")
+    buckets = _buckets(named.filter("node = row").select("row", "spares", "sketches"))
+    named = settle(named.select("doc_id", "n", "fa", "fb", "bits", "node", "row"), "nodes")
     discard(nodes)
 
-    members = settle(buckets.select("row").distinct(), "members")
-    rows = named.join(small(members, MOST_BROADCAST), "row", "left_semi").select("row", "doc_id", "fa", "fb", "n")
-    rows = settle(rows, "rows")
-    ids = small(rows.select("doc_id").distinct(), MOST_BROADCAST)
-    wanted = plain.join(ids.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = _documents(wanted, shingle, None).drop("doc_id").join(rows.drop("doc_id"), ["fa", "fb", "n"])
-    sets = settle(sets.groupBy("row").agg(F.first("n").alias("n"), F.first("items").alias("items")), "sets", heavy=True)
+    members = settle(buckets.select("row").union(buckets.select("hub")).distinct(), "members")
+    rows = settle(named.join(small(members, MOST_BROADCAST), "row", "left_semi").select("row", "doc_id", "fa", "fb", "n", "bits"), "rows")
+    wanted = small(rows.select(F.col("doc_id").alias("__id"), "row", "fa", "fb"), MOST_BROADCAST)
+    sets = _sets(plain.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))), shingle)
+    if not named.groupBy("doc_id").count().filter("count > 1").isEmpty():  # rows that repeat an id may have equal sets
+        sets = sets.groupBy("row").agg(F.first("n").alias("n"), F.first("items").alias("items"))
+    sets = settle(sets, "sets")
 
-    linked, labels = _resolve(buckets, sets, percent)
+    linked, labels = _resolve(buckets, rows.select("row", "n", "bits"), sets, percent)
     answer = named.select("doc_id", "n", "node", "row")
     if linked:
         answer = answer.join(labels.withColumnRenamed("component", "of"), "node", "left").withColumn("node", F.coalesce("of", "node"))
-    answer = settle(answer.select("doc_id", "n", "node", "row"), "answer")
+    answer = own.keep(answer.select("doc_id", "n", "node", "row"), "answer")
     # only components of more than one row need their smallest id
     least = answer.groupBy("node").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("node", "component_id")
-    least = small(settle(least, "components"), MOST_BROADCAST)
+    least = small(own.keep(least, "components"), MOST_BROADCAST)
     found = answer.join(least.withColumn("several", F.lit(True)), "node", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("several"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _resolve(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[bool, DataFrame | None]:
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(signature, hub, row) of nodes (row, spares, sketches): each node of a bucket with the bucket's
+    smallest. Hot signatures are counted with partial sums and joined, never gathered."""
+    parts = nodes.select("row", "spares", F.posexplode("sketches").alias("part", "own"))
+    dealt = parts.select("row", "part", F.get("spares", F.col("part")).alias("spare"), F.explode("own").alias("signature"))
+    often = settle(dealt.groupBy("signature").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
+    rank = F.row_number().over(Window.partitionBy("row", "part").orderBy(F.desc("often"), "signature"))
+    met = dealt.join(small(often, MOST_BROADCAST), "signature").withColumn("rank", rank).filter("rank > spare")
+    met = settle(met.select("signature", "row"), "met")
+    hubs = settle(met.groupBy("signature").agg(F.min("row").alias("hub"), F.max("row").alias("last")).filter("hub < last").select("signature", "hub"), "hubs")
+    buckets = settle(met.join(small(hubs, MOST_BROADCAST), "signature").filter("row <> hub").select("signature", "hub", "row"), "buckets")
+    for table in (often, met, hubs):
+        discard(table)
+    return buckets
+
+
+def _resolve(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> tuple[bool, DataFrame | None]:
     """Compare nodes of buckets until every two are in one component or known not to be similar.
 
     First each node is compared with its smallest hub, then with the hub of each of its buckets. Any
@@ -233,9 +298,9 @@ def _resolve(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[bool, D
         fresh = pairs.select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct()
         if checked is not None:
             fresh = fresh.join(checked, ["a", "b"], "left_anti")
-        answer = settle(_verified(fresh, sets, percent), "verified", heavy=True)
-        found = answer.filter("linked").select("a", "b")
-        checked = answer.select("a", "b") if checked is None else checked.unionByName(answer.select("a", "b"))
+        fresh = settle(fresh, "pairs")
+        checked = fresh if checked is None else checked.unionByName(fresh)
+        found = settle(_verified(fresh, nodes, sets, percent), "linked")
         if not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
             labels = components(edges)
@@ -245,13 +310,12 @@ def _resolve(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[bool, D
             return rows.withColumn(name, F.col(node))
         return rows.join(labels.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
-    star = settle(buckets.filter("row <> hub").select("hub", "row").distinct(), "star", heavy=True)
-    discard(buckets)
+    star = settle(buckets.select("hub", "row").distinct(), "star")
     compare(star.groupBy("row").agg(F.min("hub").alias("hub")))
     compare(labelled(labelled(star, "row", "of_row"), "hub", "of_hub").filter("of_row <> of_hub"))
-    members = labelled(star, "row", "component")
-    mixed = members.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("hub")
-    rest = settle(members.join(mixed, "hub", "left_semi"), "unsettled")
+    members = labelled(buckets, "row", "component")
+    mixed = members.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("signature")
+    rest = settle(members.join(mixed, "signature", "left_semi").select("hub", "row", "component").distinct(), "unsettled")
     if not rest.isEmpty():
         compare(_by_differences(rest, sets, percent))
     return edges is not None, labels
@@ -265,24 +329,28 @@ def _by_differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     in just one of d(x) and d(y), so if at most D differ, the two have at least (|d(x)| + |d(y)| - D) / 2
     of them in common. That is at least one unless both are similar to the hub and so in one component,
     and with the elements ordered from the hub's rarest on, the first D + 1 of each have one in common.
-    Members of one hub differ from it mostly in their own ways, so few of them share a rare difference.
+    Members of one hub differ from it mostly in their own ways: elements of one member or of one
+    component are counted, not joined, and the rest are few.
     """
-    mine = sets.select("row", F.col("n").alias("n"), F.col("items").alias("mine"))
+    mine = sets.select("row", "n", F.col("items").alias("mine"))
     its = sets.select(F.col("row").alias("hub"), F.col("items").alias("its"))
     both = members.join(mine, "row").join(its, "hub")
+    differ = both.select("hub", "row", "component", "n", F.concat(F.array_except("mine", "its"), F.array_except("its", "mine")).alias("elements"))
     # D for the largest partner that could be similar
     most = F.floor(F.col("n") * (100 + percent) * (100 - percent) / (percent * (100 + percent))).cast("int") + 1
-    apart = both.select("hub", "row", "component", "n", most.alias("most"), F.explode(F.concat(F.array_except("mine", "its"), F.array_except("its", "mine"))).alias("element"))
-    apart = settle(apart, "differences", heavy=True)
+    apart = differ.select("hub", "row", "component", "n", most.alias("most"), F.size("elements").alias("size"), F.explode("elements").alias("element"))
     counts = apart.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
+    counts = settle(counts.filter("often > 1"), "shared_differences")
     own = Window.partitionBy("hub", "row")
-    ranked = apart.join(counts, ["hub", "element"]).withColumn("place", F.row_number().over(own.orderBy("often", "element"))).withColumn("size", F.count(F.lit(1)).over(own))
-    first = settle(ranked.filter("place <= most + 1 AND low < high").select("hub", "element", "row", "component", "n", "place", "size"), "prefixes", heavy=True)
-    discard(apart)
+    shared = apart.join(counts, ["hub", "element"])
+    # elements of one member alone come first
+    place = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("often", "element"))
+    first = shared.withColumn("place", place).filter("place <= most + 1 AND low < high")
+    first = settle(first.select("hub", "element", "row", "component", "n", "place", "size"), "prefixes")
     other = first.select("hub", "element", *[F.col(c).alias(f"{c}2") for c in ("row", "component", "n", "place", "size")])
     # with sizes known, what two have in common at least leaves each only so long a beginning
     differ = F.floor((F.col("n") + F.col("n2")) * (100 - percent) / (100 + percent))
     common = F.ceil((F.col("size") + F.col("size2") - differ) / 2)
     near = (F.col("place") <= F.col("size") - common + 1) & (F.col("place2") <= F.col("size2") - common + 1)
-    pairs = first.join(other, ["hub", "element"]).filter((F.col("row") < F.col("row2")) & (F.col("component") != F.col("component2")) & near).withColumnRenamed("row2", "other")
-    return pairs.select(F.col("row").alias("hub"), F.col("other").alias("row")).distinct()
+    pairs = first.join(other, ["hub", "element"]).filter((F.col("row") < F.col("row2")) & (F.col("component") != F.col("component2")) & near)
+    return pairs.select(F.col("row").alias("hub"), F.col("row2").alias("row")).distinct()

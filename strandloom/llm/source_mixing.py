@@ -3,8 +3,9 @@
 Words are aggregated per source; a source's target divided by its size is its repetition rate.
 Each document is emitted floor(rate) times, plus once more if a draw hashed from its id and a seed
 falls below the rate's fraction. Several seeds are weighed in one aggregation and each source takes
-the one whose total comes nearest to its target, which leaves every single draw what it is: a
-Bernoulli trial with the fraction as its probability. Reruns agree.
+the one whose total comes nearest to its target: with any one seed the draws are Bernoulli trials
+with the fraction as their probability, and the choice conditions them on a total near the target.
+Reruns agree.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, small, text_of, words_of
+from .common import scratch, settle, small, text_of, words_of
 
 #: Weights by turns over the sources in code-point order (null last).
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -29,31 +30,41 @@ def sizes(docs: DataFrame, text: str = "text") -> Column:
     return F.size(words_of(text_of(text))).cast("long")
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources with place: the number of sources before each in code-point order, null last.
+
+    A range shuffle sorts them; a source's place is its place in its partition plus the sizes of the
+    partitions before it. Only those sizes, a row per partition, meet in one task.
+    """
+    ordered = sources.orderBy(F.col("source").isNull(), "source").withColumn("__at", F.monotonically_increasing_id())
+    ordered = settle(ordered.withColumn("__part", F.shiftright("__at", 33)), "sources")
+    parts = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("__part", (before - F.col("first")).alias("shift"))
+    return ordered.join(F.broadcast(parts), "__part").withColumn("place", F.col("__at") + F.col("shift")).drop("__part", "__at", "shift")
+
+
 def targets(per_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATED) -> DataFrame:
     """(source, source_size, target) from (source, source_size).
 
     Sources share by weight; none gets above ``most`` times its size and what is cut off is shared
-    by weight among the rest. That fixed point is min(most * size, weight * level): with the sources
-    ordered by the level at which they are full, prefix sums of the full ones' sizes and suffix sums
-    of the others' weights give the level. One row per source is ordered, no document.
+    by weight among the rest. That fixed point is min(most * size, weight * level) for one level. The
+    level rises, by one aggregate a step, to what the sources not full yet can take, until no
+    other becomes full; if all are full there is none.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    turn = F.row_number().over(order) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (turn % len(weights) + 1).cast("int"))
-    rows = per_source.withColumn("weight", weight).withColumn("full_at", most * F.col("source_size") / F.col("weight"))
-    by_level = Window.orderBy("full_at", F.col("source").isNull(), "source")
-    before, after = by_level.rowsBetween(Window.unboundedPreceding, -1), by_level.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    level = (
-        (share * F.sum("source_size").over(everything) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(after)
-    )
-    # the level is that of the first source which isn't full at it; if all are full there is none
-    found = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("place", "level"))).over(everything)["level"]
-    return rows.withColumn("place", F.row_number().over(by_level)).withColumn("level", level).withColumn("level", found).select(
-        "source",
-        "source_size",
-        F.least(most * F.col("source_size"), F.coalesce(F.col("weight") * F.col("level"), most * F.col("source_size"))).alias("target"),
-    )
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = ranked(per_source).withColumn("weight", weight).withColumn("full_at", most * F.col("source_size") / F.col("weight"))
+    rows = settle(rows.drop("place"), "weighed")
+    total, level, n_full = rows.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
+    while level is not None:
+        full = F.col("full_at") <= level
+        sums = rows.agg(F.count(F.when(full, 1)), F.sum(F.when(full, F.col("source_size"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if sums[0] == n_full:
+            break
+        n_full = sums[0]
+        level = (share * total - most * (sums[1] or 0)) / sums[2] if sums[2] else None
+    fair = F.col("weight") * level if level is not None else most * F.col("source_size")
+    return rows.select("source", "source_size", F.least(most * F.col("source_size"), fair).alias("target"))
 
 
 def _draw(id_column: str, seed: int) -> Column:
@@ -101,7 +112,8 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     Rows that repeat an id draw alike; null ids draw as one id. An empty table gives an empty mix.
     """
     columns = docs.columns
-    _, rates = plan(docs, id_column, text, source)
+    with scratch() as own:
+        rates = own.keep(plan(docs, id_column, text, source)[1], "rates")
     whole = docs.select(F.struct(*columns).alias("__row"), F.col(id_column).alias("__id"), F.col(source).alias("__of"))
     joined = join_rates(whole, rates, "__of")
     emitted = joined.withColumn("__n", copies(joined, "__id")).filter("__n > 0")

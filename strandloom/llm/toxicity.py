@@ -9,13 +9,15 @@ sum over its segments, which a logistic curve turns into a probability.
 
 Scores depend on the text alone. Training reads labelled rows outside the held-out fold, at most
 ``TOXIC_ROWS`` and ``CLEAN_ROWS`` of them in an order hashed from their ids; scoring reads every
-row's whole text in one narrow pass. The lexicon is broadcast and has at most ``LEXICON`` entries.
+row's whole text in one narrow pass. The lexicon is broadcast; it holds every significant entry of
+the training sample, whose size bounds it.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,12 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, text_of
+from .common import pieces, settle, text_of
 
 #: Bounds of the training sample, a class each.
 TOXIC_ROWS, CLEAN_ROWS = 10_000, 10_000
-#: Most entries of the lexicon, those of the largest significance.
-LEXICON = 20_000
 #: Least log-likelihood ratio (G squared) of an entry.
 SIGNIFICANT = 24.0
 #: Lengths of word beginnings that can be entries, and the prior count of an entry in either class.
@@ -42,7 +42,10 @@ THRESHOLD = 0.3
 #: Words whose score a worker remembers.
 REMEMBERED = 1 << 18
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Numerals that aren't decimal digits; Python counts them among the characters of words.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: A run of letters, as \\p{L}+ is to the JVM.
+WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 
 @dataclass
@@ -134,7 +137,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     """Settled (toxic, text) of the training sample, and the number of labelled rows by class.
 
     Labels of the held-out fold and null labels are left out; an id with several labels counts as
-    toxic if one says so.
+    toxic if one says so. Of rows that repeat an id the one with the smallest text counts.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column)).groupBy(id_column).agg(F.max((F.col(label) > 0).cast("int")).alias("__toxic"))
     known = settle(known, "labels")
@@ -142,6 +145,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     drawn = [known.filter(F.col("__toxic") == c).orderBy(F.xxhash64(id_column), id_column).limit(n) for c, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
     sample = drawn[0].unionByName(drawn[1]).withColumnRenamed(id_column, "__id")
     rows = docs.select(F.col(id_column).alias("__of"), text_of("text").alias("text")).join(F.broadcast(sample), F.col("__of") == F.col("__id"))
+    rows = rows.groupBy("__of", "__toxic").agg(F.min("text").alias("text"))
     return settle(rows.select(F.col("__toxic").alias("toxic"), "text"), "training"), totals
 
 
@@ -167,7 +171,7 @@ def fit_lexicon(rows: DataFrame) -> tuple[dict[str, float], float]:
     part = lambda seen, expected: F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
     g2 = 2 * (part(t, (t + c) * share) + part(c, (t + c) * (1 - share)))
     odds = F.ln((t + PRIOR) / n_toxic) - F.ln((c + PRIOR) / n_clean)
-    best = features.withColumn("odds", odds).withColumn("g2", g2).filter((F.col("odds") > 1) & (F.col("g2") >= SIGNIFICANT)).orderBy(F.desc("g2"), "entry").limit(LEXICON)
+    best = features.withColumn("odds", odds).withColumn("g2", g2).filter((F.col("odds") > 1) & (F.col("g2") >= SIGNIFICANT)).orderBy("entry")
     found = best.select("entry", "odds", "t", "c").collect()
     whole = [r for r in found if r["entry"].startswith("=")]
     of_toxic, of_clean = sum(r["t"] for r in whole) / n_toxic, sum(r["c"] for r in whole) / n_clean
@@ -216,9 +220,9 @@ def _scored(rows: DataFrame, model: ToxicityModel, what: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch, texts in pieces(batches, "text"):
             sizes, values = [], []
-            for text in batch.column("text").to_pylist():
+            for text in texts:
                 n, evidence, _ = scorer.evidence(text)
                 if what == "best":
                     words = WORD.findall(text.lower())
@@ -251,18 +255,19 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[
     new = ["toxicity", "evidence", "passages"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("toxicity", T.DoubleType()), T.StructField("evidence", T.DoubleType()), T.StructField("passages", T.ArrayType(PASSAGE))])
+    of = text if text in kept else "__text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
     arrow_passages = pa.list_(pa.struct([("first_word", pa.int32()), ("last_word", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("chance", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch, texts in pieces(batches, of):
             scores, evidences, passages = [], [], []
-            for value in batch.column("__text").to_pylist():
+            for value in texts:
                 _, evidence, found = scorer.evidence(value)
                 scores.append(scorer.score(evidence))
                 evidences.append(evidence)
                 passages.append(_spans(value or "", found))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(scores, pa.float64()), pa.array(evidences, pa.float64()), pa.array(passages, arrow_passages)], names=kept + new)
 
-    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*kept, *([] if text in kept else [F.col(text).alias("__text")])).mapInArrow(run, schema)

@@ -119,5 +119,20 @@ def test_sketches_meet_by_pigeonhole():
             for _ in range(20):
                 gone = len(base) - int(np.ceil(len(base) * percent / 100))
                 cut = rng.choice(base, len(base) - rng.integers(0, gone + 1), replace=False)
-                one, two = J.signatures(base, bands), J.signatures(np.sort(cut), bands)
-                assert len(cut) == len(base) or set(one) & set(two)
+                # each leaves out what it may, the largest in an order common to both
+                one, two = ({x for spare, own in J.signatures(e, bands) for x in np.sort(own)[: len(own) - spare].tolist()} for e in (base, np.sort(cut)))
+                assert len(cut) == len(base) or one & two
+
+
+def test_bit_sketches_bound_the_difference(spark):
+    rng = np.random.default_rng(4)
+    rows, apart = [], []
+    for n in (1, 3, 64, 65, 100, 1000):
+        base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for m in sorted({n, max(1, n * 9 // 10), (n + 1) // 2}):
+            other = np.union1d(rng.choice(base, m, replace=False), rng.integers(0, 2**63, rng.integers(0, max(1, n - m) + 1), dtype=np.uint64))
+            if max(len(other), len(base)) <= 2 * min(len(other), len(base)):
+                rows.append((len(rows), J.parity_bits(base).tolist(), J.parity_bits(other).tolist()))
+                apart.append(len(np.setxor1d(base, other)))
+    found = spark.createDataFrame(rows, "i int, a array<long>, b array<long>").select("i", J.hamming(F.col("a"), F.col("b")).alias("d")).collect()
+    assert len(found) == len(apart) and all(r.d <= apart[r.i] and (r.d - apart[r.i]) % 2 == 0 for r in found)
