@@ -44,30 +44,36 @@ SELECT doc_id, size, source_size, target, size * CASE seed {" ".join(f"WHEN {i}
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in U.RULES)
 
 
-def _rounds(name: str, seed: str, src: str, dst: str) -> str:
-    parts = [f"{name}_o AS (SELECT {src} AS src, sum(weight) AS total FROM links GROUP BY 1)", f"{name}_e AS (SELECT links.{src} AS src, links.{dst} AS dst, CAST(weight AS DOUBLE) / total AS share FROM links JOIN {name}_o ON {name}_o.src = links.{src})", f"{name}0 AS (SELECT host, CAST({seed} AS DOUBLE) AS mass FROM nodes)"]
+_WAYS = {"trust": "along", "pages": "along", "distrust": "against", "pages_back": "against"}
+
+
+def _rounds() -> str:
+    parts = [f"m0 AS MATERIALIZED (SELECT host, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _WAYS)} FROM nodes)"]
     for i in range(U.ROUNDS):
-        parts.append(
-            f"{name}{i + 1} AS (SELECT n.host, {1 - U.DAMPING} * n.{seed} + {U.DAMPING} * (CASE WHEN o.src IS NULL THEN s.mass ELSE 0 END + coalesce(f.flow, 0)) AS mass FROM nodes n JOIN {name}{i} s ON s.host = n.host LEFT JOIN {name}_o o ON o.src = n.host LEFT JOIN (SELECT e.dst, sum(p.mass * e.share) AS flow FROM {name}_e e JOIN {name}{i} p ON p.host = e.src GROUP BY e.dst) f ON f.dst = n.host)"
-        )
+        masses = ", ".join(f"{1 - U.DAMPING} * n.{c} + {U.DAMPING} * (CASE WHEN n.has_{way} THEN 0.0 ELSE s.{c} END + coalesce(f.{c}, 0.0)) AS {c}" for c, way in _WAYS.items())
+        flows = ", ".join(f"sum(p.{c} * e.{way}) AS {c}" for c, way in _WAYS.items())
+        parts.append(f"m{i + 1} AS MATERIALIZED (SELECT n.host, {masses} FROM nodes n JOIN m{i} s ON s.host = n.host LEFT JOIN (SELECT e.dst, {flows} FROM edges e JOIN m{i} p ON p.host = e.src GROUP BY e.dst) f ON f.dst = n.host)")
     return ",\n".join(parts)
 
 
+_LINKED = U.LINKED.replace("'", "''")
 OP5 = f"""
 WITH rules(rhost, rpath, rverdict) AS (VALUES {_RULE_ROWS}),
 p AS (SELECT page_id, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 hp AS (SELECT DISTINCT host, path FROM p),
 hit AS (SELECT host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(rverdict, length(rhost || rpath)) AS decided FROM hp JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY host, path),
 v AS (SELECT p.page_id, p.html, p.host, p.path, hit.rule, hit.decided FROM p LEFT JOIN hit ON hit.host = p.host AND hit.path = p.path),
-h AS (SELECT host, count(*) AS pages, count(CASE WHEN decided = 'allow' THEN 1 END) AS allowed, count(CASE WHEN decided = 'block' THEN 1 END) AS blocked FROM v WHERE host <> '' GROUP BY host),
-raw AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)\\b(?:href|src)\\s*=\\s*["'']?[a-z][a-z0-9+.-]*://([^/?#"''\\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM v WHERE host <> ''),
-ties AS (SELECT a.host AS src, b.host AS dst FROM h a JOIN h b ON b.host = regexp_extract(a.host, '^[^.]*\\.(.+)$', 1)),
-links AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT src, dst, count(*) AS weight FROM raw WHERE src <> dst GROUP BY src, dst UNION ALL SELECT src, dst, 1 FROM ties UNION ALL SELECT dst, src, 1 FROM ties) GROUP BY src, dst),
-nodes AS (SELECT * FROM h UNION ALL SELECT DISTINCT dst, 0, 0, 0 FROM links WHERE dst NOT IN (SELECT host FROM h)),
-{_rounds("t", "allowed", "src", "dst")},
-{_rounds("d", "blocked", "dst", "src")}
-SELECT page_id, v.host, path, rule, coalesce(decided, CASE WHEN d.mass - t.mass > {U.THRESHOLD} * h.pages THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(t.mass, 0), 6) AS trust, round(coalesce(d.mass, 0), 6) AS distrust
-FROM v LEFT JOIN h ON h.host = v.host LEFT JOIN t{U.ROUNDS} t ON t.host = v.host LEFT JOIN d{U.ROUNDS} d ON d.host = v.host
+h AS (SELECT host, count(*) AS pages, count(CASE WHEN decided = 'allow' THEN 1 END) AS trust, count(CASE WHEN decided = 'block' THEN 1 END) AS distrust FROM v WHERE host <> '' GROUP BY host),
+raw AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{_LINKED}', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM v WHERE host <> ''),
+ties AS (SELECT * FROM (SELECT host AS src, regexp_extract(host, '^[^.]*\\.([^.]+\\..+)$', 1) AS dst FROM h) WHERE dst <> ''),
+links AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT src, dst FROM raw WHERE src <> dst UNION ALL SELECT src, dst FROM ties UNION ALL SELECT dst, src FROM ties) GROUP BY src, dst),
+shares AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS along, weight / sum(weight) OVER (PARTITION BY dst) AS against FROM links),
+edges AS MATERIALIZED (SELECT src, dst, sum(along) AS along, sum(against) AS against FROM (SELECT src, dst, along, 0.0 AS against FROM shares UNION ALL SELECT dst, src, 0.0, against FROM shares) GROUP BY src, dst),
+nodes AS MATERIALIZED (SELECT x.*, x.pages AS pages_back, coalesce(l.along > 0, false) AS has_along, coalesce(l.against > 0, false) AS has_against FROM (SELECT * FROM h UNION ALL SELECT DISTINCT dst, 0, 0, 0 FROM links WHERE dst NOT IN (SELECT host FROM h)) x LEFT JOIN (SELECT src, max(along) AS along, max(against) AS against FROM edges GROUP BY src) l ON l.src = x.host),
+{_rounds()},
+q AS (SELECT host, round(CASE WHEN pages > 0 THEN trust / pages ELSE 0.0 END, 6) AS trust, round(CASE WHEN pages_back > 0 THEN distrust / pages_back ELSE 0.0 END, 6) AS distrust FROM m{U.ROUNDS})
+SELECT page_id, v.host, path, rule, coalesce(decided, CASE WHEN coalesce(q.distrust, 0.0) - coalesce(q.trust, 0.0) > {U.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, coalesce(q.trust, 0.0) AS trust, coalesce(q.distrust, 0.0) AS distrust
+FROM v LEFT JOIN q ON q.host = v.host
 """
 
 # -- quality rules
