@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,8 +41,9 @@ THRESHOLD = 0.3
 #: Words whose score a worker remembers.
 REMEMBERED = 1 << 18
 
-#: Numerals that aren't decimal digits; Python counts them among the characters of words.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: Numerals that aren't decimal digits, which Python counts among the characters of words. Those beyond
+#: U+FFFF are left out: a set with them is searched one by one at every letter.
+_NUMERALS = "".join(c for c in map(chr, range(0x10000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 #: A run of letters, as \\p{L}+ is to the JVM.
 WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
