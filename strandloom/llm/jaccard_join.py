@@ -44,6 +44,9 @@ LEVELS = 4
 MOST_BROADCAST = 500_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Low bits of a signature that name its sketch among those of a set; the last name is for signatures
+#: that are never left out. Sets take part in far fewer neighbouring bands.
+NAMES = 16
 
 
 def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -117,11 +120,15 @@ class Bands:
         return [(b, self.blocks(b)) for b in range(band, -1, -1) if n <= self.most(b)]
 
 
-def signatures(elements: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray]]:
-    """For each sketch of a set, how many of its most frequent signatures may be left out, and a 64-bit
-    signature for each block. Empty blocks have none; where more of them are empty than may be left
-    out, each is told apart by a sketch of the whole set under its name."""
-    out: list[tuple[int, np.ndarray]] = []
+def signatures(elements: np.ndarray, bands: Bands) -> tuple[dict[int, int], np.ndarray]:
+    """How many of the most frequent signatures of each sketch may be left out, by the sketch's name, and a
+    64-bit signature with that name for each block. Empty blocks have none; where more of them are
+    empty than may be left out, each is told apart by a sketch of the whole set under its name."""
+    out: list[np.ndarray] = []
+    spares: dict[int, int] = {}
+
+    def named(signature: np.ndarray, name: int) -> np.ndarray:
+        return (signature & ~np.uint64(NAMES - 1)) | np.uint64(name)
 
     def sketch(shape: int, blocks: int, spare: int, tag: int, level: int) -> None:
         block = (_mixed(elements, 11 + 7 * level + 131 * shape) % np.uint64(blocks)).astype(np.int64)
@@ -132,17 +139,20 @@ def signatures(elements: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray
         filled = dealt[starts]
         key = np.uint64(tag) + filled.astype(np.uint64) + np.uint64(shape << 40)
         with np.errstate(over="ignore"):
-            out.append((max(0, spare - blocks + len(filled)), _mixed(_mixed(key, 3 + level) ^ sums, 5)))
+            name = shape % (NAMES - 1) if not level else NAMES - 1
+            out.append(named(_mixed(_mixed(key, 3 + level) ^ sums, 5), name))
+        if not level:
+            spares[name] = max(0, spare - blocks + len(filled))
         for empty in set(range(blocks)).difference(filled.tolist()) if len(filled) < blocks - spare else ():
             under = int(_mixed(np.array([tag + empty + (shape << 40)], np.uint64), 77 + level)[0]) >> 8
             if level + 1 < LEVELS:
                 sketch(shape, blocks, spare, under, level + 1)
             else:
-                out.append((0, _mixed(np.array([under], np.uint64), 6)))
+                out.append(named(_mixed(np.array([under], np.uint64), 6), NAMES - 1))
 
     for shape, (blocks, spare) in bands.shapes(len(elements)):
         sketch(shape, blocks, spare, 0, 0)
-    return out
+    return spares, np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def parity_bits(elements: np.ndarray) -> np.ndarray:
@@ -188,28 +198,28 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sketches(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """(doc_id, n, fa, fb, bits, spares, sketches): two hashes of the set, its bit sketch, and its block
-    sketches with what each may leave out."""
+    """(doc_id, n, fa, fb, bits, spares, signatures): two hashes of the set, its bit sketch, what each of
+    its block sketches may leave out, and their signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in pieces(batches, "text"):
             sets = [shingle_set(x, size) for x in texts]
             hashes = np.array([_set_hash(s) for s in sets], np.int64).reshape(-1, 2)
             made = [signatures(s, bands) for s in sets]
-            offsets = np.cumsum([0] + [len(m) for m in made], dtype=np.int32)
+            offsets = np.cumsum([0] + [len(spares) for spares, _ in made], dtype=np.int32)
             columns = [
                 rows.column("doc_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(hashes[:, 0]),
                 pa.array(hashes[:, 1]),
                 _lists([parity_bits(s) for s in sets]),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array([spare for m in made for spare, _ in m], pa.int32())),
-                pa.ListArray.from_arrays(pa.array(offsets), _lists([x for m in made for _, x in m])),
+                pa.MapArray.from_arrays(pa.array(offsets), pa.array([k for spares, _ in made for k in spares], pa.int64()), pa.array([v for spares, _ in made for v in spares.values()], pa.int32())),
+                _lists([x for _, x in made]),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "fa", "fb", "bits", "spares", "sketches"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "fa", "fb", "bits", "spares", "signatures"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, fa long, fb long, bits array<long>, spares array<int>, sketches array<array<long>>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, fa long, fb long, bits array<long>, spares map<long,int>, signatures array<long>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -244,7 +254,7 @@ def _components(plain: DataFrame, shingle: int, percent: int, own: Scratch) -> D
     groups = nodes.filter("n > 0").groupBy("fa", "fb", "n").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"))
     groups = settle(groups.filter("copies > 1").select("fa", "fb", "n", "first"), "equal_sets")
     named = nodes.join(small(groups, MOST_BROADCAST), ["fa", "fb", "n"], "left").withColumn("node", F.coalesce("first", "row"))
-    buckets = _buckets(named.filter("node = row").select("row", "spares", "sketches"))
+    buckets = _buckets(named.filter("node = row").select("row", "spares", "signatures"))
     named = settle(named.select("doc_id", "n", "fa", "fb", "bits", "node", "row"), "nodes")
     discard(nodes)
 
@@ -269,18 +279,19 @@ def _components(plain: DataFrame, shingle: int, percent: int, own: Scratch) -> D
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(signature, hub, row) of nodes (row, spares, sketches): each node of a bucket with the bucket's
+    """(signature, hub, row) of nodes (row, spares, signatures): each node of a bucket with the bucket's
     smallest. Hot signatures are counted with partial sums and joined, never gathered."""
-    parts = nodes.select("row", "spares", F.posexplode("sketches").alias("part", "own"))
-    dealt = parts.select("row", "part", F.get("spares", F.col("part")).alias("spare"), F.explode("own").alias("signature"))
+    dealt = nodes.select("row", F.explode("signatures").alias("signature"))
     often = settle(dealt.groupBy("signature").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
-    rank = F.row_number().over(Window.partitionBy("row", "part").orderBy(F.desc("often"), "signature"))
-    met = dealt.join(small(often, MOST_BROADCAST), "signature").withColumn("rank", rank).filter("rank > spare")
+    met = dealt.join(often, "signature").withColumn("name", F.col("signature").bitwiseAND(NAMES - 1))
+    rank = F.row_number().over(Window.partitionBy("row", "name").orderBy(F.desc("often"), "signature"))
+    met = met.withColumn("rank", rank).join(nodes.select("row", "spares"), "row").filter(F.col("rank") > F.coalesce(F.try_element_at("spares", F.col("name")), F.lit(0)))
     met = settle(met.select("signature", "row"), "met")
+    discard(often)
     hubs = settle(met.groupBy("signature").agg(F.min("row").alias("hub"), F.max("row").alias("last")).filter("hub < last").select("signature", "hub"), "hubs")
-    buckets = settle(met.join(small(hubs, MOST_BROADCAST), "signature").filter("row <> hub").select("signature", "hub", "row"), "buckets")
-    for table in (often, met, hubs):
-        discard(table)
+    buckets = settle(met.join(hubs, "signature").filter("row <> hub").select("signature", "hub", "row"), "buckets")
+    discard(met)
+    discard(hubs)
     return buckets
 
 
@@ -289,7 +300,7 @@ def _resolve(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int
 
     First each node is compared with its smallest hub, then with the hub of each of its buckets. Any
     two nodes of a bucket have its hub in common; where they are still in different components, their
-    differences from that hub tell which of them to compare (``_by_differences``).
+    differences from that hub tell which of them to compare (``_shared_differences``).
     """
     edges, checked, labels = None, None, None
 
@@ -317,13 +328,19 @@ def _resolve(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int
     mixed = members.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("signature")
     rest = settle(members.join(mixed, "signature", "left_semi").select("hub", "row", "component").distinct(), "unsettled")
     if not rest.isEmpty():
-        compare(_by_differences(rest, sets, percent))
+        shared = _shared_differences(rest, sets, percent)
+        for pivot in (F.min, F.max):  # members of a group of copies that the hub isn't in soon have a component
+            rows = labelled(shared.drop("component"), "row", "component")
+            pivots = rows.groupBy("hub", "element").agg(pivot(F.struct("row", "component")).alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+            far = rows.join(pivots.drop("low", "high"), ["hub", "element"]).filter("component <> pivot.component")
+            compare(far.select(F.least("row", "pivot.row").alias("hub"), F.greatest("row", "pivot.row").alias("row")))
+        compare(_pairs_by_differences(settle(labelled(shared.drop("component"), "row", "component"), "prefixes"), percent))
     return edges is not None, labels
 
 
-def _by_differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(hub, row) pairs of members (hub, row, component) that may be similar: a superset of all that
-    are, of those in different components that have a hub in common.
+def _shared_differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(hub, element, row, component, n, place, size) of members (hub, row, component): the rarest elements in
+    which a member and its hub differ, of those that members of several components share.
 
     Let d(x) be the elements in which x and the hub differ. Of x and y the differing elements are those
     in just one of d(x) and d(y), so if at most D differ, the two have at least (|d(x)| + |d(y)| - D) / 2
@@ -346,7 +363,14 @@ def _by_differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     # elements of one member alone come first
     place = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("often", "element"))
     first = shared.withColumn("place", place).filter("place <= most + 1 AND low < high")
-    first = settle(first.select("hub", "element", "row", "component", "n", "place", "size"), "prefixes")
+    return settle(first.select("hub", "element", "row", "component", "n", "place", "size"), "prefixes")
+
+
+def _pairs_by_differences(first: DataFrame, percent: int) -> DataFrame:
+    """(hub, row) pairs of members in different components that share one of their rarest differences from
+    a hub: a superset of all that are similar, of those in different components that share a hub."""
+    mixed = first.groupBy("hub", "element").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("hub", "element")
+    first = first.join(mixed, ["hub", "element"], "left_semi")
     other = first.select("hub", "element", *[F.col(c).alias(f"{c}2") for c in ("row", "component", "n", "place", "size")])
     # with sizes known, what two have in common at least leaves each only so long a beginning
     differ = F.floor((F.col("n") + F.col("n2")) * (100 - percent) / (100 + percent))
