@@ -1,4 +1,4 @@
-"""PII: detected entities get keyed surrogates of the same type, gender, script and format.
+"""PII: detected entities get keyed surrogates of the same type, script and format.
 
 A surrogate is a keyed permutation of the values of one format, so distinct values stay distinct
 and equal values (however they are written: case, separators) get equal surrogates in every document,
@@ -6,41 +6,47 @@ without a table of what has been seen. The permutation is a three-round Feistel
 units of a value (digits, letters by class, octets), a step of one, and Q undone: a step of one leaves
 no value in place, so neither does the whole, and no surrogate equals its original.
 
-Given names aren't free-form: one of a listed name's gender and script takes its place, by a keyed
-rotation of that list. ``collisions`` counts, over a whole table, surrogates that stand for more than
-one value; it is empty by construction and is there to be checked.
+Names are replaced word by word. A listed given name rotates within the list of its gender and script;
+any other word is permuted by its letters, and where that would land on a listed name it goes on to
+the first that isn't listed. Both are one bijection over all words. A name that was found with a title
+or by its given name is also replaced where it, or its family name, stands alone in the same text.
 
-All of it is built-in expressions. Documents without a digit, an "@", a title or a word
-that announces a secret skip the search.
+All of it is built-in expressions. Documents without a digit, an "@", a title, a listed name or a word
+that announces a secret skip the search. ``collisions`` counts surrogates that stand for more than one value
+over a whole table; the query fails if there are any.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import itertools
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality_rules import let
 
-#: Key of the permutations. A deployment sets its own.
-KEY = "surrogate-key"
-
-# Classes of characters that are exchanged among themselves.
+# Classes of characters that are exchanged among themselves. Those of a to f are apart, so
+# hexadecimal values stay hexadecimal.
 ALPHABETS = (
     "0123456789",
-    "aeiou",
-    "bcdfghjklmnpqrstvwxyz",
+    "ae",
+    "iou",
+    "bcdf",
+    "ghjklmnpqrstvwxyz",
     "àâäáãåèéêëìíîïòóôöõùúûüýÿ",
     "çñßšžćčđł",
     "аеёиоуыэюя",
     "бвгджзйклмнпрстфхцчшщ",
 )
-HEXADECIMAL = "0123456789abcdef"
-# Titles by gender, and given names by gender and script.
+# Country codes of two digits; +1 and +7 have one, all others three.
+TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+# Titles, and given names by gender and script.
 TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Г-жа"),
     "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Г-н"),
+    "any": ("Dr", "Prof", "Professor", "Mx"),
 }
 NAMES = {
     ("f", "latin"): ("Alice", "Anna", "Carmen", "Clara", "Claire", "Elena", "Emma", "Eva", "Hannah", "Ida", "Julia", "Laura", "Lucia", "Maria", "Marta", "Nina", "Nora", "Olivia", "Rosa", "Sophie"),
@@ -48,7 +54,13 @@ NAMES = {
     ("f", "cyrillic"): ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"),
     ("m", "cyrillic"): ("Антон", "Борис", "Виктор", "Дмитрий", "Иван", "Максим", "Олег", "Павел"),
 }
-_ALL_TITLES = sorted((t for own in TITLES.values() for t in own), key=len, reverse=True)
+_ALL_TITLES = "|".join(sorted((t for own in TITLES.values() for t in own), key=len, reverse=True))
+_ALL_NAMES = "|".join(sorted((n for own in NAMES.values() for n in own), key=len, reverse=True))
+#: Neither a letter nor a digit before, or after, in any script.
+_START, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+_NAME = r"\p{Lu}[\p{L}'-]+"
+#: What stands before a name that a title announces.
+_TITLED = rf"{_START}(?:{_ALL_TITLES})\.?\s{{1,2}}"
 
 #: Kinds of entities and their patterns, in the order in which they are tried at a place.
 KINDS = (
@@ -59,23 +71,22 @@ KINDS = (
     ("card", r"(?<![\d-])(?:\d{4}[ -]?){3}\d{1,7}(?![\d-])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("phone", r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\+\d{8,15}(?!\d)"),
-    ("name", r"(?<=\b(?:" + "|".join(_ALL_TITLES) + r")\.?\s{1,2})\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"),
+    ("name", rf"(?=\p{{Lu}})(?:(?<={_TITLED}){_NAME}(?: {_NAME})?|{_START}(?:{_ALL_NAMES}) {_NAME})"),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 #: What a text must have for the search to find anything.
-HINT = r"[0-9@]|(?i:token|secret|passw|api_?key|access_key)|\b(?:" + "|".join(_ALL_TITLES) + r")\b"
+HINT = rf"[0-9@]|(?i:token|secret|passw|api_?key|access_key)|{_START}(?:{_ALL_TITLES}|{_ALL_NAMES}){_END}"
 
 
 def _chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def _unit(char: Column, hexadecimal: Column) -> Column:
+def _unit(char: Column) -> Column:
     """struct(v, m, a): place in its alphabet, the alphabet's size and itself; null for what stays."""
-    lower = F.lower(char)
-    found = F.when(hexadecimal & F.contains(F.lit(HEXADECIMAL), lower), F.lit(HEXADECIMAL))
+    lower, found = F.lower(char), F.lit(None).cast("string")
     for alphabet in ALPHABETS:
-        found = found.when(F.contains(F.lit(alphabet), lower), F.lit(alphabet))
+        found = F.when(F.contains(F.lit(alphabet), lower), F.lit(alphabet)).otherwise(found)
     return let(found, lambda a: F.when(a.isNotNull(), F.struct((F.instr(a, lower) - 1).alias("v"), F.length(a).alias("m"), a.alias("a"))))
 
 
@@ -93,7 +104,7 @@ def _moved(units: Column, by: Column, sign: int, tag: str, key: str) -> Column:
     return let(digest, shifted)
 
 
-def permuted(units: Column, kind: Column | str, key: str = KEY) -> Column:
+def permuted(units: Column, key: str) -> Column:
     """Units of a value after the keyed permutation of its format."""
     half = lambda u: F.floor((F.size(u) + 1) / 2).cast("int")
     move = lambda side, by, sign, turn: _moved(side, by, sign, str(turn), key)
@@ -122,19 +133,18 @@ def _written(unit: Column, like: Column) -> Column:
     return F.when((like != F.lower(like)), F.upper(char)).otherwise(char)
 
 
-def _replaced(text: Column, fixed: Column, kind: str, key: str, hexadecimal: Column | None = None) -> Column:
+def _replaced(text: Column, fixed: Column, kind: str, key: str) -> Column:
     """text with its units permuted, but for the first ``fixed`` characters."""
-    plain = F.lit(False) if hexadecimal is None else hexadecimal
 
     def of(chars: Column) -> Column:
-        units = F.transform(chars, lambda c, i: F.when(i >= fixed, _unit(c, plain)))
+        units = F.transform(chars, lambda c, i: F.when(i >= fixed, _unit(c)))
 
         def put(marked: Column) -> Column:
             def back(new: Column) -> Column:
                 place = lambda i: F.size(F.filter(F.slice(marked, 1, i + 1), lambda u: u.isNotNull()))
                 return F.array_join(F.transform(chars, lambda c, i: F.when(F.get(marked, i).isNotNull(), _written(F.get(new, place(i) - 1), c)).otherwise(c)), "")
 
-            return let(permuted(F.filter(marked, lambda u: u.isNotNull()), kind, f"{key}|{kind}"), back)
+            return let(permuted(F.filter(marked, lambda u: u.isNotNull()), f"{key}|{kind}"), back)
 
         return let(units, put)
 
@@ -152,14 +162,14 @@ def _luhn(digits: Column) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    """Local part and domain labels change; the last label stays, and so does example before it."""
-    end = F.regexp_extract(m, r"(?i)((?:\bexample)?\.\p{L}{2,})$", 1)
+    """Local part and domain labels change; the last label stays."""
+    end = F.regexp_extract(m, r"(\.\p{L}{2,})$", 1)
     return F.concat(_replaced(F.substr(m, F.lit(1), F.length(m) - F.length(end)), F.lit(0), "email", key), end)
 
 
 def _ip(m: Column, key: str) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda o: F.struct(o.cast("int").alias("v"), F.lit(256).alias("m"), F.lit("").alias("a")))
-    return F.array_join(F.transform(permuted(octets, "ip", f"{key}|ip"), lambda u: u["v"].cast("string")), ".")
+    return F.array_join(F.transform(permuted(octets, f"{key}|ip"), lambda u: u["v"].cast("string")), ".")
 
 
 def _card(m: Column, key: str) -> Column:
@@ -169,64 +179,107 @@ def _card(m: Column, key: str) -> Column:
     return let(_replaced(body, F.lit(0), "card", key), lambda new: F.concat(new, F.pmod(last - _luhn(digits(body)) + _luhn(digits(new)), F.lit(10)).cast("string")))
 
 
-def _name(m: Column, gender: Column, key: str) -> Column:
-    """A given name of the gender and script, and a family name of the same letters' classes."""
-    parts = F.split(m, " ")
-    script = F.when(F.rlike(m, F.lit(r"[Ѐ-ӿ]")), "cyrillic").otherwise("latin")
+def _phone(m: Column, key: str) -> Column:
+    """All digits but those of a country code after "+" change."""
+    two = "|".join(TWO_DIGIT_CODES.split())
+    return _replaced(m, F.length(F.regexp_extract(m, rf"^(\+(?:[17]|{two}|\d{{3}}))", 1)), "phone", key)
+
+
+@dataclass(frozen=True)
+class NameKey:
+    """A key for the permutation of words, and where words go that it would put on listed names."""
 
-    def given(first: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for (of, letters), names in NAMES.items():
-            listed = F.array(*map(F.lit, names))
-            turn = F.pmod(F.conv(F.substring(F.sha2(F.lit(f"{key}|{of}|{letters}"), 256), 1, 6), 16, 10).cast("int"), F.lit(len(names) - 1)) + 1
-            at = F.array_position(listed, first).cast("int")
-            own = F.element_at(listed, F.pmod(at - 1 + turn, F.lit(len(names))) + 1)
-            out = F.when((gender == of) & (script == letters) & (at > 0), own).otherwise(out)
-        return F.coalesce(out, _replaced(first, F.lit(0), "name", key))
+    key: str
+    landings: dict[str, str]
 
-    return F.when(F.size(parts) == 2, F.concat_ws(" ", given(parts[0]), _replaced(parts[1], F.lit(0), "name", key))).otherwise(_replaced(m, F.lit(0), "name", key))
+
+def name_key(spark: SparkSession, key: str) -> NameKey:
+    """The key of words, with the words that follow where the permutation comes to a listed name.
+
+    The permutation moves words in rings. After a listed name comes the next word of its ring that
+    isn't listed; words that are the only such ones of their rings follow one another. Only the rings
+    of listed names (a few dozen) are looked at, with the same expressions.
+    """
+    listed = {n.lower(): letters for (_, letters), own in NAMES.items() for n in own}
+
+    def permuted_by(salted: str, words: list[str]) -> dict[str, str]:
+        rows = spark.range(1).select(F.explode(F.array(*map(F.lit, words))).alias("word"))
+        return {r["word"]: r["new"] for r in rows.select("word", _replaced(F.col("word"), F.lit(0), "name", salted).alias("new")).collect()}
+
+    for salt in itertools.count():
+        salted = f"{key}|{salt}"
+        step, landings = permuted_by(salted, list(listed)), {}
+        for name in listed:
+            end, seen = step[name], {name}
+            while end in step and end not in seen:
+                seen.add(end)
+                end = step[end]
+            if end not in step:  # else a ring of listed names, where no other word can arrive
+                landings[name] = end
+        again = permuted_by(salted, sorted(set(landings.values()))) if landings else {}
+        alone = {letters: sorted({end for name, end in landings.items() if listed[name] == letters and landings.get(again[end]) == end}) for letters in sorted(set(listed.values()))}
+        if all(len(own) != 1 for own in alone.values()):
+            return NameKey(salted, landings | {again[word]: own[(i + 1) % len(own)] for own in alone.values() for i, word in enumerate(own)})
+
+
+def _word(word: Column, key: NameKey) -> Column:
+    """The surrogate of one word of a name."""
+    styled = lambda new: F.when(word == F.upper(word), F.upper(new)).otherwise(F.initcap(new))
+    rotated = {}
+    for (of, letters), names in NAMES.items():
+        turn = int(hashlib.sha256(f"{key.key}|{of}|{letters}".encode()).hexdigest()[:6], 16) % (len(names) - 1) + 1
+        rotated |= {name.lower(): names[(i + turn) % len(names)] for i, name in enumerate(names)}
+    as_map = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair]) if d else F.create_map().cast("map<string,string>")
+    listed = F.try_element_at(as_map(rotated), F.lower(word))
+    return F.coalesce(styled(listed), let(_replaced(word, F.lit(0), "name", key.key), lambda new: F.coalesce(styled(F.try_element_at(as_map(key.landings), F.lower(new))), new)))
+
+
+def _name(m: Column, key: NameKey) -> Column:
+    return F.array_join(F.transform(F.split(m, " "), lambda w: _word(w, key)), " ")
 
 
 def kind_of(m: Column, before: Column) -> Column:
     """Kind of a match, from its form and what stands before it."""
-    titled = F.rlike(before, F.lit(r"(?s).*\b(?:" + "|".join(_ALL_TITLES) + r")\.?\s{1,2}$"))
     secret = F.rlike(before, F.lit(r"""(?is).*(?:token|secret|password|passwd|api_key|apikey|access_key)\s?[=:]\s?["']?$"""))
     found = F.when(F.contains(m, F.lit("@")), "email").when(secret & F.rlike(m, F.lit(r"^[A-Za-z0-9+/_-]{12,}$")), "secret")
     for kind, pattern in KINDS[2:-1]:
         found = found.when(F.rlike(m, F.lit(f"^(?:{pattern})$")), kind)
-    return found.when(titled, "name").otherwise("other")
+    return found.otherwise("name")
 
 
-def surrogate_of(m: Column, kind: Column, before: Column, key: str = KEY) -> Column:
+def surrogate_of(m: Column, kind: Column, key: str, names: NameKey) -> Column:
     """The keyed surrogate of one match."""
-    country = F.length(F.regexp_extract(m, r"^(\+\d{1,3}(?=[ .(-]))", 1))
-    women = F.rlike(before, F.lit(r"(?s).*\b(?:" + "|".join(sorted(TITLES["f"], key=len, reverse=True)) + r")\.?\s{1,2}$"))
-    return (
-        F.when(kind == "email", _email(m, key))
-        .when(kind == "ip", _ip(m, key))
-        .when(kind == "card", _card(m, key))
-        .when(kind == "name", _name(m, F.when(women, "f").otherwise("m"), key))
-        .when(kind == "secret", _replaced(m, F.lit(0), "secret", key, F.rlike(m, F.lit("^[0-9a-f]+$"))))
-        .when(kind == "phone", _replaced(m, country, "phone", key))
-        .otherwise(_replaced(m, F.lit(0), "other", key))
-    )
+    found = F.when(kind == "email", _email(m, key)).when(kind == "ip", _ip(m, key)).when(kind == "card", _card(m, key)).when(kind == "name", _name(m, names)).when(kind == "phone", _phone(m, key))
+    for other in ("secret", "iban", "ssn"):
+        found = found.when(kind == other, _replaced(m, F.lit(0), other, key))
+    return found
 
 
-def replace(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
+def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with the entities in their texts replaced, and with entities: an array of
     (kind, start, original, surrogate), start in code points of the original text.
 
-    Null texts stay null and have no entities; texts without entities stay as they are. Columns that
-    have the name "entities" are replaced. Narrow: no shuffle.
+    The key is the caller's secret. Null texts stay null and have no entities; texts without entities stay
+    as they are; repeated rows are replaced alike. A column that has the name "entities" is replaced. An
+    empty table gives an empty one. Narrow: no shuffle.
     """
-    value = F.col(text)
-    searched = F.rlike(value, F.lit(HINT))
-    found = docs.withColumn("entities", F.when(searched, F.regexp_extract_all(value, F.lit(PATTERN), F.lit(0))))
-    found = found.withColumn("__gaps", F.when(F.size("entities") > 0, F.split(value, PATTERN)))
+    if not key:
+        raise ValueError("surrogates need a key")
+    value, names = F.col(text), name_key(docs.sparkSession, key)
+    found = docs.withColumn("__first", F.when(F.rlike(value, F.lit(HINT)), F.regexp_extract_all(value, F.lit(PATTERN), F.lit(0))))
+    # names found so far and their family names are searched as well
+    known = F.filter("__first", lambda m: F.rlike(m, F.lit(rf"^{_NAME}(?: {_NAME})?$")))
+    families = F.transform(known, lambda m: F.element_at(F.split(m, " "), -1))
+    also = F.array_join(F.array_distinct(F.concat(F.filter(known, lambda m: F.contains(m, F.lit(" "))), families)), "|")
+    pattern = F.when(F.size(known) > 0, F.concat(F.lit(f"{PATTERN}|{_START}(?:"), also, F.lit(f"){_END}")))
+    found = found.withColumn("__pattern", pattern)
+    all_of = lambda f: F.when(F.col("__pattern").isNotNull(), f(F.col("__pattern"))).otherwise(f(F.lit(PATTERN)))
+    found = found.withColumn("entities", F.when(F.col("__pattern").isNotNull(), F.regexp_extract_all(value, F.col("__pattern"), F.lit(0))).otherwise(F.col("__first")))
+    found = found.withColumn("__gaps", F.when(F.size("entities") > 0, all_of(lambda p: F.split(value, p))))
 
     def entity(m: Column, i: Column) -> Column:
         before = F.right(F.get("__gaps", i), F.lit(40))
-        return let(kind_of(m, before), lambda k: F.struct(k.alias("kind"), m.alias("original"), surrogate_of(m, k, before, key).alias("surrogate"), F.length(F.get("__gaps", i)).alias("gap")))
+        return let(kind_of(m, before), lambda k: F.struct(k.alias("kind"), m.alias("original"), surrogate_of(m, k, key, names).alias("surrogate"), F.length(F.get("__gaps", i)).alias("gap")))
 
     made = found.withColumn("__made", F.when(F.size("entities") > 0, F.transform("entities", entity)))
     new_text = F.when(
@@ -243,15 +296,23 @@ def replace(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
         ),
     )
     empty = F.array().cast("array<struct<kind:string,start:int,original:string,surrogate:string>>")
-    return made.withColumn(text, new_text).withColumn("entities", F.coalesce(starts, empty)).drop("__gaps", "__made")
+    return made.withColumn(text, new_text).withColumn("entities", F.coalesce(starts, empty)).drop("__first", "__pattern", "__gaps", "__made")
 
 
 def canonical(kind: Column, value: Column) -> Column:
-    """What two spellings of one entity have in common: letters and digits, lower-cased."""
-    return F.lower(F.when(kind.isin("email", "ip"), value).otherwise(F.regexp_replace(value, r"[^\p{L}\p{N}]", "")))
+    """What all spellings of one entity have in common: letters, digits and a leading plus, lower-cased; of
+    emails and names all of it, of secrets as it is written."""
+    octets = F.array_join(F.transform(F.split(value, r"\."), lambda o: o.cast("int").cast("string")), ".")
+    bare = F.lower(F.regexp_replace(value, r"(?!^\+)[^\p{L}\p{N}]", ""))
+    return F.when(kind == "secret", value).when(kind == "ip", octets).when(kind.isin("email", "name"), F.lower(value)).otherwise(bare)
 
 
 def collisions(replaced: DataFrame) -> DataFrame:
-    """(kind, surrogate, n_values) of surrogates that stand for several values; to be empty."""
-    pairs = replaced.select(F.explode("entities").alias("e")).select("e.kind", canonical(F.col("e.kind"), F.col("e.original")).alias("value"), canonical(F.col("e.kind"), F.col("e.surrogate")).alias("surrogate")).distinct()
+    """(kind, surrogate, n_values) of surrogates that stand for several values; to be empty.
+
+    entities hold each original, or in its place a digest of its canonical form, named value.
+    """
+    entities = replaced.select(F.explode("entities").alias("e")).select("e.*")
+    value = F.col("value") if "value" in entities.columns else canonical(F.col("kind"), F.col("original"))
+    pairs = entities.select("kind", value.alias("value"), canonical(F.col("kind"), F.col("surrogate")).alias("surrogate")).distinct()
     return pairs.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n_values")).filter("n_values > 1")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, jaccard_join, license_rules, pii_surrogates, quality_rules, sentencepiece_codec, source_mixing, token_counts, toxicity, url_filter
-from .common import table
+from .common import settle, table
 from .oracles import ORACLES as ORACLES
 
 
@@ -58,9 +59,20 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with surrogates for their entities; the originals aren't returned."""
-    replaced = pii_surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return replaced.select("doc_id", "text", F.size("entities").alias("n_entities"), F.transform("entities", lambda e: e["kind"]).alias("kinds"), F.transform("entities", lambda e: e["surrogate"]).alias("surrogates"))
+    """Texts with surrogates for their entities; fails if one surrogate stands for several values.
+
+    The key is the setting strandloom.pii.key, or a new one where that is unset. The originals are
+    neither returned nor written: the check reads their keyed digests.
+    """
+    key = spark.conf.get("strandloom.pii.key", None) or secrets.token_hex(16)
+    replaced = pii_surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+    part = lambda f: F.transform("entities", f)
+    digest = part(lambda e: F.sha2(F.concat(F.lit(key), pii_surrogates.canonical(e["kind"], e["original"])), 256))
+    written = settle(replaced.select("doc_id", "text", part(lambda e: e["kind"]).alias("kinds"), part(lambda e: e["surrogate"]).alias("surrogates"), digest.alias("__digests")), "replaced")
+    pairs = written.select(F.transform(F.arrays_zip("kinds", "surrogates", "__digests"), lambda x: F.struct(x["kinds"].alias("kind"), x["surrogates"].alias("surrogate"), x["__digests"].alias("value"))).alias("entities"))
+    if not pii_surrogates.collisions(pairs).isEmpty():
+        raise ValueError("a surrogate stands for several values")
+    return written.select("doc_id", "text", F.size("kinds").alias("n_entities"), "kinds", "surrogates")
 
 
 def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

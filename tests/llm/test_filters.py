@@ -1,5 +1,8 @@
+import hashlib
+import itertools
 import random
 import re
+import string
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -255,11 +258,72 @@ def test_mix_against_targets(spark):
 
 # -- PII
 
+KEY = "a key of the tests"
+
+
+def _units(value):
+    """(place in its alphabet, alphabet) of each character that is exchanged, None for the rest."""
+    return [next(((a.index(c.lower()), a) for a in P.ALPHABETS if c.lower() in a), None) for c in value]
+
+
+def _permuted(units, key):
+    """The permutation in plain Python: three rounds, a step of one, the rounds undone."""
+
+    def moved(side, by, sign, turn):
+        stream = hashlib.sha256(f"{key}|{turn}|{','.join(f'{v}:{len(a)}' for v, a in by)}".encode()).hexdigest()
+        return [((v + sign * int(stream[i * 4 % 60 : i * 4 % 60 + 4], 16)) % len(a), a) for i, (v, a) in enumerate(side)]
+
+    if not units:
+        return []
+    half = (len(units) + 1) // 2
+    left, right = units[:half], units[half:]
+    right = moved(right, left, 1, 1)
+    left = moved(left, right, 1, 2)
+    right = moved(right, left, 1, 3)
+    left = [((left[0][0] + 1) % len(left[0][1]), left[0][1]), *left[1:]]
+    right = moved(right, left, -1, 3)
+    left = moved(left, right, -1, 2)
+    return left + moved(right, left, -1, 1)
+
+
+def _plain(value, kind, key=KEY, fixed=0):
+    marked = [u if i >= fixed else None for i, u in enumerate(_units(value))]
+    new = iter(_permuted([u for u in marked if u], f"{key}|{kind}"))
+    chars = [(lambda v, a: a[v].upper() if c != c.lower() else a[v])(*next(new)) if u else c for c, u in zip(value, marked)]
+    return "".join(chars)
+
+
+def test_surrogates_against_brute_force(spark):
+    rng = random.Random(21)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    make = {
+        "email": lambda: f"{rng.choice(['Al', 'bo.x', 'é9'])}{digits(2)}@{rng.choice(['corp', 'Ähm', 'x1'])}.example.org",
+        "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "phone": lambda: f"+{rng.choice(['1', '49', '7', '351'])} {digits(3)} 555-{digits(4)}",
+        "secret": lambda: "".join(rng.choice("abcdef0123456789Zz-") for _ in range(20)),
+        "iban": lambda: f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}",
+    }
+    rows = []
+    for i in range(150):
+        kind = rng.choice(list(make))
+        value = make[kind]()
+        rows.append((i, f"word {'password: ' if kind == 'secret' else ''}{value} , word", kind, value))
+    got = P.replace(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), KEY).collect()
+    for r in got:
+        _, text, kind, value = rows[r.doc_id]
+        fixed = 0
+        if kind == "phone":
+            fixed = 1 + len(re.match(r"[17]|49|\d{3}", value[1:])[0])
+        stem, end = (value[:-4], value[-4:]) if kind == "email" else (value, "")
+        want = _plain(stem, kind, fixed=fixed) + end
+        assert [(e.kind, e.original, e.surrogate) for e in r.entities] == [(kind, value, want)]
+        assert r.text == text.replace(value, want)
+
 
 def test_surrogates(spark):
     text = "Mail Foo.Bar@corp1.org or foo.bar@corp1.org, call +1 (743) 555-3824, +1 743-555-3824. IP 10.0.0.255, card 4556 7375 8689 9855, id 123-45-6789, Dear Mrs Anna Schmidt and Mr John Smith, token = \"24be64439e3e49cf46b2d7c9\""
     docs = spark.createDataFrame([(1, text), (1, text), (2, None), (3, ""), (4, "no entity 12"), (5, "x " * 50_000 + text)], "doc_id long, text string").withColumn("entities", F.lit("clash"))
-    got = P.replace(docs).collect()
+    got = P.replace(docs, KEY).collect()
     one = got[0]
     assert one == got[1] and got[2].text is None and got[3].text == "" and got[4].text == "no entity 12"
     kinds = [e.kind for e in one.entities]
@@ -276,21 +340,51 @@ def test_surrogates(spark):
     assert by["name", "Anna Schmidt"].split()[0] in P.NAMES["f", "latin"] and by["name", "John Smith"].split()[0] in P.NAMES["m", "latin"]
     assert all(int(o) < 256 for o in by["ip", "10.0.0.255"].split("."))
     assert got[5].text.startswith("x x ") and len(got[5].entities) == len(kinds)
-    assert P.replace(docs.limit(0)).collect() == []
+    assert P.replace(docs.limit(0), KEY).collect() == []
+
+
+def test_spellings_of_one_phone_agree(spark):
+    spellings = ["+49 30 1234567", "+49301234567", "+49 (30) 1234 567", "+49-301-234-567"]
+    rows = P.replace(spark.createDataFrame([(i, f"call {t} now") for i, t in enumerate(spellings)], "doc_id long, text string"), KEY).collect()
+    assert len({re.sub(r"\D", "", r.entities[0].surrogate) for r in rows}) == 1 and all(r.entities[0].surrogate.startswith("+49") for r in rows)
+
+
+def test_later_mentions_of_a_name_go_too(spark):
+    texts = ["Dr. Alice Jones came. Alice Jones left; Jones, said Mrs Jones, is JonesX.", "Anna Smith wrote. Then Smith slept.", "Herr Öztürk und Öztürk", "the smith and Jones met"]
+    got = P.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()
+    assert [len(r.entities) for r in got] == [4, 2, 2, 0]
+    assert not re.search(r"Alice|Jones\b", got[0].text) and "JonesX" in got[0].text and "Smith" not in got[1].text
+    full, again, alone, titled = (e.surrogate for e in got[0].entities)
+    assert full == again and full.split()[1] == alone == titled
 
 
 def test_surrogates_are_distinct_and_never_the_original(spark):
     rows = [(i, f"{chr(97 + i % 26)}{i}@a.org +1 (2{i % 90 + 10}) 555-{i:04d} {i % 256}.{i // 256}.1.2") for i in range(600)] + [(9000 + i, f"{c}@b.org") for i, c in enumerate("aeioubcdfg")]
-    replaced = P.replace(spark.createDataFrame(rows, "doc_id long, text string"))
+    replaced = P.replace(spark.createDataFrame(rows, "doc_id long, text string"), KEY)
     assert P.collisions(replaced).collect() == []
     assert replaced.select(F.explode("entities").alias("e")).filter("e.original = e.surrogate").count() == 0
 
 
+def test_names_never_collide(spark):
+    """All names of three letters, and all of four letters that could come to a listed one: those with
+    its classes of letters."""
+    listed = [n.lower() for own in P.NAMES.values() for n in own]
+    names = {a + b + c for a in string.ascii_lowercase for b in string.ascii_lowercase for c in string.ascii_lowercase} | set(listed)
+    for name in listed:
+        if len(name) == 4 and name.isascii():
+            names |= {"".join(x) for x in itertools.product(*[a for _, a in _units(name)])}
+    rows = [(i, f"Mr {n.capitalize()}") for i, n in enumerate(sorted(names))]
+    replaced = P.replace(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), KEY).select("entities").cache()
+    assert replaced.filter("size(entities) = 1").count() == len(rows)
+    assert P.collisions(replaced).collect() == []
+    assert replaced.filter("lower(entities[0].original) = lower(entities[0].surrogate)").count() == 0
+
+
 def test_each_kind_alone_in_a_text(spark):
     secrets = [f"{w}{mark}correcthorsebatterystaple" for w in ("token", "Secret", "password", "PASSWD", "api_key", "apikey", "access_key") for mark in (" = ", "=", ': "')]
-    rest = [("email", "foo@corp.org"), ("ip", "10.0.0.255"), ("iban", "DE89 3704 0044 0532 0130 00"), ("card", "4556 7375 8689 9855"), ("ssn", "123-45-6789"), ("phone", "+1 743-555-3824")]
+    rest = [("email", "foo@corp.org"), ("ip", "10.0.0.255"), ("iban", "DE89 3704 0044 0532 0130 00"), ("card", "4556 7375 8689 9855"), ("ssn", "123-45-6789"), ("phone", "+1 743-555-3824"), ("name", "Anna Schmidt")]
     rows = [("secret", t) for t in secrets] + rest + [("name", f"{t} Anna Schmidt") for own in P.TITLES.values() for t in own]
-    got = P.replace(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).orderBy("doc_id").collect()
+    got = P.replace(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"), KEY).orderBy("doc_id").collect()
     assert [[e.kind for e in r.entities] for r in got] == [[k] for k, _ in rows]
     assert all(r.entities[0].original not in r.text for r in got)
 
