@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import logistic_inputs, logistic_score
+from ..functions.scores import ext_inputs, lig_inputs, logistic_inputs, logistic_of, logistic_score, scan_inputs
 from ..functions.sequences import masked_share, reverse_complement, slice_at
 from ..params import DesignParams
 from .genome import with_copies
@@ -104,6 +104,38 @@ def scored(candidates: DataFrame) -> DataFrame:
     return result.drop(*[f"__{k}" for k in inputs])
 
 
+def scored_bounds(bounds: DataFrame, features: DataFrame, counts: DataFrame) -> DataFrame:
+    """Candidates by their bounds with both arms' sequences and copies, and the logistic score.
+
+    Candidates share arms and scan regions. Each arm and each region of a feature is cut out and judged
+    once, and candidates are joined to what is known of theirs by whole numbers.
+    """
+    key = ["feature_id", "strand"]
+    narrow = bounds.drop("seq", "rc")
+    whole = features.select("feature_id", "seq", "seq_start", "seq_stop")
+
+    def cut(parts: DataFrame, name: str) -> DataFrame:
+        plain = slice_at(F.col("seq"), F.col("seq_start"), F.col("start"), F.col("stop"))
+        rows = parts.distinct().join(whole, "feature_id")
+        return rows.select(*key, "start", "stop", F.when(F.col("strand") == "+", plain).otherwise(reverse_complement(plain)).alias(name))
+
+    two = F.array(*[F.struct(F.col(f"{w}_probe_start").alias("start"), F.col(f"{w}_probe_stop").alias("stop")) for w in ("ext", "lig")])
+    arms = with_copies(cut(narrow.select(*key, F.explode(two).alias("x")).select(*key, "x.*"), "arm"), counts, "arm", "copies")
+    scans = cut(narrow.select(*key, F.col("scan_start").alias("start"), F.col("scan_stop").alias("stop")), "scan")
+    arm, scan = F.col("arm"), F.col("scan")
+    of_arm = {"ext": ext_inputs(arm, F.col("copies")), "lig": lig_inputs(arm, F.col("copies"))}
+    of_scan = scan_inputs(scan)
+    joined = narrow
+    for w, inputs in of_arm.items():
+        own = arms.select(*key, F.col("start").alias(f"{w}_probe_start"), F.col("stop").alias(f"{w}_probe_stop"), arm.alias(f"{w}_probe_sequence"), F.col("copies").alias(f"{w}_probe_copy"), F.contains(arm, F.lit("N")).alias(f"__{w}_unfit"), *[v.alias(f"__{k}") for k, v in inputs.items()])
+        joined = joined.join(own, [*key, f"{w}_probe_start", f"{w}_probe_stop"])
+    own = scans.select(*key, F.col("start").alias("scan_start"), F.col("stop").alias("scan_stop"), scan.alias("scan_target_sequence"), F.contains(scan, F.lit("-")).alias("__scan_unfit"), *[v.alias(f"__{k}") for k, v in of_scan.items()])
+    joined = joined.join(own, [*key, "scan_start", "scan_stop"])
+    names = [*of_arm["ext"], *of_arm["lig"], *of_scan]
+    score = logistic_of({k: F.col(f"__{k}") for k in names}, F.col("__ext_unfit") | F.col("__lig_unfit") | F.col("__scan_unfit"))
+    return joined.withColumn("score", score).withColumn("mip_key", mip_key()).drop("__ext_unfit", "__lig_unfit", "__scan_unfit", *[f"__{k}" for k in names])
+
+
 def with_variants(candidates: DataFrame, snps: DataFrame, key: list[str]) -> DataFrame:
     """snp_count, snp_failed and the arms with the other allele, from variants (chr, pos, alleles).
 

@@ -1,179 +1,234 @@
 """Greedy tiling of targets with probes.
 
-What is picked first decides what may be picked next, on a chromosome across its features, so a
-chromosome is one group of ``applyInPandas``; groups hold condensed probes only (one per scan start
-and strand), never candidates. Rows don't change while they are tiled, and strands are tried in a
-fixed turn, so reruns agree.
+What is picked first occupies arm positions and so decides what may be picked next. Features that lie
+farther apart than two captures can't compete for arms, so chromosomes are split into clusters of near
+features, and a cluster is one group of ``applyInPandas``. Groups hold condensed probes only (one per
+scan start and strand), never candidates. Strands are tried in a fixed turn, so reruns agree.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from itertools import takewhile
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..params import DesignParams
 
-PICKS = "chr string, feature_id long, number int, scan_start int, strand string, phase string"
-GAPS = "chr string, feature_id long, start int, stop int, kind string"
+TILED = "chr string, feature_id long, turn int, scan_start int, strand string, phase string, start int, stop int, kind string"
 _NEEDED = ["chr", "feature_id", "start_f", "stop_f", "scan_start", "scan_stop", "strand", "score", "snp_count", "ext_probe_start", "ext_probe_stop", "lig_probe_start", "lig_probe_stop", "ext_probe_copy", "lig_probe_copy", "arm_fraction_masked"]
 
 
-class _Chromosome:
-    def __init__(self, params: DesignParams):
-        self.params, self.used = params, {"+": set(), "-": set()}
-        self.picks: list[tuple] = []
-        self.gaps: list[tuple] = []
-
-    def arms(self, probe):
-        return [*range(probe.ext_probe_start, probe.ext_probe_stop + 1), *range(probe.lig_probe_start, probe.lig_probe_stop + 1)]
-
-    def free(self, probe) -> bool:
-        return self.used[probe.strand].isdisjoint(self.arms(probe))
-
-    def take(self, feature: int, probe, left: set[int], phase: str) -> None:
-        """Record a pick, occupy its arms and strike its scan region off what is left."""
-        self.picks.append((feature, probe.scan_start, probe.strand, phase))
-        self.used[probe.strand].update(self.arms(probe))
-        other = "-" if probe.strand == "+" else "+"
-        if self.params.seal_both_strands:
-            self.used[other].update(self.arms(probe))
-        elif self.params.half_seal_both_strands:
-            self.used[other].update(((probe.ext_probe_start + probe.ext_probe_stop) // 2, (probe.lig_probe_start + probe.lig_probe_stop) // 2))
-        left.difference_update(range(probe.scan_start, probe.scan_stop + 1))
-
-    def worst(self, best: dict, left: set[int], strands: str):
-        """The probe of the position whose best free probe scores lowest; on equal scores minus, then the first."""
-        found = None
-        for position in sorted(left):
-            own = [p for s in strands if (p := best.get((position, s))) is not None and self.free(p)]
-            if own:
-                top = max(own, key=lambda p: (p.score, p.strand == "-"))
-                if found is None or top.score < found.score:
-                    found = top
-        return found
-
-    def next_probe(self, places: dict, left: set[int], start: int, stop: int, strands: str):
-        """The probe that goes on from the first uncovered position, at an end moving up, else down."""
-        q, at = self.params, min(left)
-        smallest = q.min_capture_size - max(a for a, _, _ in q.arms())
-        if stop - at < smallest - 10 - q.starting_mip_overlap:
-            earliest = stop - smallest + 1
-            place, way = earliest, 1
-            while place not in places and place <= at:
-                place += 1
-        else:
-            earliest, place, way = at - q.max_mip_overlap, at - q.starting_mip_overlap, -1
-            while place not in places and place > earliest:
-                place -= 1
-        if place not in places:
-            return None
-        chosen, extent, last = None, at + 1, max(left)
-        while True:
-            if chosen is None:
-                going = extent > at and start - q.min_capture_size < place < stop
-            else:
-                better = chosen.score < q.upper_limit or chosen.snp_count > 0
-                going = better and earliest <= place <= at - q.starting_mip_overlap and (way == -1 or place + chosen.scan_stop - chosen.scan_start + 1 > last)
-            if not going:
-                return chosen
-            for strand in strands:
-                probe = places.get(place, {}).get(strand)
-                if probe is None:
-                    continue
-                extent = probe.scan_stop
-                if chosen is None or probe.score > chosen.score or probe.snp_count < chosen.snp_count:
-                    copies = max(probe.ext_probe_copy, probe.lig_probe_copy)
-                    if chosen is not None:
-                        if copies > q.target_arm_copy and copies > max(chosen.ext_probe_copy, chosen.lig_probe_copy):
-                            continue
-                        if probe.arm_fraction_masked > q.masked_arm_threshold and probe.arm_fraction_masked > chosen.arm_fraction_masked:
-                            continue
-                    if self.free(probe):
-                        chosen = probe
-            place += way
-
-    def tile(self, feature: int, places: dict, left: set[int], start: int, stop: int, strands: str, phase: str, gap_kind: str) -> None:
-        while left:
-            probe = self.next_probe(places, left, start, stop, strands)
-            if probe is not None:
-                before = len(left)
-                self.take(feature, probe, left, phase)
-                if len(left) == before:  # it covers nothing new and can't lead on
+class _Board:
+    """The arm positions that a cluster's picks occupy, by strand."""
+
+    def __init__(self, rows: pd.DataFrame, params: DesignParams):
+        ends = rows[["ext_probe_start", "lig_probe_start", "ext_probe_stop", "lig_probe_stop"]].to_numpy()
+        self.params, self.low = params, int(ends.min())
+        self.used = {s: np.zeros(int(ends.max()) - self.low + 1, bool) for s in "+-"}
+
+    def arms(self, p: Probes, i: int) -> list[slice]:
+        return [slice(a - self.low, b - self.low + 1) for a, b in ((p.ext_start[i], p.ext_stop[i]), (p.lig_start[i], p.lig_stop[i]))]
+
+    def free(self, p: Probes, i: int) -> bool:
+        return not any(self.used[p.strand[i]][arm].any() for arm in self.arms(p, i))
+
+    def all_free(self, p: Probes) -> np.ndarray:
+        """Whether each probe's arms are unused, from running sums of used positions."""
+        sums = {s: np.concatenate([[0], np.cumsum(used)]) for s, used in self.used.items()}
+        busy = lambda s, a, b: sums[s][b - self.low + 1] - sums[s][a - self.low]
+        taken = {s: busy(s, p.ext_start, p.ext_stop) + busy(s, p.lig_start, p.lig_stop) for s in "+-"}
+        return np.where(p.strand == "+", taken["+"], taken["-"]) == 0
+
+    def occupy(self, p: Probes, i: int) -> None:
+        own, other = p.strand[i], "-" if p.strand[i] == "+" else "+"
+        for arm in self.arms(p, i):
+            self.used[own][arm] = True
+            if self.params.seal_both_strands:
+                self.used[other][arm] = True
+            elif self.params.half_seal_both_strands:
+                self.used[other][(arm.start + arm.stop - 1 + 2 * self.low) // 2 - self.low] = True
+
+
+class Probes:
+    """The condensed probes of one feature as arrays, and what is preferred among them."""
+
+    def __init__(self, rows: pd.DataFrame, params: DesignParams):
+        self.params = params
+        self.feature, self.first, self.last = (int(rows[c].iloc[0]) for c in ("feature_id", "start_f", "stop_f"))
+        names = {"place": "scan_start", "stop": "scan_stop", "ext_start": "ext_probe_start", "ext_stop": "ext_probe_stop", "lig_start": "lig_probe_start", "lig_stop": "lig_probe_stop", "snps": "snp_count", "masked": "arm_fraction_masked", "strand": "strand"}
+        for name, column in names.items():
+            setattr(self, name, rows[column].to_numpy())
+        self.score = rows["score"].fillna(-np.inf).to_numpy()
+        self.copies = rows[["ext_probe_copy", "lig_probe_copy"]].max(axis=1).to_numpy()
+        self.product = rows["ext_probe_copy"].to_numpy() * rows["lig_probe_copy"].to_numpy()
+        self.at: dict[int, list[int]] = {}
+        for i in np.lexsort((self.strand, self.place)):  # "+" sorts before "-"
+            self.at.setdefault(int(self.place[i]), []).append(int(i))
+
+    def best_over(self, strand: str) -> np.ndarray:
+        """The best usable probe over each position of the feature: fewest variants, then the highest
+        score, then the earliest scan start; -1 where there is none."""
+        q = self.params
+        usable = (self.strand == strand) & (self.product <= q.max_arm_copy_product) & (self.copies <= q.target_arm_copy) & (self.masked <= q.masked_arm_threshold)
+        top = np.full(self.last - self.first + 1, -1)
+        for i in np.lexsort((self.place, -self.score, self.snps))[::-1]:  # the best last, over all others
+            if usable[i]:
+                top[max(0, self.place[i] - self.first) : max(0, self.stop[i] - self.first + 1)] = i
+        return top
+
+    def improves(self, new: int, old: int) -> bool:
+        """A higher score or fewer variants, unless arms get too frequent or too masked by it."""
+        q = self.params
+        frequent = self.copies[new] > q.target_arm_copy and self.copies[new] > self.copies[old]
+        masked = self.masked[new] > q.masked_arm_threshold and self.masked[new] > self.masked[old]
+        return (self.score[new] > self.score[old] or self.snps[new] < self.snps[old]) and not frequent and not masked
+
+    def places_from(self, position: int) -> tuple[list[int], range]:
+        """The places to try for the first uncovered position, in order, and the window of overlap.
+
+        Near the feature's end they go up from the last place that a smallest scan could take; else
+        they go down from the position less the starting overlap. The first must be in the window
+        (or, going up, at most one past the position).
+        """
+        q = self.params
+        smallest = q.min_capture_size - max(total for total, _, _ in q.arms())
+        rising = self.last - position < smallest - 10 - q.starting_mip_overlap
+        near = position - q.starting_mip_overlap
+        window = range(self.last - smallest + 1 if rising else position - q.max_mip_overlap, near + 1)
+        known = sorted(p for p in self.at if (p >= window.start if rising else p <= near))
+        places = known if rising else known[::-1]
+        if not places or (places[0] > position + 1 if rising else places[0] < window.start):
+            return [], window
+        return places, window
+
+
+def _reachable(p: Probes, places: list[int], position: int, strands: str) -> Iterator[tuple[int, int]]:
+    """(place, probe) that may come first: inside the feature's reach, up to the first place whose last
+    probe ends before the position."""
+    for place in takewhile(lambda x: p.first - p.params.min_capture_size < x < p.last, places):
+        own = [i for i in p.at[place] if p.strand[i] in strands]
+        yield from ((place, i) for i in own)
+        if own and p.stop[own[-1]] <= position:
+            return
+
+
+def _next_probe(p: Probes, board: _Board, left: np.ndarray, strands: str) -> int | None:
+    """The probe that goes on from the first uncovered position: the first free one in reach, or one
+    that improves on it and lies in the window of overlap."""
+    position, end = p.first + int(np.flatnonzero(left)[0]), p.first + int(np.flatnonzero(left)[-1])
+    places, window = p.places_from(position)
+    start, chosen = next(((place, i) for place, i in _reachable(p, places, position, strands) if board.free(p, i)), (None, None))
+    if chosen is None:
+        return None
+    rising = len(places) > 1 and places[1] > places[0]
+    for before, place in zip([None, *places], places, strict=False):
+        if (place < start) if rising else (place > start):
+            continue
+        if place != start:
+            wanted = p.score[chosen] < p.params.upper_limit or p.snps[chosen] > 0
+            reaches = not rising or before + 1 + p.stop[chosen] - p.place[chosen] + 1 > end
+            if not (wanted and place in window and reaches):
+                break
+        for i in p.at[place]:
+            if p.strand[i] in strands and i != chosen and p.improves(i, chosen) and board.free(p, i):
+                chosen = i
+    return chosen
+
+
+def _priority(p: Probes, board: _Board, left: np.ndarray, strands: str) -> int | None:
+    """The free probe of the position whose better strand scores lowest, if below the limit. Equal
+    strands: minus; equal positions: the first."""
+    free = np.append(board.all_free(p), False)
+    score, top = np.append(p.score, -np.inf), {s: p.tops[s] for s in strands}
+    fits = {s: left & free[i] for s, i in top.items()}
+    worth = np.stack([np.where(fits[s], score[top[s]], np.nan) for s in strands])
+    some = np.stack(list(fits.values())).any(axis=0)
+    if not some.any():
+        return None
+    best = np.where(some, np.fmax.reduce(worth), np.inf)
+    at = int(np.argmin(best))
+    if not some[at]:  # every one scores infinitely badly
+        at = int(np.flatnonzero(some)[0])
+    if best[at] >= p.params.lower_limit:
+        return None
+    return int(next(top[s][at] for s in sorted(strands, reverse=True) if fits[s][at] and score[top[s][at]] == best[at]))
+
+
+def _tile_feature(p: Probes, board: _Board) -> Iterator[dict]:
+    """Picks and gaps of one feature in the order of its passes."""
+    q = p.params
+    separate = q.double_tile_strands_separately
+    passes = [("first", "coverage_failed", "+" if separate else "+-")] + [("minus", "minus_strand_failed", "-")] * separate
+    if q.double_tile_strand_unaware:
+        passes += [("double", "double_tile_failed", "+" if separate else "+-")] + [("minus_double", "minus_strand_double_tile_failed", "-")] * separate
+    p.tops = {s: p.best_over(s) for s in "+-"}
+    left = {name: np.ones(p.last - p.first + 1, bool) for name, _, _ in passes}
+
+    def take(i: int, name: str, phase: str) -> dict:
+        board.occupy(p, i)
+        left[name][max(0, p.place[i] - p.first) : max(0, p.stop[i] - p.first + 1)] = False
+        return {"scan_start": int(p.place[i]), "strand": p.strand[i], "phase": phase}
+
+    for name, _, strands in passes:
+        if "double" not in name:
+            while (i := _priority(p, board, left[name], strands)) is not None:
+                yield take(i, name, f"{name}_priority")
+    for name, kind, strands in passes:
+        own = left[name]
+        while own.any():
+            before = int(own.sum())
+            if (i := _next_probe(p, board, own, strands)) is not None:
+                yield take(i, name, name)
+                if int(own.sum()) == before:  # it covers nothing new and can't lead on
                     break
-            elif max(left) - min(left) > self.params.max_capture_size:
-                first = min(left)
-                cut = range(first, first + self.params.max_capture_size // 2 + 1)
-                self.gaps.append((feature, first, cut[-1], gap_kind))
-                left.difference_update(cut)
-            else:
+                continue
+            uncovered = np.flatnonzero(own)
+            if uncovered[-1] - uncovered[0] <= q.max_capture_size:
                 break
+            cut = slice(uncovered[0], uncovered[0] + q.max_capture_size // 2 + 1)
+            yield {"start": p.first + int(cut.start), "stop": p.first + int(cut.stop) - 1, "kind": kind}
+            own[cut] = False
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
+            yield {"start": p.first + int(a), "stop": p.first + int(b) - 1, "kind": kind}
 
-    def feature(self, rows: pd.DataFrame) -> None:
-        q, head = self.params, next(rows.itertuples(index=False))
-        feature, start, stop = head.feature_id, head.start_f, head.stop_f
-        places: dict[int, dict] = {}
-        best: dict[tuple[int, str], object] = {}
-        for probe in rows.itertuples(index=False):
-            places.setdefault(probe.scan_start, {})[probe.strand] = probe
-        for place in sorted(places):
-            for strand, probe in places[place].items():
-                copies = probe.ext_probe_copy * probe.lig_probe_copy
-                if copies > q.max_arm_copy_product or max(probe.ext_probe_copy, probe.lig_probe_copy) > q.target_arm_copy or probe.arm_fraction_masked > q.masked_arm_threshold:
-                    continue
-                for position in range(probe.scan_start, probe.scan_stop + 1):
-                    known = best.get((position, strand))
-                    if known is None or probe.snp_count < known.snp_count or (probe.snp_count == known.snp_count and probe.score > known.score):
-                        best[position, strand] = probe
-        separate, twice = q.double_tile_strands_separately, q.double_tile_strand_unaware
-        passes = [("+" if separate else "+-", "first", "coverage_failed")]
-        if separate:
-            passes.append(("-", "minus", "minus_strand_failed"))
-        whole = lambda: set(range(start, stop + 1))
-        lefts = {name: whole() for _, name, _ in passes}
-        for strands, name, _ in passes:
-            while lefts[name] and (probe := self.worst(best, lefts[name], strands)) is not None and probe.score < q.lower_limit:
-                self.take(feature, probe, lefts[name], f"{name}_priority")
-        if twice:
-            passes.append(("+" if separate else "+-", "double", "double_tile_failed"))
-            if separate:
-                passes.append(("-", "minus_double", "minus_strand_double_tile_failed"))
-        for strands, name, kind in passes:
-            left = lefts.setdefault(name, whole())
-            self.tile(feature, places, left, start, stop, strands, name, kind)
-            run = sorted(left)
-            for i, position in enumerate(run):  # what is left over, as intervals
-                if i == 0 or position != run[i - 1] + 1:
-                    first = position
-                if i + 1 == len(run) or run[i + 1] != position + 1:
-                    self.gaps.append((feature, first, position, kind))
-
-
-def _run(condensed: DataFrame, params: DesignParams, gaps: bool) -> DataFrame:
-    def tile(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["feature_id", "scan_start", "strand"])
-        rows["score"] = rows["score"].map(lambda x: -math.inf if math.isnan(x) else x)
-        state = _Chromosome(params)
-        for _, own in rows.groupby("feature_id", sort=True):
-            state.feature(own)
-        chromosome = rows["chr"].iloc[0]
-        if gaps:
-            return pd.DataFrame([(chromosome, *g) for g in state.gaps], columns=["chr", "feature_id", "start", "stop", "kind"])
-        return pd.DataFrame([(chromosome, f, i, *p) for i, (f, *p) in enumerate(state.picks, 1)], columns=["chr", "feature_id", "number", "scan_start", "strand", "phase"])
 
-    return condensed.select(*_NEEDED).groupBy("chr").applyInPandas(tile, GAPS if gaps else PICKS)
+def _tiled(condensed: DataFrame, params: DesignParams) -> DataFrame:
+    """Picks and gaps of all features, with turn, their order within a feature."""
+    columns = [c.split()[0] for c in TILED.split(", ")]
+
+    def tile(rows: pd.DataFrame) -> pd.DataFrame:
+        board, out = _Board(rows, params), []
+        for feature, own in rows.groupby("feature_id", sort=True):
+            made = _tile_feature(Probes(own.reset_index(drop=True), params), board)
+            out += [dict.fromkeys(columns) | {"chr": own["chr"].iloc[0], "feature_id": feature, "turn": i} | x for i, x in enumerate(made)]
+        return pd.DataFrame(out, columns=columns, dtype=object)
+
+    features = condensed.select("chr", "feature_id", F.col("start_f").alias("start"), F.col("stop_f").alias("stop")).distinct()
+    # a probe reaches at most one capture beyond its feature on either side
+    order = Window.partitionBy("chr").orderBy("start", "stop", "feature_id")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = features.withColumn("apart", F.when(F.col("start") > reach + 2 * params.max_capture_size, 1).otherwise(0))
+    clusters = apart.select("chr", "feature_id", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("cluster"))
+    placed = condensed.select(*_NEEDED).join(clusters, ["chr", "feature_id"])
+    return placed.groupBy("chr", "cluster").applyInPandas(tile, TILED)
 
 
 def pick(condensed: DataFrame, params: DesignParams) -> DataFrame:
-    """Picked probes of each chromosome, numbered in the order in which they are picked.
+    """Picked probes, numbered by chromosome in the order of features and of their picks.
 
     First the probes of positions that score below the priority limit, then tiles from the first
     uncovered position on; further passes for separate strands and for double tiling.
     """
-    return _run(condensed, params, False)
+    order = Window.partitionBy("chr").orderBy("feature_id", "turn")
+    picks = _tiled(condensed, params).filter("phase IS NOT NULL").withColumn("number", F.row_number().over(order))
+    return picks.select("chr", "feature_id", "number", "scan_start", "strand", "phase")
 
 
 def uncovered(condensed: DataFrame, params: DesignParams) -> DataFrame:
     """Intervals that no pick covers, and gaps cut to go on, by kind of pass."""
-    return _run(condensed, params, True)
+    return _tiled(condensed, params).filter("kind IS NOT NULL").select("chr", "feature_id", "start", "stop", "kind")

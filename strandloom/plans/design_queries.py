@@ -14,8 +14,8 @@ from ..operators import tiling
 from ..params import DesignParams
 from .inputs import TARGETS, targets
 
-#: Targets are short, so captures are too; two arm sums keep the candidates of a start at 96.
-PARAMS = DesignParams(min_capture_size=80, max_capture_size=100, capture_increment=10, arm_length_sums=(40, 42), max_arm_copy_product=400)
+#: The default options but for shorter captures, since the targets are short.
+PARAMS = DesignParams(min_capture_size=80, max_capture_size=100, capture_increment=10, max_arm_copy_product=400)
 _ARMS = PARAMS.arms()
 
 
@@ -35,11 +35,10 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    genome = targets(spark, sf_dir)
+    features = targets(spark, sf_dir)
     sizes = sorted({n for _, e, g in _ARMS for n in (e, g)})
-    counts = reduce(DataFrame.unionByName, [G.copy_numbers(genome, n) for n in sizes])
-    slim = _candidates(spark, sf_dir).drop("seq", "rc", "mip_sequence")
-    rows = P.scored(P.with_arm_copies(slim, counts))
+    counts = reduce(DataFrame.unionByName, [G.copy_numbers(features, n) for n in sizes])
+    rows = P.scored_bounds(P.candidate_bounds(features, PARAMS), features, counts)
     return rows.withColumns({"snp_count": F.lit(0), "mapping_failed": F.lit(False), "arm_fraction_masked": F.lit(0.0)})
 
 
@@ -52,6 +51,11 @@ def probe_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS = ", ".join(f"({e}, {g})" for _, e, g in _ARMS)
 _SIZES = ", ".join(f"({s})" for s in range(PARAMS.max_capture_size, PARAMS.min_capture_size - 1, -PARAMS.step))
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
+def _key(start: str, size: str) -> str:
+    """One number for a part of a feature's strand."""
+    return f"((CAST(feature_id AS BIGINT) * 1000000 + {start}) * 1000 + {size}) * 2 + CAST(strand = '-' AS INTEGER)"
+
+
 CANDIDATES = f"""
 t AS ({TARGETS}), arms(ext_len, lig_len) AS (VALUES {_PAIRS}), sizes(capture_size) AS (VALUES {_SIZES}), strands(strand) AS (VALUES ('+'), ('-')),
 starts AS (SELECT t.*, unnest(range(greatest(start_f - {PARAMS.max_capture_size} + {max(a for a, _, _ in _ARMS)}, 0) + 1, stop_f + 1)) AS scan_start FROM t),
@@ -59,12 +63,13 @@ c0 AS (SELECT *, scan_start + capture_size - ext_len - lig_len - 1 AS scan_stop,
   FROM starts CROSS JOIN sizes CROSS JOIN arms CROSS JOIN strands
   WHERE NOT (capture_size > stop_f - start_f + {PARAMS.max_mip_overlap} AND capture_size - {PARAMS.step} >= {PARAMS.min_capture_size}) AND scan_start - greatest(ext_len, lig_len) >= 1 AND scan_start + capture_size - 1 - least(ext_len, lig_len) <= seq_stop),
 c1 AS (SELECT *, scan_start - left_len AS mip_start, scan_stop + right_len AS mip_stop, CASE WHEN strand = '+' THEN scan_start - left_len ELSE scan_stop + 1 END AS ext_probe_start, CASE WHEN strand = '+' THEN scan_stop + 1 ELSE scan_start - left_len END AS lig_probe_start FROM c0 WHERE scan_stop + right_len <= seq_stop),
-c2 AS (SELECT *, substring(seq, ext_probe_start, ext_len) AS e0, substring(seq, lig_probe_start, lig_len) AS l0, substring(seq, scan_start, scan_stop - scan_start + 1) AS t0 FROM c1),
-c AS (SELECT feature_id, chr, capture_size, ext_len, lig_len, strand, scan_start, scan_stop, ext_probe_start, lig_probe_start, mip_start, mip_stop,
-  chr || ':' || mip_start || '-' || mip_stop || '/' || ext_len || ',' || lig_len || '/' || strand AS mip_key,
-  CASE WHEN strand = '+' THEN e0 ELSE {_RC.format('e0')} END AS ext_probe_sequence, CASE WHEN strand = '+' THEN l0 ELSE {_RC.format('l0')} END AS lig_probe_sequence, CASE WHEN strand = '+' THEN t0 ELSE {_RC.format('t0')} END AS target FROM c2)
+b AS MATERIALIZED (SELECT feature_id, chr, capture_size, ext_len, lig_len, strand, scan_start, scan_stop, ext_probe_start, lig_probe_start, mip_start, mip_stop,
+  chr || ':' || mip_start || '-' || mip_stop || '/' || ext_len || ',' || lig_len || '/' || strand AS mip_key, {_key("ext_probe_start", "ext_len")} AS e_key, {_key("lig_probe_start", "lig_len")} AS l_key, {_key("scan_start", "scan_stop - scan_start")} AS s_key FROM c1),
+parts AS (SELECT feature_id, strand, start, size, {_key("start", "size")} AS key, CASE WHEN strand = '+' THEN part ELSE {_RC.format('part')} END AS part FROM (SELECT p.*, substring(t.seq, p.start, p.size) AS part FROM (SELECT DISTINCT feature_id, strand, unnest([ext_probe_start, lig_probe_start]) AS start, unnest([ext_len, lig_len]) AS size FROM b) p JOIN t USING (feature_id))),
+a AS MATERIALIZED (SELECT * FROM parts)
 """
-PROBE_CANDIDATES = f"WITH {CANDIDATES} SELECT feature_id, CAST(capture_size AS INTEGER) AS capture_size, mip_key, CAST(scan_start AS INTEGER) AS scan_start, CAST(scan_stop AS INTEGER) AS scan_stop, CAST(ext_probe_start AS INTEGER) AS ext_probe_start, CAST(lig_probe_start AS INTEGER) AS lig_probe_start, ext_probe_sequence, lig_probe_sequence FROM c"
+_WITH_ARMS = "b JOIN a e ON e.key = e_key JOIN a l ON l.key = l_key"
+PROBE_CANDIDATES = f"WITH {CANDIDATES} SELECT b.feature_id, CAST(capture_size AS INTEGER) AS capture_size, mip_key, CAST(scan_start AS INTEGER) AS scan_start, CAST(scan_stop AS INTEGER) AS scan_stop, CAST(ext_probe_start AS INTEGER) AS ext_probe_start, CAST(lig_probe_start AS INTEGER) AS lig_probe_start, e.part AS ext_probe_sequence, l.part AS lig_probe_sequence FROM {_WITH_ARMS}"
 
 
 def logistic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,22 +81,25 @@ def _share(seq: str, bases: str) -> str:
     return f"(length({seq}) - length(translate({seq}, '{bases}', ''))) / length({seq})"
 
 
-_INPUTS = {
-    "bps": "length(target) / len(regexp_extract_all(target, '[GC]+|[^GC]+'))",
-    **{f"{p}{n}": _share(s, b) for p, s in (("e", "ext_probe_sequence"), ("l", "lig_probe_sequence"), ("t", "target")) for n, b in (("g", "G"), ("GC", "GC"), ("a", "A"))},
-    "el": "CAST(ext_len AS DOUBLE)", "ll": "CAST(lig_len AS DOUBLE)", "tl": "CAST(least(length(target), 250) AS DOUBLE)",
-    "j": "CASE substring(lig_probe_sequence, 1, 2) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in JUNCTION.items()) + " ELSE 0.0 END",
-    "ce": "CASE WHEN ext_probe_copy > 100 THEN 2.0 ELSE log10(ext_probe_copy) END", "cl": "CASE WHEN lig_probe_copy > 100 THEN 2.0 ELSE log10(lig_probe_copy) END",
+_PART_INPUTS = {
+    "e": {**{n: _share("part", b) for n, b in (("eg", "G"), ("eGC", "GC"), ("ea", "A"))}, "el": "CAST(size AS DOUBLE)", "ce": "CASE WHEN copies > 100 THEN 2.0 ELSE log10(copies) END"},
+    "l": {**{n: _share("part", b) for n, b in (("lg", "G"), ("lGC", "GC"), ("la", "A"))}, "ll": "CAST(size AS DOUBLE)", "j": "CASE substring(part, 1, 2) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in JUNCTION.items()) + " ELSE 0.0 END", "cl": "CASE WHEN copies > 100 THEN 2.0 ELSE log10(copies) END"},
+    "s": {**{n: _share("part", b) for n, b in (("tg", "G"), ("tGC", "GC"), ("ta", "A"))}, "bps": "length(part) / len(regexp_extract_all(part, '[GC]+|[^GC]+'))", "tl": "CAST(least(length(part), 250) AS DOUBLE)"},
 }
+_INPUTS = [k for own in _PART_INPUTS.values() for k in own]
 _QUOTED = {k: f'"in_{k if k.islower() else k[0] + "_both"}"' for k in _INPUTS}
 _EXPONENT = " + ".join([str(INTERCEPT), *("(" + " * ".join([_QUOTED[n] for n in names] + [f"({value})"]) + ")" for names, value in terms())])
 _KMERS = " UNION ALL ".join(f"SELECT substring(seq, i, {n}) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - {n} + 2)) AS i FROM t WHERE length(seq) >= {n})" for n in sorted({n for _, e, g in _ARMS for n in (e, g)}))
+_OF = {w: ", ".join(f"{v} AS {_QUOTED[k]}" for k, v in own.items()) for w, own in _PART_INPUTS.items()}
 SCORED = f"""
 {CANDIDATES},
 k AS (SELECT least(kmer, {_RC.format('kmer')}) AS kmer, count(*) AS copies FROM ({_KMERS}) GROUP BY 1),
-n AS (SELECT c.*, a.copies AS ext_probe_copy, b.copies AS lig_probe_copy FROM c JOIN k a ON a.kmer = least(ext_probe_sequence, {_RC.format('ext_probe_sequence')}) JOIN k b ON b.kmer = least(lig_probe_sequence, {_RC.format('lig_probe_sequence')})),
-i AS (SELECT *, {", ".join(f"{v} AS {_QUOTED[k]}" for k, v in _INPUTS.items())} FROM n),
-x AS (SELECT *, pow({POWER_BASE}, {_EXPONENT}) AS powered FROM i),
+n AS (SELECT a.*, k.copies FROM a JOIN k ON k.kmer = least(part, {_RC.format('part')})),
+e AS MATERIALIZED (SELECT key, copies, {_OF["e"]} FROM n),
+l AS MATERIALIZED (SELECT key, copies, {_OF["l"]} FROM n),
+scans AS (SELECT {_key("start", "stop - start")} AS key, CASE WHEN strand = '+' THEN part ELSE {_RC.format('part')} END AS part FROM (SELECT p.*, substring(t.seq, p.start, p.stop - p.start + 1) AS part FROM (SELECT DISTINCT feature_id, strand, scan_start AS start, scan_stop AS stop FROM b) p JOIN t USING (feature_id))),
+sc AS MATERIALIZED (SELECT key, {_OF["s"]} FROM scans),
+x AS (SELECT b.*, e.copies AS ext_probe_copy, l.copies AS lig_probe_copy, pow({POWER_BASE}, {_EXPONENT}) AS powered FROM {_WITH_ARMS.replace("a e", "e").replace("a l", "l")} JOIN sc ON sc.key = s_key),
 s AS (SELECT *, powered / (1 + powered) AS score FROM x)
 """
 LOGISTIC_SCORE = f"WITH {SCORED} SELECT feature_id, CAST(capture_size AS INTEGER) AS capture_size, mip_key, ext_probe_copy, lig_probe_copy, round(score, 6) AS score FROM s"
@@ -106,9 +114,9 @@ def best_per_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIT = f"ext_probe_copy * lig_probe_copy <= {PARAMS.max_arm_copy_product} AND greatest(ext_probe_copy, lig_probe_copy) <= {PARAMS.target_arm_copy}"
 BEST = f"""{SCORED},
 p AS (SELECT feature_id, strand, scan_start, round(score, 6) AS score, unnest(range(scan_start, scan_stop + 1)) AS pos FROM s WHERE {_FIT}),
-b AS (SELECT feature_id, CAST(pos AS INTEGER) AS pos, strand, CAST(scan_start AS INTEGER) AS scan_start, score FROM (SELECT *, row_number() OVER (PARTITION BY feature_id, pos, strand ORDER BY score DESC, scan_start) AS r FROM p) WHERE r = 1)
+best AS (SELECT feature_id, CAST(pos AS INTEGER) AS pos, strand, CAST(scan_start AS INTEGER) AS scan_start, score FROM (SELECT *, row_number() OVER (PARTITION BY feature_id, pos, strand ORDER BY score DESC, scan_start) AS r FROM p) WHERE r = 1)
 """
-BEST_PER_POSITION = f"WITH {BEST} SELECT * FROM b"
+BEST_PER_POSITION = f"WITH {BEST} SELECT * FROM best"
 
 
 def worst_of_best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +125,7 @@ def worst_of_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WORST_OF_BEST = f"""WITH {BEST},
-m AS (SELECT *, row_number() OVER (PARTITION BY feature_id, pos ORDER BY score DESC, strand DESC, scan_start DESC) AS r FROM b)
+m AS (SELECT *, row_number() OVER (PARTITION BY feature_id, pos ORDER BY score DESC, strand DESC, scan_start DESC) AS r FROM best)
 SELECT feature_id, pos, strand, scan_start, score FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY score, pos) AS q FROM m WHERE r = 1) WHERE q = 1
 """
 
@@ -138,19 +146,19 @@ def variant_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = base.withColumn("pos", F.explode(F.sequence(F.lit(5), F.greatest(F.lit(5), F.length("seq")), F.lit(17)))).filter("pos <= length(seq)")
     ref = F.substr("seq", F.col("pos"), F.lit(1))
     snps = at.select("chr", "pos", F.concat(ref, F.translate(ref, "ACGT", "CATG")).alias("alleles"))
-    rows = _candidates(spark, sf_dir).filter(F.col("capture_size") == PARAMS.min_capture_size)
-    found = P.with_variants(rows, snps, ["feature_id", "mip_key"])
-    return found.select("feature_id", "mip_key", F.col("snp_count").cast("long").alias("snp_count"), "snp_failed", "snp_ext_sequence", "snp_lig_sequence")
+    rows = _candidates(spark, sf_dir).drop("seq", "rc", "mip_sequence", "scan_target_sequence")
+    found = P.with_variants(rows, snps, ["feature_id", "capture_size", "mip_key"])
+    return found.select("feature_id", "capture_size", "mip_key", F.col("snp_count").cast("long").alias("snp_count"), "snp_failed", "snp_ext_sequence", "snp_lig_sequence")
 
 
 VARIANT_ARMS = f"""WITH {CANDIDATES},
-v AS (SELECT chr, pos, substring(seq, pos, 1) AS r FROM (SELECT chr, seq, unnest(range(5, length(seq) + 1, 17)) AS pos FROM t)),
-q AS (SELECT * FROM c WHERE capture_size = {PARAMS.min_capture_size}),
-h AS (SELECT q.mip_key, q.feature_id, a.turn, v.pos, a.arm, CASE WHEN q.strand = '+' THEN v.pos - a.start ELSE a.start + length(a.arm) - 1 - v.pos END + 1 AS place, CASE WHEN q.strand = '+' THEN translate(v.r, 'ACGT', 'CATG') ELSE translate(translate(v.r, 'ACGT', 'CATG'), 'ACGT', 'TGCA') END AS base
-  FROM q JOIN v ON v.chr = q.chr AND v.pos BETWEEN q.mip_start AND q.mip_stop JOIN LATERAL (SELECT 0 AS turn, q.ext_probe_start AS start, q.ext_probe_sequence AS arm UNION ALL SELECT 1, q.lig_probe_start, q.lig_probe_sequence) a ON v.pos BETWEEN a.start AND a.start + length(a.arm) - 1),
-g AS (SELECT feature_id, mip_key, count(*) AS n, arg_max(turn, turn * 1000000 + pos) AS turn, arg_max(substring(arm, 1, place - 1) || base || substring(arm, place + 1), turn * 1000000 + pos) AS changed FROM h GROUP BY feature_id, mip_key)
-SELECT q.feature_id, q.mip_key, coalesce(n, 0) AS snp_count, coalesce(n, 0) > 1 AS snp_failed, CASE WHEN n IS NULL THEN NULL WHEN turn = 0 THEN changed ELSE ext_probe_sequence END AS snp_ext_sequence, CASE WHEN n IS NULL THEN NULL WHEN turn = 1 THEN changed ELSE lig_probe_sequence END AS snp_lig_sequence
-FROM q LEFT JOIN g ON g.feature_id = q.feature_id AND g.mip_key = q.mip_key
+v AS (SELECT feature_id, seq, pos, substring(seq, pos, 1) AS r FROM (SELECT feature_id, seq, unnest(range(5, length(seq) + 1, 17)) AS pos FROM t)),
+h AS (SELECT a.key, count(*) AS n,
+  arg_max(substring(part, 1, place - 1) || base || substring(part, place + 1), pos) AS changed FROM (SELECT a.*, v.pos, CASE WHEN a.strand = '+' THEN v.pos - a.start ELSE a.start + a.size - 1 - v.pos END + 1 AS place, CASE WHEN a.strand = '+' THEN translate(v.r, 'ACGT', 'CATG') ELSE translate(translate(v.r, 'ACGT', 'CATG'), 'ACGT', 'TGCA') END AS base
+  FROM a JOIN v ON v.feature_id = a.feature_id AND v.pos BETWEEN a.start AND a.start + a.size - 1) a GROUP BY a.key),
+a2 AS MATERIALIZED (SELECT a.*, coalesce(h.n, 0) AS n, h.changed FROM a LEFT JOIN h ON h.key = a.key)
+SELECT b.feature_id, CAST(capture_size AS INTEGER) AS capture_size, mip_key, e.n + l.n AS snp_count, e.n + l.n > 1 AS snp_failed, CASE WHEN e.n + l.n = 0 THEN NULL WHEN l.n = 0 THEN e.changed ELSE e.part END AS snp_ext_sequence, CASE WHEN e.n + l.n = 0 THEN NULL WHEN l.n > 0 THEN l.changed ELSE l.part END AS snp_lig_sequence
+FROM {_WITH_ARMS.replace("a e", "a2 e").replace("a l", "a2 l")}
 """
 
 QUERIES = {f.__name__: f for f in (arm_pairs, probe_candidates, logistic_score, best_per_position, worst_of_best, condensed_probes, greedy_tiling, variant_arms)}

@@ -1,8 +1,8 @@
 """Readers of the text formats: each gives a typed table with an ordinal where order matters.
 
-All read through Spark, from any store, any number of files, gzip included. Ordinals come from the
-position of a line in its file; a record of several lines needs its file whole in one split, which
-gzip files are; plain files of that kind are read with ``wholetext``.
+All read through Spark, from any store, any number of files, gzip included. Plain files are split among
+tasks. A line's number comes from its place in its split and the lines of the splits before it, which
+one aggregation counts; files follow one another by path.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.svm import LINEAR, POLY, PRECOMPUTED, RBF, SIGMOID, SvmModel
@@ -24,8 +24,11 @@ DESIGN_COLUMNS = (
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, value): the lines of files, counted from 0 in each."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), "value")
+    splits = raw.groupBy("file", "__block").agg(F.min("__id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "__block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return raw.join(splits, ["file", "__block"]).select("file", (F.col("__id") + F.col("shift")).alias("line"), "value")
 
 
 def _fields(value: Column, blanks: str = r"[ \t]+") -> Column:
@@ -45,8 +48,8 @@ def read_bed(spark: SparkSession, path: str, default_label: str = "region") -> D
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(chr, seq, ord): records of FASTA files, upper-cased; the name ends at the first blank."""
-    whole = spark.read.text(path, wholetext=True)
-    records = whole.select(F.posexplode(F.split(F.concat(F.lit("\n"), F.col("value")), "\n>")).alias("ord", "r")).filter(F.btrim("r") != "")
+    parts = spark.read.option("lineSep", "\n>").text(path)
+    records = parts.select(F.regexp_replace("value", "^>", "").alias("r"), F.monotonically_increasing_id().alias("ord")).filter(F.btrim("r", F.lit(" \t\r\n")) != "")
     head = F.regexp_extract("r", r"^(\S+)", 1)
     body = F.regexp_replace(F.regexp_replace("r", r"^[^\n]*\n?", ""), r"\s", "")
     return records.select(without_prefix(head).alias("chr"), F.upper(body).alias("seq"), "ord")
@@ -77,7 +80,7 @@ def read_sam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     body = rows.filter(~F.startswith("value", F.lit("@"))).withColumn("f", F.split("value", "\t"))
     fields = body.select(
         F.col("line").alias("ord"), f[0].alias("qname"), f[1].cast("int").alias("flag"), without_prefix(f[2]).alias("rname"), f[3].cast("int").alias("pos"), f[4].cast("int").alias("mapq"),
-        f[5].alias("cigar"), f[6].alias("rnext"), f[7].cast("int").alias("pnext"), f[8].cast("int").alias("tlen"), f[9].alias("seq"), f[10].alias("qual"), F.array_join(F.slice(f, 12, 1000), "\t").alias("tags"),
+        f[5].alias("cigar"), f[6].alias("rnext"), f[7].cast("int").alias("pnext"), f[8].cast("int").alias("tlen"), f[9].alias("seq"), f[10].alias("qual"), F.array_join(F.slice(f, 12, F.size(f)), "\t").alias("tags"),
     )
     return fields, header
 
@@ -96,11 +99,15 @@ def unmappable_captures(alignments: DataFrame) -> DataFrame:
     return alignments.filter(~((tag("X0") == "1") & (tag("X1") == "0"))).select(name(1).cast("int").alias("size"), name(2).alias("chr"), name(3).cast("int").alias("pos"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, header, seq, plus, qual): records of four lines."""
-    rows = _lines(spark, path).withColumn("ord", F.floor(F.col("line") / 4)).withColumn("k", F.col("line") % 4)
+def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(ord, header, seq, plus, qual): records of four lines, numbered through all files by path."""
+    rows = _lines(spark, path).withColumn("record", F.floor(F.col("line") / 4)).withColumn("k", F.col("line") % 4)
     one = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
-    return rows.groupBy("file", "ord").agg(one(0).alias("header"), one(1).alias("seq"), one(2).alias("plus"), one(3).alias("qual")).filter("qual IS NOT NULL AND header <> ''").select("ord", "header", "seq", "plus", "qual")
+    records = rows.groupBy("file", "record").agg(one(0).alias("header"), one(1).alias("seq"), one(2).alias("plus"), one(3).alias("qual")).filter("qual IS NOT NULL AND header <> ''")
+    sizes = rows.groupBy("file").agg(F.floor((F.max("line") + 1) / 4).alias("n"))
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
+    numbered = records.join(sizes.select("file", F.coalesce(before, F.lit(0)).alias("before")), "file")
+    return numbered.select((F.col("before") + F.col("record")).alias("ord"), "header", "seq", "plus", "qual")
 
 
 def read_qseq(spark: SparkSession, paths: list[str]) -> DataFrame:

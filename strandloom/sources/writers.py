@@ -64,10 +64,19 @@ def sam_lines(reads: DataFrame) -> DataFrame:
     return reads.select("ord", "disposition", F.when(F.col("tags") == "", line).otherwise(F.concat_ws("\t", line, "tags")).alias("value"))
 
 
-def write_routed(reads: DataFrame, path: str, sample: str | None = None) -> None:
-    """Alignments by disposition (and sample), a folder each."""
-    by = ["disposition"] + ([sample] if sample else [])
-    reads.write.partitionBy(*by).option("sep", "\t").csv(path)
+def write_routed(reads: DataFrame, path: str, header: DataFrame | None = None) -> None:
+    """SAM files by disposition, a folder each: header lines (line, value) first, then alignments in order.
+
+    A range shuffle by disposition and order lets a large folder have several parts, which follow one another
+    by name; the header stands in the first.
+    """
+    lines = sam_lines(reads)
+    if header is not None:
+        heads = lines.select("disposition").distinct().join(header.select("line", "value"), how="cross")  # a few of either
+        lines = lines.withColumn("part", F.lit(1)).unionByName(heads.select("disposition", F.lit(0).alias("part"), F.col("line").alias("ord"), "value"))
+    else:
+        lines = lines.withColumn("part", F.lit(1))
+    lines.orderBy("disposition", "part", "ord").select("disposition", "value").write.partitionBy("disposition").text(path)
 
 
 def read_group_header(barcodes: DataFrame) -> DataFrame:

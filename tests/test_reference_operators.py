@@ -1,4 +1,5 @@
 import math
+import functools
 import random
 
 import numpy as np
@@ -189,6 +190,27 @@ def test_tiling_covers_or_reports(spark, options):
         assert len(bases) == len(set(bases))
 
 
+def test_tiling_of_near_and_far_features(spark):
+    """Features whose probes compete are tiled in turn; those far apart give the same as each alone."""
+    p = DesignParams(min_capture_size=60, max_capture_size=60, arm_length_sums=(40,))
+
+    def rows(feature, start):
+        made = []
+        for place in range(start - 30, start + 60):
+            for strand in "+-":
+                left, right = (18, 22) if strand == "+" else (22, 18)
+                one, two = (place - left, place - 1), (place + 20, place + 19 + right)
+                ext, lig = (one, two) if strand == "+" else (two, one)
+                made.append(("1", feature, start, start + 50, place, place + 19, strand, 0.99, 0, *ext, *lig, 1, 1, 0.0))
+        return made
+
+    schema = "chr string, feature_id long, start_f int, stop_f int, scan_start int, scan_stop int, strand string, score double, snp_count int, ext_probe_start int, ext_probe_stop int, lig_probe_start int, lig_probe_stop int, ext_probe_copy int, lig_probe_copy int, arm_fraction_masked double"
+    picks = lambda *own: [(r.feature_id, r.scan_start, r.strand, r.phase) for r in tiling.pick(spark.createDataFrame([x for o in own for x in o], schema), p).orderBy("number").collect()]
+    one, near, far = rows(1, 1000), rows(2, 1055), rows(3, 9000)
+    assert picks(one, far) == picks(one) + picks(far)
+    assert picks(one, near)[: len(picks(one))] == picks(one) != [] and picks(one, near) != picks(one) + picks(near)
+
+
 def test_variants(spark):
     seq, feature = _feature(spark)
     rows = probes.with_sequences(probes.candidate_bounds(feature, PARAMS), PARAMS)
@@ -214,23 +236,21 @@ def test_names_cigars_and_clips(spark):
     assert _one(spark, A.shift_quality(F.lit("hB"))) == "I#"
 
 
+def _vote(state, vote):
+    """Leader and sums after one more base: ahead of the leader it leads, level with another's sum none does."""
+    (lead, sums), (base, quality) = state, vote
+    sums = {**sums, base: sums.get(base, 0) + quality}
+    ahead = sums[base] - sums.get(lead, 0)
+    return (base if ahead > 0 else lead if ahead < 0 or base == lead else "N"), sums
+
+
 def _consensus_model(group):
-    n = min(len(s) for s, _ in group)
-    seq, qual = "", ""
-    for i in range(n):
-        sums, lead = dict.fromkeys("ATGCN", 0), "N"
-        for s, q in group:
-            if s[i] == "N":
-                continue
-            sums[s[i]] += ord(q[i]) - 33
-            if sums[s[i]] > sums[lead]:
-                lead = s[i]
-            elif sums[s[i]] == sums[lead] and s[i] != lead:
-                lead = "N"
-        total = sum(v if b == lead else -v for b, v in sums.items() if b != "N")
-        seq += lead
-        qual += "I" if total > 40 else "#" if total < 2 else chr(total + 33)
-    return seq, qual
+    out = []
+    for column in zip(*[list(zip(s, (ord(c) - 33 for c in q))) for s, q in group]):
+        lead, sums = functools.reduce(_vote, [v for v in column if v[0] != "N"], ("N", {}))
+        margin = 2 * sums.get(lead, 0) - sum(sums.values())
+        out.append((lead, chr(33 + margin) if 2 <= margin <= 40 else "#I"[margin > 40]))
+    return tuple("".join(x) for x in zip(*out))
 
 
 def test_consensus_against_plain_fold(spark):
@@ -305,7 +325,7 @@ def test_formats(spark, tmp_path):
         (tmp_path / name).write_text(text)
         return str(tmp_path / name)
 
-    bed = readers.read_bed(spark, file("a.bed", "# c\nchr7 100 220 geneA\n7\t5\t9\n\n")).collect()
+    bed = readers.read_bed(spark, file("a.bed", "# c\nchr7 100 220 geneA\n7\t5\t9\n\n")).orderBy("ord").collect()
     assert [tuple(r)[:4] for r in bed] == [("7", 100, 220, "geneA"), ("7", 5, 9, "region")]
     fasta = readers.read_fasta(spark, file("a.fa", ">chr7 x\nacgt\nAC\n>8\nTT\n")).orderBy("chr").collect()
     assert [(r.chr, r.seq) for r in fasta] == [("7", "ACGTAC"), ("8", "TT")]
@@ -313,9 +333,16 @@ def test_formats(spark, tmp_path):
     assert [tuple(r) for r in vcf] == [("7", 130, "AT"), ("7", 141, "ACGA"), ("7", 142, "ACGA")]
     fastq = readers.read_fastq(spark, file("a.fq", "@r1\nACGT\n+\nIIII\n@r2\nAA\n+\nI#\n")).orderBy("ord")
     assert [(r.ord, r.header, r.seq, r.qual) for r in fastq.collect()] == [(0, "@r1", "ACGT", "IIII"), (1, "@r2", "AA", "I#")]
+    several = readers.read_fastq(spark, [file("b1.fq", "@a1\nA\n+\nI\n"), file("b2.fq", "@b1\nC\n+\nI\n@b2\nG\n+\nI\n")]).orderBy("ord")
+    assert [(r.ord, r.header) for r in several.collect()] == [(0, "@a1"), (1, "@b1"), (2, "@b2")]
     writers.write_fastq(fastq, str(tmp_path / "out"), compress=True)
     assert readers.read_fastq(spark, str(tmp_path / "out")).count() == 2
     sam, head = readers.read_sam(spark, file("a.sam", "@HD\tx\nchr7:10-25\t0\tchr7\t10\t60\t16M\t*\t0\t0\tA\tI\tX0:i:3\nchr7:1-9\t0\tchr7\t10\t60\t16M\t*\t0\t0\tA\tI\n"))
+    routed = sam.withColumn("disposition", F.when(F.col("ord") == 1, "used").otherwise("unmapped"))
+    writers.write_routed(routed, str(tmp_path / "routed"), head)
+    lines = {d: [x for part in sorted((tmp_path / "routed" / f"disposition={d}").glob("part-*")) for x in part.read_text().splitlines()] for d in ("used", "unmapped")}
+    assert lines["used"] == ["@HD\tx", "chr7:10-25\t0\t7\t10\t60\t16M\t*\t0\t0\tA\tI\tX0:i:3"]
+    assert lines["unmapped"] == ["@HD\tx", "chr7:1-9\t0\t7\t10\t60\t16M\t*\t0\t0\tA\tI"]
     assert head.count() == 1 and [tuple(r) for r in readers.copy_counts(sam).orderBy("start").collect()] == [("7", 1, 9, 100), ("7", 10, 25, 3)]
     qseq = readers.read_qseq(spark, [file("a.qseq", "m\t1\t3\t1101\t5\t6\t0\t1\tAC.T\thhhB\t1\n")])
     assert tuple(reads.qseq_records(qseq, "run").first())[1:] == ("@run:3:1101:5:6:1", "ACNT", "+", "III#")
