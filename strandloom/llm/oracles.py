@@ -96,7 +96,7 @@ x AS (SELECT doc_id, i, hash(list_slice(words, i, i + 7)) AS h FROM (SELECT doc_
 t AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS n FROM x) WHERE n > 1),
 c AS (SELECT doc_id, CAST(sum(least({Q.WINDOW}, coalesce(nxt - i, {Q.WINDOW}))) AS BIGINT) AS n FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM t) GROUP BY doc_id),
 b AS (SELECT a.doc_id, lang, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
-  list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(c.n, 0) AS n_repeat_words, CAST(length(text) AS BIGINT) AS chars, CAST(strlen(text) - length(text) AS BIGINT) AS wide,
+  list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(c.n, 0) AS n_repeat_words, CAST(length(text) AS BIGINT) AS chars, CAST(length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS BIGINT) AS wide,
   CAST(length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS BIGINT) AS upper, CAST(length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS BIGINT) AS digit, CAST(length(text) - length(regexp_replace(text, '[.,;:!?]', '', 'g')) AS BIGINT) AS stop,
   list_filter(words, lambda w: w IN ({", ".join(f"'{w}'" for w in Q.COMMON_WORDS)})) AS found FROM a LEFT JOIN c ON c.doc_id = a.doc_id),
 d AS (SELECT doc_id, lang, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words,

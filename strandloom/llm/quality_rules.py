@@ -96,7 +96,7 @@ def profile(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang
         repeated_lines(F.col("text")).alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.char_length("text").cast("long").alias("chars"),
-        (F.octet_length("text") - F.char_length("text")).cast("long").alias("wide"),
+        F.when(F.octet_length("text") == F.char_length("text"), 0).otherwise(F.regexp_count("text", F.lit(r"[^\x00-\x7F]"))).cast("long").alias("wide"),
         F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("upper"),
         F.regexp_count("text", F.lit("[0-9]")).cast("long").alias("digit"),
         F.regexp_count("text", F.lit("[.,;:!?]")).cast("long").alias("stop"),

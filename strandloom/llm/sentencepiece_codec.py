@@ -408,15 +408,16 @@ def encode(docs: DataFrame, path: str = MODEL_PATH, text: str = "text", ids: str
 
 
 def decode(encoded: DataFrame, path: str = MODEL_PATH, ids: str = "ids", text: str = "text") -> DataFrame:
-    """Replace or add the text column by decoding the ids; null ids give null."""
+    """Replace or add the text column by decoding the ids; null ids give null, no ids an empty text, and
+    an empty table an empty one."""
     kept = [c for c in encoded.columns if c != text]
     schema = T.StructType([encoded.schema[c] for c in kept] + [T.StructField(text, T.StringType())])
     shared = encoded.sparkSession.sparkContext.broadcast(model_bytes(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared)
-        for batch in batches:
-            texts = [None if x is None else codec.decode(x) for x in batch.column(ids).to_pylist()]
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            texts = [codec.decode(x.as_py()) if x.is_valid else None for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(texts, pa.string())], names=kept + [text])
 
     return encoded.select(*kept).mapInArrow(run, schema)
