@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from strandloom.llm import sentencepiece_codec, source_mixing, toxicity
+from strandloom.llm import exact_dedup, sentencepiece_codec, source_mixing, toxicity
 from tests.llm.test_dedup import _family, brute
 
 
@@ -35,3 +35,24 @@ def test_run_against_brute_force(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.ids) for r in got) == want
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "jaccard_join", "source_mixing", "sentencepiece"]
+
+
+def test_edges_and_held_results(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, evidence string, ids string, row long, digest string"
+    texts = [(1, None), (2, ""), (2, ""), (3, " \n"), (None, "some words that only one row has here"), (4, "Twice the same text in capitals and not"), (5, "twice THE same text in capitals and not"), (6, "long " * 40_000)]
+    docs = spark.createDataFrame([(i, t, None, None if i == 6 else "s", 0, "mine", "mine", 7, "mine") for i, t in texts], schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    held = exact_dedup.resolve(docs)
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert set(got.columns) == {*docs.columns, "n_tokens"} - {"text"} and dict(got.dtypes)["ids"] == "array<int>"
+    rows = got.collect()
+    assert all(r.evidence == "mine" and r.row == 7 and r.digest == "mine" for r in rows)
+    assert {r.doc_id for r in rows} <= {2, 3, None, 5, 6} and held.count() == len(texts)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == [], name
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.drop_copies(spark, docs, "").collect()) == [0, 2, 3, 5, 6]
+    # both texts of five words or more that differ in case are near copies; texts without words all stay
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 1, 2, 2, 3, 4, 6]
