@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space: U+0020 and U+0009 to U+000D. A word is a run of anything else.
@@ -162,3 +162,17 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     Call it on settled tables, where counting is cheap.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df, settled, with place: how many rows come before each in that order.
+
+    A range shuffle sorts the rows; a row's place is its place in its partition plus the sizes of the
+    partitions before it. Only those sizes, a row per partition, meet in one task.
+    """
+    ordered = settle(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("__at", 33)
+    parts = ordered.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = parts.select("__part", (before - F.col("first")).alias("__shift"))
+    return ordered.join(F.broadcast(shifts), part == F.col("__part")).withColumn("place", F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")

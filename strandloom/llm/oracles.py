@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from . import embedding_dedup as E
+from . import hard_negatives as H
 from . import license_rules as L
 from . import quality_rules as Q
+from . import resampling as R
 from . import source_mixing as M
 from . import url_filter as U
 
@@ -136,4 +139,44 @@ x AS (SELECT doc_id, CASE WHEN len(wi) > len(li) THEN wi ELSE li END AS sentence
 SELECT doc_id, sentence_ids, {_FIRST} AS licenses, a[1] AS license FROM x
 """
 
-ORACLES = {"op5_url_filter": OP5, "op6_quality_rules": OP6, "op7_exact_dedup": OP7, "op8_source_mixing": OP8, "op10_license_rules": OP10}
+# -- vectors
+
+OP11 = f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= {E.THRESHOLD}),
+r(node, reached) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached),
+c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM c JOIN embeddings ON vec_id = node LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) ON a = node
+"""
+
+OP12 = f"""
+WITH r AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor({H.STEPS} * x::DOUBLE)) AS q FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= {H.POSITIVES})
+SELECT anchor_id, positive_id, CAST(row_number() OVER o AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND {H.LEAST_PERCENT} * positive_score <= 100 * score AND score <= positive_score
+WINDOW o AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER o <= {H.NEGATIVES}
+"""
+
+# -- resampling: CRC-32 of every distinct word by its table of 256 entries, made from the polynomial
+
+_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_BYTES = "list_transform(range(0, length(hex(encode(word))) // 2), lambda i: CAST(CAST('0x' || substring(hex(encode(word)), CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) AS BIGINT))"
+_GUMBEL = f"CAST(floor(-{R.UNITS} * ln(-ln((CAST('0x' || substring(sha256('{R.SEED}:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT)"
+_RUNS = r"list_filter(regexp_split_to_array({0}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+OP13 = f"""
+WITH RECURSIVE steps(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, {_STEP} FROM steps WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS entries FROM steps WHERE k = 8),
+d AS MATERIALIZED (SELECT doc_id, {_RUNS.format(_LOWER)} AS words FROM documents), g AS MATERIALIZED (SELECT {_RUNS.format(_LOWER)} AS words FROM benchmark),
+dw AS MATERIALIZED (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word FROM d) GROUP BY ALL), gw AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM g) GROUP BY ALL),
+b AS MATERIALIZED (SELECT word, xor(list_reduce(list_concat([4294967295], {_BYTES}), lambda s, x: xor(s >> 8, entries[(xor(s, x) & 255) + 1])), 4294967295) % {R.BUCKETS} AS bucket FROM (SELECT word FROM dw UNION SELECT word FROM gw), crc),
+s AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS n FROM dw JOIN b USING (word) GROUP BY bucket), t AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS n FROM gw JOIN b USING (word) GROUP BY bucket),
+gain AS (SELECT s.bucket, CAST(floor({R.UNITS} * ln(((coalesce(t.n, 0) + 1) * ((SELECT sum(n) FROM s) + {R.BUCKETS}))::DOUBLE / ((s.n + 1) * (coalesce((SELECT sum(n) FROM t), 0) + {R.BUCKETS}))::DOUBLE)) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT doc_id, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM dw JOIN b USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+x AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + {_GUMBEL} AS score FROM d LEFT JOIN w USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {R.LEAST_WORDS} ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= {R.LEAST_WORDS}) AS of FROM x)
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN n_features >= {R.LEAST_WORDS} AND place <= {R.PERCENT} * of // 100 THEN place END AS BIGINT) AS rank FROM o
+"""
+
+ORACLES = {"op5_url_filter": OP5, "op6_quality_rules": OP6, "op7_exact_dedup": OP7, "op8_source_mixing": OP8, "op10_license_rules": OP10, "op11_embedding_dedup": OP11, "op12_hard_negatives": OP12, "op13_importance_resampling": OP13}
