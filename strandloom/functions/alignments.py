@@ -84,20 +84,20 @@ def soft_clipped(flag: Column, cigar: Column) -> Column:
     )
 
 
-def disposition(has_barcode: Column, tag_bad: Column, unmapped: Column, off_target: Column, wrong_length: Column, trim_status: Column) -> Column:
+def disposition(has_barcode: Column, tag_bad: Column, unmapped: Column, off_target: Column, wrong_length: Column, trim_status: Column, clipped: Column | None = None, single: bool = False) -> Column:
     """First case that holds of a read, from the columns flag, rnext, pnext, pos and cigar.
 
-    The order is: skipped, bad tag, discordant, improper flag, soft-clipped, unmapped, off target,
-    imperfect arms, on target.
+    The order is: skipped, bad tag, discordant (unless all reads are single), improper flag, soft-clipped, unmapped,
+    off target, imperfect arms, on target.
     """
     flag = F.col("flag")
     apart = ~is_single(flag) & ((F.col("rnext") != "=") | ((F.col("pnext") != 0) & (F.abs(F.col("pos") - F.col("pnext")) > 1000)))
     return (
         F.when(~has_barcode, "skipped")
         .when(tag_bad, "bad_tag")
-        .when(apart, "discordant")
+        .when(apart & ~F.lit(single), "discordant")
         .when(~flag.isin(0, 16, 147, 99, 83, 163), "improper")
-        .when(soft_clipped(flag, F.col("cigar")), "soft_clipped")
+        .when(soft_clipped(flag, F.col("cigar")) if clipped is None else clipped, "soft_clipped")
         .when(unmapped, "unmapped")
         .when(off_target | wrong_length, "off_target")
         .when(trim_status == 1, "improper")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import alignments as A
@@ -109,8 +113,9 @@ def probe_sites(design: DataFrame, flex: int) -> DataFrame:
 
 
 def assign_probes(reads: DataFrame, sites: DataFrame) -> DataFrame:
-    """Reads with the key of the probe they start (or, reversed, end) at; "chr:start-stop/g" without one.
+    """Reads with the key of the probe they start (or, reversed, end) at; "chr:start-stop/0,0/g" without one.
 
+    Without one, start and stop are those of a single read, or a pair's first position and its length.
     Single reads: flag 16 is a plus probe found by its start, 0 a minus one; pairs by flag: 83 and 163
     plus, 99 and 147 minus. Reverse reads are placed by their last base.
     """
@@ -121,17 +126,24 @@ def assign_probes(reads: DataFrame, sites: DataFrame) -> DataFrame:
     placed = reads.withColumns({"__strand": strand, "__side": F.when(stop, "stop").otherwise("start"), "__at": F.when(stop, end).otherwise(F.col("pos"))})
     of = sites.select(F.col("chr").alias("rname"), F.col("side").alias("__side"), F.col("pos").alias("__at"), F.col("strand").alias("__strand"), "mip_key")
     joined = placed.join(of, ["rname", "__side", "__at", "__strand"], "left")
-    other = F.format_string("%s:%d-%d/g", F.col("rname"), F.col("pos"), F.when(A.is_single(flag), end).otherwise(F.abs("tlen")))
+    other = F.format_string("%s:%d-%d/0,0/g", F.col("rname"), F.when(A.is_single(flag), F.col("pos")).otherwise(F.least("pos", "pnext")), F.when(A.is_single(flag), end + 1).otherwise(F.abs("tlen")))
     return joined.withColumn("mip_key", F.coalesce("mip_key", other)).drop("__side", "__at", "__strand")
 
 
-def dispositions(reads: DataFrame, params: CollapseParams) -> DataFrame:
-    """Reads with their disposition: the first case that holds, counted by ``disposition_counts``."""
+def dispositions(reads: DataFrame, params: CollapseParams, known_probes: bool = True, trimmed: bool = False) -> DataFrame:
+    """Reads with their disposition: the first case that holds, counted by ``disposition_counts``.
+
+    Without known probes no key is off target. A pair is, if its length neither equals what the read spans
+    nor is within flex of its probe's. ``trimmed``: trim_status counts.
+    """
     start, stop = F.regexp_extract("mip_key", r":(\d+)-(\d+)/", 1), F.regexp_extract("mip_key", r":(\d+)-(\d+)/", 2)
-    length = F.try_subtract(stop.try_cast("int"), start.try_cast("int"))
-    far = ~A.is_single(F.col("flag")) & F.coalesce(F.abs(F.abs("tlen") - length) > params.flex + 1, F.lit(False))
+    length, flag = F.try_subtract(stop.try_cast("int"), start.try_cast("int")), F.col("flag")
+    paired = ~A.is_single(flag) & ~F.lit(params.single_end)
+    far = paired & (F.abs("tlen") != A.reference_span(F.col("cigar"))) & F.coalesce(F.abs(F.abs("tlen") - length) > params.flex, F.lit(False))
     bad_tag = F.rlike("mtag", F.lit("[^ATCG]")) if params.picky_tags else F.lit(False)
-    column = A.disposition(F.coalesce(F.col("barcode") != "", F.lit(False)), bad_tag, F.col("cigar") == "*", F.endswith("mip_key", F.lit("/g")), far, F.lit(0))
+    clipped = F.lit(False) if not params.drop_soft_clipped else F.contains("cigar", F.lit("S")) if params.single_end else A.soft_clipped(flag, F.col("cigar"))
+    off, status = (F.endswith("mip_key", F.lit("/g")) if known_probes else F.lit(False)), (F.col("trim_status") if trimmed else F.lit(0))
+    column = A.disposition(F.coalesce(F.col("barcode") != "", F.lit(False)), bad_tag, F.col("rname") == "*", off, far, status, clipped, params.single_end)
     return reads.withColumn("disposition", column)
 
 
@@ -142,12 +154,14 @@ def disposition_counts(reads: DataFrame) -> DataFrame:
 # -- trimming probe arms off reads
 
 
-def trim_arms(reads: DataFrame) -> DataFrame:
+def trim_arms(reads: DataFrame, exact: bool = False) -> DataFrame:
     """Reads without their probe's arms: new_pos, new_cigar, new_seq, new_qual and trim_status.
 
     The CIGAR is written out to one entry per base of read or reference; entries keep their read offset
     and their distance from the first base of the scan, and what lies in 0 to the scan's last base stays.
     Status 1: a flag that has no strand; an alignment that ends in the first arm keeps "0M" and no bases.
+    Status 2, if ``exact``: the bases before the scan aren't the head of first_arm, or those behind it, as far as
+    the read goes, aren't the head of second_arm (a read without these columns' values passes).
     """
     flag, key = F.col("flag"), F.col("mip_key")
     number = lambda pattern, g: F.regexp_extract(key, pattern, g).try_cast("int")
@@ -171,7 +185,7 @@ def trim_arms(reads: DataFrame) -> DataFrame:
 
     def cut(x: Column) -> Column:
         refs = F.contains(F.lit("MDN=X"), x["op"])
-        low = F.when(refs, F.greatest(F.col("__first") - x["ref"], F.lit(0))).otherwise(F.when(x["ref"] < F.col("__first"), x["n"]).when((x["ref"] == F.col("__first")) & (F.col("__first") > F.col("pos")), x["n"]).otherwise(0))
+        low = F.when(refs, F.greatest(F.col("__first") - x["ref"], F.lit(0))).otherwise(F.when(x["ref"] < F.col("__first"), x["n"]).otherwise(0))
         high = F.when(refs, F.least(x["n"], F.col("__last") - x["ref"] + 1)).otherwise(F.when(x["ref"] > F.col("__last"), 0).otherwise(x["n"]))
         kept = F.greatest(F.lit(0), high - low)
         uses = F.contains(F.lit("MIS=X"), x["op"])
@@ -184,7 +198,13 @@ def trim_arms(reads: DataFrame) -> DataFrame:
     part = lambda c: F.when(none, "").otherwise(F.substr(F.col(c), (lo + 1).cast("int"), (hi - lo).cast("int")))
     text = F.array_join(F.transform("__kept", lambda x: F.concat(x["n"].cast("string"), x["op"])), "")
     moved = F.when(F.col("__first") > F.col("pos"), F.col("__first")).otherwise(F.col("pos"))
-    return cutted.withColumns({"trim_status": F.when(known, 0).otherwise(1), "new_pos": F.when(known, moved).otherwise(F.col("pos")), "new_cigar": F.when(~trimmed, F.col("cigar")).when(none, "0M").otherwise(text), "new_seq": F.when(trimmed, part("seq")).otherwise(F.col("seq")), "new_qual": F.when(trimmed, part("qual")).otherwise(F.col("qual"))}).drop("__ops", "__first", "__last", "__kept")
+    status = F.when(known, 0).otherwise(1)
+    if exact:
+        before, behind = F.when(none, F.length("seq")).otherwise(lo).cast("int"), F.when(none, F.lit("")).otherwise(F.substr(F.col("seq"), (hi + 1).cast("int")))
+        shared = F.least(F.length("second_arm"), F.length(behind))
+        wrong = (F.left("seq", before) != F.left("first_arm", before)) | (F.left("second_arm", shared) != F.left(behind, shared))
+        status = F.when(status == 1, 1).when(trimmed & F.coalesce(wrong, F.lit(False)), 2).otherwise(0)
+    return cutted.withColumns({"trim_status": status, "new_pos": F.when(known, moved).otherwise(F.col("pos")), "new_cigar": F.when(~trimmed, F.col("cigar")).when(none, "0M").otherwise(text), "new_seq": F.when(trimmed, part("seq")).otherwise(F.col("seq")), "new_qual": F.when(trimmed, part("qual")).otherwise(F.col("qual"))}).drop("__ops", "__first", "__last", "__kept")
 
 
 # -- tag groups
@@ -198,11 +218,39 @@ def tag_groups(reads: DataFrame, keys: tuple[str, ...] = ("mip_key", "barcode",
 
 def dominant(reads: DataFrame, keys: tuple[str, ...] = ("mip_key", "barcode", "mtag", "read_number")) -> DataFrame:
     """The most frequent (pos, cigar) of each group; of equals that of the larger quality sum, then the
-    larger pair. Quality sums are of Phred values."""
+    larger pair. Quality sums are of Phred values; shortest is the length of its shortest read."""
     quality = F.aggregate(A.phred(F.col("qual")), F.lit(0), lambda s, q: s + q)
-    counted = reads.groupBy(*keys, "pos", "cigar").agg(F.count(F.lit(1)).alias("n"), F.sum(quality).alias("quality"))
-    best = counted.groupBy(*keys).agg(F.max(F.struct("n", "quality", "pos", "cigar")).alias("b"))
-    return best.select(*keys, F.col("b.pos").alias("pos"), F.col("b.cigar").alias("cigar"), F.col("b.n").alias("n"), F.col("b.quality").alias("quality"))
+    length = F.min(F.length("seq")) if "seq" in reads.columns else F.lit(None).cast("int")
+    counted = reads.groupBy(*keys, "pos", "cigar").agg(F.count(F.lit(1)).alias("n"), F.sum(quality).alias("quality"), length.alias("shortest"))
+    best = counted.groupBy(*keys).agg(F.max(F.struct("n", "quality", "pos", "cigar", "shortest")).alias("b"))
+    return best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in ("pos", "cigar", "n", "quality", "shortest")])
+
+
+class Fold:
+    """Consensus of reads, taken one by one: what ``consensus`` does to a group, for all places at once."""
+
+    _CODES = np.full(256, len(BASES), np.uint8)
+    _CODES[[ord(b) for b in BASES]] = range(len(BASES))
+
+    def __init__(self, length: int):
+        self.length, self.place = length, np.arange(length)
+        self.sums = np.zeros((len(BASES) + 1, length), np.int64)  # the last, of N, stays 0
+        self.lead = np.full(length, len(BASES), np.uint8)
+
+    def add(self, seq: str, qual: str) -> None:
+        """Places that seq or qual doesn't have count as N."""
+        bases = self._CODES[np.frombuffer(seq[: self.length].encode("latin-1", "replace").ljust(self.length, b"N"), np.uint8)]
+        values = np.frombuffer(qual[: self.length].encode("latin-1", "replace").ljust(self.length, b"!"), np.uint8).astype(np.int64) - 33
+        known = bases < len(BASES)
+        self.sums[bases[known], self.place[known]] += values[known]
+        mine, leads = self.sums[bases, self.place], self.sums[self.lead, self.place]
+        tied = known & (mine == leads) & (bases != self.lead)
+        self.lead = np.where(known & (mine > leads), bases, np.where(tied, len(BASES), self.lead)).astype(np.uint8)
+
+    def result(self) -> tuple[str, str]:
+        total = 2 * self.sums[self.lead, self.place] - self.sums.sum(axis=0)
+        qual = np.where(total > 40, ord("I"), np.where(total < 2, ord("#"), total + 33)).astype(np.uint8)
+        return np.frombuffer(f"{BASES}N".encode(), np.uint8)[self.lead].tobytes().decode(), qual.tobytes().decode()
 
 
 def consensus(reads: DataFrame, keys: tuple[str, ...] = ("mip_key", "barcode", "mtag", "read_number"), order: str = "ord") -> DataFrame:
@@ -210,27 +258,53 @@ def consensus(reads: DataFrame, keys: tuple[str, ...] = ("mip_key", "barcode", "
 
     All reads are cut to the shortest. At each position bases gather their qualities; a base leads as
     soon as its sum exceeds the leader's, a tie with another base puts N in the lead, whose own sum is 0.
-    The quality is the leader's sum less all others'. A fold per position over at most a group's reads;
-    groups are split by position before they are gathered.
+    The quality is the leader's sum less all others'. A leader depends on what came before, so a group is read
+    once in order: sorted partitions pass by in batches, and of a group only sums per position are held.
     """
-    shortest = F.min(F.length("seq")).over(Window.partitionBy(*keys))
-    cut = reads.withColumn("__n", shortest).filter("__n > 0")
-    bases = cut.select(*keys, order, F.posexplode(F.zip_with(F.slice(F.split("seq", ""), 1, F.col("__n")), F.slice(A.phred(F.col("qual")), 1, F.col("__n")), lambda b, q: F.struct(b.alias("b"), q.alias("q")))).alias("place", "x"))
-    stacked = bases.groupBy(*keys, "place").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("x.b").alias("b"), F.col("x.q").alias("q")))).alias("column"))
-    start = F.struct(F.lit("N").alias("lead"), *[F.lit(0).alias(b) for b in BASES])
-
-    def vote(s: Column, x: Column) -> Column:
-        sums = {b: s[b] + F.when(x["b"] == b, x["q"]).otherwise(0) for b in BASES}
-        of = lambda base: F.coalesce(*[F.when(base == b, sums[b]) for b in BASES], F.lit(0))
-        mine, leads = of(x["b"]), of(s["lead"])
-        lead = F.when(x["b"] == "N", s["lead"]).when(mine > leads, x["b"]).when((mine == leads) & (x["b"] != s["lead"]), "N").otherwise(s["lead"])
-        return F.struct(lead.alias("lead"), *[sums[b].alias(b) for b in BASES])
-
-    voted = stacked.withColumn("v", F.aggregate("column", start, vote))
-    total = sum((F.when(F.col("v.lead") == b, F.col(f"v.{b}")).otherwise(-F.col(f"v.{b}")) for b in BASES), F.lit(0))
-    per = voted.select(*keys, F.struct("place", F.col("v.lead").alias("b"), A.phred_char(total).alias("q")).alias("p"))
-    lines = per.groupBy(*keys).agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    return lines.select(*keys, F.array_join(F.transform("ps", lambda p: p["b"]), "").alias("seq"), F.array_join(F.transform("ps", lambda p: p["q"]), "").alias("qual"))
+    shortest = reads.groupBy(*keys).agg(F.min(F.length("seq")).alias("__n")).filter("__n > 0")
+    named = {k: f"__{k}" for k in keys}
+    same = [F.col(k).eqNullSafe(F.col(named[k])) for k in keys]
+    cut = reads.join(shortest.withColumnsRenamed(named), same).select(*keys, order, "seq", "qual", "__n")
+    return _folded(cut, keys, [order])
+
+
+def consensus_of_dominant(reads: DataFrame, keys: tuple[str, ...] = ("mip_key", "barcode", "mtag", "read_number"), order: str = "ord") -> DataFrame:
+    """keys, pos, cigar, seq and qual: each group's dominant place and form and the consensus of the reads that
+    have it. Groups whose shortest such read is empty have empty ones."""
+    best = dominant(reads, keys).select(*keys, "pos", "cigar", F.col("shortest").alias("__n"))
+    chosen = reads.join(best, [*keys, "pos", "cigar"]).select(*keys, "pos", "cigar", order, "qname", "seq", "qual", "__n")
+    return _folded(chosen, (*keys, "pos", "cigar"), [order, "qname"])
+
+
+def _folded(rows: DataFrame, keys: tuple[str, ...], order: list[str]) -> DataFrame:
+    """keys, seq and qual from rows that carry their group's shortest length in __n."""
+    names = list(keys)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = None, None  # the group that is being read: its key columns, its fold
+
+        def done() -> pa.RecordBatch:
+            seq, qual = now.result()
+            return pa.RecordBatch.from_arrays([*held.columns, pa.array([seq]), pa.array([qual])], names=[*names, "seq", "qual"])
+
+        for batch in batches:
+            own = batch.select(names)
+            values, last = list(zip(*[c.to_pylist() for c in own.columns], strict=True)), None
+            before = None if held is None else tuple(c[0].as_py() for c in held.columns)
+            for i, (seq, qual, n) in enumerate(zip(batch["seq"].to_pylist(), batch["qual"].to_pylist(), batch["__n"].to_pylist(), strict=True)):
+                if values[i] != (last or before):
+                    if now is not None:
+                        yield done()
+                    held, now = own.slice(i, 1), Fold(n)
+                last = values[i]
+                now.add(seq, qual)
+        if now is not None:
+            yield done()
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in names], "seq string", "qual string"])
+    sorted_ = rows.repartition(*names).sortWithinPartitions(*names, *order)
+    return sorted_.select(*names, "seq", F.coalesce("qual", F.lit("")).alias("qual"), "__n").mapInArrow(fold, schema)
 
 
 def chosen_read(reads: DataFrame, keys: tuple[str, ...] = ("mip_key", "barcode", "mtag", "read_number"), seed: int = 0) -> DataFrame:

@@ -85,7 +85,10 @@ class CollapseParams:
     key_by_reference: bool = False
     exact_arms: bool = False
     trim: bool = True
+    tolerant: bool = False  # barcodes may differ by one base
+    drop_soft_clipped: bool = True
     split_by_barcode: bool = False
+    seed: int = 0
 
     @property
     def tags(self) -> int:

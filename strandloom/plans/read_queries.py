@@ -43,7 +43,7 @@ def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = (F.col("user_id") * 100).cast("int")
     return e.select(
         n.alias("ord"), F.concat(F.lit("c"), n.cast("string"), F.lit("#"), F.when(n % 11 == 0, "").otherwise("ACGT"), F.lit("-"), F.translate(F.col("user_id").cast("string"), "0123456789", "ACGTNACGTA")).alias("qname"),
-        flag.alias("flag"), F.lit("1").alias("rname"), pos.alias("pos"), cigar.alias("cigar"), F.when(n % 7 == 0, "2").otherwise("=").alias("rnext"), (pos + (n % 3000).cast("int")).alias("pnext"), (n % 200).cast("int").alias("tlen"),
+        flag.alias("flag"), F.when(n % 13 == 0, "*").otherwise("1").alias("rname"), pos.alias("pos"), cigar.alias("cigar"), F.when(n % 7 == 0, "2").otherwise("=").alias("rnext"), (pos + (n % 3000).cast("int")).alias("pnext"), (n % 200).cast("int").alias("tlen"),
         F.when(n % 3 == 0, F.format_string("1:%d-%d/g", pos, pos + 50)).otherwise(F.format_string("1:%d-%d/16,24/+", pos, pos + 100)).alias("mip_key"),
     )
 
@@ -55,12 +55,12 @@ def read_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 READ_DISPOSITION = """
-WITH r AS (SELECT event_id AS n, [0, 16, 83, 99, 147, 163, 4, 81][event_id % 8 + 1] AS flag, ['50M', '10S40M', '45M5S', '*', '20M2D28M'][event_id % 5 + 1] AS cigar, CAST(user_id AS VARCHAR) AS u FROM events),
+WITH r AS (SELECT event_id AS n, [0, 16, 83, 99, 147, 163, 4, 81][event_id % 8 + 1] AS flag, ['50M', '10S40M', '45M5S', '*', '20M2D28M'][event_id % 5 + 1] AS cigar, [50, 40, 45, 0, 50][event_id % 5 + 1] AS span, CAST(user_id AS VARCHAR) AS u FROM events),
 d AS (SELECT *, flag % 2 = 0 AS single FROM r)
 SELECT CASE WHEN n % 11 = 0 THEN 'skipped' WHEN contains(u, '4') THEN 'bad_tag' WHEN NOT single AND (n % 7 = 0 OR (n % 3000) > 1000) THEN 'discordant'
   WHEN flag NOT IN (0, 16, 147, 99, 83, 163) THEN 'improper'
   WHEN (single AND contains(cigar, 'S')) OR (flag IN (163, 99) AND cigar = '10S40M') OR (flag IN (83, 147) AND cigar = '45M5S') THEN 'soft_clipped'
-  WHEN cigar = '*' THEN 'unmapped' WHEN n % 3 = 0 OR (NOT single AND abs(n % 200 - 100) > 11) THEN 'off_target' ELSE 'on_target' END AS disposition, count(*) AS n_reads
+  WHEN n % 13 = 0 THEN 'unmapped' WHEN n % 3 = 0 OR (NOT single AND n % 200 <> span AND abs(n % 200 - 100) > 10) THEN 'off_target' ELSE 'on_target' END AS disposition, count(*) AS n_reads
 FROM d GROUP BY 1
 """
 
