@@ -21,6 +21,8 @@ from .collapse import event_time
 
 #: rname of the row that ends the input: every site is done behind it.
 END = "="
+#: Event time of that row, in seconds: behind the line of all chromosomes, and within what Arrow's timestamps hold.
+LAST = 1 << 33
 _HELD = (*SAM, *GROUP, "sample", "read_number", "cluster", "span", "draw", "done_at")
 
 
@@ -75,7 +77,7 @@ def collapse_sites(reads: DataFrame, params: CollapseParams, offsets: DataFrame,
     that are dropped. Reads that aren't on target aren't held. Needs the RocksDB state store.
     """
     placed = reads.join(offsets, "rname", "left")
-    at = F.when(F.col("rname") == END, F.lit(1 << 36)).otherwise(F.coalesce(F.col("offset") + F.col("pos"), F.lit(0)))
+    at = F.when(F.col("rname") == END, F.lit(LAST)).otherwise(F.coalesce(F.col("offset") + F.col("pos"), F.lit(0)))
     timed = placed.withColumn("site_at", event_time(F.lit(0), at)).withWatermark("site_at", f"{delay} seconds")
     # the last row goes through, as Spark moves filters in front of the watermark
     on = annotate(timed, params, design, barcodes).filter((F.col("disposition") == "on_target") | (F.col("rname") == END))
