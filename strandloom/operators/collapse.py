@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignments as A
 from ..params import CollapseParams
+from ..tables import written
 from . import reads as R
 from .complexity import ALL_POSITIONS, ALL_SAMPLES, complexity, distinct_probability, marginals, with_saturation
 from .complexity import collapse_free as counted_free
@@ -115,7 +116,8 @@ def collapse(annotated: DataFrame, params: CollapseParams) -> Collapsed:
     annotated: as ``annotate`` returns it. Reads are taken in the order of ord; ties between rows that repeat go
     by name. With params.collapse_free reads are passed on as they are and counted one by one. No reads give none.
     """
-    on = annotated.filter("disposition = 'on_target'")
+    on = annotated.filter("disposition = 'on_target'").select(*SAM, *GROUP, "sample", "read_number", "cluster", "span")
+    on = written(on, "on_target")  # read several times below
     if params.collapse_free:
         return Collapsed(on.select(*SAM, *GROUP, "sample", "read_number", F.lit("uncollapsed").alias("route")), counted_free(on))
     counts = complexity(on)

@@ -308,8 +308,10 @@ def _folded(rows: DataFrame, keys: tuple[str, ...], order: list[str]) -> DataFra
 
 
 def chosen_read(reads: DataFrame, keys: tuple[str, ...] = ("mip_key", "barcode", "mtag", "read_number"), seed: int = 0) -> DataFrame:
-    """One read per group by a seeded hash of its name, where tags are too few for a consensus."""
-    best = F.min_by(F.struct(*reads.columns), F.struct(F.xxhash64(F.lit(seed), F.col("qname")), F.col("qname")))
+    """One read per group by a seeded hash of its name, where tags are too few for a consensus; of one name the
+    first that arrived."""
+    ties = [F.col("ord")] if "ord" in reads.columns else []
+    best = F.min_by(F.struct(*reads.columns), F.struct(F.xxhash64(F.lit(seed), F.col("qname")), F.col("qname"), *ties))
     return reads.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(best.alias("r")).select("r.*")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignments as A
 from ..functions.sequences import from_letters
+from ..operators import collapse as E
 from ..operators import complexity as C
 from ..operators import reads as R
 from ..params import CollapseParams
@@ -149,5 +150,53 @@ def trimmed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.trim_arms(reads.filter(A.cigar_fits(F.col("cigar"), F.col("seq")))).select("ord", "trim_status", "new_pos", "new_cigar", "new_seq")
 
 
-QUERIES = {f.__name__: f for f in (zip_reads, read_disposition, tag_group_complexity, complexity_grouping_sets, saturation, birthday_probability, dominant_alignment, consensus_reads, barcode_neighbourhood, trimmed_reads)}
+def sequenced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(reads, design, barcodes) made from events: a probe per user, a pair of reads per event, a sample per type.
+
+    Bases repeat a user's own pattern with an event's changes; places stray by a base, some pairs lack a mate, some
+    alignments hold insertions or clips, and some barcodes are one base off.
+    """
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    start = (F.col("user_id") * 200 + 1000).cast("int")
+    strand, chrom = F.when(F.col("user_id") % 2 == 0, "+").otherwise("-"), (F.col("user_id") % 22 + 1).cast("string")
+    bases = lambda c, n: F.left(F.translate(F.sha2(c, 512), "0123456789abcdef", "ACGTACGTACGTACGT"), F.lit(n))
+    key = F.format_string("%s:%d-%d/20,22/%s", chrom, start, start + 149, strand)
+    design = events.select("user_id").distinct().select(key.alias("mip_key"), chrom.alias("chr"), start.alias("mip_start"), (start + 149).alias("mip_stop"), strand.alias("strand"), F.col("user_id").alias("ord"))
+    letters = bases(F.col("event_type"), 8)
+    barcodes = events.select("event_type").distinct().select(F.col("event_type").alias("label"), letters.alias("sequence"), F.hash("event_type").alias("ord"))
+    n, own = F.col("event_id"), F.col("user_id").cast("string")
+    barcode = F.when(n % 10 == 3, F.concat(F.lit("N"), F.substr(letters, F.lit(2)))).otherwise(letters)
+    named = F.concat(F.lit("e"), F.floor(n / 3).cast("string"), F.lit("#"), barcode, F.lit("-"), bases(F.floor(n / 3).cast("string"), 3))
+    plus = F.col("user_id") % 2 == 0
+    mates = events.withColumn("second", F.explode(F.array(F.lit(False), F.lit(True)))).filter((n % 17 != 0) | F.col("second"))
+    second = F.col("second")
+    flag = F.when(plus, F.when(second, 83).otherwise(163)).otherwise(F.when(second, 147).otherwise(99))
+    cigar = F.when(n % 29 == 0, "30M2I28M").when(n % 31 == 0, "25M3D35M").when(n % 37 == 0, "4S56M").otherwise("60M")
+    span = A.reference_span(cigar)
+    pos = (F.when(second, start + 150 - span).otherwise(start) + (n % 3).cast("int") - 1).cast("int")
+    seq = F.overlay(bases(F.concat(own, second.cast("string")), 60), bases(F.concat(n.cast("string"), second.cast("string")), 2), (n % 58 + 1).cast("int"))
+    qual = F.left(F.translate(F.sha2(F.concat(n.cast("string"), second.cast("string")), 512), "0123456789abcdef", "I5?+#AB7CD9E3F:H"), F.lit(60))
+    reads = mates.select(
+        (2 * n + second.cast("int")).alias("ord"), named.alias("qname"), flag.alias("flag"), chrom.alias("rname"), pos.alias("pos"), F.lit(60).alias("mapq"), cigar.alias("cigar"), F.lit("=").alias("rnext"),
+        F.when(second, start).otherwise(start + 90).cast("int").alias("pnext"), F.when(second, -150).otherwise(150).alias("tlen"), seq.alias("seq"), qual.alias("qual"), F.lit("").alias("tags"),
+    )
+    return reads, design, barcodes
+
+
+def collapsed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pair of reads per tag of each probe and sample, with its route."""
+    params = CollapseParams(flex=1, tag_size=3, tolerant=True, confidence=0.5)
+    reads, design, barcodes = sequenced(spark, sf_dir)
+    return E.collapse(E.annotate(reads, params, design, barcodes), params).reads.drop("tags", "mapq", "rnext")
+
+
+def collapse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, unique tags and saturation of the same reads by probe, by sample and over all."""
+    params = CollapseParams(flex=1, tag_size=3, tolerant=True)
+    reads, design, barcodes = sequenced(spark, sf_dir)
+    on = E.annotate(reads, params, design, barcodes).filter("disposition = 'on_target'")
+    return E.summary(C.complexity(on), design)
+
+
+QUERIES = {f.__name__: f for f in (collapsed_reads, collapse_summary, zip_reads, read_disposition, tag_group_complexity, complexity_grouping_sets, saturation, birthday_probability, dominant_alignment, consensus_reads, barcode_neighbourhood, trimmed_reads)}
 ORACLES = {"zip_reads": ZIP_READS, "read_disposition": READ_DISPOSITION, "tag_group_complexity": COMPLEXITY, "complexity_grouping_sets": MARGINALS, "saturation": SATURATION, "birthday_probability": BIRTHDAY, "dominant_alignment": DOMINANT, "barcode_neighbourhood": BARCODES}

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from strandloom.operators import collapse as C
 from strandloom.operators import reads as R
 from strandloom.params import CollapseParams
+from strandloom.plans import read_queries
 from strandloom.streaming import sites
 from strandloom.streaming.collapse import run_once
+from strandloom.tables import written
 
 SCHEMA = "ord long, qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, tags string"
 PROBES = [("1", 1000, "+"), ("1", 1090, "-"), ("1", 4000, "+"), ("2", 500, "-"), ("2", 9000, "+")]
@@ -99,7 +101,7 @@ def _plain(annotated, params):
 def test_collapse_against_plain_sites(spark, world, options):
     design, barcodes, reads, *_ = world
     params = CollapseParams(tag_size=5, flex=1, **options)
-    annotated = C.annotate(reads, params, design, barcodes)
+    annotated = written(C.annotate(reads, params, design, barcodes), "annotated")
     got = C.collapse(annotated, params)
     rows, counts = _plain(annotated, params)
     assert _rows(got.reads) == rows
@@ -203,3 +205,19 @@ def test_streamed_sites_equal_the_batch(spark, world, tmp_path):
     assert _rows(out.filter("route <> 'site'")) == _rows(batch.reads)
     got = sorted((r["sample"], r.mip_key, r.total, r.unique) for r in out.filter("route = 'site'").collect())
     assert got == sorted((r["sample"], r.mip, r.total, r.unique) for r in C.complexity(annotated.filter("disposition = 'on_target'")).collect())
+
+
+def test_the_query_against_plain_sites(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, rng.randint(1, 12), rng.choice(["click", "view", "buy"])) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    params = CollapseParams(flex=1, tag_size=3, tolerant=True, confidence=0.5)
+    inputs = read_queries.sequenced(spark, str(tmp_path))
+    rows, counts = _plain(written(C.annotate(inputs[0], params, *inputs[1:]), "annotated"), params)
+    got = read_queries.collapsed_reads(spark, str(tmp_path))
+    kept = [i for i, c in enumerate((*C.SAM, *C.OUT)) if c not in ("tags", "mapq", "rnext")]
+    names = [c for c in (*C.SAM, *C.OUT) if c not in ("tags", "mapq", "rnext")]
+    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(tuple(r[i] for i in kept) for r in rows)
+    assert {r["route"] for r in got.select("route").distinct().collect()} == {"unique", "unpaired", "strange"}
+    total = {(r["sample"], r.mip): (r.total, r.unique) for r in read_queries.collapse_summary(spark, str(tmp_path)).collect()}
+    assert total["ALL_SAMPLES", "ALL_POSITIONS"] == (sum(c[2] for c in counts), sum(c[3] for c in counts))
