@@ -154,7 +154,7 @@ def sequenced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     """(reads, design, barcodes) made from events: a probe per user, a pair of reads per event, a sample per type.
 
     Bases repeat a user's own pattern with an event's changes; places stray by a base, some pairs lack a mate, some
-    alignments hold insertions or clips, and some barcodes are one base off.
+    alignments hold insertions or clips or don't fit their bases, and some barcodes are one base off.
     """
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     start = (F.col("user_id") * 200 + 1000).cast("int")
@@ -171,7 +171,7 @@ def sequenced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     mates = events.withColumn("second", F.explode(F.array(F.lit(False), F.lit(True)))).filter((n % 17 != 0) | F.col("second"))
     second = F.col("second")
     flag = F.when(plus, F.when(second, 83).otherwise(163)).otherwise(F.when(second, 147).otherwise(99))
-    cigar = F.when(n % 29 == 0, "30M2I28M").when(n % 31 == 0, "25M3D35M").when(n % 37 == 0, "4S56M").otherwise("60M")
+    cigar = F.when(n % 29 == 0, "30M2I28M").when(n % 31 == 0, "25M3D35M").when(n % 37 == 0, "4S56M").when(n % 41 == 0, "30M1I30M").otherwise("60M")
     span = A.reference_span(cigar)
     pos = (F.when(second, start + 150 - span).otherwise(start) + (n % 3).cast("int") - 1).cast("int")
     seq = F.overlay(bases(F.concat(own, second.cast("string")), 60), bases(F.concat(n.cast("string"), second.cast("string")), 2), (n % 58 + 1).cast("int"))
