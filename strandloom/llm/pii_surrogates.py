@@ -9,7 +9,11 @@ no value in place, so neither does the whole, and no surrogate equals its origin
 Names are replaced word by word. A listed given name rotates within the list of its gender and script;
 any other word is permuted by its letters, and where that would land on a listed name it goes on to
 the first that isn't listed. Both are one bijection over all words. A name that was found with a title
-or by its given name is also replaced where it, or its family name, stands alone in the same text.
+or by its given name is also replaced where one of its words stands alone in the same text, capitals included.
+
+Letters of scripts without an alphabet here are exchanged within their script's range of code points. What has
+no letter or digit to exchange is no entity. Patterns have no star over a group and start where a word starts, so
+searching takes time in proportion to the text, whatever stands in it; so does exchanging a value's units.
 
 All of it is built-in expressions. Documents without a digit, an "@", a title, a listed name or a word
 that announces a secret skip the search. ``collisions`` counts surrogates that stand for more than one value
@@ -35,10 +39,28 @@ ALPHABETS = (
     "iou",
     "bcdf",
     "ghjklmnpqrstvwxyz",
-    "àâäáãåèéêëìíîïòóôöõùúûüýÿ",
-    "çñßšžćčđł",
+    "àâäáãåāăąèéêëēĕėęěìíîïīĭįòóôöõōŏőùúûüūŭůűųýÿŷ",
+    "çćĉċčďđĝğġģĥħĵķĺļľłñńņňŕŗřśŝşšťţŧŵźżžþð",
     "аеёиоуыэюя",
-    "бвгджзйклмнпрстфхцчшщ",
+    "бвгджзйклмнпрстфхцчшщіїєґў",
+    "αεηιουω",
+    "άέήίόύώ",
+    "βγδζθκλμνξπρστφχψ",
+)
+# First and last code points of the letters of other scripts, which have no case.
+RANGES = (
+    (0x05D0, 0x05EA),  # Hebrew
+    (0x0621, 0x063A),  # Arabic
+    (0x0641, 0x064A),
+    (0x0905, 0x0939),  # Devanagari
+    (0x0985, 0x098C),  # Bengali
+    (0x0995, 0x09A8),
+    (0x0E01, 0x0E2E),  # Thai
+    (0x10D0, 0x10F0),  # Georgian
+    (0x3041, 0x3096),  # Hiragana
+    (0x30A1, 0x30FA),  # Katakana
+    (0x4E00, 0x9FA5),  # Han
+    (0xAC00, 0xD7A3),  # Hangul
 )
 # Country codes of two digits; +1 and +7 have one, all others three.
 TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
@@ -64,7 +86,7 @@ _TITLED = rf"{_START}(?:{_ALL_TITLES})\.?\s{{1,2}}"
 
 #: Kinds of entities and their patterns, in the order in which they are tried at a place.
 KINDS = (
-    ("email", r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"),
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){0,126}\.\p{L}{2,}"),
     ("secret", r"""(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)\s?[=:]\s?["']?)[A-Za-z0-9+/_-]{12,}"""),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -74,20 +96,35 @@ KINDS = (
     ("name", rf"(?=\p{{Lu}})(?:(?<={_TITLED}){_NAME}(?: {_NAME})?|{_START}(?:{_ALL_NAMES}) {_NAME})"),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
+#: With names known, every word that could be one.
+WITH_WORDS = rf"{PATTERN}|{_START}{_NAME}{_END}"
 #: What a text must have for the search to find anything.
 HINT = rf"[0-9@]|(?i:token|secret|passw|api_?key|access_key)|{_START}(?:{_ALL_TITLES}|{_ALL_NAMES}){_END}"
 
 
-def _chars(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
+def _code(char: Column) -> Column:
+    return F.conv(F.hex(F.encode(char, "UTF-16BE")), 16, 10).cast("int")
 
 
 def _unit(char: Column) -> Column:
-    """struct(v, m, a): place in its alphabet, the alphabet's size and itself; null for what stays."""
+    """struct(v, m, a, low): place in its alphabet, or in the range from low; the size of either; the alphabet."""
     lower, found = F.lower(char), F.lit(None).cast("string")
     for alphabet in ALPHABETS:
         found = F.when(F.contains(F.lit(alphabet), lower), F.lit(alphabet)).otherwise(found)
-    return let(found, lambda a: F.when(a.isNotNull(), F.struct((F.instr(a, lower) - 1).alias("v"), F.length(a).alias("m"), a.alias("a"))))
+
+    def ranged(code: Column) -> Column:
+        low, high = F.lit(0), F.lit(0)
+        for first, last in RANGES:
+            own = code.between(first, last)
+            low, high = F.when(own, first).otherwise(low), F.when(own, last).otherwise(high)
+        return F.struct((code - low).alias("v"), (high - low + 1).alias("m"), F.lit("").alias("a"), low.alias("low"))
+
+    listed = lambda a: F.struct((F.instr(a, lower) - 1).alias("v"), F.length(a).alias("m"), a.alias("a"), F.lit(0).alias("low"))
+    return let(found, lambda a: F.when(a.isNotNull(), listed(a)).otherwise(let(_code(char), ranged)))
+
+
+#: A character that is exchanged, as a pattern.
+UNIT = "[" + "".join(ALPHABETS) + "".join(a.upper() for a in ALPHABETS if a != a.upper()) + "".join(f"\\x{{{first:X}}}-\\x{{{last:X}}}" for first, last in RANGES) + "]"
 
 
 def _moved(units: Column, by: Column, sign: int, tag: str, key: str) -> Column:
@@ -97,7 +134,7 @@ def _moved(units: Column, by: Column, sign: int, tag: str, key: str) -> Column:
     def shifted(stream: Column) -> Column:
         def one(u: Column, i: Column) -> Column:
             step = F.conv(F.substr(stream, 1 + (i * 4) % 60, F.lit(4)), 16, 10).cast("int")
-            return F.struct(F.pmod(u["v"] + sign * step, u["m"]).cast("int").alias("v"), u["m"].alias("m"), u["a"].alias("a"))
+            return F.struct(F.pmod(u["v"] + sign * step, u["m"]).cast("int").alias("v"), u["m"].alias("m"), u["a"].alias("a"), u["low"].alias("low"))
 
         return F.transform(units, one)
 
@@ -110,7 +147,7 @@ def permuted(units: Column, key: str) -> Column:
     move = lambda side, by, sign, turn: _moved(side, by, sign, str(turn), key)
 
     def next_of(left: Column) -> Column:
-        return F.transform(left, lambda u, i: F.struct(F.when(i == 0, F.pmod(u["v"] + 1, u["m"])).otherwise(u["v"]).cast("int").alias("v"), u["m"].alias("m"), u["a"].alias("a")))
+        return F.transform(left, lambda u, i: F.struct(F.when(i == 0, F.pmod(u["v"] + 1, u["m"])).otherwise(u["v"]).cast("int").alias("v"), u["m"].alias("m"), u["a"].alias("a"), u["low"].alias("low")))
 
     def rounds(left: Column, right: Column) -> Column:
         return let(
@@ -129,26 +166,24 @@ def permuted(units: Column, key: str) -> Column:
 
 def _written(unit: Column, like: Column) -> Column:
     """The character of a unit, in the case of the one it replaces."""
-    char = F.substr(unit["a"], unit["v"] + 1, F.lit(1))
+    ranged = F.decode(F.unhex(F.lpad(F.hex(unit["low"] + unit["v"]), 4, "0")), "UTF-16BE")
+    char = F.when(unit["a"] == "", ranged).otherwise(F.substr(unit["a"], unit["v"] + 1, F.lit(1)))
     return F.when((like != F.lower(like)), F.upper(char)).otherwise(char)
 
 
 def _replaced(text: Column, fixed: Column, kind: str, key: str) -> Column:
     """text with its units permuted, but for the first ``fixed`` characters."""
 
-    def of(chars: Column) -> Column:
-        units = F.transform(chars, lambda c, i: F.when(i >= fixed, _unit(c)))
+    def of(rest: Column) -> Column:
+        chars, gaps = F.regexp_extract_all(rest, F.lit(UNIT), F.lit(0)), F.split(rest, UNIT)
 
-        def put(marked: Column) -> Column:
-            def back(new: Column) -> Column:
-                place = lambda i: F.size(F.filter(F.slice(marked, 1, i + 1), lambda u: u.isNotNull()))
-                return F.array_join(F.transform(chars, lambda c, i: F.when(F.get(marked, i).isNotNull(), _written(F.get(new, place(i) - 1), c)).otherwise(c)), "")
+        def put(old: Column) -> Column:
+            new = permuted(F.transform(old, _unit), f"{key}|{kind}")
+            return F.array_join(F.zip_with(gaps, F.zip_with(new, old, _written), lambda g, c: F.concat(g, F.coalesce(c, F.lit("")))), "")
 
-            return let(permuted(F.filter(marked, lambda u: u.isNotNull()), f"{key}|{kind}"), back)
+        return let(chars, put)
 
-        return let(units, put)
-
-    return let(_chars(text), of)
+    return F.concat(F.left(text, fixed), let(F.substr(text, fixed + 1), of))
 
 
 def _luhn(digits: Column) -> Column:
@@ -168,7 +203,7 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _ip(m: Column, key: str) -> Column:
-    octets = F.transform(F.split(m, r"\."), lambda o: F.struct(o.cast("int").alias("v"), F.lit(256).alias("m"), F.lit("").alias("a")))
+    octets = F.transform(F.split(m, r"\."), lambda o: F.struct(o.cast("int").alias("v"), F.lit(256).alias("m"), F.lit("").alias("a"), F.lit(0).alias("low")))
     return F.array_join(F.transform(permuted(octets, f"{key}|ip"), lambda u: u["v"].cast("string")), ".")
 
 
@@ -238,13 +273,18 @@ def _name(m: Column, key: NameKey) -> Column:
     return F.array_join(F.transform(F.split(m, " "), lambda w: _word(w, key)), " ")
 
 
-def kind_of(m: Column, before: Column) -> Column:
-    """Kind of a match, from its form and what stands before it."""
-    secret = F.rlike(before, F.lit(r"""(?is).*(?:token|secret|password|passwd|api_key|apikey|access_key)\s?[=:]\s?["']?$"""))
-    found = F.when(F.contains(m, F.lit("@")), "email").when(secret & F.rlike(m, F.lit(r"^[A-Za-z0-9+/_-]{12,}$")), "secret")
+def kind_of(m: Column, before: Column, names: Column) -> Column:
+    """Kind of a match, from its form and what stands before it; null for a word that is no known name's.
+
+    names: words of the names found in the text, lower-cased.
+    """
+    secret = F.rlike(before, F.lit(r"""(?is)(?:token|secret|password|passwd|api_key|apikey|access_key)\s?[=:]\s?["']?$"""))
+    found = F.when(F.contains(m, F.lit("@")), "email").when((F.length(m) >= 12) & secret & F.rlike(m, F.lit(r"^[A-Za-z0-9+/_-]{12,}+$")), "secret")
+    is_name = F.rlike(m, F.lit(rf"^{_NAME}(?: {_NAME})?$"))
+    found = found.when(is_name & F.exists(F.split(F.lower(m), " "), lambda w: F.array_contains(names, w)), "name").when(is_name, F.lit(None))
     for kind, pattern in KINDS[2:-1]:
         found = found.when(F.rlike(m, F.lit(f"^(?:{pattern})$")), kind)
-    return found.otherwise("name")
+    return found
 
 
 def surrogate_of(m: Column, kind: Column, key: str, names: NameKey) -> Column:
@@ -267,36 +307,31 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         raise ValueError("surrogates need a key")
     value, names = F.col(text), name_key(docs.sparkSession, key)
     found = docs.withColumn("__first", F.when(F.rlike(value, F.lit(HINT)), F.regexp_extract_all(value, F.lit(PATTERN), F.lit(0))))
-    # names found so far and their family names are searched as well
+    # words of the names found so far are looked for as well
     known = F.filter("__first", lambda m: F.rlike(m, F.lit(rf"^{_NAME}(?: {_NAME})?$")))
-    families = F.transform(known, lambda m: F.element_at(F.split(m, " "), -1))
-    also = F.array_join(F.array_distinct(F.concat(F.filter(known, lambda m: F.contains(m, F.lit(" "))), families)), "|")
-    pattern = F.when(F.size(known) > 0, F.concat(F.lit(f"{PATTERN}|{_START}(?:"), also, F.lit(f"){_END}")))
-    found = found.withColumn("__pattern", pattern)
-    all_of = lambda f: F.when(F.col("__pattern").isNotNull(), f(F.col("__pattern"))).otherwise(f(F.lit(PATTERN)))
-    found = found.withColumn("entities", F.when(F.col("__pattern").isNotNull(), F.regexp_extract_all(value, F.col("__pattern"), F.lit(0))).otherwise(F.col("__first")))
-    found = found.withColumn("__gaps", F.when(F.size("entities") > 0, all_of(lambda p: F.split(value, p))))
+    found = found.withColumn("__names", F.array_distinct(F.flatten(F.transform(known, lambda m: F.split(F.lower(m), " ")))))
+    named = F.size("__names") > 0
+    found = found.withColumn("entities", F.when(named, F.regexp_extract_all(value, F.lit(WITH_WORDS), F.lit(0))).otherwise(F.col("__first")))
+    found = found.withColumn("__gaps", F.when(F.size("entities") > 0, F.when(named, F.split(value, WITH_WORDS)).otherwise(F.split(value, PATTERN))))
 
     def entity(m: Column, i: Column) -> Column:
         before = F.right(F.get("__gaps", i), F.lit(40))
-        return let(kind_of(m, before), lambda k: F.struct(k.alias("kind"), m.alias("original"), surrogate_of(m, k, key, names).alias("surrogate"), F.length(F.get("__gaps", i)).alias("gap")))
+        kind = F.when(F.rlike(m, F.lit(UNIT)), kind_of(m, before, F.col("__names")))
+        made = lambda k: F.struct(k.alias("kind"), m.alias("original"), F.coalesce(surrogate_of(m, k, key, names), m).alias("surrogate"), F.length(F.get("__gaps", i)).alias("gap"))
+        return let(kind, made)
 
     made = found.withColumn("__made", F.when(F.size("entities") > 0, F.transform("entities", entity)))
     new_text = F.when(
         F.col("__made").isNotNull(),
         F.concat(F.array_join(F.zip_with(F.slice("__gaps", 1, F.size("__made")), "__made", lambda g, e: F.concat(g, e["surrogate"])), ""), F.element_at("__gaps", -1)),
     ).otherwise(value)
-    starts = F.transform(
-        "__made",
-        lambda e, i: F.struct(
-            e["kind"].alias("kind"),
-            (e["gap"] + F.aggregate(F.slice("__made", 1, i), F.lit(0), lambda s, x: s + x["gap"] + F.length(x["original"]))).alias("start"),
-            e["original"].alias("original"),
-            e["surrogate"].alias("surrogate"),
-        ),
-    )
+    # where each starts: running sums of the gaps and matches before it
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    add = lambda s, x: F.struct((s["at"] + x["gap"] + F.length(x["original"])).alias("at"), F.array_append(s["all"], s["at"] + x["gap"]).alias("all"))
+    placed = lambda at: F.zip_with("__made", at, lambda e, a: F.struct(e["kind"].alias("kind"), a.alias("start"), e["original"].alias("original"), e["surrogate"].alias("surrogate")))
+    starts = F.filter(let(F.aggregate("__made", zero, add)["all"], placed), lambda e: e["kind"].isNotNull())
     empty = F.array().cast("array<struct<kind:string,start:int,original:string,surrogate:string>>")
-    return made.withColumn(text, new_text).withColumn("entities", F.coalesce(starts, empty)).drop("__first", "__pattern", "__gaps", "__made")
+    return made.withColumn(text, new_text).withColumn("entities", F.coalesce(starts, empty)).drop("__first", "__names", "__gaps", "__made")
 
 
 def canonical(kind: Column, value: Column) -> Column:

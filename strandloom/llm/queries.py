@@ -59,7 +59,8 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with surrogates for their entities; fails if one surrogate stands for several values.
+    """Texts with surrogates for their entities; n_collisions: surrogates, in the whole table, that stand for
+    several values (0, unless spellings differ in more than the canonical form knows).
 
     The key is the setting strandloom.pii.key, or a new one where that is unset. The originals are
     neither returned nor written: the check reads their keyed digests.
@@ -70,9 +71,8 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = part(lambda e: F.sha2(F.concat(F.lit(key), pii_surrogates.canonical(e["kind"], e["original"])), 256))
     written = settle(replaced.select("doc_id", "text", part(lambda e: e["kind"]).alias("kinds"), part(lambda e: e["surrogate"]).alias("surrogates"), digest.alias("__digests")), "replaced")
     pairs = written.select(F.transform(F.arrays_zip("kinds", "surrogates", "__digests"), lambda x: F.struct(x["kinds"].alias("kind"), x["surrogates"].alias("surrogate"), x["__digests"].alias("value"))).alias("entities"))
-    if not pii_surrogates.collisions(pairs).isEmpty():
-        raise ValueError("a surrogate stands for several values")
-    return written.select("doc_id", "text", F.size("kinds").alias("n_entities"), "kinds", "surrogates")
+    n_collisions = pii_surrogates.collisions(pairs).count()
+    return written.select("doc_id", "text", F.size("kinds").alias("n_entities"), "kinds", "surrogates", F.lit(n_collisions).cast("long").alias("n_collisions"))
 
 
 def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

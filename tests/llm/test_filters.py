@@ -1,3 +1,4 @@
+import time
 import hashlib
 import itertools
 import random
@@ -427,3 +428,39 @@ def test_notices_with_colons_and_semicolons(spark):
     assert [got[i].license for i in range(10)] == ["GPL-3.0-or-later", "GPL-2.0-or-later", "GPL-3.0-or-later", "GPL-2.0-or-later", "GPL-2.0-or-later", "MIT", "Apache-2.0", "MIT", None, None]
     assert got[0].licenses == ["GPL-3.0-or-later"] and got[1].licenses == ["GPL-2.0-or-later"]
     assert got[1].sentence_ids == ["gpl-program", "gpl-modify", "gpl-later2", "gpl-warranty", "gpl-implied", "gpl-see"]
+
+
+def test_pii_survives_any_text(spark):
+    labels = "x@" + "a." * 100_000 + "com"
+    rows = [labels, "x@" + "a." * 2_000 + "com", "b" * 1_000_000, "B" * 1_000_000, "7" * 1_000_000, "a." * 50_000 + "@b.com", "token=" + "Ab1" * 100_000, "é" * 200_000 + "@x.org", "a@b.org " * 5_000, "Dr Anna Smith " + "Haus Smith " * 5_000]
+    began = time.time()
+    got = {r.doc_id: r for r in P.replace(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), KEY).collect()}
+    assert time.time() - began < 120
+    assert [len(got[i].entities) for i in (2, 3, 4)] == [0, 0, 0]
+    assert len(got[5].entities) == 1 and len(got[6].entities) == 1 and len(got[7].entities) == 1 and len(got[8].entities) == 5_000
+    assert len(got[9].entities) == 5_001 and "Smith" not in got[9].text and "Haus" in got[9].text
+    assert all(len(got[i].text) == len(t) for i, t in enumerate(rows) if i != 9)
+
+
+def test_no_surrogate_is_its_original_in_any_script(spark):
+    names = ["Γιώργος Παπαδόπουλος", "Żółć Ściśle", "Őrsi Kovács", "Οδυσσέας Ελύτης", "Øyvind Åse", "Їжак Ґанок"]
+    texts = [f"Dr {n} came" for n in names] + ["write αβγ@δεζ.gr", "mail 田中@例え.jp today", "mail שלום@אבג.org now", "mail ไทย@ขคง.co now"]
+    got = P.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()
+    for text, r in zip(texts, got):
+        assert len(r.entities) == 1 and r.text != text, text
+        (e,) = r.entities
+        assert e.surrogate != e.original and text[e.start : e.start + len(e.original)] == e.original
+        assert r.text == text.replace(e.original, e.surrogate)
+    shared = sum(a == b for n, r in zip(names, got) for a, b in zip(n, r.entities[0].surrogate) if a.isalpha())
+    assert shared < 0.35 * sum(len(n) for n in names)
+
+
+def test_names_are_replaced_wherever_their_words_stand(spark):
+    texts = ["Anna Smith met Smith. Later Anna left", "John Doe; JOHN DOE; then Doe", "Dr House saw House in a House", "No Name Here"]
+    got = P.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()
+    for text, r in zip(texts[:3], got):
+        for word in ("Anna", "Smith", "JOHN", "DOE", "John", "Doe", "House"):
+            assert word not in r.text
+    assert [len(r.entities) for r in got] == [3, 4, 3, 0] and got[3].text == texts[3]
+    first = {e.original: e.surrogate for e in got[0].entities}
+    assert first["Anna Smith"] == f"{first['Anna']} {first['Smith']}"
