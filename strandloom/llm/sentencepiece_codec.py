@@ -13,6 +13,10 @@ Two kinds of model are served by the same search:
   pieces. With this rule each prefix has exactly one path into its end, the one that merging by
   rank would give, so the ids equal those of the merge procedure.
 
+User-defined pieces stand wherever their text does: a BPE model cuts the text at them first, the longest at a
+place, and a unigram model scores them above its other pieces. A run of characters that no piece
+covers has one unknown id, unless the model falls back to bytes.
+
 Spaces start pieces and occur inside none (but in runs of spaces), so a boundary before a run of
 spaces is one where all paths meet; words between such boundaries are searched once and their
 ids remembered, in a dictionary of bounded size.
@@ -20,6 +24,7 @@ ids remembered, in a dictionary of bounded size.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -93,7 +98,20 @@ class PieceModel:
                     raise ValueError("models with a character map aren't supported; use an identity normaliser")
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are supported")
-        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER_DEFINED)}
+        if self.kind == BPE and UNUSED in self.kinds:
+            raise ValueError("BPE models with unused pieces aren't supported")
+        whole = (NORMAL,) if self.kind == BPE else (NORMAL, USER_DEFINED)
+        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in whole}
+        defined = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == USER_DEFINED}
+        normal = [x for x, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL]
+        if self.kind == UNIGRAM:
+            for piece, i in defined.items():
+                self.scores[i] = len(piece.encode()) * max([0.0, *normal]) - 0.1
+        #: Score of a character that no piece covers.
+        self.floor = min(normal, default=0.0) - 10.0
+        #: User-defined pieces at which a text is cut, the longest first, and their ids.
+        self.cuts = {p: i for p, i in defined.items() if p} if self.kind == BPE else {}
+        self.cut_at = re.compile("|".join(map(re.escape, sorted(self.cuts, key=len, reverse=True)))) if self.cuts else None
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.max_piece = max(map(len, self.ids), default=1)
@@ -120,7 +138,7 @@ class StreamingViterbi:
         self.model, self.unigram = model, model.kind == UNIGRAM
         self.allowed: dict[tuple[int, int], bool] = {}
         self.histories: dict[int, list[tuple[float, str, str]] | None] = {}
-        self.floor = min(model.scores, default=0.0) - 10.0
+        self.floor = model.floor
         #: Pieces by their characters, one level of dictionaries a character; "" holds the id.
         self.tree: dict = {}
         for text, piece in model.ids.items():
@@ -197,7 +215,7 @@ class StreamingViterbi:
         if unigram:
             best += [0.0] * grown
         for start in range(self.done, upto):
-            end, before, node = start, last[start], tree
+            end, before, node, single = start, last[start], tree, False
             for char in text[start : start + longest]:
                 node = node.get(char)
                 if node is None:
@@ -207,6 +225,7 @@ class StreamingViterbi:
                 if piece is None:
                     continue
                 if unigram:
+                    single = single or end == start + 1
                     score = best[start] + self.model.scores[piece]
                     if last[end] == UNREACHED or score > best[end]:
                         last[end], back[end], best[end] = piece, start, score
@@ -214,7 +233,7 @@ class StreamingViterbi:
                     good = allowed.get((before, piece))
                     if self.follows(before, piece) if good is None else good:
                         last[end], back[end] = piece, start
-            if last[start + 1] == UNREACHED:
+            if last[start + 1] == UNREACHED or (unigram and not single and best[start] + self.floor > best[start + 1]):
                 last[start + 1], back[start + 1] = UNCOVERED, start
                 if unigram:
                     best[start + 1] = best[start] + self.floor
@@ -325,9 +344,33 @@ class Codec:
             text = " ".join(w for w in text.split(" ") if w)
         if not text:
             return ()
-        if self.model.dummy_prefix and self.model.spaces_lead and "  " not in text and SPACE not in text and text[0] != " ":
-            return map(self.words.__getitem__, text.split(" "))
-        return (self.search.whole((SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE)),)
+        lead = SPACE if self.model.dummy_prefix else ""
+        if self.model.cut_at is not None:
+            found = self._between(lead + text.replace(" ", SPACE))
+        elif lead and self.model.spaces_lead and "  " not in text and SPACE not in text and text[0] != " ":
+            found = map(self.words.__getitem__, text.split(" "))
+        else:
+            found = (self.search.whole(lead + text.replace(" ", SPACE)),)
+        return found if self.model.byte_fallback else self._joined(found)
+
+    def _between(self, text: str) -> Iterator[tuple[int, ...]]:
+        """Ids of a text that is cut at user-defined pieces."""
+        at = 0
+        for m in self.model.cut_at.finditer(text):
+            if m.start() > at:
+                yield self.search.whole(text[at : m.start()])
+            yield (self.model.cuts[m[0]],)
+            at = m.end()
+        if at < len(text):
+            yield self.search.whole(text[at:])
+
+    def _joined(self, groups: Iterable[tuple[int, ...]]) -> Iterator[tuple[int, ...]]:
+        """groups with one unknown id for a run of them."""
+        unknown, last = self.model.unknown, -1
+        for group in groups:
+            kept = [x for i, x in enumerate(group) if x != unknown or (group[i - 1] if i else last) != unknown]
+            last = group[-1] if group else last
+            yield tuple(kept)
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(self.parts(text or "")))

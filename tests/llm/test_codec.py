@@ -1,5 +1,7 @@
 import random
+import struct
 
+import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def test_unigram_models_take_the_best_path():
     model = S.PieceModel(b"")
     model.pieces, model.scores, model.kinds = ["a", "b", "ab", "aba", "ba"], [-2.0, -2.0, -2.5, -9.0, -2.2], [1] * 5
     model.ids, model.kind = {p: i for i, p in enumerate(model.pieces)}, S.UNIGRAM
-    model.max_piece, model.neighbours = 3, {"ab", "ba"}
+    model.max_piece, model.neighbours, model.floor = 3, {"ab", "ba"}, -19.0
     search = S.StreamingViterbi(model)
 
     def brute(text):
@@ -95,3 +97,59 @@ def test_suffix_sums_across_blocks(spark):
     hist = spark.createDataFrame([(0, 3), (1023, 2), (1024, 1), (5000, 4)], "n_tokens long, n_docs long")
     got = {r.n_tokens: (r.docs_ge, r.tokens_ge) for r in C.suffix_sums(hist).collect()}
     assert got == {0: (10, 2046 + 1024 + 20000), 1023: (7, 2046 + 1024 + 20000), 1024: (5, 21024), 5000: (4, 20000)}
+
+
+def _message(*fields):
+    """A protocol-buffer message of (number, int, float, text or message) fields."""
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += bytes([number << 3 | 5]) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            key, left = number << 3, value
+            out += bytes([key & 127 | 128, key >> 7]) if key > 127 else bytes([key])
+            while left > 127:
+                out, left = out + bytes([left & 127 | 128]), left >> 7
+            out += bytes([left])
+        else:
+            body = value.encode() if isinstance(value, str) else value
+            size = len(body)
+            out += bytes([number << 3 | 2]) + (bytes([size]) if size < 128 else bytes([size & 127 | 128, size >> 7])) + body
+    return out
+
+
+def _model(kind, pieces, defined=(), prefix=1, squeeze=1, fallback=0):
+    """A model file of given pieces and scores; nothing is trained."""
+    rows = [("<unk>", 0.0, S.UNKNOWN), ("<s>", 0.0, S.CONTROL), ("</s>", 0.0, S.CONTROL), *[(p, 0.0, S.USER_DEFINED) for p in defined]]
+    rows += [(f"<0x{b:02X}>", 0.0, S.BYTE) for b in range(256)] if fallback else []
+    rows += [(p, x, S.NORMAL) for p, x in pieces]
+    body = b"".join(_message((1, _message((1, p), (2, x), (3, k)))) for p, x, k in rows)
+    return body + _message((2, _message((3, kind), (35, fallback)))) + _message((3, _message((1, "identity"), (3, prefix), (4, squeeze), (5, 1))))
+
+
+BPE_PIECES = [(p, -float(i)) for i, p in enumerate(["ab", "in", "\u2581in", "abc", "\u2581a", "bc", "\u2581ab", "ing", "\u2581", "a", "b", "c", "d", "i", "n", "g", "s", "e", "p"])]
+UNIGRAM_PIECES = [("\u2581", -2.1), ("a", -3.0), ("b", -3.3), ("ab", -4.1), ("abc", -5.2), ("c", -4.0), ("\u2581ab", -4.4), ("in", -4.7), ("ing", -5.6), ("i", -3.9), ("n", -4.2), ("\u2581in", -5.0)]
+
+
+def test_small_models_equal_the_library():
+    """User-defined pieces, runs of unknown characters, byte fallback, with and without prefix and squeezing."""
+    rng = random.Random(12)
+    defined = ("<sep>", "<se", "abin", "\u2581<x>", "é")
+    texts = ["a<sep>b again", "<sep>", "zzz", "a zz z b", "abinabin ab in", "x <x> <x>", "éé é", "漢字 ab", " ", "ab<se<sep>ing"]
+    texts += ["".join(rng.choices(["a", "b", "c", "in", "ing", " ", "  ", "z", "漢", "é", "<sep>", "<se", "abin", "<x>"], k=rng.randint(1, 60))) for _ in range(150)]
+    for kind, pieces in ((S.BPE, BPE_PIECES), (S.UNIGRAM, UNIGRAM_PIECES)):
+        for own in ((), defined):
+            for prefix, squeeze, fallback in ((1, 1, 0), (0, 0, 0), (1, 0, 1), (0, 1, 1)):
+                data = _model(kind, pieces, own, prefix, squeeze, fallback)
+                library = sentencepiece.SentencePieceProcessor(model_proto=data)
+                codec = S.Codec(data)
+                for text in texts:
+                    assert codec.encode(text) == library.encode(text), (kind, own, prefix, squeeze, fallback, text)
+                    assert codec.count(text) == len(codec.encode(text))
+
+
+def test_models_that_are_refused():
+    with pytest.raises(ValueError, match="unused"):
+        S.Codec(_model(S.BPE, BPE_PIECES) + _message((1, _message((1, "q"), (2, -30.0), (3, S.UNUSED)))))
+    with pytest.raises(ValueError, match="character map"):
+        S.Codec(_message((3, _message((2, b"xx")))))
