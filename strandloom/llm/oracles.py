@@ -93,6 +93,8 @@ def _distance(one: str, two: str, bins: int) -> str:
     return f"CASE WHEN list_sum({one}) > 0 AND list_sum({two}) > 0 THEN sqrt(greatest(0.0, ({' + '.join(terms)}) / 2)) ELSE 0.0 END"
 
 
+_SUM_CLASSES = f"[{', '.join(f'sum(classes[{i}])' for i in range(1, _CLASS_BINS + 1))}]"
+_ENOUGH = f"count(*) >= {Q.LEAST_REFERENCE_DOCS} AND sum(n_words) >= {Q.LEAST_REFERENCE_WORDS}"
 OP6 = f"""
 WITH a AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
 x AS (SELECT doc_id, i, hash(list_slice(words, i, i + 7)) AS h FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM a WHERE len(words) >= {Q.WINDOW})),
@@ -105,8 +107,10 @@ b AS (SELECT a.doc_id, lang, CAST(len(words) AS BIGINT) AS n_words, CAST(length(
 d AS (SELECT doc_id, lang, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words,
   [upper, digit, chars - word_chars, stop, n_symbols, wide, greatest(0, word_chars - upper - digit - stop - n_symbols - wide)] AS classes, [{_COMMON}, n_words - len(found)] AS common,
   n_words < {Q.LEAST_WORDS} OR 100 * n_repeat_words > {Q.MOST_REPEATED} * n_words AS base_failed FROM b),
-r AS (SELECT lang AS of, [{", ".join(f"sum(classes[{i}])" for i in range(1, _CLASS_BINS + 1))}] AS ref_classes, [{", ".join(f"sum(common[{i}])" for i in range(1, _COMMON_BINS + 1))}] AS ref_common FROM d WHERE NOT base_failed GROUP BY lang),
-m AS (SELECT d.*, coalesce({_distance("classes", "ref_classes", _CLASS_BINS)}, 0.0) AS cd, coalesce({_distance("common", "ref_common", _COMMON_BINS)}, 0.0) AS wd FROM d LEFT JOIN r ON d.lang IS NOT DISTINCT FROM r.of)
+r AS (SELECT lang AS of, {_SUM_CLASSES} AS ref_classes, [{", ".join(f"sum(common[{i}])" for i in range(1, _COMMON_BINS + 1))}] AS ref_common FROM d WHERE NOT base_failed GROUP BY lang HAVING {_ENOUGH}),
+e AS (SELECT {_SUM_CLASSES} AS all_classes FROM d WHERE NOT base_failed HAVING {_ENOUGH}),
+j AS (SELECT d.*, coalesce(r.ref_classes, e.all_classes) AS ref_classes, r.ref_common FROM d LEFT JOIN r ON d.lang IS NOT DISTINCT FROM r.of LEFT JOIN e ON true),
+m AS (SELECT *, coalesce({_distance("classes", "ref_classes", _CLASS_BINS)}, 0.0) AS cd, coalesce({_distance("common", "ref_common", _COMMON_BINS)}, 0.0) AS wd FROM j)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (n_words >= {Q.LEAST_JUDGED} AND (cd > {Q.MOST_CLASSES} OR wd > {Q.MOST_COMMON})) AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS common_distance FROM m
 """
 

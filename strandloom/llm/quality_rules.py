@@ -4,7 +4,9 @@ Per document one row of counts is derived in a single pass: words, symbols, repe
 repeated windows, character classes and common words. The sum of these histograms over the documents
 of a language that pass the base rules is that language's reference. A document is dropped if the
 Jensen-Shannon distance of one of its histograms from the reference exceeds a limit; short documents,
-whose histograms say little, aren't judged by it.
+whose histograms say little, aren't judged by it. Nor is a language with few documents or words its own
+measure: its documents' character classes are compared with those of all languages together, and their common
+words, which such a language has no reference for, not at all.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ LEAST_JUDGED = 40
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) of character classes and of common words. The
 #: second lies below the distance of a text without common words, 0.27 to 0.29 in the four languages.
 MOST_CLASSES, MOST_COMMON = 0.25, 0.24
+#: Documents and words that a language's reference must come from.
+LEAST_REFERENCE_DOCS, LEAST_REFERENCE_WORDS = 20, 2000
 #: References are broadcast up to this number of languages.
 MOST_BROADCAST = 10_000
 # Frequent function words of English, French, German and Spanish.
@@ -117,11 +121,19 @@ def base_failed() -> Column:
 
 
 def references(profiles: DataFrame) -> DataFrame:
-    """(of, ref_classes, ref_common): summed histograms of each language's documents that pass the
-    base rules; null is a language of its own."""
+    """(of, n_docs, n_words, ref_classes, ref_common): summed histograms of each language's documents that pass
+    the base rules; null is a language of its own."""
     bins = len(CLASSES), len(COMMON_WORDS) + 1
-    sums = profiles.filter(~base_failed()).groupBy(F.col("lang").alias("of")).agg(*[F.sum(F.col(name)[i]).alias(f"{name}{i}") for name, n in zip(("classes", "common"), bins, strict=True) for i in range(n)])
-    return sums.select("of", *[F.array(*[F.col(f"{name}{i}") for i in range(n)]).alias(f"ref_{name}") for name, n in zip(("classes", "common"), bins, strict=True)])
+    sums = profiles.filter(~base_failed()).groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_words").alias("n_words"), *[F.sum(F.col(name)[i]).alias(f"{name}{i}") for name, n in zip(("classes", "common"), bins, strict=True) for i in range(n)])
+    return sums.select("of", "n_docs", "n_words", *[F.array(*[F.col(f"{name}{i}") for i in range(n)]).alias(f"ref_{name}") for name, n in zip(("classes", "common"), bins, strict=True)])
+
+
+def pooled(refs: DataFrame) -> Column:
+    """Class histogram of all languages together, if it comes from enough documents and words; else null."""
+    sums = refs.agg(F.sum("n_docs").alias("n_docs"), F.sum("n_words").alias("n_words"), *[F.sum(F.col("ref_classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))]).first()
+    if (sums["n_docs"] or 0) < LEAST_REFERENCE_DOCS or sums["n_words"] < LEAST_REFERENCE_WORDS:
+        return F.lit(None).cast("array<bigint>")
+    return F.array(*[F.lit(sums[f"c{i}"]).cast("long") for i in range(len(CLASSES))])
 
 
 def distance(one: Column, two: Column) -> Column:
@@ -142,11 +154,14 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
     class_distance, common_distance) for each row of docs.
 
     Null texts are empty ones and fail the base rules, as all texts of too few words do. A document of
-    a language that has no reference is judged by the base rules only. Repeated rows are judged alike.
+    a language that has no reference is judged by the classes of all languages; if the whole table is too small
+    for a reference, by the base rules only. Repeated rows are judged alike.
     """
     profiles = settle(profile(docs, id_column, text, lang), "profiles")
-    refs = small(settle(references(profiles), "references"), MOST_BROADCAST)
-    joined = profiles.join(refs, F.col("lang").eqNullSafe(F.col("of")), "left")
+    refs = settle(references(profiles), "references")
+    everything = pooled(refs)
+    known = refs.filter((F.col("n_docs") >= LEAST_REFERENCE_DOCS) & (F.col("n_words") >= LEAST_REFERENCE_WORDS)).drop("n_docs", "n_words")
+    joined = profiles.join(small(known, MOST_BROADCAST), F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("ref_classes", F.coalesce("ref_classes", everything))
     measured = joined.withColumn("base_failed", base_failed()).withColumn("class_distance", F.coalesce(distance(F.col("classes"), F.col("ref_classes")), F.lit(0.0))).withColumn("common_distance", F.coalesce(distance(F.col("common"), F.col("ref_common")), F.lit(0.0)))
     strange = (F.col("n_words") >= LEAST_JUDGED) & ((F.col("class_distance") > MOST_CLASSES) | (F.col("common_distance") > MOST_COMMON))
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~strange).alias("kept"), F.round("class_distance", 6).alias("class_distance"), F.round("common_distance", 6).alias("common_distance"))

@@ -464,3 +464,17 @@ def test_names_are_replaced_wherever_their_words_stand(spark):
     assert [len(r.entities) for r in got] == [3, 4, 3, 0] and got[3].text == texts[3]
     first = {e.original: e.surrogate for e in got[0].entities}
     assert first["Anna Smith"] == f"{first['Anna']} {first['Smith']}"
+
+
+def test_a_rare_language_is_not_its_own_measure(spark):
+    rng = random.Random(6)
+    words = "the house of a man and the dog is in that garden for it to go on with some more words".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(120)), "en") for i in range(30)]
+    junk = " ".join("#%*" + rng.choice("$&|<>") + str(i) for i in range(100))
+    clean = " ".join(rng.choice("la casa di un uomo che vive nel giardino con il cane grande molto bello".split()) + rng.choice("aeio") for _ in range(100))
+    rows += [(100, junk, "zz"), (101, clean, "it"), (102, junk, None)]
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got[100].kept and not got[102].kept and got[100].class_distance > 0.25 and got[101].kept
+    assert all(got[i].kept for i in range(30) if not got[i].base_failed)
+    alone = Q.judge(spark.createDataFrame(rows[-3:], "doc_id long, text string, lang string")).collect()
+    assert all(r.kept != r.base_failed for r in alone)  # too little for any reference
