@@ -141,9 +141,9 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             row = batch.slice(k, 1).to_pylist()[0]
             get = lambda name: np.frombuffer(row[name], np.int64)  # noqa: B023, E731
             n = len(get("places"))
-            planes = np.frombuffer(row["planes"], np.uint8).reshape(n, row["bits"], -1)
-            anchors = get("a_components").reshape(-1, row["dims"])
-            yield get, scores(anchors, planes).T if row["dims"] else np.zeros((len(get("a_places")), n), np.int64)
+            planes = np.frombuffer(row["planes"], np.uint8).reshape(n, row["bits"], -(-row["dims"] // 8))
+            anchors = get("a_components").reshape(len(get("a_places")), row["dims"])
+            yield get, scores(anchors, planes).T
 
 
 def _batch(schema: str, columns: list[list]) -> pa.RecordBatch:

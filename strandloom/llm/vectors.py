@@ -32,7 +32,7 @@ def matrix(column: pa.ChunkedArray | pa.Array, dims: int, kind: type = np.float6
     """A column of lists without nulls, all of one length, as rows of a matrix."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     flat = [c.flatten().to_numpy(zero_copy_only=False) for c in chunks]
-    return np.concatenate(flat).astype(kind).reshape(-1, dims) if flat else np.zeros((0, dims), kind)
+    return (np.concatenate(flat) if flat else np.zeros(0)).astype(kind).reshape(len(column), dims)
 
 
 def facing(tiles: DataFrame, others: DataFrame, after: bool = False) -> DataFrame:
