@@ -104,19 +104,36 @@ def profile(seq: Column, seq_start: Column, seq_stop: Column) -> Column:
     return F.array(*shares)
 
 
+def _mer_shares(seq: Column, longest: int) -> list[Column]:
+    """Shares of k-mers in lexicographic order, with the share of G and C before T."""
+    return [x for mer in mers(longest) for x in (([share_of_bases(seq, "GC")] if mer == "T" else []) + [share_of_mer(seq, mer)])]
+
+
+def arm_features(arm: Column) -> Column:
+    """The 22 inputs of the support-vector model that an arm gives."""
+    return F.array(*_mer_shares(arm, 2), F.length(arm).cast("double"))
+
+
+def scan_features(target: Column) -> Column:
+    """The 86 inputs that the scan region gives."""
+    return F.array(*_mer_shares(target, 3), F.length(target).cast("double"))
+
+
+def junction_features(lig: Column) -> Column:
+    """16 inputs, one of them 1: the first two bases of the ligation arm."""
+    return F.array(*[F.when(F.substring(lig, 1, 2) == a + b, 1.0).otherwise(0.0) for a in "ACGT" for b in "ACGT"])
+
+
+def joined_features(ext: Column, surroundings: Column, scan: Column, lig: Column, junction: Column, ext_copies: Column, lig_copies: Column, unfit: Column) -> Column:
+    """The 192 inputs from their parts, in the model's order; all 0 if the probe can't be judged."""
+    whole = F.concat(ext, surroundings, scan, lig, junction, F.array(log_copies(ext_copies), log_copies(lig_copies)))
+    return F.when(unfit, F.array_repeat(F.lit(0.0), 192)).otherwise(whole)
+
+
 def feature_vector(ext: Column, lig: Column, target: Column, ext_copies: Column, lig_copies: Column, surroundings: Column) -> Column:
     """The 192 inputs of the support-vector model; all 0 if the probe can't be judged.
 
     Shares of k-mers come in lexicographic order with the share of G and C before T.
     """
-
-    def shares(seq: Column, longest: int) -> list[Column]:
-        return [x for mer in mers(longest) for x in (([share_of_bases(seq, "GC")] if mer == "T" else []) + [share_of_mer(seq, mer)])]
-
-    pairs = [F.when(F.substring(lig, 1, 2) == a + b, 1.0).otherwise(0.0) for a in "ACGT" for b in "ACGT"]
-    one = F.array(*shares(ext, 2), F.length(ext).cast("double"))
-    two = F.array(*shares(target, 3), F.length(target).cast("double"))
-    three = F.array(*shares(lig, 2), F.length(lig).cast("double"))
-    whole = F.concat(one, surroundings, two, three, F.array(*pairs), F.array(log_copies(ext_copies), log_copies(lig_copies)))
     unfit = F.contains(ext, F.lit("N")) | F.contains(lig, F.lit("N")) | F.contains(target, F.lit("-"))
-    return F.when(unfit, F.array_repeat(F.lit(0.0), 192)).otherwise(whole)
+    return joined_features(arm_features(ext), surroundings, scan_features(target), arm_features(lig), junction_features(lig), ext_copies, lig_copies, unfit)

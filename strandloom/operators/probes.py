@@ -6,14 +6,17 @@ and the ligation arm right, on the minus strand the other way round and reverse-
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import ext_inputs, lig_inputs, logistic_inputs, logistic_of, logistic_score, scan_inputs
+from ..functions.scores import arm_features, ext_inputs, joined_features, junction_features, lig_inputs, logistic_inputs, logistic_of, logistic_score, profile, scan_features, scan_inputs
 from ..functions.sequences import masked_share, reverse_complement, slice_at
 from ..params import DesignParams
 from .genome import with_copies
 from .intervals import point_join
+from .svm import SvmModel, predict
 
 
 def arm_pairs(spark, params: DesignParams) -> DataFrame:
@@ -105,7 +108,51 @@ def scored(candidates: DataFrame) -> DataFrame:
 
 
 def scored_bounds(bounds: DataFrame, features: DataFrame, counts: DataFrame) -> DataFrame:
-    """Candidates by their bounds with both arms' sequences and copies, and the logistic score.
+    """Candidates by their bounds with both arms' sequences and copies, and the logistic score."""
+    of_arm = lambda arm: {"ext": ext_inputs(arm, F.col("copies")), "lig": lig_inputs(arm, F.col("copies"))}
+    joined, names = _with_parts(bounds, features, counts, of_arm, scan_inputs)
+    score = logistic_of({k: F.col(f"__{k}") for k in names}, _unfit())
+    return joined.withColumn("score", score).withColumn("mip_key", mip_key()).drop("__ext_unfit", "__lig_unfit", "__scan_unfit", *[f"__{k}" for k in names])
+
+
+def with_svm_features(bounds: DataFrame, features: DataFrame, counts: DataFrame) -> DataFrame:
+    """Candidates by their bounds with both arms' sequences and copies, and svm_features, the 192 inputs of the
+    support-vector model. The surroundings are those that the feature's own sequence shows."""
+    of_arm = lambda arm: {"ext": {"ext": arm_features(arm)}, "lig": {"lig": arm_features(arm), "junction": junction_features(arm)}}
+    joined, names = _with_parts(bounds, features, counts, of_arm, lambda scan: {"scan": scan_features(scan)})
+    around = features.select("feature_id", profile(F.col("seq"), F.col("seq_start"), F.col("seq_stop")).alias("__around"))
+    column = {k: F.col(f"__{k}") for k in names}
+    vector = joined_features(column["ext"], F.col("__around"), column["scan"], column["lig"], column["junction"], F.col("ext_probe_copy"), F.col("lig_probe_copy"), _unfit())
+    made = joined.join(around, "feature_id").withColumn("svm_features", vector).withColumn("mip_key", mip_key())
+    return made.drop("__around", "__ext_unfit", "__lig_unfit", "__scan_unfit", *[f"__{k}" for k in names])
+
+
+def scored_by(bounds: DataFrame, features: DataFrame, counts: DataFrame, params: DesignParams, model: SvmModel | None = None) -> DataFrame:
+    """Candidates with the score that params.score_method asks for.
+
+    "logistic": the logistic score. "svr": the model's prediction for every candidate. "mixed": the logistic score, which
+    condensing goes by; ``with_rescoring`` then gives the condensed probes what tiling scores them anew by.
+    """
+    if params.score_method != "svr":
+        return scored_bounds(bounds, features, counts)
+    if model is None:
+        raise ValueError("score_method svr needs a model")
+    return predict(with_svm_features(bounds, features, counts), model, "svm_features", "score").drop("svm_features")
+
+
+def with_rescoring(condensed: DataFrame, features: DataFrame, counts: DataFrame) -> DataFrame:
+    """Condensed probes with svm_features, for tiling by score_method "mixed"."""
+    columns = ["feature_id", "scan_start", "strand", "generation"]
+    bounds = condensed.drop("ext_probe_sequence", "lig_probe_sequence", "scan_target_sequence", "ext_probe_copy", "lig_probe_copy", "mip_key")
+    return condensed.join(with_svm_features(bounds, features, counts).select(*columns, "svm_features"), columns)
+
+
+def _unfit() -> Column:
+    return F.col("__ext_unfit") | F.col("__lig_unfit") | F.col("__scan_unfit")
+
+
+def _with_parts(bounds: DataFrame, features: DataFrame, counts: DataFrame, of_arm: Callable[[Column], dict[str, dict[str, Column]]], of_scan: Callable[[Column], dict[str, Column]]) -> tuple[DataFrame, list[str]]:
+    """Candidates with their arms and scan regions and, as __name, what is known of each; and those names.
 
     Candidates share arms and scan regions. Each arm and each region of a feature is cut out and judged
     once, and candidates are joined to what is known of theirs by whole numbers.
@@ -123,17 +170,13 @@ def scored_bounds(bounds: DataFrame, features: DataFrame, counts: DataFrame) ->
     arms = with_copies(cut(narrow.select(*key, F.explode(two).alias("x")).select(*key, "x.*"), "arm"), counts, "arm", "copies")
     scans = cut(narrow.select(*key, F.col("scan_start").alias("start"), F.col("scan_stop").alias("stop")), "scan")
     arm, scan = F.col("arm"), F.col("scan")
-    of_arm = {"ext": ext_inputs(arm, F.col("copies")), "lig": lig_inputs(arm, F.col("copies"))}
-    of_scan = scan_inputs(scan)
+    arm_inputs, scan_inputs_ = of_arm(arm), of_scan(scan)
     joined = narrow
-    for w, inputs in of_arm.items():
+    for w, inputs in arm_inputs.items():
         own = arms.select(*key, F.col("start").alias(f"{w}_probe_start"), F.col("stop").alias(f"{w}_probe_stop"), arm.alias(f"{w}_probe_sequence"), F.col("copies").alias(f"{w}_probe_copy"), F.contains(arm, F.lit("N")).alias(f"__{w}_unfit"), *[v.alias(f"__{k}") for k, v in inputs.items()])
         joined = joined.join(own, [*key, f"{w}_probe_start", f"{w}_probe_stop"])
-    own = scans.select(*key, F.col("start").alias("scan_start"), F.col("stop").alias("scan_stop"), scan.alias("scan_target_sequence"), F.contains(scan, F.lit("-")).alias("__scan_unfit"), *[v.alias(f"__{k}") for k, v in of_scan.items()])
-    joined = joined.join(own, [*key, "scan_start", "scan_stop"])
-    names = [*of_arm["ext"], *of_arm["lig"], *of_scan]
-    score = logistic_of({k: F.col(f"__{k}") for k in names}, F.col("__ext_unfit") | F.col("__lig_unfit") | F.col("__scan_unfit"))
-    return joined.withColumn("score", score).withColumn("mip_key", mip_key()).drop("__ext_unfit", "__lig_unfit", "__scan_unfit", *[f"__{k}" for k in names])
+    own = scans.select(*key, F.col("start").alias("scan_start"), F.col("stop").alias("scan_stop"), scan.alias("scan_target_sequence"), F.contains(scan, F.lit("-")).alias("__scan_unfit"), *[v.alias(f"__{k}") for k, v in scan_inputs_.items()])
+    return joined.join(own, [*key, "scan_start", "scan_stop"]), [*arm_inputs["ext"], *arm_inputs["lig"], *scan_inputs_]
 
 
 def with_variants(candidates: DataFrame, snps: DataFrame, key: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,36 +81,52 @@ def probabilities(values: np.ndarray, model: SvmModel, rounds: int = 100) -> np.
             p = np.clip(1 / (1 + np.exp(values[:, at] * model.prob_a[at] + model.prob_b[at])), 1e-7, 1 - 1e-7)
             r[:, i, j], r[:, j, i] = p, 1 - p
             at += 1
-    out = np.full((len(values), n), 1 / n)
-    for row in range(len(values)):
-        # minimise the squared disagreement of p_i r_ji and p_j r_ij with probabilities that sum to one
-        q = -r[row].T * r[row]
-        np.fill_diagonal(q, [(np.delete(r[row][:, i], i) ** 2).sum() for i in range(n)])
-        system = np.block([[q, np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
-        out[row] = np.linalg.lstsq(system, np.r_[np.zeros(n), 1.0], rcond=None)[0][:n].clip(0)
+    # minimise the squared disagreement of p_i r_ji and p_j r_ij with probabilities that sum to one: a system a row
+    q = -r.transpose(0, 2, 1) * r
+    q[:, np.arange(n), np.arange(n)] = (r**2).sum(axis=1)
+    system = np.ones((len(values), n + 1, n + 1))
+    system[:, :n, :n], system[:, n, n] = q, 0.0
+    out = (np.linalg.pinv(system) @ np.r_[np.zeros(n), 1.0])[:, :n].clip(0)
     return out / out.sum(1, keepdims=True)
 
 
+def predicted(x: np.ndarray, model: SvmModel) -> np.ndarray:
+    """The model's prediction for each row of x: a value, a class or 1 and -1."""
+    values = decisions(x, model)
+    if model.counts and model.svm_type in ("c_svc", "nu_svc"):
+        return votes(values, model).astype(float)
+    return np.where(values[:, 0] > 0, 1.0, -1.0) if model.svm_type == "one_class" else values[:, 0]
+
+
+#: Rows that are multiplied with the support vectors at once.
+BLOCK = 2048
+
+
 def predict(rows: DataFrame, model: SvmModel, features: str = "features", output: str = "prediction") -> DataFrame:
-    """rows with the model's prediction for an array column; the model is broadcast once."""
+    """rows with the model's prediction for an array column; the model is broadcast once.
+
+    Blocks of rows are multiplied with the matrix of support vectors. A null vector has no prediction; vectors
+    are as long as the model's (shorter ones, of which the rest is 0, aren't taken for granted).
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in rows.columns if c != output]
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], f"`{output}` double"])
 
-    @F.pandas_udf("double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            if not len(batch):
-                yield pd.Series([], dtype=float)
-                continue
-            values = decisions(np.stack(batch.to_numpy()), own)
-            if own.counts and own.svm_type in ("c_svc", "nu_svc"):
-                yield pd.Series(votes(values, own).astype(float))
-            elif own.svm_type == "one_class":
-                yield pd.Series(np.where(values[:, 0] > 0, 1.0, -1.0))
-            else:
-                yield pd.Series(values[:, 0])
-
-    return rows.withColumn(output, of(F.col(features)))
+        for whole in batches:
+            for batch in (whole.slice(at, BLOCK) for at in range(0, whole.num_rows, BLOCK)):
+                column = batch[features]
+                there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+                out = np.full(batch.num_rows, np.nan)
+                if len(there):
+                    x = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(there), -1)
+                    out[there] = predicted(x, own)
+                values = pa.array(out, mask=~np.isin(np.arange(batch.num_rows), there))
+                yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], values], names=[*kept, output])
+
+    return rows.select(*kept).mapInArrow(run, schema)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ scan start and strand), never candidates. Strands are tried in a fixed turn, so
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Iterator
 from itertools import takewhile
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DesignParams
+from .svm import SvmModel, predicted
 
 TILED = "chr string, feature_id long, turn int, scan_start int, strand string, phase string, start int, stop int, kind string"
 _NEEDED = ["chr", "feature_id", "start_f", "stop_f", "scan_start", "scan_stop", "strand", "score", "snp_count", "ext_probe_start", "ext_probe_stop", "lig_probe_start", "lig_probe_stop", "ext_probe_copy", "lig_probe_copy", "arm_fraction_masked"]
@@ -54,21 +56,31 @@ class _Board:
 
 
 class Probes:
-    """The condensed probes of one feature as arrays, and what is preferred among them."""
+    """The condensed probes of one feature as arrays, and what is preferred among them.
 
-    def __init__(self, rows: pd.DataFrame, params: DesignParams):
-        self.params = params
+    With a model, a probe's score is the model's from the first time that tiling looks at it.
+    """
+
+    def __init__(self, rows: pd.DataFrame, params: DesignParams, model: SvmModel | None = None):
+        self.params, self.model = params, model
+        self.features, self.looked_at = (rows["svm_features"].to_numpy() if model is not None else None), np.zeros(len(rows), bool)
         self.feature, self.first, self.last = (int(rows[c].iloc[0]) for c in ("feature_id", "start_f", "stop_f"))
         names = {"place": "scan_start", "stop": "scan_stop", "ext_start": "ext_probe_start", "ext_stop": "ext_probe_stop", "lig_start": "lig_probe_start", "lig_stop": "lig_probe_stop", "snps": "snp_count", "masked": "arm_fraction_masked", "strand": "strand"}
         for name, column in names.items():
             setattr(self, name, rows[column].to_numpy())
-        self.score = rows["score"].fillna(-np.inf).to_numpy()
+        self.score = rows["score"].fillna(-np.inf).to_numpy(dtype=float, copy=True)
         self.copies = rows[["ext_probe_copy", "lig_probe_copy"]].max(axis=1).to_numpy()
         self.product = rows["ext_probe_copy"].to_numpy() * rows["lig_probe_copy"].to_numpy()
         self.at: dict[int, list[int]] = {}
         for i in np.lexsort((self.strand, self.place)):  # "+" sorts before "-"
             self.at.setdefault(int(self.place[i]), []).append(int(i))
 
+    def look_at(self, which: list[int]) -> None:
+        """Score these anew by the model, once each."""
+        if self.model is not None and (new := [i for i in which if not self.looked_at[i]]):
+            self.score[new] = predicted(np.stack([np.asarray(self.features[i], float) for i in new]), self.model)
+            self.looked_at[new] = True
+
     def best_over(self, strand: str) -> np.ndarray:
         """The best usable probe over each position of the feature: fewest variants, then the highest
         score, then the earliest scan start; -1 where there is none."""
@@ -111,6 +123,7 @@ def _reachable(p: Probes, places: list[int], position: int, strands: str) -> Ite
     probe ends before the position."""
     for place in takewhile(lambda x: p.first - p.params.min_capture_size < x < p.last, places):
         own = [i for i in p.at[place] if p.strand[i] in strands]
+        p.look_at(own)
         yield from ((place, i) for i in own)
         if own and p.stop[own[-1]] <= position:
             return
@@ -133,6 +146,7 @@ def _next_probe(p: Probes, board: _Board, left: np.ndarray, strands: str) -> int
             reaches = not rising or before + 1 + p.stop[chosen] - p.place[chosen] + 1 > end
             if not (wanted and place in window and reaches):
                 break
+        p.look_at([i for i in p.at[place] if p.strand[i] in strands])
         for i in p.at[place]:
             if p.strand[i] in strands and i != chosen and p.improves(i, chosen) and board.free(p, i):
                 chosen = i
@@ -140,8 +154,8 @@ def _next_probe(p: Probes, board: _Board, left: np.ndarray, strands: str) -> int
 
 
 def _priority(p: Probes, board: _Board, left: np.ndarray, strands: str) -> int | None:
-    """The free probe of the position whose better strand scores lowest, if below the limit. Equal
-    strands: minus; equal positions: the first."""
+    """The free probe of the position whose better strand scores lowest, if below the limit (then by the model, if
+    there is one). Equal strands: minus; equal positions: the first."""
     free = np.append(board.all_free(p), False)
     score, top = np.append(p.score, -np.inf), {s: p.tops[s] for s in strands}
     fits = {s: left & free[i] for s, i in top.items()}
@@ -153,9 +167,9 @@ def _priority(p: Probes, board: _Board, left: np.ndarray, strands: str) -> int |
     at = int(np.argmin(best))
     if not some[at]:  # every one scores infinitely badly
         at = int(np.flatnonzero(some)[0])
-    if best[at] >= p.params.lower_limit:
-        return None
-    return int(next(top[s][at] for s in sorted(strands, reverse=True) if fits[s][at] and score[top[s][at]] == best[at]))
+    found = int(next(top[s][at] for s in sorted(strands, reverse=True) if fits[s][at] and score[top[s][at]] == best[at]))
+    p.look_at([found])
+    return found if p.score[found] < p.params.lower_limit else None
 
 
 def _tile_feature(p: Probes, board: _Board) -> Iterator[dict]:
@@ -197,14 +211,20 @@ def _tile_feature(p: Probes, board: _Board) -> Iterator[dict]:
             yield {"start": p.first + int(a), "stop": p.first + int(b) - 1, "kind": kind}
 
 
-def _tiled(condensed: DataFrame, params: DesignParams) -> DataFrame:
+def _tiled(condensed: DataFrame, params: DesignParams, model: SvmModel | None = None) -> DataFrame:
     """Picks and gaps of all features, with turn, their order within a feature."""
     columns = [c.split()[0] for c in TILED.split(", ")]
+    needed, shared = _NEEDED, None
+    if params.score_method == "mixed":
+        if model is None:
+            raise ValueError("score_method mixed needs a model")
+        params, needed = dataclasses.replace(params, score_method="svr"), [*_NEEDED, "svm_features"]  # its limits from here on
+        shared = condensed.sparkSession.sparkContext.broadcast(model)
 
     def tile(rows: pd.DataFrame) -> pd.DataFrame:
         board, out = _Board(rows, params), []
         for feature, own in rows.groupby("feature_id", sort=True):
-            made = _tile_feature(Probes(own.reset_index(drop=True), params), board)
+            made = _tile_feature(Probes(own.reset_index(drop=True), params, shared and shared.value), board)
             out += [dict.fromkeys(columns) | {"chr": own["chr"].iloc[0], "feature_id": feature, "turn": i} | x for i, x in enumerate(made)]
         return pd.DataFrame(out, columns=columns, dtype=object)
 
@@ -214,21 +234,24 @@ def _tiled(condensed: DataFrame, params: DesignParams) -> DataFrame:
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = features.withColumn("apart", F.when(F.col("start") > reach + 2 * params.max_capture_size, 1).otherwise(0))
     clusters = apart.select("chr", "feature_id", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("cluster"))
-    placed = condensed.select(*_NEEDED).join(clusters, ["chr", "feature_id"])
+    placed = condensed.select(*needed).join(clusters, ["chr", "feature_id"])
     return placed.groupBy("chr", "cluster").applyInPandas(tile, TILED)
 
 
-def pick(condensed: DataFrame, params: DesignParams) -> DataFrame:
+def pick(condensed: DataFrame, params: DesignParams, model: SvmModel | None = None) -> DataFrame:
     """Picked probes, numbered by chromosome in the order of features and of their picks.
 
+    By score_method "mixed" condensed has svm_features (``probes.with_rescoring``), and the model scores only the
+    probes that tiling looks at.
+
     First the probes of positions that score below the priority limit, then tiles from the first
     uncovered position on; further passes for separate strands and for double tiling.
     """
     order = Window.partitionBy("chr").orderBy("feature_id", "turn")
-    picks = _tiled(condensed, params).filter("phase IS NOT NULL").withColumn("number", F.row_number().over(order))
+    picks = _tiled(condensed, params, model).filter("phase IS NOT NULL").withColumn("number", F.row_number().over(order))
     return picks.select("chr", "feature_id", "number", "scan_start", "strand", "phase")
 
 
-def uncovered(condensed: DataFrame, params: DesignParams) -> DataFrame:
+def uncovered(condensed: DataFrame, params: DesignParams, model: SvmModel | None = None) -> DataFrame:
     """Intervals that no pick covers, and gaps cut to go on, by kind of pass."""
-    return _tiled(condensed, params).filter("kind IS NOT NULL").select("chr", "feature_id", "start", "stop", "kind")
+    return _tiled(condensed, params, model).filter("kind IS NOT NULL").select("chr", "feature_id", "start", "stop", "kind")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import dataclasses
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scores import INTERCEPT, JUNCTION, POWER_BASE, terms
+from ..functions.scores import INTERCEPT, JUNCTION, POWER_BASE, PROFILE_MERS, terms
+from ..functions.sequences import mers
 from ..operators import genome as G
 from ..operators import probes as P
 from ..operators import tiling
+from ..operators.svm import RBF, SvmModel
 from ..params import DesignParams
 from .inputs import TARGETS, targets
 
@@ -161,5 +165,76 @@ SELECT b.feature_id, CAST(capture_size AS INTEGER) AS capture_size, mip_key, e.n
 FROM {_WITH_ARMS.replace("a e", "a2 e").replace("a l", "a2 l")}
 """
 
-QUERIES = {f.__name__: f for f in (arm_pairs, probe_candidates, logistic_score, best_per_position, worst_of_best, condensed_probes, greedy_tiling, variant_arms)}
-ORACLES = {"arm_pairs": ARM_PAIRS, "probe_candidates": PROBE_CANDIDATES, "logistic_score": LOGISTIC_SCORE, "best_per_position": BEST_PER_POSITION, "worst_of_best": WORST_OF_BEST, "variant_arms": VARIANT_ARMS}
+# -- support-vector scores by a model that is made here: a formula gives its vectors
+
+SV, GAMMA, RHO = 8, 0.002, -1.5
+MODEL = SvmModel(
+    "epsilon_svr", RBF, gamma=GAMMA, rho=[RHO], coef=np.array([[((7 * k) % 5) / 2 - 1.0 for k in range(SV)]]),
+    sv=np.array([[((37 * k + 11 * j) % 17) / 17 + (20.0 if j in (21, 173) else 45.0 if j == 151 else 0.0) for j in range(192)] for k in range(SV)]),
+)
+SVR_PARAMS = dataclasses.replace(PARAMS, score_method="svr", svr_priority_score=1.2, svr_optimal_score=1.6)
+MIXED_PARAMS = dataclasses.replace(SVR_PARAMS, score_method="mixed")
+
+
+def _copies(features: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, [G.copy_numbers(features, n) for n in sorted({n for _, e, g in _ARMS for n in (e, g)})])
+
+
+def svr_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Support-vector score of every candidate."""
+    features = targets(spark, sf_dir)
+    rows = P.scored_by(P.candidate_bounds(features, SVR_PARAMS), features, _copies(features), SVR_PARAMS, MODEL)
+    return rows.select("feature_id", "capture_size", "mip_key", F.round("score", 6).alias("score"))
+
+
+def mixed_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes picked by logistic scores to condense and support-vector scores of those that tiling looks at."""
+    features = targets(spark, sf_dir)
+    condensed = P.with_rescoring(P.condense(_scored(spark, sf_dir), MIXED_PARAMS), features, _copies(features))
+    return tiling.pick(condensed, MIXED_PARAMS, MODEL)
+
+
+def _mer_count(mer: str) -> str:
+    """Occurrences that may overlap, in DuckDB; only mers that begin as they end can."""
+    if any(mer[:k] == mer[-k:] for k in range(1, len(mer))):
+        return f"len(list_filter(range(1, length(part) - {len(mer) - 2}), lambda i: substring(part, i, {len(mer)}) = '{mer}'))"
+    return f"(length(part) - length(replace(part, '{mer}', ''))) // {len(mer)}"
+
+
+def _apart(values: list[str], first: int) -> str:
+    """List of squared distances of some inputs from each support vector's."""
+    return "[" + ", ".join(" + ".join(f"pow({v} - {float(MODEL.sv[k, first + j])!r}, 2)" for j, v in enumerate(values)) for k in range(SV)) + "]"
+
+
+def _named(longest: int) -> tuple[str, list[str]]:
+    """Columns of k-mer shares in DuckDB and their names in the model's order."""
+    columns, names = [], []
+    for mer in mers(longest):
+        if mer == "T":
+            columns.append(f"{_share('part', 'GC')} AS m_share")
+            names.append("m_share")
+        columns.append(f"CASE WHEN length(part) >= {len(mer)} THEN {_mer_count(mer)} / (length(part) - {len(mer) - 1}) ELSE 0.0 END AS m_{mer.lower()}")
+        names.append(f"m_{mer.lower()}")
+    return ", ".join([*columns, "CAST(length(part) AS DOUBLE) AS m_len"]), [*names, "m_len"]
+
+
+_BOTH = {m: sorted({m, m[::-1].translate(str.maketrans("ACGT", "TGCA"))}) for m in PROFILE_MERS}
+_AROUND = ", ".join(f"({' + '.join(_mer_count(x).replace('part', 'seq') for x in _BOTH[m])}) / (seq_stop - seq_start + 2001) AS p{i}" for i, m in enumerate(PROFILE_MERS))
+_ARM, _SCAN = _named(2), _named(3)
+_JUNCTION = [f"CAST(substring(part, 1, 2) = '{a}{b}' AS DOUBLE)" for a in "ACGT" for b in "ACGT"]
+_LOG = "CASE WHEN copies > 100 THEN 2.0 ELSE log10(copies) END"
+_SUM = "".join(f" + {float(MODEL.coef[0, k])!r} * exp(-{GAMMA} * (de[{k + 1}] + dl[{k + 1}] + ds[{k + 1}] + df[{k + 1}]))" for k in range(SV))
+SVR_SCORE = f"""WITH {CANDIDATES},
+k AS (SELECT least(kmer, {_RC.format('kmer')}) AS kmer, count(*) AS copies FROM ({_KMERS}) GROUP BY 1),
+m AS MATERIALIZED (SELECT a.key, a.part, k.copies, {_ARM[0]} FROM a JOIN k ON k.kmer = least(part, {_RC.format('part')})),
+e AS MATERIALIZED (SELECT key, {_apart([*_ARM[1]], 0)} AS d, {_apart([_LOG], 190)} AS c FROM m),
+l AS MATERIALIZED (SELECT key, {_apart([*_ARM[1], *_JUNCTION], 152)} AS d, {_apart([_LOG], 191)} AS c FROM m),
+scans AS (SELECT {_key("start", "stop - start")} AS key, CASE WHEN strand = '+' THEN part ELSE {_RC.format('part')} END AS part FROM (SELECT p.*, substring(t.seq, p.start, p.stop - p.start + 1) AS part FROM (SELECT DISTINCT feature_id, strand, scan_start AS start, scan_stop AS stop FROM b) p JOIN t USING (feature_id))),
+s AS MATERIALIZED (SELECT key, {_apart(_SCAN[1], 66)} AS d FROM (SELECT key, {_SCAN[0]} FROM scans)),
+f AS MATERIALIZED (SELECT feature_id, {_apart([f"p{i}" for i in range(len(PROFILE_MERS))], 22)} AS d FROM (SELECT feature_id, {_AROUND} FROM t)),
+x AS (SELECT b.feature_id, capture_size, mip_key, list_transform(list_zip(e.d, e.c), lambda z: z[1] + z[2]) AS de, list_transform(list_zip(l.d, l.c), lambda z: z[1] + z[2]) AS dl, s.d AS ds, f.d AS df FROM b JOIN e ON e.key = e_key JOIN l ON l.key = l_key JOIN s ON s.key = s_key JOIN f ON f.feature_id = b.feature_id)
+SELECT feature_id, CAST(capture_size AS INTEGER) AS capture_size, mip_key, round({-RHO}{_SUM}, 6) AS score FROM x
+"""
+
+QUERIES = {f.__name__: f for f in (arm_pairs, probe_candidates, logistic_score, best_per_position, worst_of_best, condensed_probes, greedy_tiling, variant_arms, svr_score, mixed_tiling)}
+ORACLES = {"arm_pairs": ARM_PAIRS, "probe_candidates": PROBE_CANDIDATES, "logistic_score": LOGISTIC_SCORE, "best_per_position": BEST_PER_POSITION, "worst_of_best": WORST_OF_BEST, "variant_arms": VARIANT_ARMS, "svr_score": SVR_SCORE}
