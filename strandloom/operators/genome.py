@@ -7,13 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import BASES, canonical, reverse_complement, slice_at
-
+from ..functions.sequences import canonical, reverse_complement, slice_at
+from .superkmers import count_windows, single_windows
 
 #: Window starts in a piece of a sequence.
 PIECE = 4096
-#: Longest window that is packed into a 64-bit number, two bits a base.
-MOST_PACKED = 31
 
 
 def pieces(sequences: DataFrame, size: int, seq: str = "seq", keys: tuple[str, ...] = ("chr",)) -> DataFrame:
@@ -43,35 +41,6 @@ def windows(sequences: DataFrame, size: int, step: int = 1, seq: str = "seq", ke
     return inside.select(*keys, F.explode(made).alias("w")).select(*keys, "w.start", "w.kmer")
 
 
-def packed_windows(sequences: DataFrame, size: int, seq: str = "seq", keys: tuple[str, ...] = ("chr",)) -> DataFrame:
-    """(keys, start, packed, odd, flipped): every window by its canonical form, the smaller of it and its
-    reverse complement; flipped says that this is the latter.
-
-    Windows of A, C, G and T up to 31 bases are packed into a long, which sorts and hashes as a number;
-    others are kept as text in odd. Either is null where the other is set.
-    """
-    inside = pieces(sequences, size, seq, keys)
-    # digits sort as the bases do; a piece's complement is made once for all its windows
-    plain = F.lit(size <= MOST_PACKED) & ~F.rlike("piece", F.lit("[^ACGT]"))
-    ahead, back = (f(F.translate("piece", BASES, digits)).cast("binary") for f, digits in ((lambda x: x, "0123"), (F.reverse, "3210")))
-    whole = F.struct("first", (F.length("piece") - size + 1).alias("n"), ahead.alias("ahead"), back.alias("back"), plain.alias("plain"))
-
-    def form(own: Column, i: Column) -> Column:
-        one, two = F.substr(own["ahead"], i, F.lit(size)), F.substr(own["back"], own["n"] - i + 1, F.lit(size))
-        return F.struct((own["first"] + i - 1).alias("start"), F.least(one, two).cast("string").alias("digits"), (two < one).alias("flipped"), own["plain"].alias("plain"))
-
-    made = once(whole, lambda own: F.transform(F.sequence(F.lit(1), own["n"]), lambda i: form(own, i)))
-    made = inside.select(*keys, F.explode(made).alias("w")).withColumn("plain", F.col("w.plain"))
-    pure = F.lit(False) if size > MOST_PACKED else F.col("plain") | ~F.rlike("w.digits", F.lit("[^0-3]"))
-    number = F.conv("w.digits", 4, 10).cast("long")
-    return made.select(*keys, "w.start", F.when(pure, number).alias("packed"), F.when(~pure, F.translate("w.digits", "0123", BASES)).alias("odd"), "w.flipped")
-
-
-def unpacked(size: int) -> Column:
-    """The canonical k-mer of packed and odd."""
-    return F.coalesce("odd", F.translate(F.lpad(F.conv(F.col("packed").cast("string"), 10, 4), size, "0"), "0123", BASES))
-
-
 def capture_windows(features: DataFrame, largest: int, smallest: int, step: int) -> DataFrame:
     """Capture windows of each size over features' surroundings: feature_id, chr, size, start, window.
 
@@ -85,8 +54,7 @@ def capture_windows(features: DataFrame, largest: int, smallest: int, step: int)
 
 def copy_numbers(sequences: DataFrame, size: int, seq: str = "seq") -> DataFrame:
     """(kmer, copies): occurrences of each k-mer on either strand, named by its canonical form."""
-    found = packed_windows(sequences, size, seq, keys=()).groupBy("packed", "odd").agg(F.count(F.lit(1)).alias("copies"))
-    return found.select(unpacked(size).alias("kmer"), "copies")
+    return count_windows(pieces(sequences, size, seq, ()), size)
 
 
 def with_copies(oligos: DataFrame, counts: DataFrame, oligo: str, copies: str, default: int = 0) -> DataFrame:
@@ -99,10 +67,8 @@ def with_copies(oligos: DataFrame, counts: DataFrame, oligo: str, copies: str, d
 
 
 def unique_windows(sequences: DataFrame, size: int, seq: str = "seq", keys: tuple[str, ...] = ("chr",)) -> DataFrame:
-    """Windows that occur once on either strand of the whole genome."""
-    once = packed_windows(sequences, size, seq, keys).groupBy("packed", "odd").agg(F.count(F.lit(1)).alias("__n"), *[F.min(c).alias(c) for c in (*keys, "start", "flipped")]).filter("__n = 1")
-    kmer = once.withColumn("kmer", unpacked(size))
-    return kmer.select(*keys, "start", F.when(F.col("flipped"), reverse_complement(F.col("kmer"))).otherwise(F.col("kmer")).alias("kmer"))
+    """(keys, start, kmer) of windows that occur once on either strand of the whole genome."""
+    return single_windows(pieces(sequences, size, seq, keys), size, keys)
 
 
 def near_windows(sequences: DataFrame, size: int, seq: str = "seq", keys: tuple[str, ...] = ("chr",)) -> DataFrame:
