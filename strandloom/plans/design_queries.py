@@ -47,9 +47,9 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probe_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every candidate of every target: bounds, arms and key."""
+    """Every candidate of every target: its key, which tells its bounds, and its arms."""
     rows = _candidates(spark, sf_dir)
-    return rows.select("feature_id", "capture_size", "mip_key", "scan_start", "scan_stop", "ext_probe_start", "lig_probe_start", "ext_probe_sequence", "lig_probe_sequence")
+    return rows.select("capture_size", "mip_key", F.concat_ws("/", "ext_probe_sequence", "lig_probe_sequence").alias("arms"))
 
 
 _PAIRS = ", ".join(f"({e}, {g})" for _, e, g in _ARMS)
@@ -73,7 +73,7 @@ parts AS (SELECT feature_id, strand, start, size, {_key("start", "size")} AS key
 a AS MATERIALIZED (SELECT * FROM parts)
 """
 _WITH_ARMS = "b JOIN a e ON e.key = e_key JOIN a l ON l.key = l_key"
-PROBE_CANDIDATES = f"WITH {CANDIDATES} SELECT b.feature_id, CAST(capture_size AS INTEGER) AS capture_size, mip_key, CAST(scan_start AS INTEGER) AS scan_start, CAST(scan_stop AS INTEGER) AS scan_stop, CAST(ext_probe_start AS INTEGER) AS ext_probe_start, CAST(lig_probe_start AS INTEGER) AS lig_probe_start, e.part AS ext_probe_sequence, l.part AS lig_probe_sequence FROM {_WITH_ARMS}"
+PROBE_CANDIDATES = f"WITH {CANDIDATES} SELECT CAST(capture_size AS INTEGER) AS capture_size, mip_key, e.part || '/' || l.part AS arms FROM {_WITH_ARMS}"
 
 
 def logistic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ def variant_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     snps = at.select("chr", "pos", F.concat(ref, F.translate(ref, "ACGT", "CATG")).alias("alleles"))
     rows = _candidates(spark, sf_dir).drop("seq", "rc", "mip_sequence", "scan_target_sequence")
     found = P.with_variants(rows, snps, ["feature_id", "capture_size", "mip_key"])
-    return found.select("feature_id", "capture_size", "mip_key", F.col("snp_count").cast("long").alias("snp_count"), "snp_failed", "snp_ext_sequence", "snp_lig_sequence")
+    return found.select("capture_size", "mip_key", F.col("snp_count").cast("long").alias("snp_count"), "snp_failed", F.concat("snp_ext_sequence", F.lit("/"), "snp_lig_sequence").alias("arms"))
 
 
 VARIANT_ARMS = f"""WITH {CANDIDATES},
@@ -161,7 +161,7 @@ h AS (SELECT a.key, count(*) AS n,
   arg_max(substring(part, 1, place - 1) || base || substring(part, place + 1), pos) AS changed FROM (SELECT a.*, v.pos, CASE WHEN a.strand = '+' THEN v.pos - a.start ELSE a.start + a.size - 1 - v.pos END + 1 AS place, CASE WHEN a.strand = '+' THEN translate(v.r, 'ACGT', 'CATG') ELSE translate(translate(v.r, 'ACGT', 'CATG'), 'ACGT', 'TGCA') END AS base
   FROM a JOIN v ON v.feature_id = a.feature_id AND v.pos BETWEEN a.start AND a.start + a.size - 1) a GROUP BY a.key),
 a2 AS MATERIALIZED (SELECT a.*, coalesce(h.n, 0) AS n, h.changed FROM a LEFT JOIN h ON h.key = a.key)
-SELECT b.feature_id, CAST(capture_size AS INTEGER) AS capture_size, mip_key, e.n + l.n AS snp_count, e.n + l.n > 1 AS snp_failed, CASE WHEN e.n + l.n = 0 THEN NULL WHEN l.n = 0 THEN e.changed ELSE e.part END AS snp_ext_sequence, CASE WHEN e.n + l.n = 0 THEN NULL WHEN l.n > 0 THEN l.changed ELSE l.part END AS snp_lig_sequence
+SELECT CAST(capture_size AS INTEGER) AS capture_size, mip_key, e.n + l.n AS snp_count, e.n + l.n > 1 AS snp_failed, CASE WHEN e.n + l.n > 0 THEN CASE WHEN l.n = 0 THEN e.changed ELSE e.part END || '/' || CASE WHEN l.n > 0 THEN l.changed ELSE l.part END END AS arms
 FROM {_WITH_ARMS.replace("a e", "a2 e").replace("a l", "a2 l")}
 """
 

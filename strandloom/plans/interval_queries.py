@@ -14,7 +14,7 @@ HOUR = 3600
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An hour from each event of a user, merged where they touch or overlap."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", seconds("ts").alias("start"), (seconds("ts") + HOUR).alias("stop"))
-    return I.merge(rows, ["user_id"], label="event_id", tie="event_id")
+    return I.merge(rows, ["user_id"], label="event_id", tie="event_id", width=30 * 24 * HOUR)
 
 
 INTERVAL_MERGE = f"""
@@ -28,7 +28,7 @@ SELECT user_id, min(start) AS start, max(stop) AS stop, count(*) AS n_merged, ar
 def interval_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of consecutive days on which a supplier ships."""
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", day("l_shipdate").alias("pos"))
-    return I.islands(rows, ["l_suppkey"])
+    return I.islands(rows, ["l_suppkey"], width=366)
 
 
 INTERVAL_ISLANDS = f"""
@@ -52,7 +52,7 @@ def coverage_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _spans(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("sample")), "o_orderkey").withColumn("k", F.lit(0))
     bounds = table(spark, sf_dir, "orders").select(day("o_orderdate").alias("d"))
     targets = bounds.select((F.floor(F.col("d") / 91) * 91).cast("int").alias("start")).distinct().withColumn("stop", F.col("start") + 6).withColumn("k", F.lit(0))
-    return I.coverage(spans, targets, spans, "items", ["k"], "sample").select("sample", "pos", "covered")
+    return I.coverage(spans, targets, spans, "items", ["k"], "sample", width=91).select("sample", "pos", "covered")
 
 
 COVERAGE_BY_DAY = f"""
