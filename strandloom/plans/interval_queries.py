@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import intervals as I
+from ..sources.readers import coding_exons
+from ..sources.writers import track_rows
 from .inputs import DAY, SECONDS, day, seconds, table
 
 HOUR = 3600
@@ -103,8 +105,8 @@ SELECT * FROM parts WHERE start <= stop
 def track_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outer and inner bounds of four arm ends, from the dates of an order's first two items."""
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(day("l_shipdate")).alias("a"), F.max(day("l_shipdate")).alias("b"), F.min("l_partkey").cast("int").alias("c"), F.max("l_partkey").cast("int").alias("d"))
-    ends = items.withColumn("e", F.array_sort(F.array("a", "b", "c", "d")))
-    return ends.select("l_orderkey", (F.col("e")[0] - 1).alias("start"), F.col("e")[1].alias("thick_start"), (F.col("e")[2] - 1).alias("thick_end"), F.col("e")[3].alias("end_"))
+    ends = items.select(F.col("l_orderkey").alias("mip_key"), F.lit("1").alias("chr"), F.lit("+").alias("probe_strand"), *[F.col(x).alias(c) for x, c in zip("abcd", ("ext_probe_start", "ext_probe_stop", "lig_probe_start", "lig_probe_stop"))])
+    return track_rows(ends).select(F.col("name").alias("l_orderkey"), "start", "thick_start", "thick_end", F.col("end").alias("end_"))
 
 
 TRACK = f"""
@@ -119,9 +121,8 @@ def exon_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", day("l_shipdate").alias("s"), F.col("l_quantity").cast("int").alias("q"))
     arrays = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "s", "q"))).alias("x"))
     genes = arrays.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), day("o_orderdate").alias("cds_start")), "l_orderkey").withColumn("cds_end", F.col("cds_start") + 90)
-    exons = genes.withColumn("starts", F.transform("x", lambda v: v["s"])).withColumn("ends", F.transform("x", lambda v: v["s"] + v["q"])).withColumn("e", F.explode(F.arrays_zip("starts", "ends")))
-    kept = exons.filter((F.col("e.starts") > 0) & (F.col("cds_start") <= F.col("e.ends")) & (F.col("cds_end") >= F.col("e.starts")))
-    return kept.select("l_orderkey", F.greatest("e.starts", "cds_start").alias("start"), F.least("e.ends", "cds_end").alias("stop"))
+    named = genes.select("cds_start", "cds_end", F.transform("x", lambda v: v["s"]).alias("starts"), F.transform("x", lambda v: v["s"] + v["q"]).alias("ends"), F.col("l_orderkey").alias("chrom"), F.col("l_orderkey").alias("symbol"), F.lit("").alias("name"))
+    return coding_exons(named, named.select("symbol")).select(F.col("chrom").alias("l_orderkey"), "start", "stop")
 
 
 EXON_CLIP = f"""

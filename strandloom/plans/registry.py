@@ -8,8 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import design_queries, interval_queries, read_queries, sequence_queries
+from . import design_queries, format_queries, interval_queries, read_queries, sequence_queries
 
-_PARTS = (interval_queries, sequence_queries, design_queries, read_queries)
+_PARTS = (interval_queries, sequence_queries, design_queries, read_queries, format_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLES.items()}

@@ -111,11 +111,13 @@ def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_qseq(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(ord, lane, tile, x, y, seq, qual, passed) of qseq files, in the order of the paths."""
-    place = F.create_map(*[x for i, p in enumerate(paths) for x in (F.lit(p.rsplit("/", 1)[-1]), F.lit(i))])
+    """(ord, lane, tile, x, y, seq, qual, passed) of qseq files, in the order of the paths, files of a folder by name."""
+    whole = [p.split(":", 1)[-1].rstrip("/").lstrip("/") for p in paths]  # a path is a file or a folder
+    inside = lambda p: F.rlike("file", F.lit(rf"/{re.escape(p)}(/|$)"))
+    place = F.coalesce(*[F.when(inside(p), i) for i, p in enumerate(whole)])
     f = F.col("f")
     rows = _lines(spark, paths).filter(F.length("value") > 0).withColumn("f", F.split("value", "\t"))
-    order = F.struct(F.try_element_at(place, F.substring_index("file", "/", -1)).alias("file"), "line")
+    order = F.struct(place.alias("file"), F.col("file").alias("path"), "line")
     return rows.select(order.alias("ord"), f[2].alias("lane"), f[3].alias("tile"), f[4].alias("x"), f[5].alias("y"), f[8].alias("seq"), f[9].alias("qual"), f[10].alias("passed"))
 
 
