@@ -33,7 +33,7 @@ DAMPING, RESIDUAL = 0.85, 0.01
 #: Rounds until no more than the residual is on its way, and rounds between two written tables.
 ROUNDS, SETTLE_EVERY = math.ceil(math.log(RESIDUAL) / math.log(DAMPING)), 8
 #: Share of distrust less share of trust above which a host's undecided pages are blocked.
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 #: Urls in links: what follows "//", with a scheme before it or without.
 LINKED = r"""(?i)\b(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 #: Hosts are broadcast up to this number; beyond it they are joined by a shuffle.
