@@ -88,14 +88,16 @@ def near_windows(sequences: DataFrame, size: int, seq: str = "seq", keys: tuple[
 
 
 def unmappable(captures: DataFrame, genome: DataFrame) -> DataFrame:
-    """(size, chr, pos) of capture windows that occur more than once in the genome, either strand."""
-    counted = None
-    for (size,) in captures.select("size").distinct().collect():  # a handful: the capture sizes asked for
-        own = captures.filter(F.col("size") == size)
-        repeated = copy_numbers(genome, size).filter("copies > 1").select("kmer")
-        hit = own.join(repeated, canonical(F.col("window")) == F.col("kmer"), "left_semi").select("size", "chr", F.col("start").alias("pos"))
-        counted = hit if counted is None else counted.unionByName(hit)
-    return captures.select("size", "chr", F.col("start").alias("pos")).limit(0) if counted is None else counted.distinct()
+    """(size, chr, pos) of capture windows that occur more than once in the genome, either strand.
+
+    Windows of each size asked for are counted (a handful of sizes), and all sizes are joined at once.
+    """
+    repeated = None
+    for (size,) in captures.select("size").distinct().collect():
+        own = copy_numbers(genome, size).filter("copies > 1").select(F.lit(size).alias("size"), "kmer")
+        repeated = own if repeated is None else repeated.unionByName(own)
+    found = captures.select("size", "chr", F.col("start").alias("pos"), canonical(F.col("window")).alias("kmer"))
+    return (found.limit(0) if repeated is None else found.join(repeated, ["size", "kmer"], "left_semi")).select("size", "chr", "pos").distinct()
 
 
 def sequence_slices(features: DataFrame, genome: DataFrame, margin: int) -> DataFrame:

@@ -81,10 +81,18 @@ def mip_key() -> Column:
     return F.format_string("%s:%d-%d/%d,%d/%s", F.col("chr").cast("string"), F.col("mip_start"), F.col("mip_stop"), F.col("ext_len"), F.col("lig_len"), F.col("strand"))
 
 
-def with_masking(candidates: DataFrame) -> DataFrame:
-    """arm_fraction_masked from masked_seq, a copy of the sequence with N for masked bases."""
+def with_masking(candidates: DataFrame, params: DesignParams | None = None, masked: DataFrame | None = None) -> DataFrame:
+    """arm_fraction_masked from masked_seq, a copy of the sequence with N for masked bases, and masking_failed:
+    whether it exceeds the threshold.
+
+    masked: (feature_id, seq_start, masked_seq), joined where candidates don't hold them.
+    """
+    rows = candidates if masked is None else candidates.drop("seq_start", "masked_seq").join(masked.select("feature_id", "seq_start", "masked_seq"), "feature_id")
     arm = lambda a, b: slice_at(F.col("masked_seq"), F.col("seq_start"), F.col(a), F.col(b))
-    return candidates.withColumn("arm_fraction_masked", masked_share(arm("ext_probe_start", "ext_probe_stop"), arm("lig_probe_start", "lig_probe_stop")))
+    share = masked_share(arm("ext_probe_start", "ext_probe_stop"), arm("lig_probe_start", "lig_probe_stop"))
+    limit = (params or DesignParams()).masked_arm_threshold
+    made = rows.withColumn("arm_fraction_masked", share).withColumn("masking_failed", F.col("arm_fraction_masked") > limit)
+    return made if masked is None else made.drop("masked_seq")
 
 
 def with_arm_copies(candidates: DataFrame, counts: DataFrame) -> DataFrame:

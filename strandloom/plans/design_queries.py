@@ -13,10 +13,10 @@ from ..functions.scores import INTERCEPT, JUNCTION, POWER_BASE, PROFILE_MERS, te
 from ..functions.sequences import mers
 from ..operators import genome as G
 from ..operators import probes as P
-from ..operators import tiling
+from ..operators import repeats, tiling
 from ..operators.svm import RBF, SvmModel
 from ..params import DesignParams
-from .inputs import TARGETS, targets
+from .inputs import TARGETS, genome, targets
 
 #: Targets are short, so captures are too; two arm sums keep the candidates of a start at 96.
 PARAMS = DesignParams(min_capture_size=80, max_capture_size=100, capture_increment=10, arm_length_sums=(40, 42), max_arm_copy_product=400)
@@ -46,6 +46,25 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"snp_count": F.lit(0), "mapping_failed": F.lit(False), "arm_fraction_masked": F.lit(0.0)})
 
 
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chr, pos, alleles): a variant at every seventeenth base of every target."""
+    base = targets(spark, sf_dir)
+    at = base.withColumn("pos", F.explode(F.sequence(F.lit(5), F.greatest(F.lit(5), F.length("seq")), F.lit(17)))).filter("pos <= length(seq)")
+    ref = F.substr("seq", F.col("pos"), F.lit(1))
+    return at.select("chr", "pos", F.concat(ref, F.translate(ref, "ACGT", "CATG")).alias("alleles"))
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored candidates with what variants, repeats and windows that aren't unique say of them."""
+    features = targets(spark, sf_dir)
+    rows = _scored(spark, sf_dir).drop("snp_count", "mapping_failed", "arm_fraction_masked")
+    variants = _variants(spark, sf_dir).filter("pos % 51 = 5")  # every third of them
+    rows = P.with_variants(rows, variants, ["feature_id", "capture_size", "mip_key"])
+    masked = repeats.with_mask(features, repeats.tandem_repeats(features.select("chr", "seq"), longest=60, least=40))
+    windows = G.capture_windows(features, PARAMS.max_capture_size, PARAMS.min_capture_size, PARAMS.step)
+    return P.with_mapping_flag(P.with_masking(rows, PARAMS, masked), G.unmappable(windows, features.select("chr", "seq")))
+
+
 def probe_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every target: its key, which tells its bounds, and its arms."""
     rows = _candidates(spark, sf_dir)
@@ -136,20 +155,23 @@ SELECT feature_id, pos, strand, scan_start, score FROM (SELECT *, row_number() O
 
 def condensed_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probe that the fold keeps of each scan start and strand."""
-    return P.condense(_scored(spark, sf_dir), PARAMS).select("feature_id", "scan_start", "strand", "mip_key", F.round("score", 6).alias("score"))
+    return P.condense(_judged(spark, sf_dir), PARAMS).select("feature_id", "scan_start", "strand", "mip_key", F.round("score", 6).alias("score"), "snp_count", F.round("arm_fraction_masked", 6).alias("arm_fraction_masked"), "masking_failed")
 
 
 def greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probes picked to tile every target."""
-    return tiling.pick(P.condense(_scored(spark, sf_dir), PARAMS), PARAMS)
+    return tiling.pick(P.condense(_judged(spark, sf_dir), PARAMS), PARAMS)
+
+
+def masked_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tandem repeats of every sequence made from documents, and how much of each they mask."""
+    found = repeats.tandem_repeats(genome(spark, sf_dir), longest=100)
+    return found.withColumn("n_masked", F.col("stop") - F.col("start") + 1)
 
 
 def variant_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arms with the other allele, for variants at every seventeenth base of every target."""
-    base = targets(spark, sf_dir)
-    at = base.withColumn("pos", F.explode(F.sequence(F.lit(5), F.greatest(F.lit(5), F.length("seq")), F.lit(17)))).filter("pos <= length(seq)")
-    ref = F.substr("seq", F.col("pos"), F.lit(1))
-    snps = at.select("chr", "pos", F.concat(ref, F.translate(ref, "ACGT", "CATG")).alias("alleles"))
+    snps = _variants(spark, sf_dir)
     rows = _candidates(spark, sf_dir).drop("seq", "rc", "mip_sequence", "scan_target_sequence")
     found = P.with_variants(rows, snps, ["feature_id", "capture_size", "mip_key"])
     return found.select("capture_size", "mip_key", F.col("snp_count").cast("long").alias("snp_count"), "snp_failed", F.concat("snp_ext_sequence", F.lit("/"), "snp_lig_sequence").alias("arms"))
@@ -236,5 +258,5 @@ x AS (SELECT b.feature_id, capture_size, mip_key, list_transform(list_zip(e.d, e
 SELECT feature_id, CAST(capture_size AS INTEGER) AS capture_size, mip_key, round({-RHO}{_SUM}, 6) AS score FROM x
 """
 
-QUERIES = {f.__name__: f for f in (arm_pairs, probe_candidates, logistic_score, best_per_position, worst_of_best, condensed_probes, greedy_tiling, variant_arms, svr_score, mixed_tiling)}
+QUERIES = {f.__name__: f for f in (arm_pairs, probe_candidates, logistic_score, best_per_position, worst_of_best, condensed_probes, greedy_tiling, variant_arms, masked_targets, svr_score, mixed_tiling)}
 ORACLES = {"arm_pairs": ARM_PAIRS, "probe_candidates": PROBE_CANDIDATES, "logistic_score": LOGISTIC_SCORE, "best_per_position": BEST_PER_POSITION, "worst_of_best": WORST_OF_BEST, "variant_arms": VARIANT_ARMS, "svr_score": SVR_SCORE}
