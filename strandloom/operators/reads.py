@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import alignments as A
-from ..params import CollapseParams
+from ..params import CollapseParams, CutParams
 
 BASES = "ATGC"
 
@@ -88,6 +88,70 @@ def select_barcodes(rows: DataFrame, neighbours: DataFrame, barcode: str = "barc
     return rows.join(known, barcode).withColumn(barcode, F.col("__to")).drop("__to")
 
 
+def _named(rows: DataFrame, header: Column, params: CutParams, barcodes: DataFrame | None) -> DataFrame:
+    """Rows with header, which has a barcode, and its barcode; only those with a listed barcode, if any are listed.
+
+    The barcode is that of the index read, cut to its length, else the header's own, else N. A header that has none
+    or comes with an index read gets it appended, with blanks as underscores.
+    """
+    own = F.regexp_extract(header, r"#([ATGCN]+)(?:-[ATGCN]*)?$", 1)
+    indexed = "index_seq" in rows.columns
+    read = F.col("index_seq") if indexed and params.index_length is None else F.left("index_seq", F.lit(params.index_length)) if indexed else F.when(own == "", "N").otherwise(own)
+    made = rows.withColumn("barcode", read)
+    appended = F.translate(F.concat(header, F.lit("#"), F.col("barcode")), " ", "_")
+    made = made.withColumn("header", appended if indexed else F.when(own == "", appended).otherwise(header))
+    return made if barcodes is None else made.join(barcodes.select(F.col("sequence").alias("barcode")).distinct(), "barcode", "left_semi")
+
+
+def _tagged(header: Column) -> Column:
+    return F.rlike(header, F.lit("#[ATGCN]+-[ATGCN]+$"))
+
+
+def _cut(rows: DataFrame, params: CutParams, mates: tuple[str, ...]) -> DataFrame:
+    """Sequences and qualities cut to a length, without trailing # qualities, and without the first bases."""
+    for m in mates:
+        seq, qual = F.col(f"seq{m}"), F.col(f"qual{m}")
+        if params.trim_hash:
+            seq, qual = trim(seq, qual, params.longest, params.skip)
+        else:
+            whole = (lambda c: c) if params.longest is None else (lambda c: F.left(c, F.lit(params.longest)))
+            seq, qual = F.substr(whole(seq), F.lit(params.skip + 1)), F.substr(whole(qual), F.lit(params.skip + 1))
+        rows = rows.withColumns({f"seq{m}": seq, f"qual{m}": qual})
+    return rows.select("ord", "header", "barcode", *[f"{c}{m}" for m in mates for c in ("seq", "qual")])
+
+
+def cut_pairs(one: DataFrame, two: DataFrame, params: CutParams, index: DataFrame | None = None, barcodes: DataFrame | None = None) -> DataFrame:
+    """(ord, header, barcode, seq1, qual1, seq2, qual2): pairs under one header with barcode and molecular tag, cut.
+
+    Both mates get the longer of their headers. A tag that a header already has is kept and nothing is cut for it.
+    Records are matched by their ordinal in the files, also behind pairs that are dropped.
+    """
+    rows = zip_reads(one, two, index)
+    if params.drop_all_hash:
+        rows = rows.filter(~all_hash(F.col("qual1")) & ~all_hash(F.col("qual2")))
+    rows = _named(rows, unified_header(F.col("header1"), F.col("header2")), params, barcodes)
+    if params.tags is not None:
+        rows = rows.withColumns({f"__{c}": F.col(c) for c in ("seq1", "qual1", "seq2", "qual2")})
+        tagged, has = tag_pair(rows, *params.tags), _tagged(F.col("header"))
+        kept = {c: F.when(has, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("seq1", "qual1", "seq2", "qual2")}
+        rows = tagged.withColumns(kept | {"header": F.when(has, F.col("header")).otherwise(F.concat("header", F.lit("-"), "tag"))})
+    return _cut(rows, params, ("1", "2"))
+
+
+def cut_singles(reads: DataFrame, params: CutParams, index: DataFrame | None = None, barcodes: DataFrame | None = None) -> DataFrame:
+    """(ord, header, barcode, seq, qual): single reads with barcode and molecular tag of both ends, cut."""
+    rows = reads if index is None else reads.join(index.select("ord", F.col("seq").alias("index_seq")), "ord", "left")
+    if params.drop_all_hash:
+        rows = rows.filter(~all_hash(F.col("qual")))
+    rows = _named(rows, strip_mate(F.col("header")), params, barcodes)
+    if params.tags is not None:
+        first, last = params.tags
+        has, inner = _tagged(F.col("header")), lambda c: F.substr(F.col(c), F.lit(first + 1), F.greatest(F.lit(0), F.length(c) - first - last))
+        tag = F.concat(F.left("seq", F.lit(first)), F.right("seq", F.lit(last)))
+        rows = rows.withColumns({"header": F.when(has, F.col("header")).otherwise(F.concat("header", F.lit("-"), tag)), "seq": F.when(has, F.col("seq")).otherwise(inner("seq")), "qual": F.when(has, F.col("qual")).otherwise(inner("qual"))})
+    return _cut(rows, params, ("",))
+
+
 def qseq_records(rows: DataFrame, run: str) -> DataFrame:
     """FASTQ records of qseq rows (lane, tile, x, y, seq, qual, passed): qualities to offset 33, "." to N."""
     header = F.concat_ws(":", F.lit(f"@{run}"), "lane", "tile", "x", "y", "passed")

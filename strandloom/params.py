@@ -96,6 +96,18 @@ class CollapseParams:
         return 4**self.tag_size
 
 
+@dataclass(frozen=True)
+class CutParams:
+    """Options of cutting FASTQ reads."""
+
+    tags: tuple[int, int] | None = None  # bases of the molecular tag: of both reads, or of a read's two ends
+    index_length: int | None = None
+    longest: int | None = None
+    skip: int = 0
+    drop_all_hash: bool = False
+    trim_hash: bool = False
+
+
 def parse_options(words: list[str], file_lines: list[str] | None = None) -> DesignParams:
     """Options from "-name value" words; lines of a parameter file, read later, win.
 

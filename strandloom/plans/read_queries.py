@@ -10,7 +10,7 @@ from ..functions.sequences import from_letters
 from ..operators import collapse as E
 from ..operators import complexity as C
 from ..operators import reads as R
-from ..params import CollapseParams
+from ..params import CollapseParams, CutParams
 from .inputs import LETTERS, table
 
 TAGS = CollapseParams().tags
@@ -198,5 +198,25 @@ def collapse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.summary(C.complexity(on), design)
 
 
-QUERIES = {f.__name__: f for f in (collapsed_reads, collapse_summary, zip_reads, read_disposition, tag_group_complexity, complexity_grouping_sets, saturation, birthday_probability, dominant_alignment, consensus_reads, barcode_neighbourhood, trimmed_reads)}
-ORACLES = {"zip_reads": ZIP_READS, "read_disposition": READ_DISPOSITION, "tag_group_complexity": COMPLEXITY, "complexity_grouping_sets": MARGINALS, "saturation": SATURATION, "birthday_probability": BIRTHDAY, "dominant_alignment": DOMINANT, "barcode_neighbourhood": BARCODES}
+_CUT = CutParams(tags=(5, 3), index_length=6, longest=80, skip=2, drop_all_hash=True, trim_hash=True)
+
+
+def cut_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User and assistant turns as pairs of reads with an index read, cut end to end."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.floor(F.col("turn") / 2)).alias("ord"), "role", F.concat(F.lit("@r "), F.col("conv_id").cast("string"), F.when(F.col("conv_id") % 3 == 0, "#AC-GT").otherwise(""), F.lit("/"), (F.col("turn") % 2 + 1).cast("string")).alias("header"), from_letters(F.col("text")).alias("seq"))
+    rows = rows.withColumn("qual", F.translate("seq", "ACGT", "I5##"))
+    user, other = rows.filter("role = 'user'"), rows.filter("role = 'assistant'")
+    index = user.select("ord", F.concat(F.lit("TG"), F.col("seq")).alias("seq"))
+    return R.cut_pairs(user, other, _CUT, index)
+
+
+CUT_READS = f"""
+WITH r AS (SELECT conv_id * 1000 + turn // 2 AS ord, role, '@r ' || conv_id || CASE WHEN conv_id % 3 = 0 THEN '#AC-GT' ELSE '' END AS header, {LETTERS.format("text")} AS seq FROM conversations),
+z AS (SELECT a.ord, replace(a.header, ' ', '_') || '#' || substring('TG' || a.seq, 1, 6) AS header, substring('TG' || a.seq, 1, 6) AS barcode, a.seq AS s1, b.seq AS s2 FROM r a JOIN r b ON a.ord = b.ord AND a.role = 'user' AND b.role = 'assistant'),
+y AS (SELECT * FROM z WHERE NOT regexp_full_match(translate(s1, 'ACGT', 'I5##'), '#+') AND NOT regexp_full_match(translate(s2, 'ACGT', 'I5##'), '#+')),
+k AS (SELECT *, rtrim(substring(translate(substring(s1, 6), 'ACGT', 'I5##'), 1, 80), '#') AS q1, rtrim(substring(translate(substring(s2, 4), 'ACGT', 'I5##'), 1, 80), '#') AS q2 FROM y)
+SELECT ord, header || '-' || substring(s1, 1, 5) || substring(s2, 1, 3) AS header, barcode, substring(substring(substring(s1, 6), 1, length(q1)), 3) AS seq1, substring(q1, 3) AS qual1, substring(substring(substring(s2, 4), 1, length(q2)), 3) AS seq2, substring(q2, 3) AS qual2 FROM k
+"""
+
+QUERIES = {f.__name__: f for f in (cut_reads, collapsed_reads, collapse_summary, zip_reads, read_disposition, tag_group_complexity, complexity_grouping_sets, saturation, birthday_probability, dominant_alignment, consensus_reads, barcode_neighbourhood, trimmed_reads)}
+ORACLES = {"zip_reads": ZIP_READS, "cut_reads": CUT_READS, "read_disposition": READ_DISPOSITION, "tag_group_complexity": COMPLEXITY, "complexity_grouping_sets": MARGINALS, "saturation": SATURATION, "birthday_probability": BIRTHDAY, "dominant_alignment": DOMINANT, "barcode_neighbourhood": BARCODES}
