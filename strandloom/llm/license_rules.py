@@ -61,6 +61,40 @@ SENTENCES = {
     "cc-by-sa-4": "licensed under cc by sa 4 0",
     "cc-by-long": "this work is licensed under a creative commons attribution 4 0 international license",
     "cc0": "licensed under cc0 1 0",
+    "gpl2-only": "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "lgpl-library": "this library is free software",
+    "lgpl-modify": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "lgpl-later21": "either version 2 1 of the license or at your option any later version",
+    "lgpl-modify3": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-modify": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "agpl-modify3": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "mpl-form": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl-notice": "licensed under the mozilla public license version 2 0",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-grant2": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "boost": "distributed under the boost software license version 1 0",
+    "zlib-asis": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "epl-notice": "licensed under the eclipse public license 2 0",
+    "bsd-notice": "licensed under the bsd 3 clause license",
+    "bsd-notice2": "licensed under the bsd 2 clause license",
+    "cc-by-sa-long": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc-by-nc-long": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc-by-nd-long": "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+    "cc-by-nc-sa-long": "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    "cc-by-nc-nd-long": "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license",
+    "spdx-gpl2": "gpl 2 0 only",
+    "spdx-gpl2-later": "gpl 2 0 or later",
+    "spdx-gpl3": "gpl 3 0 only",
+    "spdx-gpl3-later": "gpl 3 0 or later",
+    "spdx-lgpl21-later": "lgpl 2 1 or later",
+    "spdx-lgpl3-later": "lgpl 3 0 or later",
+    "spdx-agpl3": "agpl 3 0 only",
+    "spdx-agpl3-later": "agpl 3 0 or later",
+    "spdx-bsd3": "bsd 3 clause",
+    "spdx-bsd2": "bsd 2 clause",
+    "spdx-unlicense": "unlicense",
     "all-rights": "copyright all rights reserved",
     "all-rights-line": "all rights reserved",
 }
@@ -77,6 +111,20 @@ RULES = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     *((licence, (*grant, *disclaimer, "gpl-see")) for licence, grants in _GRANTS.items() for grant in grants for disclaimer in _DISCLAIMERS),
+    ("LGPL-2.1-or-later", ("lgpl-library", "lgpl-modify", "lgpl-later21")),
+    ("LGPL-3.0-or-later", ("lgpl-library", "lgpl-modify", "gpl-later3")),
+    ("LGPL-3.0-or-later", ("gpl-program", "lgpl-modify3")),
+    ("AGPL-3.0-or-later", ("gpl-program", "agpl-modify3")),
+    ("AGPL-3.0-or-later", ("gpl-program", "agpl-modify", "gpl-later3")),
+    ("GPL-2.0-only", ("gpl-program", "gpl2-only")),
+    ("MPL-2.0", ("mpl-form",)),
+    ("MPL-2.0", ("mpl-notice",)),
+    ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-grant2",)),
+    ("Unlicense", ("unlicense",)),
+    ("BSL-1.0", ("boost",)),
+    ("Zlib", ("zlib-asis", "zlib-grant")),
+    ("EPL-2.0", ("epl-notice",)),
     ("GPL-3.0", ("gpl3-notice",)),
     ("Apache-2.0", ("apache-notice",)),
     ("Apache-2.0", ("apache-grant",)),
@@ -86,6 +134,24 @@ RULES = (
     ("MIT", ("mit-notice2",)),
     ("MIT", ("mit-spdx",)),
     ("MIT", ("spdx", "spdx-mit")),
+    ("GPL-2.0-only", ("spdx", "spdx-gpl2")),
+    ("GPL-2.0-or-later", ("spdx", "spdx-gpl2-later")),
+    ("GPL-3.0-only", ("spdx", "spdx-gpl3")),
+    ("GPL-3.0-or-later", ("spdx", "spdx-gpl3-later")),
+    ("LGPL-2.1-or-later", ("spdx", "spdx-lgpl21-later")),
+    ("LGPL-3.0-or-later", ("spdx", "spdx-lgpl3-later")),
+    ("AGPL-3.0-only", ("spdx", "spdx-agpl3")),
+    ("AGPL-3.0-or-later", ("spdx", "spdx-agpl3-later")),
+    ("BSD-3-Clause", ("spdx", "spdx-bsd3")),
+    ("BSD-3-Clause", ("bsd-notice",)),
+    ("BSD-2-Clause", ("spdx", "spdx-bsd2")),
+    ("BSD-2-Clause", ("bsd-notice2",)),
+    ("Unlicense", ("spdx", "spdx-unlicense")),
+    ("CC-BY-SA-4.0", ("cc-by-sa-long",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-long",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-long",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-long",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-long",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4",)),
     ("CC-BY-4.0", ("cc-by-4",)),
@@ -95,7 +161,7 @@ RULES = (
     ("all-rights-reserved", ("all-rights-line",)),
 )
 #: Words of which every known sentence has one, and known sentences that may stand between two of a rule.
-ANCHORS = ("licens", "copyright", "warrant", "permission", "redistribut", "reserved", "software", "version", "apache", "mit")
+ANCHORS = ("licens", "copyright", "warrant", "permission", "redistribut", "reserved", "software", "version", "apache", "mit", "gpl", "bsd")
 MOST_BETWEEN = 2
 
 

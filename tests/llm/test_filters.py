@@ -478,3 +478,26 @@ def test_a_rare_language_is_not_its_own_measure(spark):
     assert all(got[i].kept for i in range(30) if not got[i].base_failed)
     alone = Q.judge(spark.createDataFrame(rows[-3:], "doc_id long, text string, lang string")).collect()
     assert all(r.kept != r.base_failed for r in alone)  # too little for any reference
+
+
+def test_further_licences_as_they_are_written(spark):
+    gnu = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} General Public License as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version."
+    texts = {
+        "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */",
+        "LGPL-2.1-or-later": gnu.format("library", ";", "Lesser", ";", "2.1"),
+        "LGPL-3.0-or-later": gnu.format("program", ":", "Lesser", ",", "3"),
+        "AGPL-3.0-or-later": gnu.format("program", ":", "Affero", ",", "3"),
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+        "Unlicense": "This is free and unencumbered software released into the public domain.",
+        "BSL-1.0": "// Distributed under the Boost Software License, Version 1.0.",
+        "Zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n",
+        "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "GPL-2.0-only": "# SPDX-License-Identifier: GPL-2.0-only",
+        "AGPL-3.0-only": "// SPDX-License-Identifier: AGPL-3.0-only",
+        "BSD-3-Clause": "SPDX-License-Identifier: BSD-3-Clause",
+    }
+    assert L.anchored(L.SENTENCES) and {i for _, ids in L.RULES for i in ids} <= set(L.SENTENCES)
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
+    for licence in texts:
+        assert got[licence].license == licence, (licence, got[licence])
