@@ -100,8 +100,11 @@ def with_arm_copies(candidates: DataFrame, counts: DataFrame) -> DataFrame:
     return with_copies(with_copies(candidates, counts, "ext_probe_sequence", "ext_probe_copy"), counts, "lig_probe_sequence", "lig_probe_copy")
 
 
-def with_mapping_flag(candidates: DataFrame, unmappable: DataFrame) -> DataFrame:
-    """mapping_failed: whether a capture window that starts at the probe isn't unique."""
+def with_mapping_flag(candidates: DataFrame, unmappable: DataFrame, params: DesignParams | None = None) -> DataFrame:
+    """mapping_failed: whether a capture window that starts at the probe isn't unique; never, if params.check_copy_number
+    is off."""
+    if params is not None and not params.check_copy_number:
+        return candidates.withColumn("mapping_failed", F.lit(False))
     bad = unmappable.select(F.col("size").alias("capture_size"), "chr", F.col("pos").alias("mip_start"), F.lit(True).alias("__bad"))
     return candidates.join(bad, ["capture_size", "chr", "mip_start"], "left").withColumn("mapping_failed", F.coalesce("__bad", F.lit(False))).drop("__bad")
 
@@ -187,6 +190,43 @@ def _with_parts(bounds: DataFrame, features: DataFrame, counts: DataFrame, of_ar
     return joined.join(own, [*key, "scan_start", "scan_stop"]), [*arm_inputs["ext"], *arm_inputs["lig"], *scan_inputs_]
 
 
+def pruned(scored: DataFrame, params: DesignParams) -> DataFrame:
+    """The candidates that a search with early stops looks at, out of all scored ones.
+
+    Shapes of a start are tried in the order of ``generation``, both strands at once. What counts is the better
+    score of the shape tried last: above the upper limit, no smaller size is begun, and of the size at hand only
+    the smallest arm sum. By the logistic heuristic an arm sum ends when both strands score below the whole part
+    of what they scored before. A fold over a start's shapes, as many as sizes times arm pairs.
+    """
+    limit, smallest = params.upper_limit, min(total for total, _, _ in params.arms())
+    heuristic = params.logistic_heuristic and params.score_method == "logistic"
+    key = ["feature_id", "scan_start"]
+    rows = scored.withColumn("__shape", F.floor(F.col("generation") / 2).cast("int")).withColumn("__score", F.nanvl("score", F.lit(float("-inf"))))
+    of = lambda strand: F.max(F.when(F.col("strand") == strand, F.col("__score")))
+    shapes = rows.groupBy(*key, "__shape").agg(F.first("capture_size").alias("size"), F.first(F.col("ext_len") + F.col("lig_len")).alias("total"), of("+").alias("plus"), of("-").alias("minus"))
+    ordered = shapes.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("__shape", "size", "total", "plus", "minus"))).alias("__all"))
+    kind = "struct<size:int,total:int,size_open:boolean,sum_open:boolean,ended:boolean,best:double,plus:double,minus:double,kept:array<int>>"
+    begin = F.struct(F.lit(-1), F.lit(-1), F.lit(True), F.lit(True), F.lit(False), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.array().cast("array<int>")).cast(kind)
+    whole = lambda x: F.when(F.abs(x) < 1e15, F.signum(x) * F.floor(F.abs(x))).otherwise(x)
+
+    def step(s: Column, c: Column) -> Column:
+        high = s["best"] > limit
+        new_size = s["size"] != c["size"]
+        size_open = F.when(new_size, ~high).otherwise(s["size_open"])
+        new_sum = new_size | (s["total"] != c["total"])
+        sum_open = F.when(new_sum, ~high | (c["total"] == smallest)).otherwise(s["sum_open"])
+        ended = ~new_sum & s["ended"]
+        seen = size_open & sum_open & ~ended
+        before = lambda name: F.when(new_sum, F.lit(0.0)).otherwise(s[name])
+        falls = (c["plus"] < before("plus")) & (c["minus"] < before("minus")) if heuristic else F.lit(False)
+        keep = lambda new, old: F.when(seen, new).otherwise(old)
+        state = (c["size"], c["total"], size_open, sum_open, keep(falls, ended), keep(F.greatest(c["plus"], c["minus"]), s["best"]), keep(whole(c["plus"]), before("plus")), keep(whole(c["minus"]), before("minus")), keep(F.array_append(s["kept"], c["__shape"]), s["kept"]))
+        return F.struct(*state).cast(kind)
+
+    kept = ordered.select(*key, F.explode(F.aggregate("__all", begin, step)["kept"]).alias("__shape"))
+    return rows.join(kept, [*key, "__shape"]).drop("__shape", "__score")
+
+
 def with_variants(candidates: DataFrame, snps: DataFrame, key: list[str]) -> DataFrame:
     """snp_count, snp_failed and the arms with the other allele, from variants (chr, pos, alleles).
 

@@ -33,6 +33,7 @@ class DesignParams:
     double_tile_strand_unaware: bool = False
     double_tile_strands_separately: bool = False
     score_method: str = "logistic"
+    logistic_heuristic: bool = True  # stop trying longer extension arms when both strands' scores fall
     logistic_optimal_score: float = 0.98
     logistic_priority_score: float = 0.9
     svr_optimal_score: float = 2.2

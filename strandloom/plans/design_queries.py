@@ -62,7 +62,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.with_variants(rows, variants, ["feature_id", "capture_size", "mip_key"])
     masked = repeats.with_mask(features, repeats.tandem_repeats(features.select("chr", "seq"), longest=60, least=40))
     windows = G.capture_windows(features, PARAMS.max_capture_size, PARAMS.min_capture_size, PARAMS.step)
-    return P.with_mapping_flag(P.with_masking(rows, PARAMS, masked), G.unmappable(windows, features.select("chr", "seq")))
+    return P.with_mapping_flag(P.with_masking(rows, PARAMS, masked), G.unmappable(windows, features.select("chr", "seq")), PARAMS)
 
 
 def probe_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

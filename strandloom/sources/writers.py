@@ -79,6 +79,14 @@ def write_routed(reads: DataFrame, path: str, header: DataFrame | None = None) -
     lines.orderBy("disposition", "part", "ord").select("disposition", "value").write.partitionBy("disposition").text(path)
 
 
+def write_collapsed(reads: DataFrame, path: str, split_by_barcode: bool = False, header: DataFrame | None = None) -> None:
+    """SAM files of collapsed reads (``operators.collapse``), a folder per route or, of the routes "unique" and
+    "uncollapsed", per sample."""
+    kept = F.col("route").isin("unique", "uncollapsed")
+    folder = F.when(kept, F.concat_ws(".", "sample", "route")).otherwise(F.col("route")) if split_by_barcode else F.col("route")
+    write_routed(reads.withColumn("disposition", folder), path, header)
+
+
 def read_group_header(barcodes: DataFrame) -> DataFrame:
     """@RG lines, one per barcode."""
     return barcodes.select(F.concat(F.lit("@RG\tID:"), F.col("sequence"), F.lit("\tSM:"), F.col("label")).alias("value"))

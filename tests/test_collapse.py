@@ -7,6 +7,7 @@ from strandloom.operators import collapse as C
 from strandloom.operators import reads as R
 from strandloom.params import CollapseParams
 from strandloom.plans import read_queries
+from strandloom.sources import readers, writers
 from strandloom.streaming import sites
 from strandloom.streaming.collapse import run_once
 from strandloom.tables import written
@@ -222,3 +223,21 @@ def test_the_query_against_plain_sites(spark, tmp_path):
     assert {r["route"] for r in got.select("route").distinct().collect()} == {"unique", "unpaired", "strange"}
     total = {(r["sample"], r.mip): (r.total, r.unique) for r in read_queries.collapse_summary(spark, str(tmp_path)).collect()}
     assert total["ALL_SAMPLES", "ALL_POSITIONS"] == (sum(c[2] for c in counts), sum(c[3] for c in counts))
+
+
+def test_collapsed_reads_are_written_by_route_or_sample(spark, world, tmp_path):
+    design, barcodes, reads, *_ = world
+    params = CollapseParams(flex=1)
+    found = C.collapse(C.annotate(reads, params, design, barcodes), params).reads
+    counts = {(r["sample"], r["route"]): r["count"] for r in found.groupBy("sample", "route").count().collect()}
+    for split in (False, True):
+        path = str(tmp_path / str(split))
+        writers.write_collapsed(found, path, split)
+        sizes = {r.disposition: r["count"] for r in spark.read.text(path).groupBy("disposition").count().collect()}
+        want = {}
+        for (sample, route), n in counts.items():
+            folder = f"{sample}.{route}" if split and route == "unique" else route
+            want[folder] = want.get(folder, 0) + n
+        assert sizes == want
+    back, _ = readers.read_sam(spark, str(tmp_path / "False"))
+    assert sorted(r.qname for r in back.collect()) == sorted(r.qname for r in found.collect())

@@ -15,8 +15,8 @@ BACK = str.maketrans("ACGT", "TGCA")
 PARAMS = DesignParams(min_capture_size=70, max_capture_size=80, capture_increment=10, arm_length_sums=(34, 35), ext_min_length=16, lig_min_length=17, max_arm_copy_product=10_000)
 
 
-def _features(spark, rng, n=3, size=150):
-    rows = [(i, "c", "".join(rng.choice("ACGT") for _ in range(size)), 1, size, 60, 95) for i in range(n)]
+def _features(spark, rng, n=3, size=150, first=60, last=95):
+    rows = [(i, "c", "".join(rng.choice("ACGT") for _ in range(size)), 1, size, first, last) for i in range(n)]
     return spark.createDataFrame(rows, "feature_id long, chr string, seq string, seq_start int, seq_stop int, start_f int, stop_f int")
 
 
@@ -152,3 +152,37 @@ def test_probabilities_of_three_classes():
         assert loss(p) <= min(map(loss, grid)) + 1e-9
     votes = svm.votes(values, model)
     assert set(votes) <= {0, 1, 2}
+
+
+@pytest.mark.parametrize(("optimal", "heuristic"), [(0.3, True), (0.05, False), (2.0, True)])
+def test_pruning_against_a_plain_search(spark, optimal, heuristic):
+    rng = random.Random(int(optimal * 100))
+    params = dataclasses.replace(PARAMS, logistic_optimal_score=optimal, logistic_heuristic=heuristic)
+    features = _features(spark, rng, 2, 180, 60, 120)
+    rows = [r.asDict() for r in probes.candidate_bounds(features, params).drop("seq", "rc").collect()]
+    for r in rows:
+        r["score"] = rng.choice([-1000.0, float("nan"), rng.random(), rng.random() * 0.3])
+    df = spark.createDataFrame([(r["feature_id"], r["scan_start"], r["strand"], r["generation"], r["capture_size"], r["ext_len"], r["lig_len"], r["score"]) for r in rows], "feature_id long, scan_start int, strand string, generation int, capture_size int, ext_len int, lig_len int, score double")
+    got = {(r.feature_id, r.scan_start, r.generation) for r in probes.pruned(df, params).collect()}
+    number = lambda x: -math.inf if math.isnan(x) else x
+    want = set()
+    for start in {(r["feature_id"], r["scan_start"]) for r in rows}:
+        own = [r for r in rows if (r["feature_id"], r["scan_start"]) == start]
+        best = 0.0
+        for size in sorted({r["capture_size"] for r in own}, reverse=True):
+            if best > optimal:
+                continue
+            totals = sorted({a for a, _, _ in params.arms()}, reverse=True)
+            for total in totals:
+                if best > optimal and total != totals[-1]:
+                    continue
+                before = (0, 0)
+                for ext in sorted({r["ext_len"] for r in own if r["capture_size"] == size and r["ext_len"] + r["lig_len"] == total}):
+                    pair = {r["strand"]: r for r in own if r["capture_size"] == size and r["ext_len"] == ext and r["lig_len"] == total - ext}
+                    want |= {(*start, r["generation"]) for r in pair.values()}
+                    plus, minus = number(pair["+"]["score"]), number(pair["-"]["score"])
+                    stop = heuristic and plus < before[0] and minus < before[1]
+                    best, before = max(plus, minus), tuple(x if x == -math.inf else math.trunc(x) for x in (plus, minus))
+                    if stop:
+                        break
+    assert got == want and (optimal > 1 or len(want) < len(rows))
