@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import exact_dedup, jaccard_join, sentencepiece_codec, source_mixing, toxicity
-from strandloom.llm.common import remove, scratch, shared_dir, small, table
+from strandloom.llm.common import remove, remove_at_end, scratch, shared_dir, small, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a data folder.
 
     A stage's documents are removed when the next stage has been written, and its working tables with
-    it, so the corpus lies on disk twice at most.
+    it, so the corpus lies on disk twice at most. What is left, also by a run that fails, goes when the driver ends.
     """
     docs = table(spark, sf_dir, "documents")
     folder, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
@@ -103,6 +103,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{i}-{name}"
         with scratch():
             stage(spark, docs, sf_dir).write.parquet(path)
+        if not before:
+            remove_at_end(spark, folder)
         docs = spark.read.parquet(path)
         if before:
             remove(spark, before)

@@ -114,8 +114,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    at, files = _file_system(spark, path)
-    files.deleteOnExit(at)
+    remove_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
     if (own := _scratch.get()) is not None:
@@ -134,6 +133,12 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Remove a folder that is there when the driver ends."""
+    at, files = _file_system(spark, path)
+    files.deleteOnExit(at)
+
+
 def _file_system(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
