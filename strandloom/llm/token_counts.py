@@ -60,7 +60,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 
 def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """(context, total): tokens left when every document is cut to each context limit."""
+    """(context, total): tokens left when every document is cut to each context limit; 0 of no documents."""
     spark = sums.sparkSession
     asked = F.broadcast(spark.createDataFrame([(x,) for x in limits], "context long"))
     kept = sums.agg(F.max(F.col("tokens_ge")).alias("all_tokens"))
@@ -69,11 +69,13 @@ def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
-    """(share, n_tokens): the least length that at least this share of the documents doesn't exceed."""
+    """(share, n_tokens): the least length that at least this share of the documents doesn't exceed; no documents
+    have no quantiles, and give no rows."""
     asked = F.broadcast(sums.sparkSession.createDataFrame([(float(x),) for x in shares], "share double"))
     return sums.join(asked, F.col("docs_share_le") >= F.col("share")).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
 
 
 def token_counts(docs: DataFrame, path: str = MODEL_PATH, text: str = "text") -> DataFrame:
-    """Histogram of encoded lengths with its suffix sums."""
+    """Histogram of encoded lengths with its suffix sums. Null and empty texts have length 0, repeated rows count
+    each, and an empty table gives no rows; columns other than the text play no part."""
     return suffix_sums(settle(length_histogram(docs, path, text), "lengths"))

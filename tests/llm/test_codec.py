@@ -153,3 +153,14 @@ def test_models_that_are_refused():
         S.Codec(_model(S.BPE, BPE_PIECES) + _message((1, _message((1, "q"), (2, -30.0), (3, S.UNUSED)))))
     with pytest.raises(ValueError, match="character map"):
         S.Codec(_message((3, _message((2, b"xx")))))
+
+
+def test_counts_of_long_texts_clashing_columns_and_no_rows(spark):
+    texts = ["long text " * 60_000, "x" * 400_000, "x" * 400_000, "short", None]
+    docs = spark.createDataFrame([(i, t, 5, 6, "c") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int, n_docs int, docs_ge string")
+    codec = S.Codec(S.model_bytes())
+    lengths = [codec.count(t) for t in texts]
+    got = {r.n_tokens: r.n_docs for r in C.token_counts(docs).collect()}
+    assert got == {n: lengths.count(n) for n in lengths}
+    none = C.token_counts(docs.limit(0))
+    assert [tuple(r) for r in C.truncated_totals(none, [7]).collect()] == [(7, 0)] and C.quantiles(none, [0.5]).collect() == []

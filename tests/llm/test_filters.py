@@ -501,3 +501,23 @@ def test_further_licences_as_they_are_written(spark):
     got = {r.doc_id: r for r in L.scan(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
     for licence in texts:
         assert got[licence].license == licence, (licence, got[licence])
+
+
+def test_mix_of_long_texts_and_repeated_rows(spark):
+    long = "word " * 120_000
+    rows = [(1, long, "a"), (1, long, "a"), (2, "one two", "a"), (3, None, "b"), (4, "", "b"), (5, "x " * 400, None), (None, "y " * 300, "c")]
+    docs = spark.createDataFrame([(*r, 9, 9.0) for r in rows], "doc_id long, text string, source string, size int, target double")
+    got = M.taken(docs).collect()
+    assert len(got) == len(rows)
+    assert sorted(r["size"] for r in got) == sorted(len((t or "").split()) for _, t, _ in rows)
+    twice = [r for r in got if r.doc_id == 1]
+    assert twice[0].taken == twice[1].taken and all(r.taken <= 2 * r["size"] for r in got)
+    assert M.mix(docs).count() == sum(r["copies"] for r in got) and M.mix(docs).columns == docs.columns
+
+
+def test_quality_of_repeated_rows_and_long_texts(spark):
+    rows = [(1, "same text here " * 40, "en")] * 3 + [(2, "w" + " and the of" * 50_000, "en"), (3, "v" * 500_000, "en")]
+    got = Q.judge(spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, lang string, kept string, n_words int")).collect()
+    assert len(got) == 5 and len({tuple(r) for r in got if r.doc_id == 1}) == 1
+    words = {r.doc_id: r.n_words for r in got}
+    assert words == {1: 120, 2: 150_001, 3: 1} and {r.doc_id: r.n_repeat_words for r in got}[2] == 150_000
