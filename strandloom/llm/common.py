@@ -122,6 +122,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: How many rows go to a Python worker at once.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """A block in which Python workers get so many rows at once; for rows of megabytes. What it is to hold
+    for is run inside."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a settled table that no later step reads."""
     remove(df.sparkSession, df.settled_at)

@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .common import numbered, scratch, settle
+from .common import batches_of, numbered, scratch, settle
 from .graph import components
-from .vectors import facing, finite, matrix, tile_of
+from .vectors import PAIRS_AT_ONCE, facing, finite, matrix, tile_of
 
 #: Cosine from which two vectors are linked.
 THRESHOLD = 0.95
@@ -245,7 +245,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_column:
         side = lambda s: tiles.select("dims", *[F.col(c).alias(f"{c}_{s}") for c in tiles.columns if c != "dims"])
         named = pairs.withColumnsRenamed({"a": "tile_a", "b": "tile_b"})
         both = named.join(side("a"), ["dims", "tile_a"]).join(side("b"), ["dims", "tile_b"])
-        found = settle(both.mapInArrow(_multiply(threshold, wide), _FOUND), "links")
+        with batches_of(vectors.sparkSession, PAIRS_AT_ONCE):
+            found = settle(both.mapInArrow(_multiply(threshold, wide), _FOUND), "links")
         counts = found.groupBy("node").agg(F.sum("n_links").alias("n"))
         linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
         members = nodes.select(F.col("place").alias("node"), "vector", "copies", "least").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))

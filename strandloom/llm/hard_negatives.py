@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, scratch, settle
-from .vectors import facing, finite, first, matrix, tile_of
+from .common import batches_of, numbered, scratch, settle
+from .vectors import PAIRS_AT_ONCE, facing, finite, first, matrix, tile_of
 
 #: Steps of one unit of a component.
 STEPS = 256
@@ -221,9 +221,11 @@ def mine(vectors: DataFrame, anchors: Column, id_column: str = "vec_id", vector:
             return pairs.join(named, ["dims", "a"]).join(tiles.withColumnRenamed("tile", "b"), ["dims", "b"])
 
         none = F.array().cast("array<struct<positive:bigint,positive_id:bigint,positive_score:bigint>>")
-        found = settle(against(asked.withColumn("positives", none)).mapInArrow(_positives(n_positives), _POSITIVE), "found")
+        with batches_of(vectors.sparkSession, PAIRS_AT_ONCE):
+            found = settle(against(asked.withColumn("positives", none)).mapInArrow(_positives(n_positives), _POSITIVE), "found")
         kept = first(found, ["anchor"], [F.desc("positive_score"), F.col("positive_id"), F.col("positive")], n_positives)
         per = kept.groupBy(F.col("anchor").alias("place")).agg(F.collect_list(F.struct("positive", "positive_id", "positive_score")).alias("positives"))
-        found = own.keep(against(asked.join(per, "place")).mapInArrow(_negatives(n_negatives, percent), _NEGATIVE), "negatives")
+        with batches_of(vectors.sparkSession, PAIRS_AT_ONCE):
+            found = own.keep(against(asked.join(per, "place")).mapInArrow(_negatives(n_negatives, percent), _NEGATIVE), "negatives")
     kept = first(found, ["anchor", "positive"], [F.desc("negative_score"), F.col("negative_id"), F.col("negative")], n_negatives)
     return kept.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of a tile, and numbers in it (longer vectors make smaller tiles).
 TILE, TILE_NUMBERS = 8192, 1 << 20
+#: Pairs of tiles, of some megabytes each, that a Python worker gets at once.
+PAIRS_AT_ONCE = 4
 #: Largest finite double.
 _LARGEST = 1.7976931348623157e308
 
