@@ -73,3 +73,55 @@ def test_unmappable_windows(spark):
     got = sorted(map(tuple, genome.unmappable(captures, genome_).collect()))
     assert got == [(35, "a", i) for i in range(51, 57)] + [(40, "a", 51)]
     assert genome.unmappable(captures.filter(F.lit(False)), genome_).collect() == []
+
+
+def _plain_stretches(seq, longest, least):
+    """Run by run, as the module's text says."""
+    out = []
+    for period in range(1, min(longest, len(seq) - 1) + 1):
+        same = [a == b and a in "ACGT" for a, b in zip(seq, seq[period:], strict=False)]
+        seed, begin, i = min(repeats.SEED, period), None, 0
+        found = lambda: begin is not None and best + 2 * period >= least and end - begin + 1 >= period  # noqa: E731, B023
+        while i < len(same):
+            if not same[i]:
+                i += 1
+                continue
+            a = i
+            while i < len(same) and same[i]:
+                i += 1
+            if begin is not None and score > 7 * (a - reach - 1):
+                score += 2 * (i - a) - 7 * (a - reach - 1)
+            else:
+                if found():
+                    out.append((begin, end + period, period))
+                begin, score, best = (a, 2 * (i - a), 0) if i - a >= seed else (None, 0, 0)
+            reach = i - 1
+            if begin is not None and score > best:
+                best, end = score, i - 1
+        if found():
+            out.append((begin, end + period, period))
+    return out
+
+
+def test_stretches_equal_those_found_run_by_run(monkeypatch):
+    rng, n = random.Random(4), 0
+    followed = []
+    plain = repeats._grown_from
+    monkeypatch.setattr(repeats, "_grown_from", lambda text, begin, *rest: followed.append(begin) or plain(text, begin, *rest))
+    for _ in range(60):
+        parts = [_random(rng, rng.randint(0, 150)) + _planted(rng, "".join(rng.choice("ACGTN" if rng.random() < 0.2 else "ACT") for _ in range(rng.choice([1, 2, 3, 5, 6, 13, 26, 50]))), rng.randint(1, 7)).replace("T", rng.choice("TTN")) for _ in range(4)]
+        seq = "".join(c if rng.random() > 0.04 else rng.choice("ACGT") for c in "".join(parts))
+        for longest, least in ((60, 50), (30, 40)):
+            want = _plain_stretches(seq, longest, least)
+            assert sorted(repeats.stretches(seq.encode(), longest, least)) == sorted(want)
+            n += len(want)
+    assert n > 150
+    followed.clear()
+    assert repeats.stretches(_random(rng, 20_000).encode(), 100) == []
+    assert len(followed) < 2_000  # of about 1,500 seeds of five bases a period
+
+
+def test_repeats_of_one_batch_keep_to_their_sequences(spark):
+    rows = [(f"c{i}", "ACGTTG" * 300) for i in range(4)] + [("d", "AC" * 20), ("e", "AC" * 20), ("f", None)]
+    found = repeats.tandem_repeats(spark.createDataFrame(rows, "chr string, seq string").coalesce(1), longest=40)
+    assert sorted(map(tuple, found.collect())) == [("c0", 1, 1800), ("c1", 1, 1800), ("c2", 1, 1800), ("c3", 1, 1800), ("d", 1, 40), ("e", 1, 40)]
