@@ -20,10 +20,12 @@ def pieces(sequences: DataFrame, size: int, seq: str = "seq", keys: tuple[str, .
     Sequences are cut as bytes, at a cost in proportion to their length, and are ASCII. A piece is a row
     of its own, so the windows of one sequence are made by as many tasks as its rows are dealt to.
     """
-    fit = sequences.filter(F.length(seq) >= size)
-    starts = F.sequence(F.lit(1), F.length(seq) - size + 1, F.lit(PIECE))
-    cut = once(F.col(seq).cast("binary"), lambda whole: F.transform(starts, lambda i: F.struct(i.alias("first"), F.substr(whole, i, F.lit(PIECE + size - 1)).cast("string").alias("piece"))))
-    return fit.select(*keys, F.explode(cut).alias("__p")).select(*keys, "__p.first", "__p.piece")
+    def cut(whole: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(whole) - size + 1, F.lit(PIECE))
+        return F.when(F.length(whole) >= size, F.transform(starts, lambda i: F.struct(i.alias("first"), F.substr(whole, i, F.lit(PIECE + size - 1)).cast("string").alias("piece"))))
+
+    # in one expression, so that a sequence that is itself made by one is made once
+    return sequences.select(*keys, F.explode(once(F.col(seq).cast("binary"), cut)).alias("__p")).select(*keys, "__p.first", "__p.piece")
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -66,9 +68,10 @@ def with_copies(oligos: DataFrame, counts: DataFrame, oligo: str, copies: str, d
     return joined.withColumn(copies, F.coalesce(F.col(copies), F.lit(default)))
 
 
-def unique_windows(sequences: DataFrame, size: int, seq: str = "seq", keys: tuple[str, ...] = ("chr",)) -> DataFrame:
-    """(keys, start, kmer) of windows that occur once on either strand of the whole genome."""
-    return single_windows(pieces(sequences, size, seq, keys), size, keys)
+def unique_windows(sequences: DataFrame, size: int, seq: str = "seq", keys: tuple[str, ...] = ("chr",), spell: bool = True) -> DataFrame:
+    """(keys, start, kmer) of windows that occur once on either strand of the whole genome; without kmer, if they
+    needn't be spelt."""
+    return single_windows(pieces(sequences, size, seq, keys), size, keys, spell)
 
 
 def near_windows(sequences: DataFrame, size: int, seq: str = "seq", keys: tuple[str, ...] = ("chr",)) -> DataFrame:

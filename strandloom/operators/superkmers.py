@@ -2,27 +2,32 @@
 
 Each window has a minimiser: the smallest hash among its m-mers, a hash that an m-mer shares with its reverse
 complement. Neighbouring windows mostly share it, so a run of windows with one minimiser travels as one string (a
-super-k-mer, in the smaller of its two strands' forms) instead of as many strings. All places of a window, on either
-strand, have its minimiser, so they meet in the bucket of that minimiser, and nothing else is shuffled.
-
-In a bucket windows are rolling codes of two bits a base, 31 bases a word, sorted and counted as numbers. Windows with
-a letter other than A, C, G and T travel alone and are counted as text. Equal strings are added up before the
-shuffle, so what repeats (a poly-A tract, a copied text) costs a row a task.
+super-k-mer) instead of as many strings. All places of a window, on either strand, have its minimiser, so they meet
+under that minimiser, and nothing else is shuffled.
+
+Strings are dealt and sorted by their minimiser, and some minimisers at a time are counted: windows are rolling codes
+of two bits a base, 31 bases a word, sorted and counted as numbers. Windows with a letter other than A, C, G and T
+travel alone and are counted as text. Equal strings of a batch are added up before the shuffle, so what repeats (a
+poly-A tract, a copied text) costs a row a batch. Windows of up to 12 bases have so few codes that each batch counts
+them by code, and the counts are summed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bases of a minimiser, at most, and windows of a bucket that are counted at once.
-MINIMISER, BUCKET_WINDOWS = 11, 1 << 19
-#: Strings that a task adds up before it hands them on.
-HELD = 1 << 16
+#: Bases of a minimiser, at most, and windows from which on the minimisers at hand are counted.
+MINIMISER, AT_ONCE = 11, 1 << 19
+#: Bases of a batch that are cut at once, and bases of windows that are counted by code without minimisers.
+CUT, SHORT = 1 << 21, 12
+#: What no text holds.
+BETWEEN = b"\xff"
 #: Bases of one word of a code.
 WORD = 31
 
@@ -83,26 +88,35 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[: len(x) - width + 1], have[width - step : width - step + len(x) - width + 1])
 
 
+def _held(codes: np.ndarray, size: int) -> np.ndarray:
+    """Whether each window holds bases only."""
+    odd = np.concatenate([[0], np.cumsum(codes > 3, dtype=np.int32)])
+    return odd[size:] == odd[:-size]
+
+
+def spans(text: bytes, size: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of minimisers, offsets, numbers of windows) of every super-k-mer of a sequence of at least one window.
+
+    Windows that hold another letter are in none.
+    """
+    codes = _CODE[np.frombuffer(text, np.uint8)]
+    good = _held(codes, size)
+    own = _mixed(window_words(np.minimum(codes, 3), m)[0])
+    least = _least(own, size - m + 1)
+    new = np.ones(len(least), bool)
+    new[1:] = (least[1:] != least[:-1]) | (good[1:] != good[:-1])
+    first = np.flatnonzero(new)
+    many = np.diff(np.append(first, len(least)))
+    kept = good[first]
+    return least[first][kept], first[kept], many[kept]
+
+
 def runs(text: bytes, size: int, m: int) -> Iterator[tuple[int, int, bytes]]:
     """(hash of the minimiser, offset, string) of every super-k-mer of a sequence, and of each window that holds
     another letter."""
-    codes = _CODE[np.frombuffer(text, np.uint8)]
-    odd = np.flatnonzero(codes > 3)
-    for a, b in zip([0, *(odd + 1)], [*odd, len(text)], strict=True):  # stretches of bases
-        if b - a < size:
-            continue
-        own = _mixed(window_words(codes[a:b], m)[0])
-        least = _least(own, size - m + 1)
-        cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
-        for first, last in zip([0, *cuts], [*cuts, len(least)], strict=True):
-            yield int(least[first]), a + first, text[a + first : a + last - 1 + size]
-    if len(odd):
-        bad = np.zeros(len(text) - size + 1, bool)
-        for i in odd:
-            bad[max(0, i - size + 1) : i + 1] = True
-        for i in np.flatnonzero(bad):
-            window = text[i : i + size]
-            yield hash_text(min(window, opposite(window))), int(i), window
+    if len(text) >= size:
+        yield from ((int(key), int(i), text[i : i + n - 1 + size]) for key, i, n in zip(*spans(text, size, m), strict=True))
+        yield from ((hash_text(min(w, opposite(w))), i, w) for i, w in _odd_windows(text, size))
 
 
 def hash_text(text: bytes) -> int:
@@ -111,54 +125,93 @@ def hash_text(text: bytes) -> int:
         return int(_mixed(np.array([(values * (np.arange(len(values), dtype=np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))).sum(dtype=np.uint64)]))[0])
 
 
-def _cutting(size: int, m: int, buckets: int, keys: list[str]):
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bytes, np.ndarray, np.ndarray]]:
+    """(rows, text, begin, row) of some pieces at a time: their text, in which BETWEEN follows each, where each
+    begins, and the row of every letter."""
+    for batch in batches:
+        pieces = [(x or "").encode() + BETWEEN for x in batch["piece"].to_pylist()]
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        part = (np.cumsum(lengths) - lengths) // CUT
+        for k in np.unique(part):
+            at = np.flatnonzero(part == k)
+            own = lengths[at]
+            yield batch.slice(int(at[0]), len(at)), b"".join(pieces[at[0] : at[-1] + 1]), np.cumsum(own) - own, np.repeat(np.arange(len(at)), own)
+
+
+def _odd_windows(text: bytes, size: int) -> Iterator[tuple[int, bytes]]:
+    """(offset, window) of the windows of pieces that hold a letter that isn't a base."""
+    codes = np.frombuffer(text, np.uint8)
+    bases = _held(_CODE[codes], size)
+    inside = _held(np.where(codes == BETWEEN[0], 4, 0), size)
+    for i in np.flatnonzero(inside & ~bases).tolist():
+        yield i, text[i : i + size]
+
+
+def _cutting(size: int, m: int, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: dict[bytes, list] = {}
-            firsts = batch["first"].to_numpy()
-            for i, piece in enumerate(batch["piece"].to_pylist()):
-                for key, at, text in runs(piece.encode(), size, m):
-                    other = opposite(text)
-                    flipped = other < text
-                    own = held.get(form := other if flipped else text)
-                    if own is None:
-                        if len(held) >= HELD:
-                            yield pack(batch, held)
-                            held = {}
-                        held[form] = [key % buckets, 1, i, int(firsts[i]) + at, flipped]
-                    else:
-                        own[1] += 1
-            if held:
-                yield pack(batch, held)
-
-    def pack(batch: pa.RecordBatch, held: dict[bytes, list]) -> pa.RecordBatch:
-        bucket, n, row, start, flipped = map(list, zip(*held.values(), strict=True))
-        columns = [pa.array(bucket, pa.int64()), pa.array(list(held), pa.binary()), pa.array(n, pa.int64()), pa.array(start, pa.int64()), pa.array(flipped, pa.bool_()), *[batch[k].take(pa.array(row)) for k in keys]]
-        return pa.RecordBatch.from_arrays(columns, names=["bucket", "form", "n", "start", "flipped", *keys])
+        for rows, text, begin, row in _joined(batches):
+            if len(text) < size:
+                continue
+            minimiser, at, many = spans(text, size, m)
+            odd = list(_odd_windows(text, size))
+            lengths = many + size - 1
+            offsets = np.concatenate([[0], np.cumsum(lengths)])
+            letters = np.frombuffer(text, np.uint8)[np.arange(offsets[-1]) + np.repeat(at - offsets[:-1], lengths)]
+            forms = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(letters)])
+            forms = pa.concat_arrays([forms, pa.array([w for _, w in odd], pa.binary())])
+            bucket = np.concatenate([minimiser, np.array([hash_text(min(w, opposite(w))) for _, w in odd], np.uint64)]).view(np.int64)
+            at = np.concatenate([at, np.array([i for i, _ in odd], np.int64)])
+            same = forms.dictionary_encode()
+            which = same.indices.to_numpy()
+            first = np.zeros(len(same.dictionary), np.int64)
+            first[which[::-1]] = np.arange(len(which))[::-1]
+            at, of = at[first], row[at[first]]
+            start = rows["first"].to_numpy()[of] + at - begin[of]
+            columns = [pa.array(bucket[first]), same.dictionary, pa.array(np.bincount(which, minlength=len(first))), pa.array(start.astype(np.int64)), *[rows[k].take(pa.array(of)) for k in keys]]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "form", "n", "start", *keys])
 
     return run
 
 
 def super_kmers(pieces: DataFrame, size: int, keys: tuple[str, ...]) -> DataFrame:
-    """(bucket, form, n, start, flipped, keys) of distinct strings, dealt by bucket: how often each occurs, and the
-    place of one of them. pieces: (keys, first, piece), which hold each window once."""
-    total = pieces.agg(F.sum(F.length("piece"))).first()[0] or 0
+    """(bucket, form, n, start, keys) of strings, dealt and sorted by bucket, the minimiser's hash: how often each
+    occurs in a batch, and one of its places. pieces: (keys, first, piece), which hold each window once."""
     kinds = dict(pieces.dtypes)
-    schema = ", ".join(["bucket long, form binary, n long, start long, flipped boolean", *[f"`{k}` {kinds[k]}" for k in keys]])
-    words = -(-size // WORD)
-    buckets = max(64, total * words // BUCKET_WINDOWS)
-    made = pieces.mapInArrow(_cutting(size, min(size, MINIMISER, max(4, size // 2)), buckets, list(keys)), schema).repartition("bucket")
-    place = F.min(F.struct("start", "flipped", *keys)).alias("p")
-    return made.groupBy("bucket", "form").agg(F.sum("n").alias("n"), place).select("bucket", "form", "n", "p.*")
+    schema = ", ".join(["bucket long, form binary, n long, start long", *[f"`{k}` {kinds[k]}" for k in keys]])
+    made = pieces.mapInArrow(_cutting(size, min(size, MINIMISER, max(4, size // 2)), list(keys)), schema)
+    return made.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def _by_bucket(size: int, use: Callable[[pa.Table], pa.Table]):
+    """use for whole buckets, as many at a time as have enough windows, while sorted strings pass by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        windows, last = 0, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            bucket = batch["bucket"].to_numpy()
+            if windows >= AT_ONCE and bucket[-1] != last:
+                cut = int(np.flatnonzero(bucket == bucket[-1])[0])
+                yield from use(pa.Table.from_batches([*held, batch.slice(0, cut)])).to_batches()
+                held, windows, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            windows += (pc.sum(pc.binary_length(batch["form"])).as_py() or 0) - (size - 1) * len(batch)
+            last = bucket[-1]
+        if held:
+            yield from use(pa.Table.from_batches(held)).to_batches()
+
+    return run
 
 
 class _Windows:
-    """The windows of one bucket's strings: their canonical words, string and place in it."""
+    """The windows of some buckets' strings: their canonical words, string and place in it."""
 
     def __init__(self, group: pa.Table, size: int):
         forms = group["form"].to_pylist()
         self.size, self.n = size, group["n"].to_numpy()
-        pure = np.array([not f.translate(None, b"ACGT") for f in forms], bool)
+        pure = np.array([len(f) > size or not f.translate(None, b"ACGT") for f in forms], bool)  # others travel alone
         own = [f for f, good in zip(forms, pure, strict=True) if good]
         lengths = np.array([len(f) for f in own], np.int64)
         self.forms, self.odd, self.which = own, [(f, i) for i, f in enumerate(forms) if not pure[i]], np.flatnonzero(pure)
@@ -170,7 +223,7 @@ class _Windows:
         at = np.repeat(np.cumsum(lengths) - lengths, self.windows) + self.place
         words = window_words(codes, size) if len(codes) else [np.zeros(0, np.uint64), np.zeros(0, bool)]
         *self.words, self.flipped = [w[at] for w in words]
-        order = np.lexsort(self.words[::-1])
+        order = np.argsort(self.words[0]) if len(self.words) == 1 else np.lexsort(self.words[::-1])
         new = np.ones(len(order), bool)
         if len(order):
             new[1:] = np.any([w[order][1:] != w[order][:-1] for w in self.words], axis=0)
@@ -179,17 +232,49 @@ class _Windows:
 
     def texts(self, rows: np.ndarray) -> pa.Array:
         """Canonical forms of windows, as text."""
-        out = np.empty((len(rows), self.size), np.uint8)
-        for k, word in enumerate(self.words):
-            width = min(WORD, self.size - WORD * k)
-            for j in range(width):
-                out[:, WORD * k + j] = _LETTER[(word[rows] >> np.uint64(2 * (width - 1 - j))) & np.uint64(3)]
-        offsets = np.arange(len(rows) + 1, dtype=np.int64) * self.size
-        return pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(offsets), pa.py_buffer(out.tobytes())).cast(pa.string())
+        return spelt([word[rows] for word in self.words], self.size)
+
+
+def spelt(words: list[np.ndarray], size: int) -> pa.Array:
+    """Texts of windows from their words."""
+    n = len(words[0])
+    out = np.empty((n, size), np.uint8)
+    for k, word in enumerate(words):
+        width = min(WORD, size - WORD * k)
+        for j in range(width):
+            out[:, WORD * k + j] = _LETTER[(word >> np.uint64(2 * (width - 1 - j))) & np.uint64(3)]
+    offsets = np.arange(n + 1, dtype=np.int64) * size
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(out.tobytes())).cast(pa.string())
+
+
+def _count_short(pieces: DataFrame, size: int) -> DataFrame:
+    """(kmer, copies) of windows of so few bases that a task's counts are no more rows than codes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, text, _, _ in _joined(batches):
+            if len(text) < size:
+                continue
+            codes = _CODE[np.frombuffer(text, np.uint8)]
+            word = np.sort(window_words(np.minimum(codes, 3), size)[0][_held(codes, size)].astype(np.uint32))
+            first = np.flatnonzero(np.concatenate([[len(word) > 0], word[1:] != word[:-1]]))
+            code, n = word[first], np.diff(np.append(first, len(word)))
+            odd = [min(w, opposite(w)).decode() for _, w in _odd_windows(text, size)]
+            columns = [pa.array([*code.tolist(), *[None] * len(odd)], pa.int64()) if odd else pa.array(code.astype(np.int64)), pa.array([None] * len(code) + odd, pa.string()), pa.array(np.concatenate([n, np.ones(len(odd), np.int64)]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["code", "odd", "n"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = spelt([batch["code"].fill_null(0).to_numpy().astype(np.uint64)], size)
+            yield pa.RecordBatch.from_arrays([pc.coalesce(batch["odd"], text), batch["copies"]], names=["kmer", "copies"])
+
+    summed = pieces.mapInArrow(count, "code long, odd string, n long").groupBy("code", "odd").agg(F.sum("n").alias("copies"))
+    return summed.mapInArrow(spell, "kmer string, copies long")
 
 
 def count_windows(pieces: DataFrame, size: int) -> DataFrame:
     """(kmer, copies): every window by its canonical form, and how often it occurs on either strand."""
+    if size <= SHORT:
+        return _count_short(pieces, size)
 
     def count(group: pa.Table) -> pa.Table:
         own = _Windows(group, size)
@@ -203,24 +288,21 @@ def count_windows(pieces: DataFrame, size: int) -> DataFrame:
             copies = np.concatenate([copies, np.array(list(found.values()), np.int64)])
         return pa.table([texts, pa.array(copies)], names=["kmer", "copies"])
 
-    return super_kmers(pieces, size, ()).groupBy("bucket").applyInArrow(count, "kmer string, copies long")
+    return super_kmers(pieces, size, ()).mapInArrow(_by_bucket(size, count), "kmer string, copies long")
 
 
-def single_windows(pieces: DataFrame, size: int, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, start, kmer) of windows that occur once on either strand, as the sequence has them."""
+def single_windows(pieces: DataFrame, size: int, keys: tuple[str, ...], spell: bool = True) -> DataFrame:
+    """(keys, start, kmer) of windows that occur once on either strand, as the sequence has them; without kmer, if
+    they needn't be spelt."""
     kinds = dict(pieces.dtypes)
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "start long", "kmer string"])
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "start long", *["kmer string"] * spell])
 
     def single(group: pa.Table) -> pa.Table:
         own = _Windows(group, size)
         rows = own.order[own.heads[own.copies == 1]]
         string = own.which[own.string[rows]]
-        starts, flipped = group["start"].to_numpy(), group["flipped"].to_numpy(zero_copy_only=False)
-        turned = flipped[string]
-        start = starts[string] + np.where(turned, own.windows[own.string[rows]] - 1 - own.place[rows], own.place[rows])
-        texts = own.texts(rows).to_pylist()
-        turn = turned ^ own.flipped[rows]  # the sequence has the other strand of the canonical form
-        kmers = [opposite(t.encode()).decode() if x else t for t, x in zip(texts, turn, strict=True)]
+        starts = group["start"].to_numpy()
+        start = starts[string] + own.place[rows]
         seen: dict[bytes, int] = {}
         for form, i in own.odd:
             name = min(form, opposite(form))
@@ -228,7 +310,10 @@ def single_windows(pieces: DataFrame, size: int, keys: tuple[str, ...]) -> DataF
         odd = [(form, i) for form, i in own.odd if seen[min(form, opposite(form))] == 1]
         string = np.concatenate([string, np.array([i for _, i in odd], np.int64)]).astype(np.int64)
         start = np.concatenate([start, np.array([starts[i] for _, i in odd], np.int64)]).astype(np.int64)
-        kmers += [(opposite(form) if flipped[i] else form).decode() for form, i in odd]
-        return pa.table([*[group[k].take(pa.array(string)).combine_chunks() for k in keys], pa.array(start), pa.array(kmers, pa.string())], names=[*keys, "start", "kmer"])
+        columns = [*[group[k].take(pa.array(string)).combine_chunks() for k in keys], pa.array(start)]
+        if spell:
+            kmers = [opposite(t.encode()).decode() if x else t for t, x in zip(own.texts(rows).to_pylist(), own.flipped[rows], strict=True)]
+            columns.append(pa.array(kmers + [form.decode() for form, _ in odd], pa.string()))
+        return pa.table(columns, names=[*keys, "start", *["kmer"] * spell])
 
-    return super_kmers(pieces, size, keys).groupBy("bucket").applyInArrow(single, schema)
+    return super_kmers(pieces, size, keys).mapInArrow(_by_bucket(size, single), schema)

@@ -53,7 +53,7 @@ KMER_COPY = f"WITH k AS ({WINDOWS.format(size=SIZE)}), c AS (SELECT least(kmer,
 
 def unique_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 30 bases that occur once on either strand, counted by sequence."""
-    return G.unique_windows(genome(spark, sf_dir), 30).groupBy("chr").agg(F.count(F.lit(1)).alias("n_unique"), F.min("start").alias("first_start"))
+    return G.unique_windows(genome(spark, sf_dir), 30, spell=False).groupBy("chr").agg(F.count(F.lit(1)).alias("n_unique"), F.min("start").alias("first_start"))
 
 
 UNIQUE_WINDOWS = f"WITH k AS ({WINDOWS.format(size=30)}), u AS (SELECT any_value(chr) AS chr, any_value(start) AS start FROM k GROUP BY least(kmer, {RC.format('kmer')}) HAVING count(*) = 1) SELECT chr, count(*) AS n_unique, min(start) AS first_start FROM u GROUP BY chr"

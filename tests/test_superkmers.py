@@ -51,3 +51,20 @@ def test_least_of_runs():
     x = np.random.default_rng(1).integers(0, 1000, 50).astype(np.uint64)
     for width in range(1, 20):
         assert (superkmers._least(x, width) == [x[i : i + width].min() for i in range(50 - width + 1)]).all()
+
+
+def test_whole_buckets_are_counted_at_once_and_kmers_need_not_be_spelt(spark, monkeypatch):
+    rows = _genome(random.Random(2))
+    df = spark.createDataFrame(rows, "chr int, seq string").repartition(3)
+    spelt = {(r.chr, r.start) for r in genome.unique_windows(df, 30).collect()}
+    plain = genome.unique_windows(df, 30, spell=False)
+    assert plain.columns == ["chr", "start"] and sorted(map(tuple, plain.collect())) == sorted(spelt)
+    seen = []
+    monkeypatch.setattr(superkmers, "AT_ONCE", 50)
+    bucket = np.repeat(np.arange(40), np.random.default_rng(3).integers(1, 9, 40))
+    forms = [b"ACGTACGTAC"] * len(bucket)
+    whole = superkmers.pa.RecordBatch.from_arrays([superkmers.pa.array(bucket), superkmers.pa.array(forms, superkmers.pa.binary())], names=["bucket", "form"])
+    use = lambda table: seen.append(table["bucket"].to_numpy()) or table
+    out = list(superkmers._by_bucket(8, use)(whole.slice(i, 7) for i in range(0, len(bucket), 7)))
+    assert np.concatenate([b["bucket"].to_numpy() for b in out]).tolist() == bucket.tolist()
+    assert len(seen) > 3 and not any(set(a) & set(b) for a, b in zip(seen, seen[1:], strict=False))
