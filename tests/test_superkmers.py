@@ -68,3 +68,13 @@ def test_whole_buckets_are_counted_at_once_and_kmers_need_not_be_spelt(spark, mo
     out = list(superkmers._by_bucket(8, use)(whole.slice(i, 7) for i in range(0, len(bucket), 7)))
     assert np.concatenate([b["bucket"].to_numpy() for b in out]).tolist() == bucket.tolist()
     assert len(seen) > 3 and not any(set(a) & set(b) for a, b in zip(seen, seen[1:], strict=False))
+
+
+def test_short_windows_are_counted_by_code_without_minimisers(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("a window of 12 bases has few codes")
+
+    monkeypatch.setattr(superkmers, "super_kmers", none)
+    df = spark.createDataFrame([(1, "ACGTACGTACGTNACGTACGTACGT"), (2, "ACG"), (3, None)], "chr int, seq string").repartition(2)
+    found = {r.kmer: r.copies for r in genome.copy_numbers(df, 12).collect()}
+    assert found["ACGTACGTACGT"] == 2 and sum(found.values()) == 14 and sum(n for k, n in found.items() if "N" in k) == 12
