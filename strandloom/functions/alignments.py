@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Kinds of operations that use bases of a read, and of the reference.
+READ, REFERENCE = "MIS=X", "MDN=X"
 
 
 def cigar_operations(cigar: Column) -> Column:
@@ -32,6 +40,59 @@ def cigar_fits(cigar: Column, seq: Column) -> Column:
     return read_span(cigar) == F.length(seq)
 
 
+@lru_cache(1 << 16)
+def operations(cigar: str) -> tuple[tuple[int, str], ...]:
+    """(length, kind) of the operations of a CIGAR string."""
+    return tuple((int(n), op) for n, op in re.findall(r"([0-9]+)([A-Z=])", cigar))
+
+
+def total_once(cigar: Column, kinds: str) -> Column:
+    """Bases that the operations of some kinds account for, made once a row however often the column is read: plans
+    copy no nondeterministic column into what reads it, nor a filter to below it. Strings of a batch that are equal
+    are parsed once."""
+
+    def run(cigars: pa.Array) -> pa.Array:
+        own = cigars.dictionary_encode()
+        return pa.array([sum(n for n, op in operations(c) if op in kinds) for c in own.dictionary.to_pylist()], pa.int32()).take(own.indices)
+
+    return F.arrow_udf(run, T.IntegerType()).asNondeterministic()(cigar)
+
+
+@lru_cache(1 << 16)
+def kept_part(cigar: str, low: int | None, high: int | None) -> tuple[int | None, int | None, str, int]:
+    """(begin, end, text, size) of what of an alignment lies from low to high, reference bases from its first on: the
+    part of the read (null if no bases are left), and its CIGAR string with the sum of its lengths. Null: no bound."""
+    read = ref = size = 0
+    begin = end = None
+    text = ""
+    for n, op in operations(cigar):
+        uses, refs = op in READ, op in REFERENCE
+        if refs:
+            first = 0 if low is None else max(low - ref, 0)
+            last = n if high is None else min(n, high - ref + 1)
+        else:
+            first = n if low is not None and ref < low else 0
+            last = 0 if high is not None and ref > high else n
+        if last > first and op != "H":
+            size, text = size + last - first, f"{text}{last - first}{op}"
+            if uses:
+                begin, end = read + first if begin is None else begin, read + last
+        read, ref = read + n * uses, ref + n * refs
+    return begin, end, text, size
+
+
+def kept_once(cigar: Column, low: Column, high: Column) -> Column:
+    """struct<begin, end, text, size> of ``kept_part``, made once a row; null without a CIGAR string."""
+    kind = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("size", T.IntegerType())])
+
+    def run(cigars: pa.Array, lows: pa.Array, highs: pa.Array) -> pa.Array:
+        found = [(None,) * 4 if c is None else kept_part(c, a, b) for c, a, b in zip(cigars.to_pylist(), lows.to_pylist(), highs.to_pylist(), strict=True)]
+        columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int32()), strict=True)] if found else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.string(), pa.int32())]
+        return pa.StructArray.from_arrays(columns, names=["begin", "end", "text", "size"], mask=cigars.is_null())
+
+    return F.arrow_udf(run, kind).asNondeterministic()(cigar, low, high)
+
+
 def phred(quality: Column) -> Column:
     """array<int> of a quality string of offset 33."""
     return F.transform(F.filter(F.split(quality, ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)

@@ -80,6 +80,7 @@ def annotate(reads: DataFrame, params: CollapseParams, design: DataFrame | None
     """
     filled = reads.fillna({"qname": "", "rname": "*", "cigar": "*", "rnext": "*", "seq": "*", "qual": "*"}).fillna({"flag": 4, "pos": 0, "pnext": 0, "tlen": 0, "mapq": 0})
     filled = filled if "tags" in reads.columns else filled.withColumn("tags", F.lit(""))
+    filled = filled.withColumn("span", A.total_once(F.col("cigar"), "MD"))
     named = with_barcodes(R.parse_names(filled), barcodes, params.tolerant)
     if params.key_by_reference:
         named = named.withColumn("mip_key", F.col("rname"))
@@ -91,15 +92,13 @@ def annotate(reads: DataFrame, params: CollapseParams, design: DataFrame | None
     if trimmed:
         if params.exact_arms:
             named = named.join(design.select("mip_key", "first_arm", "second_arm").dropDuplicates(["mip_key"]), "mip_key", "left")
-        named = R.trim_arms(named, exact=params.exact_arms)
-    judged = R.dispositions(named, params, known_probes=design is not None, trimmed=trimmed)
-    judged = judged.withColumn("span", A.reference_span(F.col("cigar")))
+        named = R.trim_arms(R.with_numbers(named), exact=params.exact_arms)
+    judged = R.without_numbers(R.dispositions(named, params, known_probes=design is not None, trimmed=trimmed))
     if trimmed:
         cut = (F.col("disposition") == "on_target") & (F.col("cigar") != "*")
-        whole = F.aggregate(A.cigar_operations(F.col("new_cigar")), F.lit(0), lambda s, x: s + x["n"])
-        judged = judged.withColumn("span", F.when(cut & (F.col("new_seq") != ""), whole).otherwise(F.col("span")))
+        judged = judged.withColumn("span", F.when(cut & (F.col("new_seq") != ""), F.col("new_size")).otherwise(F.col("span")))
         on = F.col("disposition") == "on_target"
-        judged = judged.withColumns({c: F.when(on, F.col(f"new_{c}")).otherwise(F.col(c)) for c in ("pos", "cigar", "seq", "qual")}).drop("new_pos", "new_cigar", "new_seq", "new_qual", "trim_status", "first_arm", "second_arm")
+        judged = judged.withColumns({c: F.when(on, F.col(f"new_{c}")).otherwise(F.col(c)) for c in ("pos", "cigar", "seq", "qual")}).drop("new_pos", "new_cigar", "new_seq", "new_qual", "new_size", "trim_status", "first_arm", "second_arm")
     return judged
 
 
@@ -117,64 +116,56 @@ def collapse(annotated: DataFrame, params: CollapseParams) -> Collapsed:
     by name. With params.collapse_free reads are passed on as they are and counted one by one. No reads give none.
     """
     on = annotated.filter("disposition = 'on_target'").select(*SAM, *GROUP, "sample", "read_number", "cluster", "span")
-    on = written(on, "on_target")  # read several times below
+    on = written(on.withColumn("uses", A.total_once(F.col("cigar"), A.READ)), "on_target")  # read several times below
     if params.collapse_free:
         return Collapsed(on.select(*SAM, *GROUP, "sample", "read_number", F.lit("uncollapsed").alias("route")), counted_free(on))
     counts = complexity(on)
-    fields = F.struct(*SAM, "span")
-    mate = lambda n: F.min_by(F.when(F.col("read_number") == n, fields), F.when(F.col("read_number") == n, F.struct("ord", "qname"))).alias(f"first{n}")
-    groups = on.groupBy(*GROUP).agg(F.max("sample").alias("sample"), mate(1), mate(2))
-    per_site = groups.groupBy(*SITE).agg((distinct_probability(F.count(F.lit(1)), params.tags) > params.confidence).alias("distinct"))
-    drawn_from = on.join(per_site, list(SITE))
-    keys = (*GROUP, "read_number")
-    placed = R.consensus_of_dominant(drawn_from.filter("distinct"), keys)
-    drawn = R.chosen_read(drawn_from.filter("NOT distinct"), keys, params.seed).select(*keys, "pos", "cigar", "seq", "qual")
-    made = placed.unionByName(drawn)
-    pick = lambda n: F.max(F.when(F.col("read_number") == n, F.struct("pos", "cigar", "seq", "qual"))).alias(f"made{n}")
-    made = made.groupBy(*GROUP).agg(pick(1), pick(2))
-    return Collapsed(_routed(groups.join(made, list(GROUP)), params.single_end), counts)
+    fields, made = F.struct(*SAM, "span", "uses"), ("pos", "cigar", "uses", "seq", "qual")
+    of = lambda n, value: F.when(F.col("read_number") == n, value)
+    first = lambda n: F.min_by(of(n, fields), of(n, F.struct("ord", "qname"))).alias(f"first{n}")
+    draw = F.struct(F.xxhash64(F.lit(params.seed), F.col("qname")), F.col("qname"), F.col("ord"))
+    drawn = lambda n: F.min_by(of(n, F.struct(*made)), of(n, draw)).alias(f"drawn{n}")
+    groups = on.groupBy(*GROUP).agg(F.max("sample").alias("sample"), first(1), first(2), drawn(1), drawn(2))
+    per_site = on.select(*GROUP).distinct().groupBy(*SITE).agg((distinct_probability(F.count(F.lit(1)), params.tags) > params.confidence).alias("distinct"))
+    forms = R.consensus_of_forms(on.join(per_site.filter("distinct"), list(SITE), "left_semi"), (*GROUP, "read_number"), ("uses",))
+    best = lambda n: F.max(of(n, F.struct("n", "quality", *made))).alias(f"best{n}")
+    both = groups.join(forms.groupBy(*GROUP).agg(best(1), best(2)), list(GROUP), "left")
+    chosen = lambda n: F.when(F.col(f"best{n}").isNotNull(), F.struct(*[F.col(f"best{n}")[c].alias(c) for c in made])).otherwise(F.col(f"drawn{n}"))
+    both = both.select(*GROUP, "sample", "first1", "first2", *[chosen(n).alias(f"made{n}") for n in (1, 2)])
+    return Collapsed(_routed(both, params.single_end), counts)
 
 
 def _fits(read: Column) -> Column:
-    return A.cigar_fits(read["cigar"], read["seq"])
-
-
-def _with(read: Column, **fields: Column) -> Column:
-    for name, value in fields.items():
-        read = read.withField(name, value)
-    return read
+    return read["uses"] == F.length(read["seq"])
 
 
 def _routed(groups: DataFrame, single: bool) -> DataFrame:
-    """Both mates of each group with their route, as rows."""
-    one, two = F.col("first1"), F.col("first2")
-    starred = lambda r: _with(r, cigar=F.lit("*"))
-    final = {n: _with(F.col(f"first{n}"), **{c: F.col(f"made{n}")[c] for c in ("pos", "cigar", "seq", "qual")}) for n in (1, 2)}
-    rows = lambda route, *reads: F.transform(F.array(*[F.struct(F.lit(n).alias("n"), r.alias("r")) for n, r in reads]), lambda x: F.struct(F.lit(route).alias("route"), x["n"].alias("read_number"), x["r"].alias("read")))
-    misfit = lambda r: F.when(_fits(r), r["cigar"]).otherwise("*")
+    """Both mates of each group with their route, as rows.
+
+    Where the first reads' forms don't fit their bases the group keeps these reads. A form that doesn't fit is "*",
+    but of first reads only that of one.
+    """
+    one, two, made1, made2 = (F.col(c) for c in ("first1", "first2", "made1", "made2"))
+    there = one.isNotNull() if single else one.isNotNull() & two.isNotNull()
+    judged = groups.withColumns({"__there": there, "__fit1": _fits(one), "__fit2": F.lit(True) if single else _fits(two), "__made1": _fits(made1), "__made2": F.lit(True) if single else _fits(made2)})
+    fit1, fit2, fits1, fits2 = (F.col(c) for c in ("__fit1", "__fit2", "__made1", "__made2"))
+    remade = F.col("__there") & fit1 & fit2
+    route = F.when(~F.col("__there"), "unpaired").when(remade & fits1 & fits2, "unique").otherwise("strange")
+    star1, star2 = F.when(remade, ~fits1).otherwise(F.col("__there") & fit2), F.when(remade, ~fits2).otherwise(F.col("__there") & ~fit2)
+    length = F.greatest(made1["pos"] + one["span"], made2["pos"] + two["span"]) - F.least(made1["pos"], made2["pos"])
+    sign = F.when((two["flag"] == 99) | (one["flag"] == 163), -1).when((one["flag"] == 99) | (two["flag"] == 163), 1)
+    judged = judged.select(*GROUP, "sample", "first1", "first2", "made1", "made2", remade.alias("__remade"), route.alias("route"), star1.alias("__star1"), star2.alias("__star2"), (length * sign).alias("__length"))
+    mates = F.array(*[F.struct(F.lit(n).alias("read_number"), F.col(f"first{n}").alias("first"), F.col(f"made{n}").alias("made"), F.col(f"__star{n}").alias("star"), F.col(f"made{3 - n}")["pos"].alias("mate"), (F.col("__length") * (3 - 2 * n)).alias("length")) for n in (1, 2)])
+    rows = judged.select(*GROUP, "sample", "route", "__remade", F.explode(mates).alias("o")).filter("o.first IS NOT NULL")
     if single:
-        routed = (
-            F.when(one.isNull(), rows("unpaired", (2, two)))
-            .when(~_fits(one), rows("strange", (1, starred(one))))
-            .when(~_fits(final[1]), rows("strange", (1, starred(final[1]))))
-            .otherwise(rows("unique", (1, final[1])))
-        )
-    else:
-        first, last = F.least(final[1]["pos"], final[2]["pos"]), F.greatest(final[1]["pos"] + final[1]["span"], final[2]["pos"] + final[2]["span"])
-        second_leads = (final[2]["flag"] == 99) | (final[1]["flag"] == 163)
-        first_leads = (final[1]["flag"] == 99) | (final[2]["flag"] == 163)
-        sign = F.when(second_leads, -1).when(first_leads, 1)
-        paired = {n: _with(final[n], pnext=final[3 - n]["pos"], tlen=F.coalesce((last - first) * sign * (3 - 2 * n), final[n]["tlen"])) for n in (1, 2)}
-        routed = (
-            F.when(one.isNull(), rows("unpaired", (2, two)))
-            .when(two.isNull(), rows("unpaired", (1, one)))
-            .when(~_fits(two), rows("strange", (1, one), (2, starred(two))))
-            .when(~_fits(one), rows("strange", (1, starred(one)), (2, two)))
-            .when(~_fits(final[1]) | ~_fits(final[2]), rows("strange", *[(n, _with(final[n], cigar=misfit(final[n]))) for n in (1, 2)]))
-            .otherwise(rows("unique", (1, paired[1]), (2, paired[2])))
-        )
-    out = groups.select(*GROUP, "sample", F.explode(routed).alias("o"))
-    return out.select(*[F.col(f"o.read.{c}").alias(c) for c in SAM], *GROUP, "sample", "o.read_number", "o.route")
+        rows = rows.filter("o.read_number = 1 OR route = 'unpaired'")
+    first = {c: F.col(f"o.first.{c}") for c in SAM}
+    out = first | {c: F.when(F.col("__remade"), F.col(f"o.made.{c}")).otherwise(first[c]) for c in ("pos", "cigar", "seq", "qual")}
+    out["cigar"] = F.when(F.col("o.star"), "*").otherwise(out["cigar"])
+    if not single:
+        unique = F.col("route") == "unique"
+        out["pnext"], out["tlen"] = F.when(unique, F.col("o.mate")).otherwise(first["pnext"]), F.when(unique, F.coalesce("o.length", first["tlen"])).otherwise(first["tlen"])
+    return rows.select(*[out[c].alias(c) for c in SAM], *GROUP, "sample", "o.read_number", "route")
 
 
 def summary(counts: DataFrame, design: DataFrame | None = None) -> DataFrame:
@@ -183,6 +174,7 @@ def summary(counts: DataFrame, design: DataFrame | None = None) -> DataFrame:
     With a design only its probes count, and those without reads have a row.
     """
     probes = None if design is None else design.select(F.col("mip_key").alias("mip"))
+    counts = counts if design is None else written(counts, "complexity")  # read twice: once for probes without reads
     return with_saturation(marginals(counts, probes)).select("sample", "mip", "total", "unique", "saturation")
 
 

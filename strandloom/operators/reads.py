@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,6 +177,26 @@ def probe_sites(design: DataFrame, flex: int) -> DataFrame:
     return all_.groupBy("chr", F.col("__s.side").alias("side"), "pos", "strand").agg(F.max_by("mip_key", "ord").alias("mip_key"))
 
 
+def _numbers() -> dict[str, Column]:
+    """First and last base and arm lengths of probes, by their keys."""
+    at = {"__start": (r":(\d+)-(\d+)/", 1), "__stop": (r":(\d+)-(\d+)/", 2), "__ext": (r"/(\d+),(\d+)", 1), "__lig": (r"/(\d+),(\d+)", 2)}
+    return {c: F.regexp_extract("mip_key", *x).try_cast("int") for c, x in at.items()}
+
+
+def with_numbers(reads: DataFrame) -> DataFrame:
+    """Reads with the numbers in their probes' keys, for ``trim_arms`` and ``dispositions`` to share."""
+    return reads.withColumns(_numbers())
+
+
+def without_numbers(reads: DataFrame) -> DataFrame:
+    return reads.drop(*_numbers())
+
+
+def _span(reads: DataFrame) -> Column:
+    """Bases of the reference that a read covers: its span, if reads have one, else by its CIGAR string."""
+    return F.col("span") if "span" in reads.columns else A.reference_span(F.col("cigar"))
+
+
 def assign_probes(reads: DataFrame, sites: DataFrame) -> DataFrame:
     """Reads with the key of the probe they start (or, reversed, end) at; "chr:start-stop/0,0/g" without one.
 
@@ -184,7 +205,7 @@ def assign_probes(reads: DataFrame, sites: DataFrame) -> DataFrame:
     plus, 99 and 147 minus. Reverse reads are placed by their last base.
     """
     flag = F.col("flag")
-    end = F.col("pos") + A.reference_span(F.col("cigar")) - 1
+    end = F.col("pos") + _span(reads) - 1
     strand = F.when(A.is_single(flag), F.when(A.is_reverse(flag), "+").otherwise("-")).otherwise(F.when(flag.isin(83, 163), "+").otherwise("-"))
     stop = F.when(A.is_single(flag), F.lit(False)).otherwise(A.is_reverse(flag))
     placed = reads.withColumns({"__strand": strand, "__side": F.when(stop, "stop").otherwise("start"), "__at": F.when(stop, end).otherwise(F.col("pos"))})
@@ -200,10 +221,10 @@ def dispositions(reads: DataFrame, params: CollapseParams, known_probes: bool =
     Without known probes no key is off target. A pair is, if its length neither equals what the read spans
     nor is within flex of its probe's. ``trimmed``: trim_status counts.
     """
-    start, stop = F.regexp_extract("mip_key", r":(\d+)-(\d+)/", 1), F.regexp_extract("mip_key", r":(\d+)-(\d+)/", 2)
-    length, flag = F.try_subtract(stop.try_cast("int"), start.try_cast("int")), F.col("flag")
+    start, stop = (F.col(c) if c in reads.columns else n for c, n in list(_numbers().items())[:2])
+    length, flag = F.try_subtract(stop, start), F.col("flag")
     paired = ~A.is_single(flag) & ~F.lit(params.single_end)
-    far = paired & (F.abs("tlen") != A.reference_span(F.col("cigar"))) & F.coalesce(F.abs(F.abs("tlen") - length) > params.flex, F.lit(False))
+    far = paired & (F.abs("tlen") != _span(reads)) & F.coalesce(F.abs(F.abs("tlen") - length) > params.flex, F.lit(False))
     bad_tag = F.rlike("mtag", F.lit("[^ATCG]")) if params.picky_tags else F.lit(False)
     clipped = F.lit(False) if not params.drop_soft_clipped else F.contains("cigar", F.lit("S")) if params.single_end else A.soft_clipped(flag, F.col("cigar"))
     off, status = (F.endswith("mip_key", F.lit("/g")) if known_probes else F.lit(False)), (F.col("trim_status") if trimmed else F.lit(0))
@@ -219,48 +240,29 @@ def disposition_counts(reads: DataFrame) -> DataFrame:
 
 
 def trim_arms(reads: DataFrame, exact: bool = False) -> DataFrame:
-    """Reads without their probe's arms: new_pos, new_cigar, new_seq, new_qual and trim_status.
+    """Reads without their probe's arms: new_pos, new_cigar, new_seq, new_qual, trim_status and
+    new_size, the sum of new_cigar's lengths.
 
-    The CIGAR is written out to one entry per base of read or reference; entries keep their read offset
-    and their distance from the first base of the scan, and what lies in 0 to the scan's last base stays.
+    What lies from the scan's first base to its last stays (``alignments.kept_part``).
     Status 1: a flag that has no strand; an alignment that ends in the first arm keeps "0M" and no bases.
     Status 2, if ``exact``: the bases before the scan aren't the head of first_arm, or those behind it, as far as
     the read goes, aren't the head of second_arm (a read without these columns' values passes).
     """
-    flag, key = F.col("flag"), F.col("mip_key")
-    number = lambda pattern, g: F.regexp_extract(key, pattern, g).try_cast("int")
-    start, stop = number(r":(\d+)-(\d+)/", 1), number(r":(\d+)-(\d+)/", 2)
-    ext, lig = number(r"/(\d+),(\d+)", 1), number(r"/(\d+),(\d+)", 2)
+    flag = F.col("flag")
+    numbered = "__start" in reads.columns
+    reads = reads if numbered else reads.withColumns(_numbers())
+    start, stop, ext, lig = map(F.col, _numbers())
     plus = F.when(A.is_single(flag), A.is_reverse(flag)).otherwise(flag.isin(83, 163))
     known = A.is_single(flag) | flag.isin(83, 163, 99, 147)
     first = F.when(plus, ext).otherwise(lig) + start
     last = stop - F.when(plus, lig).otherwise(ext)
-    # one entry per operation: where it starts on read and reference, and what is left of it
-    ops = A.cigar_operations(F.col("cigar"))
-    zero = F.struct(F.lit(0).alias("read"), F.col("pos").cast("int").alias("ref"), F.array().cast("array<struct<op:string,n:int,read:int,ref:int>>").alias("all"))
-
-    def add(s: Column, o: Column) -> Column:
-        reads_, refs = F.contains(F.lit("MIS=X"), o["op"]), F.contains(F.lit("MDN=X"), o["op"])
-        entry = F.struct(o["op"].alias("op"), o["n"].alias("n"), s["read"].alias("read"), s["ref"].alias("ref"))
-        return F.struct((s["read"] + F.when(reads_, o["n"]).otherwise(0)).alias("read"), (s["ref"] + F.when(refs, o["n"]).otherwise(0)).alias("ref"), F.concat(s["all"], F.array(entry)).alias("all"))
-
-    placed = F.filter(F.aggregate(ops, zero, add)["all"], lambda x: x["op"] != "H")
-    walked = reads.withColumns({"__ops": placed, "__first": first, "__last": last})
-
-    def cut(x: Column) -> Column:
-        refs = F.contains(F.lit("MDN=X"), x["op"])
-        low = F.when(refs, F.greatest(F.col("__first") - x["ref"], F.lit(0))).otherwise(F.when(x["ref"] < F.col("__first"), x["n"]).otherwise(0))
-        high = F.when(refs, F.least(x["n"], F.col("__last") - x["ref"] + 1)).otherwise(F.when(x["ref"] > F.col("__last"), 0).otherwise(x["n"]))
-        kept = F.greatest(F.lit(0), high - low)
-        uses = F.contains(F.lit("MIS=X"), x["op"])
-        return F.struct(x["op"].alias("op"), kept.cast("int").alias("n"), F.when(uses, x["read"] + low).cast("int").alias("read"))
-
-    cutted = walked.withColumn("__kept", F.filter(F.transform("__ops", cut), lambda x: x["n"] > 0))
-    based = F.filter("__kept", lambda x: x["read"].isNotNull())
-    lo, hi = F.array_min(F.transform(based, lambda x: x["read"])), F.array_max(F.transform(based, lambda x: x["read"] + x["n"]))
-    none, trimmed = F.size(based) == 0, known & (F.col("cigar") != "*")
-    part = lambda c: F.when(none, "").otherwise(F.substr(F.col(c), (lo + 1).cast("int"), (hi - lo).cast("int")))
-    text = F.array_join(F.transform("__kept", lambda x: F.concat(x["n"].cast("string"), x["op"])), "")
+    placed = reads.withColumns({"__first": first, "__last": last})
+    at = F.col("pos").cast("int")
+    cutted = placed.withColumn("__kept", A.kept_once(F.col("cigar"), F.col("__first") - at, F.col("__last") - at))
+    lo, hi = F.col("__kept.begin"), F.col("__kept.end")
+    none, trimmed = F.col("__kept").isNotNull() & lo.isNull(), known & (F.col("cigar") != "*")
+    part = lambda c: F.when(none, "").otherwise(F.substr(F.col(c), lo + 1, hi - lo))
+    text = F.col("__kept.text")
     moved = F.when(F.col("__first") > F.col("pos"), F.col("__first")).otherwise(F.col("pos"))
     status = F.when(known, 0).otherwise(1)
     if exact:
@@ -268,7 +270,7 @@ def trim_arms(reads: DataFrame, exact: bool = False) -> DataFrame:
         shared = F.least(F.length("second_arm"), F.length(behind))
         wrong = (F.left("seq", before) != F.left("first_arm", before)) | (F.left("second_arm", shared) != F.left(behind, shared))
         status = F.when(status == 1, 1).when(trimmed & F.coalesce(wrong, F.lit(False)), 2).otherwise(0)
-    return cutted.withColumns({"trim_status": status, "new_pos": F.when(known, moved).otherwise(F.col("pos")), "new_cigar": F.when(~trimmed, F.col("cigar")).when(none, "0M").otherwise(text), "new_seq": F.when(trimmed, part("seq")).otherwise(F.col("seq")), "new_qual": F.when(trimmed, part("qual")).otherwise(F.col("qual"))}).drop("__ops", "__first", "__last", "__kept")
+    return cutted.withColumns({"trim_status": status, "new_pos": F.when(known, moved).otherwise(F.col("pos")), "new_cigar": F.when(~trimmed, F.col("cigar")).when(none, "0M").otherwise(text), "new_seq": F.when(trimmed, part("seq")).otherwise(F.col("seq")), "new_qual": F.when(trimmed, part("qual")).otherwise(F.col("qual")), "new_size": F.col("__kept.size")}).drop("__first", "__last", "__kept", *([] if numbered else _numbers()))
 
 
 # -- tag groups
@@ -317,6 +319,76 @@ class Fold:
         return np.frombuffer(f"{BASES}N".encode(), np.uint8)[self.lead].tobytes().decode(), qual.tobytes().decode()
 
 
+class _Folds:
+    """``Fold`` of many groups side by side: the first read of each, then the second of each, and so on. The last
+    group stays open for more reads."""
+
+    def __init__(self) -> None:
+        self.sums, self.lead = np.zeros((0, len(BASES) + 1, 0), np.int64), np.zeros((0, 0), np.uint8)
+        self.n = self.quality = self.shortest = np.zeros(0, np.int64)
+
+    def add(self, seqs: list[str], quals: list[str], new: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        """Reads in the order of their groups, of which new ones begin where new is true; what groups came to that are
+        done, if any: number of reads, sum of qualities, shortest length, and their sequences and qualities."""
+        seqs, wide = [x.encode("latin-1", "replace") for x in seqs], quals
+        quals = [x.encode("latin-1", "replace") for x in quals]
+        sizes, longest = np.fromiter(map(len, seqs), np.int64, len(seqs)), max(self.lead.shape[1], *map(len, seqs))
+        bases = Fold._CODES[self._matrix(seqs, longest, b"N")]
+        values = self._matrix(quals, longest, b"!").astype(np.int64) - 33
+        total = np.fromiter((sum(q) - 33 * len(q) if w.isascii() else sum(map(ord, w)) - 33 * len(w) for q, w in zip(quals, wide, strict=True)), np.int64, len(quals))
+        group = np.cumsum(new) - 1 + len(self.n)
+        self._widen(int(group[-1]) + 1, longest)
+        np.add.at(self.n, group, 1)
+        np.add.at(self.quality, group, total)
+        np.minimum.at(self.shortest, group, sizes)
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        rank = np.arange(len(group)) - np.repeat(first, np.diff(np.append(first, len(group))))
+        turn = np.argsort(rank, kind="stable")
+        places = np.arange(longest)
+        sums = self.sums.reshape(-1)
+        for rows in np.split(turn, np.cumsum(np.bincount(rank))[:-1]):
+            at, mine = group[rows], bases[rows]
+            start = (at * (len(BASES) + 1))[:, None]
+            known, lead = mine < len(BASES), self.lead[at]
+            own = (start + mine) * longest + places
+            sums[own] += np.where(known, values[rows], 0)
+            have, leads = sums[own], sums[(start + lead) * longest + places]
+            tied = known & (have == leads) & (mine != lead)
+            self.lead[at] = np.where(known & (have > leads), mine, np.where(tied, len(BASES), lead))
+        return self.done(len(self.n) - 1)
+
+    @staticmethod
+    def _matrix(texts: list[bytes], longest: int, blank: bytes) -> np.ndarray:
+        return np.frombuffer(b"".join(x[:longest].ljust(longest, blank) for x in texts), np.uint8).reshape(len(texts), longest)
+
+    def _widen(self, groups: int, longest: int) -> None:
+        more, wider = groups - len(self.n), longest - self.lead.shape[1]
+        self.sums = np.ascontiguousarray(np.pad(self.sums, ((0, more), (0, 0), (0, wider))))
+        self.lead = np.pad(self.lead, ((0, more), (0, wider)), constant_values=len(BASES))
+        self.n, self.quality = np.pad(self.n, (0, more)), np.pad(self.quality, (0, more))
+        self.shortest = np.pad(self.shortest, (0, more), constant_values=np.iinfo(np.int64).max)
+
+    def done(self, groups: int) -> tuple[np.ndarray, ...] | None:
+        """What the first groups came to, which are let go."""
+        if groups <= 0:
+            return None
+        sums, lead, shortest = self.sums[:groups], self.lead[:groups], self.shortest[:groups]
+        total = 2 * np.take_along_axis(sums, lead[:, None, :].astype(np.int64), 1)[:, 0] - sums.sum(axis=1)
+        qual = np.where(total > 40, ord("I"), np.where(total < 2, ord("#"), total + 33)).astype(np.uint8)
+        seq = np.frombuffer(f"{BASES}N".encode(), np.uint8)[lead]
+        kept = np.arange(lead.shape[1]) < shortest[:, None]
+        offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(shortest)]).astype(np.int32))
+        texts = [pa.StringArray.from_buffers(groups, offsets, pa.py_buffer(x[kept].tobytes())) for x in (seq, qual)]
+        out = self.n[:groups], self.quality[:groups], shortest, *texts
+        self.sums, self.lead = self.sums[groups:].copy(), self.lead[groups:].copy()
+        self.n, self.quality, self.shortest = self.n[groups:], self.quality[groups:], self.shortest[groups:]
+        return out
+
+
+#: Bases that are folded side by side.
+CELLS = 1 << 18
+
+
 def consensus(reads: DataFrame, keys: tuple[str, ...] = ("mip_key", "barcode", "mtag", "read_number"), order: str = "ord") -> DataFrame:
     """Consensus sequence and quality of each group, reads taken in order.
 
@@ -325,50 +397,64 @@ def consensus(reads: DataFrame, keys: tuple[str, ...] = ("mip_key", "barcode", "
     The quality is the leader's sum less all others'. A leader depends on what came before, so a group is read
     once in order: sorted partitions pass by in batches, and of a group only sums per position are held.
     """
-    shortest = reads.groupBy(*keys).agg(F.min(F.length("seq")).alias("__n")).filter("__n > 0")
-    named = {k: f"__{k}" for k in keys}
-    same = [F.col(k).eqNullSafe(F.col(named[k])) for k in keys]
-    cut = reads.join(shortest.withColumnsRenamed(named), same).select(*keys, order, "seq", "qual", "__n")
-    return _folded(cut, keys, [order])
+    return _folded(reads.filter("seq IS NOT NULL"), keys, keys, [order]).filter("shortest > 0").select(*keys, "seq", "qual")
 
 
 def consensus_of_dominant(reads: DataFrame, keys: tuple[str, ...] = ("mip_key", "barcode", "mtag", "read_number"), order: str = "ord") -> DataFrame:
     """keys, pos, cigar, seq and qual: each group's dominant place and form and the consensus of the reads that
     have it. Groups whose shortest such read is empty have empty ones."""
-    best = dominant(reads, keys).select(*keys, "pos", "cigar", F.col("shortest").alias("__n"))
-    chosen = reads.join(best, [*keys, "pos", "cigar"]).select(*keys, "pos", "cigar", order, "qname", "seq", "qual", "__n")
-    return _folded(chosen, (*keys, "pos", "cigar"), [order, "qname"])
+    best = F.max(F.struct("n", "quality", "pos", "cigar", "seq", "qual")).alias("b")
+    return consensus_of_forms(reads, keys, order=order).groupBy(*keys).agg(best).select(*keys, *[F.col(f"b.{c}").alias(c) for c in ("pos", "cigar", "seq", "qual")])
+
+
+def consensus_of_forms(reads: DataFrame, keys: tuple[str, ...] = ("mip_key", "barcode", "mtag", "read_number"), also: tuple[str, ...] = (), order: str = "ord") -> DataFrame:
+    """keys, pos, cigar, n, quality, seq and qual: the consensus of every place and form of each group, how many reads
+    have it and the sum of their Phred values. also: columns that the others determine."""
+    return _folded(reads, keys, (*keys, "pos", "cigar", *also), [order, "qname"])
 
 
-def _folded(rows: DataFrame, keys: tuple[str, ...], order: list[str]) -> DataFrame:
-    """keys, seq and qual from rows that carry their group's shortest length in __n."""
+def _folded(rows: DataFrame, dealt: tuple[str, ...], keys: tuple[str, ...], order: list[str]) -> DataFrame:
+    """keys, n, quality, shortest, seq and qual of each group, its reads taken in order."""
     names = list(keys)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = None, None  # the group that is being read: its key columns, its fold
-
-        def done() -> pa.RecordBatch:
-            seq, qual = now.result()
-            return pa.RecordBatch.from_arrays([*held.columns, pa.array([seq]), pa.array([qual])], names=[*names, "seq", "qual"])
-
-        for batch in batches:
-            own = batch.select(names)
-            values, last = list(zip(*[c.to_pylist() for c in own.columns], strict=True)), None
-            before = None if held is None else tuple(c[0].as_py() for c in held.columns)
-            for i, (seq, qual, n) in enumerate(zip(batch["seq"].to_pylist(), batch["qual"].to_pylist(), batch["__n"].to_pylist(), strict=True)):
-                if values[i] != (last or before):
-                    if now is not None:
-                        yield done()
-                    held, now = own.slice(i, 1), Fold(n)
-                last = values[i]
-                now.add(seq, qual)
-        if now is not None:
-            yield done()
+        folds, held = _Folds(), None  # held: the keys of the group that is open
+
+        def made(own: pa.RecordBatch, out: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*own.columns, *[pa.array(c, pa.int64()) for c in out[:3]], *out[3:]], names=[*names, "n", "quality", "shortest", "seq", "qual"])
+
+        for whole in batches:
+            longest = pc.max(pc.utf8_length(whole["seq"])).as_py() or 1
+            step = max(1, CELLS // max(1, longest, folds.lead.shape[1]))
+            for i in range(0, len(whole), step):
+                batch = whole.slice(i, step)
+                own = batch.select(names)
+                before = own if held is None else pa.Table.from_batches([held, own]).combine_chunks().to_batches()[0]
+                new = _changes(before) if held is not None else np.concatenate([[True], _changes(before)])
+                heads = pc.filter(own, pa.array(new))
+                open_ = heads if held is None else pa.Table.from_batches([held, heads]).combine_chunks().to_batches()[0]
+                out = folds.add(batch["seq"].to_pylist(), batch["qual"].to_pylist(), new)
+                if out is not None:
+                    yield made(open_.slice(0, len(open_) - 1), out)
+                held = open_.slice(len(open_) - 1)
+        if held is not None:
+            yield made(held, folds.done(1))
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in names], "seq string", "qual string"])
-    sorted_ = rows.repartition(*names).sortWithinPartitions(*names, *order)
-    return sorted_.select(*names, "seq", F.coalesce("qual", F.lit("")).alias("qual"), "__n").mapInArrow(fold, schema)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in names], "n long, quality long, shortest long, seq string, qual string"])
+    sorted_ = rows.repartition(*dealt).sortWithinPartitions(*names, *order)
+    return sorted_.select(*names, "seq", F.coalesce("qual", F.lit("")).alias("qual")).mapInArrow(fold, schema)
+
+
+def _changes(rows: pa.RecordBatch) -> np.ndarray:
+    """Whether each row but the first differs from the one before it; nulls are equal."""
+    n = max(0, len(rows) - 1)
+    out = np.zeros(n, bool)
+    for c in rows.columns:
+        a, b = c.slice(0, n), c.slice(1)
+        differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        out |= differ.to_numpy(zero_copy_only=False)
+    return out
 
 
 def chosen_read(reads: DataFrame, keys: tuple[str, ...] = ("mip_key", "barcode", "mtag", "read_number"), seed: int = 0) -> DataFrame:

@@ -157,9 +157,10 @@ def sequenced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     alignments hold insertions or clips or don't fit their bases, and some barcodes are one base off.
     """
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    dealt = events.repartition("event_id")  # few bytes of a file become many reads
     start = (F.col("user_id") * 200 + 1000).cast("int")
     strand, chrom = F.when(F.col("user_id") % 2 == 0, "+").otherwise("-"), (F.col("user_id") % 22 + 1).cast("string")
-    bases = lambda c, n: F.left(F.translate(F.sha2(c, 512), "0123456789abcdef", "ACGTACGTACGTACGT"), F.lit(n))
+    bases = lambda c, n: F.translate(F.left(F.sha2(c, 512), F.lit(n)), "0123456789abcdef", "ACGTACGTACGTACGT")
     key = F.format_string("%s:%d-%d/20,22/%s", chrom, start, start + 149, strand)
     design = events.select("user_id").distinct().select(key.alias("mip_key"), chrom.alias("chr"), start.alias("mip_start"), (start + 149).alias("mip_stop"), strand.alias("strand"), F.col("user_id").alias("ord"))
     letters = bases(F.col("event_type"), 8)
@@ -168,14 +169,14 @@ def sequenced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     barcode = F.when(n % 10 == 3, F.concat(F.lit("N"), F.substr(letters, F.lit(2)))).otherwise(letters)
     named = F.concat(F.lit("e"), F.floor(n / 3).cast("string"), F.lit("#"), barcode, F.lit("-"), bases(F.floor(n / 3).cast("string"), 3))
     plus = F.col("user_id") % 2 == 0
-    mates = events.withColumn("second", F.explode(F.array(F.lit(False), F.lit(True)))).filter((n % 17 != 0) | F.col("second"))
+    mates = dealt.withColumn("second", F.explode(F.array(F.lit(False), F.lit(True)))).filter((n % 17 != 0) | F.col("second"))
     second = F.col("second")
     flag = F.when(plus, F.when(second, 83).otherwise(163)).otherwise(F.when(second, 147).otherwise(99))
-    cigar = F.when(n % 29 == 0, "30M2I28M").when(n % 31 == 0, "25M3D35M").when(n % 37 == 0, "4S56M").when(n % 41 == 0, "30M1I30M").otherwise("60M")
-    span = A.reference_span(cigar)
+    chosen = lambda a, b, c, d, e: F.when(n % 29 == 0, a).when(n % 31 == 0, b).when(n % 37 == 0, c).when(n % 41 == 0, d).otherwise(e)
+    cigar, span = chosen("30M2I28M", "25M3D35M", "4S56M", "30M1I30M", "60M"), chosen(58, 63, 56, 60, 60)
     pos = (F.when(second, start + 150 - span).otherwise(start) + (n % 3).cast("int") - 1).cast("int")
     seq = F.overlay(bases(F.concat(own, second.cast("string")), 60), bases(F.concat(n.cast("string"), second.cast("string")), 2), (n % 58 + 1).cast("int"))
-    qual = F.left(F.translate(F.sha2(F.concat(n.cast("string"), second.cast("string")), 512), "0123456789abcdef", "I5?+#AB7CD9E3F:H"), F.lit(60))
+    qual = F.translate(F.left(F.sha2(F.concat(n.cast("string"), second.cast("string")), 512), F.lit(60)), "0123456789abcdef", "I5?+#AB7CD9E3F:H")
     reads = mates.select(
         (2 * n + second.cast("int")).alias("ord"), named.alias("qname"), flag.alias("flag"), chrom.alias("rname"), pos.alias("pos"), F.lit(60).alias("mapq"), cigar.alias("cigar"), F.lit("=").alias("rnext"),
         F.when(second, start).otherwise(start + 90).cast("int").alias("pnext"), F.when(second, -150).otherwise(150).alias("tlen"), seq.alias("seq"), qual.alias("qual"), F.lit("").alias("tags"),

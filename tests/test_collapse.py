@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.functions import alignments as A
 from strandloom.operators import collapse as C
 from strandloom.operators import reads as R
 from strandloom.params import CollapseParams
@@ -241,3 +243,61 @@ def test_collapsed_reads_are_written_by_route_or_sample(spark, world, tmp_path):
         assert sizes == want
     back, _ = readers.read_sam(spark, str(tmp_path / "False"))
     assert sorted(r.qname for r in back.collect()) == sorted(r.qname for r in found.collect())
+
+
+def test_alignments_are_walked_once_a_read(spark, world):
+    design, barcodes, reads, *_ = world
+    on = C.annotate(reads, CollapseParams(flex=1), design, barcodes).filter("disposition = 'on_target'")
+    plan = on._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "lambda" not in plan  # each copy of such a walk is paid again
+    assert plan.count("ArrowEvalPython [") == 2
+
+
+def test_kept_part_against_a_walk():
+    rng = random.Random(3)
+    for _ in range(500):
+        cigar = "".join(f"{rng.randint(0, 6)}{rng.choice('MMMIDNSHP=X')}" for _ in range(rng.randint(1, 6)))
+        low, high = rng.choice([None, rng.randint(-3, 12)]), rng.choice([None, rng.randint(-3, 20)])
+        ref = read = 0
+        bases, ops = [], []
+        for n, op in A.operations(cigar):
+            for _ in range(n):
+                inside = (low is None or ref >= low) and (high is None or ref <= high)
+                if inside and op != "H":
+                    ops.append(op)
+                    bases += [read] if op in "MIS=X" else []
+                read, ref = read + (op in "MIS=X"), ref + (op in "MDN=X")
+        begin, end, text, size = A.kept_part(cigar, low, high)
+        assert (begin, end) == ((bases[0], bases[-1] + 1) if bases else (None, None)), (cigar, low, high)
+        assert "".join(op * n for n, op in A.operations(text)) == "".join(ops) and size == len(ops)
+
+
+def test_folds_side_by_side_equal_one_by_one():
+    rng = random.Random(6)
+    groups = [[("".join(rng.choice("AACGTN") for _ in range(rng.randint(0, 9))), "".join(chr(33 + rng.randint(0, 30)) for _ in range(rng.randint(0, 9)))) for _ in range(rng.choice([1, 1, 2, 5, 40]))] for _ in range(60)]
+    rows = [(seq, qual, i == 0) for own in groups for i, (seq, qual) in enumerate(own)]
+    folds, found = R._Folds(), []
+    keep = lambda out: found.extend(zip(*[c.tolist() for c in out], strict=True)) if out is not None else None
+    at = 0
+    while at < len(rows):
+        part = rows[at : at + rng.randint(1, 30)]
+        at += len(part)
+        keep(folds.add([r[0] for r in part], [r[1] for r in part], np.array([r[2] for r in part])))
+    keep(folds.done(1))
+    for own, got in zip(groups, found, strict=True):
+        fold = R.Fold(min(len(seq) for seq, _ in own))
+        for seq, qual in own:
+            fold.add(seq, qual)
+        assert got == (len(own), sum(ord(c) - 33 for _, q in own for c in q), fold.length, *fold.result())
+
+
+def test_groups_over_many_batches(spark):
+    rows = [(g, i, 1, "60M" if i % 3 else "30M", f"r{i}", "ACGT"[(i + g) % 4] * (5 + g % 3), "5" * (5 + g % 3)) for g in range(40) for i in range(1 + 7 * (g % 4))]
+    df = spark.createDataFrame(rows, "g int, ord int, pos int, cigar string, qname string, seq string, qual string").repartition(3)
+    whole = sorted(map(tuple, R.consensus_of_dominant(df, ("g",)).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert sorted(map(tuple, R.consensus_of_dominant(df, ("g",)).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(whole) == 40 and {len(r[3]) for r in whole} == {5, 6, 7}
