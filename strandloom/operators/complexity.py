@@ -55,11 +55,11 @@ def pool_size(total: Column, unique: Column, overall: bool = False, rounds: int
 
     def halve(s: Column, _: Column) -> Column:
         middle = (s["low"] + s["high"]) / 2
-        below = missed(middle, n, u) < 0
-        return F.struct(F.when(below, middle).otherwise(s["low"]).alias("low"), F.when(below, s["high"]).otherwise(middle).alias("high"))
+        upper, lower = F.struct(middle.alias("low"), s["high"].alias("high")), F.struct(s["low"].alias("low"), middle.alias("high"))
+        return F.when(missed(middle, n, u) < 0, upper).otherwise(lower)
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve)
-    return F.when((unique > 0) & (unique < total), (found["low"] + found["high"]) / 2)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve, lambda s: (s["low"] + s["high"]) / 2)
+    return F.when((unique > 0) & (unique < total), found)
 
 
 def saturation_label(total: Column, unique: Column, pool: Column, overall: bool = False) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import alignments as A
 from strandloom.operators import collapse as C
+from strandloom.operators import complexity
 from strandloom.operators import reads as R
 from strandloom.params import CollapseParams
 from strandloom.plans import read_queries
@@ -301,3 +302,15 @@ def test_groups_over_many_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(whole) == 40 and {len(r[3]) for r in whole} == {5, 6, 7}
+
+
+def test_summary_counts_reads_once_and_searches_pools_once(spark, world):
+    design, barcodes, reads, *_ = world
+    on = C.annotate(reads, CollapseParams(flex=1), design, barcodes).filter("disposition = 'on_target'")
+    found = C.summary(C.complexity(on), design)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "cluster" not in plan and "mtag" not in plan
+    pool = spark.range(1).select(complexity.pool_size(F.col("id") + 50, F.col("id") + 30).alias("p"))
+    assert pool._jdf.queryExecution().optimizedPlan().toString().lower().count("power(") == 1
+    at, n, u = pool.first().p, 50, 30
+    assert abs(at * (1 - (1 - 1 / at) ** n) - u) < 1e-9
