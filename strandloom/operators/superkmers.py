@@ -8,12 +8,13 @@ under that minimiser, and nothing else is shuffled.
 Strings are dealt and sorted by their minimiser, and some minimisers at a time are counted: windows are rolling codes
 of two bits a base, 31 bases a word, sorted and counted as numbers. Windows with a letter other than A, C, G and T
 travel alone and are counted as text. Equal strings of a batch are added up before the shuffle, so what repeats (a
-poly-A tract, a copied text) costs a row a batch. Windows of up to 12 bases have so few codes that each batch counts
-them by code, and the counts are summed.
+poly-A tract, a copied text) costs a row a batch. Windows of up to 12 bases have so few codes that each task counts
+them in one array by code, and the counts are summed.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -125,13 +126,13 @@ def hash_text(text: bytes) -> int:
         return int(_mixed(np.array([(values * (np.arange(len(values), dtype=np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))).sum(dtype=np.uint64)]))[0])
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bytes, np.ndarray, np.ndarray]]:
+def _joined(batches: Iterator[pa.RecordBatch], cut: int) -> Iterator[tuple[pa.RecordBatch, bytes, np.ndarray, np.ndarray]]:
     """(rows, text, begin, row) of some pieces at a time: their text, in which BETWEEN follows each, where each
     begins, and the row of every letter."""
     for batch in batches:
         pieces = [(x or "").encode() + BETWEEN for x in batch["piece"].to_pylist()]
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        part = (np.cumsum(lengths) - lengths) // CUT
+        part = (np.cumsum(lengths) - lengths) // cut
         for k in np.unique(part):
             at = np.flatnonzero(part == k)
             own = lengths[at]
@@ -149,7 +150,7 @@ def _odd_windows(text: bytes, size: int) -> Iterator[tuple[int, bytes]]:
 
 def _cutting(size: int, m: int, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, text, begin, row in _joined(batches):
+        for rows, text, begin, row in _joined(batches, CUT):
             if len(text) < size:
                 continue
             minimiser, at, many = spans(text, size, m)
@@ -250,24 +251,34 @@ def spelt(words: list[np.ndarray], size: int) -> pa.Array:
 def _count_short(pieces: DataFrame, size: int) -> DataFrame:
     """(kmer, copies) of windows of so few bases that a task's counts are no more rows than codes."""
 
+    def rows(code: np.ndarray, n: np.ndarray, odd: dict[bytes, int]) -> pa.RecordBatch:
+        codes, texts = pa.array(code.astype(np.int64)), pa.array([k.decode() for k in odd], pa.string())
+        columns = [pa.concat_arrays([codes, pa.nulls(len(odd), pa.int64())]), pa.concat_arrays([pa.nulls(len(code), pa.string()), texts]), pa.array([*odd.values()], pa.int64()) if odd else pa.array(n)]
+        return pa.RecordBatch.from_arrays(columns, names=["code", "odd", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, text, _, _ in _joined(batches):
+        copies, none = np.zeros(4**size, np.int64), np.zeros(0, np.int64)
+        for _, text, _, _ in _joined(batches, max(1, CUT >> 3)):  # few enough for a core's cache
             if len(text) < size:
                 continue
             codes = _CODE[np.frombuffer(text, np.uint8)]
             word = np.sort(window_words(np.minimum(codes, 3), size)[0][_held(codes, size)].astype(np.uint32))
             first = np.flatnonzero(np.concatenate([[len(word) > 0], word[1:] != word[:-1]]))
-            code, n = word[first], np.diff(np.append(first, len(word)))
-            odd = [min(w, opposite(w)).decode() for _, w in _odd_windows(text, size)]
-            columns = [pa.array([*code.tolist(), *[None] * len(odd)], pa.int64()) if odd else pa.array(code.astype(np.int64)), pa.array([None] * len(code) + odd, pa.string()), pa.array(np.concatenate([n, np.ones(len(odd), np.int64)]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["code", "odd", "n"])
+            copies[word[first]] += np.diff(np.append(first, len(word)))
+            odd = Counter(min(w, opposite(w)) for _, w in _odd_windows(text, size))
+            if odd:
+                yield rows(none, none, odd)
+        code = np.flatnonzero(copies)
+        for i in range(0, len(code), AT_ONCE):
+            yield rows(code[i : i + AT_ONCE], copies[code[i : i + AT_ONCE]], {})
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = spelt([batch["code"].fill_null(0).to_numpy().astype(np.uint64)], size)
             yield pa.RecordBatch.from_arrays([pc.coalesce(batch["odd"], text), batch["copies"]], names=["kmer", "copies"])
 
-    summed = pieces.mapInArrow(count, "code long, odd string, n long").groupBy("code", "odd").agg(F.sum("n").alias("copies"))
+    # a task has each code once: nothing is left to add up before the shuffle
+    summed = pieces.mapInArrow(count, "code long, odd string, n long").repartition("code", "odd").groupBy("code", "odd").agg(F.sum("n").alias("copies"))
     return summed.mapInArrow(spell, "kmer string, copies long")
 
 

@@ -78,3 +78,15 @@ def test_short_windows_are_counted_by_code_without_minimisers(spark, monkeypatch
     df = spark.createDataFrame([(1, "ACGTACGTACGTNACGTACGTACGT"), (2, "ACG"), (3, None)], "chr int, seq string").repartition(2)
     found = {r.kmer: r.copies for r in genome.copy_numbers(df, 12).collect()}
     assert found["ACGTACGTACGT"] == 2 and sum(found.values()) == 14 and sum(n for k, n in found.items() if "N" in k) == 12
+
+
+def test_a_task_hands_on_each_short_window_once(spark, monkeypatch):
+    monkeypatch.setattr(superkmers, "CUT", 50)  # few bases are counted at a time
+    df = spark.createDataFrame([(i, "ACGTTGCAACGGNACGTTGCAACGG") for i in range(40)], "chr int, seq string").coalesce(1)
+    held = superkmers._count_short(genome.pieces(df, 6, "seq", ()), 6)
+    rows = held._jdf.queryExecution().toRdd().count()
+    found = {r.kmer: r.copies for r in held.collect()}
+    assert rows == len(found) and sum(found.values()) == 40 * 20
+    plan = held._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(plan) if "MapInArrow count" in line)
+    assert "RepartitionByExpression" in plan[at - 1]  # no map-side table of all codes
